@@ -56,15 +56,17 @@ def parse_json(text, schema: str) -> Column:
 
 
 # J3 ------------------------------------------------------------------------
-def parse_list_two_stage(text, element_schema: str) -> Column:
+def parse_list_two_stage(text, element_schema: str, cut=None) -> Column:
     """Parse the whole text as a list; else the first '[' .. last ']' slice
-    (a superset of the tail-only cut); else NULL (the caller drops it)."""
+    (a superset of the tail-only cut); else NULL (the caller drops it).
+    ``cut`` may name a column already holding the slice."""
     schema = f"array<{element_schema}>"
-    return F.coalesce(parse_json(text, schema), parse_json(bracket_slice(text), schema))
+    sliced = _col(cut) if cut is not None else bracket_slice(text)
+    return F.coalesce(parse_json(text, schema), parse_json(sliced, schema))
 
 
 # J1 ------------------------------------------------------------------------
-def parse_object_fields(text, keys: Sequence[str], prefix: str = "") -> list[Column]:
+def parse_object_fields(text, keys: Sequence[str], prefix: str = "", valid=None, parsed=None) -> list[Column]:
     """Parse a JSON object into one string column per key, in order, plus
     ``error``. Keys are read one by one: a missing key sets the error and
     leaves it and all later keys NULL, while earlier keys stay filled. Invalid
@@ -74,8 +76,8 @@ def parse_object_fields(text, keys: Sequence[str], prefix: str = "") -> list[Col
     text (``3`` -> ``"3"``), so a frequency of "many" survives for J10.
     """
     t = _col(text)
-    valid = json_valid(t)
-    m = F.when(valid, F.from_json(t, "map<string,string>"))
+    valid = _col(valid) if valid is not None else json_valid(t)
+    m = _col(parsed) if parsed is not None else F.when(valid, F.from_json(t, "map<string,string>"))
     present = [F.coalesce(F.map_contains_key(m, F.lit(k)), F.lit(False)) for k in keys]
     cols = []
     reached = m.isNotNull()

@@ -109,6 +109,12 @@ class Dialect:
             return f"(CAST(conv(substr({digest}, 1, 6), 16, 10) AS BIGINT) % {m})"
         return f"(CAST(('0x' || substr({digest}, 1, 6)) AS BIGINT) % {m})"
 
+    def lit(self, s: str) -> str:
+        """String literal: Spark SQL treats backslash as an escape, DuckDB does not."""
+        if self.name == "spark":
+            return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return "'" + s.replace("'", "''") + "'"
+
     def replace_all(self, text_sql: str, pattern: str, repl: str) -> str:
         if self.name == "spark":
             return f"regexp_replace({text_sql}, '{pattern}', '{repl}')"
@@ -132,86 +138,98 @@ def posts_exprs(d: Dialect) -> list[str]:
             "text", "n_chars"]
 
 
+# Each recorded reply is built in stages (lists of ``expr AS name``); every
+# stage is one projection, so no hash or JSON text is evaluated twice.
+Stages = list[list[str]]
+
+
+def staged_sql(src: str, stages: Stages) -> str:
+    """DuckDB: nest one ``SELECT *, ...`` per stage over ``src``."""
+    sql = f"SELECT * FROM {src}"
+    for st in stages:
+        sql = f"SELECT *, {', '.join(st)} FROM ({sql})"
+    return sql
+
+
+def apply_stages(df: DataFrame, stages: Stages) -> DataFrame:
+    for st in stages:
+        df = df.selectExpr("*", *st)
+    return df
+
+
 # fx_questionnaire_responses
-def questionnaire_response_expr(d: Dialect) -> str:
+def questionnaire_stages(d: Dialect) -> Stages:
     bonus = f"(CASE WHEN n_chars > {LONG_POST_CHARS} THEN {LONG_POST_BONUS} ELSE 0 END)"
-    kind = d.h("doc_id", "'kind'", 20)
-    answers = []
-    for k, pct in enumerate(QUESTION_YES_PERCENT, start=1):
-        yes = f"({d.h('doc_id', q('a' + str(k)), 100)} < {pct} + {bonus})"
-        answers.append(f"(CASE WHEN {kind} = 3 THEN (CASE WHEN {yes} THEN 'yes' ELSE 'no' END) "
-                       f"ELSE (CASE WHEN {yes} THEN 'Yes' ELSE 'No' END) END)")
-    freq = f"(CASE WHEN {kind} = 4 THEN '\"many\"' ELSE CAST({d.h('doc_id', q('f'), 5)} AS STRING) END)"
-    parts = [f"'{{\"brief_reasoning\": \"post ', CAST(doc_id AS STRING), ' reads as ', label, '\", '"]
+    s1 = [f"{d.h('doc_id', chr(39) + 'kind' + chr(39), 20)} AS _kind", f"{d.h('doc_id', q('f'), 5)} AS _fh"]
+    s1 += [f"({d.h('doc_id', q('a' + str(k)), 100)} < {pct} + {bonus}) AS _y{k}"
+           for k, pct in enumerate(QUESTION_YES_PERCENT, start=1)]
+    s2 = [f"(CASE WHEN _kind = 3 THEN (CASE WHEN _y{k} THEN 'yes' ELSE 'no' END) "
+          f"ELSE (CASE WHEN _y{k} THEN 'Yes' ELSE 'No' END) END) AS _a{k}" for k in range(1, 6)]
+    s2.append("(CASE WHEN _kind = 4 THEN '\"many\"' ELSE CAST(_fh AS STRING) END) AS _freq")
+    parts = ["'{\"brief_reasoning\": \"post ', CAST(doc_id AS STRING), ' reads as ', label, '\", '"]
     for k in range(1, 6):
-        seg = f"concat('\"answer{k}\": \"', {answers[k - 1]}, '\", ')"
+        seg = f"concat('\"answer{k}\": \"', _a{k}, '\", ')"
         if k == 4:
-            seg = f"(CASE WHEN {kind} = 2 THEN '' ELSE {seg} END)"
+            seg = f"(CASE WHEN _kind = 2 THEN '' ELSE {seg} END)"
         parts.append(seg)
-    parts.append(f"'\"frequency\": ', {freq}, '}}'")
-    body = "concat(" + ", ".join(parts) + ")"
-    return (f"(CASE WHEN {kind} = 0 THEN concat('Sure, here is my answer: ', {body}) "
-            f"WHEN {kind} = 1 THEN substr({body}, 1, length({body}) - 1) ELSE {body} END)")
+    parts.append("'\"frequency\": ', _freq, '}'")
+    s3 = ["concat(" + ", ".join(parts) + ") AS _body"]
+    s4 = ["(CASE WHEN _kind = 0 THEN concat('Sure, here is my answer: ', _body) "
+          "WHEN _kind = 1 THEN substr(_body, 1, length(_body) - 1) ELSE _body END) AS response"]
+    return [s1, s2, s3, s4]
 
 
-# fx_rating_responses: one row per (post, category)
-def rating_response_expr(d: Dialect, category: str) -> str:
+# fx_rating_responses: one reply per (post, category)
+def rating_stages(d: Dialect) -> Stages:
     fids = feature_ids()
-    entries = []
-    for f, ((cat, _, _, _), fid) in enumerate(zip(DEFINITIONS, fids)):
-        if cat != category:
-            continue
-        seg = d.h("doc_id", "'seg'", 4)
-        base = f"(CASE WHEN {f % 4} = {seg} THEN 3 ELSE 1 END)"
-        rating = f"greatest(0, least(3, {base} + {d.h('doc_id', q(fid), 3)} - 1))"
-        rating_txt = f"CAST({rating} AS STRING)"
-        omitted = f"({d.h('doc_id', q('m' + fid), 17)} = 0)"
-        if fid in SPARSE_FEATURES:
-            omitted = f"({omitted} OR {d.h('doc_id', q('sparse'), 5)} <> 0)"
-        if fid == CONSTANT_FEATURE:
-            rating_txt, omitted = "'2'", "FALSE"
-        if fid == TEXT_RATING_FEATURE:
-            rating_txt = f"(CASE WHEN {d.h('doc_id', q('txt'), 40)} = 0 THEN '\"high\"' ELSE {rating_txt} END)"
-        entry = f"concat('{{\"featureid\": \"{fid}\", \"rating\": ', {rating_txt}, '}}')"
-        entries.append(f"(CASE WHEN {omitted} THEN NULL ELSE {entry} END)")
-    if category == DEFINITIONS[0][0]:
-        entries.append(f"(CASE WHEN {d.h('doc_id', q('unk'), 50)} = 0 THEN "
-                       f"'{{\"featureid\": \"{UNKNOWN_FEATURE}\", \"rating\": 1}}' END)")
-        entries.append(f"(CASE WHEN {d.h('doc_id', q('rep'), 25)} = 0 THEN "
-                       f"'{{\"featureid\": \"{REPEATED_FEATURE}\", \"rating\": 0}}' END)")
-    lst = "concat('[', concat_ws(', ', " + ", ".join(entries) + "), ']')"
-    cat_key = q("bad" + category)
-    return (f"(CASE WHEN {d.h('doc_id', cat_key, 50)} = 0 THEN substr({lst}, 1, greatest(length({lst}) - 12, 1)) "
-            f"WHEN {d.h('doc_id', q('prose'), 10)} = 0 THEN concat('Here are the ratings: ', {lst}, "
-            f"' Let me know if you need more.') ELSE {lst} END)")
-
-
-# fx_pair_responses: one row per pair (pair_id, text1, text2)
-def pair_response_expr(d: Dialect) -> str:
-    def name(j):
+    s1 = [f"{d.h('doc_id', q('seg'), 4)} AS _seg", f"{d.h('doc_id', q('sparse'), 5)} AS _sparse",
+          f"{d.h('doc_id', q('prose'), 10)} AS _prose"]
+    s2, s3 = [], []
+    for ci, category in enumerate(categories()):
+        entries = []
+        for f, ((cat, _, _, _), fid) in enumerate(zip(DEFINITIONS, fids)):
+            if cat != category:
+                continue
+            base = f"(CASE WHEN {f % 4} = _seg THEN 3 ELSE 1 END)"
+            rating = f"greatest(0, least(3, {base} + {d.h('doc_id', q(fid), 3)} - 1))"
+            rating_txt = f"CAST({rating} AS STRING)"
+            omitted = f"({d.h('doc_id', q('m' + fid), 17)} = 0)"
+            if fid in SPARSE_FEATURES:
+                omitted = f"({omitted} OR _sparse <> 0)"
+            if fid == CONSTANT_FEATURE:
+                rating_txt, omitted = "'2'", "FALSE"
+            if fid == TEXT_RATING_FEATURE:
+                rating_txt = f"(CASE WHEN {d.h('doc_id', q('txt'), 40)} = 0 THEN '\"high\"' ELSE {rating_txt} END)"
+            entry = f"concat('{{\"featureid\": \"{fid}\", \"rating\": ', {rating_txt}, '}}')"
+            entries.append(f"(CASE WHEN {omitted} THEN NULL ELSE {entry} END)")
+        if ci == 0:
+            entries.append(f"(CASE WHEN {d.h('doc_id', q('unk'), 50)} = 0 THEN "
+                           f"'{{\"featureid\": \"{UNKNOWN_FEATURE}\", \"rating\": 1}}' END)")
+            entries.append(f"(CASE WHEN {d.h('doc_id', q('rep'), 25)} = 0 THEN "
+                           f"'{{\"featureid\": \"{REPEATED_FEATURE}\", \"rating\": 0}}' END)")
+        s2.append("concat('[', concat_ws(', ', " + ", ".join(entries) + f"), ']') AS _list{ci}")
+        bad = d.h("doc_id", q("bad" + category), 50)
+        s3.append(f"(CASE WHEN {bad} = 0 THEN substr(_list{ci}, 1, greatest(length(_list{ci}) - 12, 1)) "
+                  f"WHEN _prose = 0 THEN concat('Here are the ratings: ', _list{ci}, "
+                  f"' Let me know if you need more.') ELSE _list{ci} END) AS _resp{ci}")
+    return [s1, s2, s3]
+
+
+# fx_pair_responses: one reply per pair (pair_id, text1, text2)
+def pair_stages(d: Dialect) -> Stages:
+    s1 = [f"substr({d.replace_all('text1', '[^A-Za-z ]', '')}, 1, 40) AS _s1",
+          f"substr({d.replace_all('text2', '[^A-Za-z ]', '')}, 1, 40) AS _s2",
+          f"{d.h('pair_id', q('pk'), 10)} AS _pk"]
+    for j in range(3):
         hv = d.h("pair_id", q("c" + str(j)), len(PAIR_CATEGORY_NAMES))
         whens = " ".join(f"WHEN {i} THEN {q(n)}" for i, n in enumerate(PAIR_CATEGORY_NAMES))
-        return f"(CASE {hv} {whens} END)"
-
-    def snip(col):
-        return f"substr({d.replace_all(col, '[^A-Za-z ]', '')}, 1, 40)"
-
-    objs = [f"concat('{{\"Category\": \"', {name(j)}, '\", \"Post 1\": \"', {snip('text1')}, "
-            f"'\", \"Post 2\": \"', {snip('text2')}, '\"}}')" for j in range(3)]
-    lst = "concat('[', " + ", ', ', ".join(objs) + ", ']')"
-    kind = d.h("pair_id", "'pk'", 10)
-    return (f"(CASE WHEN {kind} = 0 THEN concat({lst}, ' Hope this helps.') "
-            f"WHEN {kind} = 1 THEN substr({lst}, 1, 30) ELSE {lst} END)")
-
-
-# fx_app_responses: one JSON object per post for the scoring app
-def app_response_expr(d: Dialect, key: str = "doc_id") -> str:
-    names = app_feature_names()
-    items = [f"concat('\"{n}\": ', CAST({d.h(key, q('s' + n), 4)} AS STRING))" for n in names]
-    dup = (f"(CASE WHEN {d.h(key, q('dup'), 10)} = 0 THEN concat(', \"{names[0]}\": ', "
-           f"CAST({d.h(key, q('dup2'), 4)} AS STRING)) ELSE '' END)")
-    unk = f"(CASE WHEN {d.h(key, q('unk'), 8)} = 0 THEN ', \"{APP_UNKNOWN_NAME}\": 2' ELSE '' END)"
-    return "concat('{', " + ", ', ', ".join(items) + f", {dup}, {unk}, '}}')"
+        s1.append(f"(CASE {hv} {whens} END) AS _c{j}")
+    objs = [f"concat('{{\"Category\": \"', _c{j}, '\", \"Post 1\": \"', _s1, '\", \"Post 2\": \"', _s2, '\"}}')"
+            for j in range(3)]
+    s2 = ["concat('[', " + ", ', ', ".join(objs) + ", ']') AS _list"]
+    s3 = ["(CASE WHEN _pk = 0 THEN concat(_list, ' Hope this helps.') "
+          "WHEN _pk = 1 THEN substr(_list, 1, 30) ELSE _list END) AS response"]
+    return [s1, s2, s3]
 
 
 # ---------------------------------------------------------------------------
@@ -222,27 +240,20 @@ def fx_posts(documents: DataFrame) -> DataFrame:
 
 def fx_questionnaire_responses(posts: DataFrame) -> DataFrame:
     """(doc_id, id, label, text, response) with the recorded questionnaire reply."""
-    return posts.selectExpr("doc_id", "id", "label", "text",
-                            f"{questionnaire_response_expr(SPARK)} AS response")
+    return apply_stages(posts, questionnaire_stages(SPARK)).select("doc_id", "id", "label", "text", "response")
 
 
 def fx_rating_responses(posts: DataFrame) -> DataFrame:
     """(id, category, cat_pos, response): one recorded rating reply per post and category."""
-    cats = categories()
-    arr = "array(" + ", ".join(
-        f"named_struct('category', {q(c)}, 'cat_pos', {i}, 'response', {rating_response_expr(SPARK, c)})"
-        for i, c in enumerate(cats)) + ")"
-    return (posts.selectExpr("id", "doc_id", f"inline({arr})")
-            .select("id", "category", "cat_pos", "response"))
+    staged = apply_stages(posts.select("id", "doc_id"), rating_stages(SPARK))
+    arr = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(i).alias("cat_pos"), F.col(f"_resp{i}").alias("response"))
+                    for i, c in enumerate(categories())])
+    return staged.select("id", F.inline(arr))
 
 
 def fx_pair_responses(pairs_with_text: DataFrame) -> DataFrame:
     """pairs (pair_id, text1, text2, ...) -> (pair_id, response)."""
-    return pairs_with_text.selectExpr("pair_id", f"{pair_response_expr(SPARK)} AS response")
-
-
-def fx_app_responses(posts: DataFrame, key: str = "doc_id") -> DataFrame:
-    return posts.withColumn("response", F.expr(app_response_expr(SPARK, key)))
+    return apply_stages(pairs_with_text, pair_stages(SPARK)).select("pair_id", "response")
 
 
 def definitions_df(spark) -> DataFrame:
@@ -256,3 +267,51 @@ def app_features_df(spark) -> DataFrame:
     rows = [(i, n, c, desc, opts) for i, (n, c, desc, opts) in enumerate(APP_FEATURES)]
     return spark.createDataFrame(rows, "row_pos int, feature_name string, cluster int, "
                                        "description string, rating_options string")
+
+
+# ---------------------------------------------------------------------------
+# Category-merge reply and definition-list replies (data-derived)
+GENERIC_SCALE = "absent, present (0-1)"
+
+
+def definition_list_json(category: str) -> str | None:
+    import json
+    rows = [{"featurename": n, "short_description": d, "rating": s} for c, n, d, s in DEFINITIONS if c == category]
+    return json.dumps(rows) if rows else None
+
+
+def definition_stages(d: Dialect, name_col: str = "name") -> Stages:
+    """Reply to the definition prompt of one group: the fixture list for known
+    categories, two generic features otherwise; some wrapped in prose, some
+    cut short (unparsable)."""
+    whens = []
+    for c in categories():
+        whens.append(f"WHEN {d.lit(c)} THEN {d.lit(definition_list_json(c))}")
+    generic = (f"concat('[{{\"featurename\": \"Intensity\", \"short_description\": \"How strongly ', {name_col}, "
+               f"' shows\", \"rating\": \"{SCALE_0_3}\"}}, {{\"featurename\": \"Presence\", "
+               f"\"short_description\": \"Whether ', {name_col}, ' is present\", \"rating\": \"{GENERIC_SCALE}\"}}]')")
+    lst = f"(CASE {name_col} {' '.join(whens)} ELSE {generic} END)"
+    return [[f"{lst} AS _dlist"],
+            [f"(CASE WHEN {d.h(name_col, q('dbad'), 7)} = 0 THEN substr(_dlist, 1, 25) "
+             f"WHEN {d.h(name_col, q('dp'), 3)} = 0 THEN concat('Here are the features:', chr(10), _dlist, chr(10), "
+             f"'Done.') ELSE _dlist END) AS response"]]
+
+
+def fx_merge_response(comparisons: DataFrame) -> DataFrame:
+    """One-row reply of the category-merge prompt: every distinct category as
+    a group (by count desc, then name), dumped twice as a JSON string."""
+    counts = comparisons.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    cat = F.col("category")
+    item = F.concat(F.lit('{"name": "'), F.upper(F.substring(cat, 1, 1)), F.expr("substr(category, 2)"),
+                    F.lit('", "terms": ["'), cat, F.lit('", "'), cat, F.lit(' detail"]}'))
+    items = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg_n"), cat.alias("c"), item.alias("t"))))
+    js = F.concat(F.lit('{"categories": ['), F.array_join(F.transform(items, lambda x: x["t"]), ", "), F.lit("]}"))
+    dumped = F.concat(F.lit('"'), F.replace(F.replace(js, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')),
+                      F.lit('"'))
+    return counts.agg(dumped.alias("response"))
+
+
+def fx_definition_responses(groups: DataFrame) -> DataFrame:
+    """groups (group_pos, name) -> (group_pos, category, response)."""
+    return apply_stages(groups.select("group_pos", "name"), definition_stages(SPARK, "name")) \
+        .select("group_pos", F.col("name").alias("category"), "response")

@@ -16,15 +16,34 @@ from tessera.sources.tables import table
 
 ANSWERS = list(R.ANSWER_COLS)
 
+_STAGES: dict[tuple, DataFrame] = {}
+
+
+def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A persisted stage table (the reference writes one file per stage).
+
+    Built once per session and input folder, then cut from its lineage with a
+    reliable checkpoint in the shared ``spark.checkpoint.dir``: a lost
+    executor re-reads it instead of re-running parsing (or model calls), and
+    the optimizer cannot inline a stage's expressions into later filters.
+    """
+    from tessera.session import materialize
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _STAGES:
+        _STAGES[key] = materialize(build(), spark)
+    return _STAGES[key]
+
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.fx_posts(table(spark, sf_dir, "documents"))
 
 
 def questionnaire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C1 core: recorded questionnaire replies -> J1 parse + X6 flag."""
-    resp = fx.fx_questionnaire_responses(posts(spark, sf_dir))
-    return R.parse_questionnaire(resp, keep=("doc_id", "id", "label", "text"))
+    """C1 core: recorded questionnaire replies -> J1 parse + X6 flag (stage table)."""
+    def build():
+        resp = fx.fx_questionnaire_responses(posts(spark, sf_dir))
+        return R.parse_questionnaire(resp, keep=("doc_id", "id", "label", "text"))
+    return stage(spark, sf_dir, "questionnaire", build)
 
 
 def flagged_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +56,8 @@ def rating_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C3 core: recorded rating replies for flagged posts -> long ratings."""
-    return R.parse_ratings(rating_responses(spark, sf_dir))
+    """C3 core: recorded rating replies for flagged posts -> long ratings (J7, stage table)."""
+    return stage(spark, sf_dir, "ratings", lambda: R.parse_ratings(rating_responses(spark, sf_dir)))
 
 
 def pairs(spark: SparkSession, sf_dir: str, m: int = 100, seed: str = "pairs") -> DataFrame:
@@ -50,8 +69,9 @@ def pair_texts(spark: SparkSession, sf_dir: str, m: int = 100) -> DataFrame:
 
 
 def comparisons(spark: SparkSession, sf_dir: str, m: int = 100) -> DataFrame:
-    """C2 first half: pair replies -> J3 two-stage parse -> J4 rows."""
-    return R.parse_comparisons(fx.fx_pair_responses(pair_texts(spark, sf_dir, m)))
+    """C2 first half: pair replies -> J3 two-stage parse -> J4 rows (stage table)."""
+    return stage(spark, sf_dir, f"comparisons_{m}",
+                 lambda: R.parse_comparisons(fx.fx_pair_responses(pair_texts(spark, sf_dir, m))))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,3 +79,70 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted cluster in oracle-checked statistics."""
     from tessera.functions.hashing import hash_mod
     return flagged_posts(spark, sf_dir).select("id", (hash_mod("doc_id", "seg", 4) + 1).cast("int").alias("cluster"))
+
+
+# ---------------------------------------------------------------------------- C2
+def merge_response(spark: SparkSession, sf_dir: str, m: int = 100) -> DataFrame:
+    return fx.fx_merge_response(comparisons(spark, sf_dir, m))
+
+
+def category_groups(spark: SparkSession, sf_dir: str, first_n: int = 8, m: int = 100) -> DataFrame:
+    return R.parse_category_groups(merge_response(spark, sf_dir, m), first_n=first_n)
+
+
+def definition_responses(spark: SparkSession, sf_dir: str, first_n: int = 8) -> DataFrame:
+    return fx.fx_definition_responses(category_groups(spark, sf_dir, first_n))
+
+
+def definitions(spark: SparkSession, sf_dir: str, first_n: int = 8) -> DataFrame:
+    """C2 result: feature definitions (category first, then list order; stage table)."""
+    def build():
+        d = R.parse_definitions(definition_responses(spark, sf_dir, first_n))
+        return d.select("category", "pos", "featurename", "short_description", "rating", "feature_id")
+    return stage(spark, sf_dir, f"definitions_{first_n}", build)
+
+
+# ---------------------------------------------------------------------------- C4 inputs
+def kept(spark: SparkSession, sf_dir: str, frac: float = 0.5) -> list[str]:
+    """F5 on the fixture ratings; the (bounded) kept feature list."""
+    from tessera.operators.stats import kept_features
+    k = kept_features(ratings(spark, sf_dir), flagged_posts(spark, sf_dir), frac, value="rating")
+    return sorted(r[0] for r in k.collect())
+
+
+def imputed_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators.stats import median_impute
+    return stage(spark, sf_dir, "imputed", lambda: median_impute(
+        ratings(spark, sf_dir), flagged_posts(spark, sf_dir), kept(spark, sf_dir), value="rating"))
+
+
+def imputed_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators.stats import to_long
+    return to_long(imputed_wide(spark, sf_dir))
+
+
+def anova_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5 over imputed ratings with the known segment as the cluster."""
+    from tessera.operators.stats import one_vs_rest_anova
+    return one_vs_rest_anova(imputed_long(spark, sf_dir), segments(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------- C6
+def scoring_prompts(spark: SparkSession, src: DataFrame, key: str = "id") -> DataFrame:
+    """Scoring prompt per post, the definition table inlined as CSV."""
+    from tessera.functions.templates import SCORING_TEMPLATE, render
+    from tessera.operators.annotate import csv_text
+    # the lookup is bounded (tens of rows): its CSV text is one driver-side literal
+    csv = csv_text(fx.app_features_df(spark), ["feature_name", "description", "rating_options"], "row_pos").first()[0]
+    return src.select(key, render(SCORING_TEMPLATE, text="text", features=F.lit(csv)).alias("prompt"))
+
+
+def score_posts(spark: SparkSession, src: DataFrame, key: str = "id") -> DataFrame:
+    """Prompts -> model (stub) -> J8 -> K4 lookup join -> G7 cluster means."""
+    from tessera.operators.annotate import annotate, stub_scoring_client
+    from tessera.operators.summaries import cluster_means
+    prompts = scoring_prompts(spark, src, key)
+    replies = annotate(prompts, stub_scoring_client(fx.app_feature_names()), key=key)
+    scores = R.parse_scores(replies, key=key)
+    joined = scores.join(F.broadcast(fx.app_features_df(spark).select("feature_name", "cluster")), "feature_name")
+    return cluster_means(joined, key=key)

@@ -34,7 +34,7 @@ fx_questionnaire AS (SELECT *, TRY_CAST(frequency AS DOUBLE) AS freq_num,
 def questionnaire_ctes() -> str:
     """fx_posts, fx_qresp, fx_questionnaire (J1 + X6 over every document)."""
     return f"""fx_posts AS (SELECT {", ".join(fx.posts_exprs(D))} FROM documents),
-fx_qresp AS (SELECT doc_id, id, label, text, {fx.questionnaire_response_expr(D)} AS response FROM fx_posts),
+fx_qresp AS (SELECT doc_id, id, label, text, response FROM ({fx.staged_sql("fx_posts", fx.questionnaire_stages(D))})),
 {_questionnaire_parse("fx_qresp")}"""
 
 
@@ -47,11 +47,11 @@ def rating_ctes() -> str:
     """fx_flagged posts -> recorded rating replies -> parsed long ratings."""
     parts = []
     for i, c in enumerate(fx.categories()):
-        parts.append(f"SELECT id, doc_id, {q(c)} AS category, {i} AS cat_pos, "
-                     f"{fx.rating_response_expr(D, c)} AS response FROM fx_flagged")
+        parts.append(f"SELECT id, doc_id, {q(c)} AS category, {i} AS cat_pos, _resp{i} AS response FROM r_staged")
     union = "\nUNION ALL\n".join(parts)
     schema = '[{"featureid": "VARCHAR", "rating": "VARCHAR"}]'
     return flagged_ctes() + f""",
+r_staged AS ({fx.staged_sql("(SELECT id, doc_id FROM fx_flagged)", fx.rating_stages(D))}),
 fx_rresp AS ({union}),
 r_clean AS (SELECT id, doc_id, cat_pos, regexp_extract(response, '(?s)\\[.*\\]', 0) AS clean FROM fx_rresp),
 r_arr AS (SELECT id, doc_id, cat_pos,
@@ -75,7 +75,7 @@ fx_pairs AS (SELECT a.rn AS pair_id, a.id AS id1, b.id AS id2
   FROM p_draws a, p_half h, p_draws b WHERE a.rn <= h.half AND b.rn = a.rn + h.half),
 fx_pair_texts AS (SELECT p.pair_id, p.id1, p.id2, f1.text AS text1, f2.text AS text2
   FROM fx_pairs p JOIN fx_flagged f1 ON f1.id = p.id1 JOIN fx_flagged f2 ON f2.id = p.id2),
-fx_presp AS (SELECT pair_id, {fx.pair_response_expr(D)} AS response FROM fx_pair_texts),
+fx_presp AS (SELECT pair_id, response FROM ({fx.staged_sql("fx_pair_texts", fx.pair_stages(D))})),
 c_try AS (SELECT pair_id, response,
   CASE WHEN coalesce(json_valid(response), FALSE) THEN from_json(response, '{schema}') END AS a1,
   regexp_extract(response, '(?s)\\[.*\\]', 0) AS cut FROM fx_presp),
@@ -84,3 +84,119 @@ c_arr AS (SELECT pair_id, coalesce(a1,
 fx_comparisons AS (SELECT pair_id, i AS pos, lower(arr[i + 1]."Category") AS category,
   arr[i + 1]."Post 1" AS post1, arr[i + 1]."Post 2" AS post2
   FROM (SELECT *, unnest(range(len(arr))) AS i FROM c_arr WHERE arr IS NOT NULL))"""
+
+
+def c2_ctes(first_n: int = 8, m: int = 100) -> str:
+    """... -> category-merge reply -> groups (J5) -> definition replies -> definitions (J6 + X1)."""
+    gschema = '{"categories": [{"name": "VARCHAR", "terms": ["VARCHAR"]}]}'
+    dschema = '[{"featurename": "VARCHAR", "short_description": "VARCHAR", "rating": "VARCHAR"}]'
+    item = ("'{\"name\": \"' || upper(substr(category, 1, 1)) || substr(category, 2) || '\", \"terms\": [\"' "
+            "|| category || '\", \"' || category || ' detail\"]}'")
+    return pairs_ctes(m) + f""",
+m_counts AS (SELECT category, count(*) AS n FROM fx_comparisons GROUP BY category),
+m_json AS (SELECT '{{"categories": [' || string_agg({item}, ', ' ORDER BY n DESC, category) || ']}}' AS j FROM m_counts),
+fx_mresp AS (SELECT '"' || replace(replace(j, '\\', '\\\\'), '"', '\\"') || '"' AS response FROM m_json),
+g_doc AS (SELECT json_extract_string('{{"v":' || response || '}}', '$.v') AS doc FROM fx_mresp),
+g_arr AS (SELECT CASE WHEN coalesce(json_valid(doc), FALSE) THEN from_json(doc, '{gschema}') END AS s FROM g_doc),
+fx_groups AS (SELECT i AS group_pos, lower(s.categories[i + 1]."name") AS name, s.categories[i + 1].terms AS terms
+  FROM (SELECT s, unnest(range(least(len(s.categories), {first_n}))) AS i FROM g_arr WHERE s IS NOT NULL)),
+fx_dresp AS (SELECT group_pos, name AS category, response FROM ({fx.staged_sql("fx_groups", fx.definition_stages(D, 'name'))})),
+d_arr AS (SELECT group_pos, category,
+  CASE WHEN coalesce(json_valid(clean), FALSE) THEN from_json(clean, '{dschema}') END AS arr
+  FROM (SELECT *, regexp_extract(response, '(?s)\\[.*\\]', 0) AS clean FROM fx_dresp)),
+fx_definitions AS (SELECT category, i AS pos, arr[i + 1].featurename AS featurename,
+  arr[i + 1].short_description AS short_description, arr[i + 1].rating AS rating,
+  replace(replace(category, ' ', '') || '_' || arr[i + 1].featurename, ' ', '_') AS feature_id, group_pos
+  FROM (SELECT *, unnest(range(len(arr))) AS i FROM d_arr WHERE arr IS NOT NULL))"""
+
+
+def log2fc_sql(a: str, b: str) -> str:
+    return (f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {a} = 0 AND {b} = 0 THEN 'nan'::DOUBLE "
+            f"WHEN {b} = 0 THEN (CASE WHEN {a} > 0 THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END) "
+            f"WHEN {a} = 0 THEN '-inf'::DOUBLE ELSE log2({a} / {b}) END)")
+
+
+def matrix_ctes(frac: float = 0.5) -> str:
+    """ratings -> kept features (F5) -> median-imputed dense values (T2) ->
+    z-scores (T3) -> segment clusters -> one-vs-rest ANOVA (T5)."""
+    seg = D.h("doc_id", "'seg'", 4)
+    return rating_ctes() + f""",
+n_posts AS (SELECT count(DISTINCT id) AS n_posts FROM fx_flagged),
+f_rated AS (SELECT feature_id, count(rating) AS n_rated FROM fx_ratings GROUP BY feature_id),
+fx_kept AS (SELECT feature_id FROM f_rated, n_posts WHERE n_posts - n_rated < {frac} * n_posts),
+meds AS (SELECT feature_id, median(rating) AS med FROM fx_ratings WHERE feature_id IN (SELECT feature_id FROM fx_kept)
+  GROUP BY feature_id),
+grid AS (SELECT p.id, k.feature_id FROM (SELECT DISTINCT id FROM fx_flagged) p CROSS JOIN fx_kept k),
+fx_imputed AS (SELECT g.id, g.feature_id, coalesce(r.rating, m.med) AS value FROM grid g
+  LEFT JOIN fx_ratings r ON r.id = g.id AND r.feature_id = g.feature_id JOIN meds m ON m.feature_id = g.feature_id),
+z_stats AS (SELECT feature_id, avg(value) AS mu, stddev_samp(value) AS sd FROM fx_imputed GROUP BY feature_id),
+fx_z AS (SELECT i.id, i.feature_id, (i.value - s.mu) / s.sd AS value FROM fx_imputed i JOIN z_stats s
+  ON s.feature_id = i.feature_id WHERE s.sd > 0),
+fx_seg AS (SELECT id, CAST({seg} + 1 AS INTEGER) AS cluster FROM fx_flagged),
+a_vals AS (SELECT i.id, i.feature_id, i.value, s.cluster FROM fx_imputed i JOIN fx_seg s ON s.id = i.id),
+a_grp AS (SELECT feature_id, cluster, count(value) AS n, avg(value) AS mean FROM a_vals GROUP BY feature_id, cluster),
+a_tot AS (SELECT feature_id, count(value) AS nn, sum(value) AS s, var_pop(value) * count(value) AS t
+  FROM a_vals GROUP BY feature_id),
+a_ss AS (SELECT g.feature_id, g.cluster, g.n, g.mean, t.nn, t.t,
+  CASE WHEN t.nn - g.n > 0 THEN (t.s - g.n * g.mean) / (t.nn - g.n) END AS mean_out
+  FROM a_grp g JOIN a_tot t ON t.feature_id = g.feature_id),
+a_ssb AS (SELECT *, n * (nn - n) / nn * (mean - mean_out) * (mean - mean_out) AS ssb FROM a_ss),
+fx_anova AS (SELECT feature_id AS feature, cluster, mean AS mean_in_cluster, mean_out AS mean_out_cluster,
+  1 AS dfn, CAST(nn - 2 AS INTEGER) AS dfd,
+  round(CASE WHEN t - ssb > 0 AND nn > 2 THEN ssb / ((t - ssb) / (nn - 2)) END, 3) AS f,
+  round(CASE WHEN t > 0 THEN ssb / t END, 3) AS ges FROM a_ssb),
+fx_tests AS (SELECT *, {log2fc_sql('mean_in_cluster', 'mean_out_cluster')} AS log2fc FROM fx_anova)"""
+
+
+def spearman_ctes() -> str:
+    return matrix_ctes() + """,
+s_v AS (SELECT id, feature_id, rating FROM fx_ratings WHERE rating IS NOT NULL
+  AND feature_id IN (SELECT feature_id FROM fx_kept)),
+s_pairs AS (SELECT a.feature_id AS f1, b.feature_id AS f2, a.rating AS v1, b.rating AS v2
+  FROM s_v a JOIN s_v b ON a.id = b.id AND a.feature_id < b.feature_id),
+s_rank AS (SELECT f1, f2,
+  rank() OVER (PARTITION BY f1, f2 ORDER BY v1) + (count(*) OVER (PARTITION BY f1, f2, v1) - 1) / 2.0 AS r1,
+  rank() OVER (PARTITION BY f1, f2 ORDER BY v2) + (count(*) OVER (PARTITION BY f1, f2, v2) - 1) / 2.0 AS r2
+  FROM s_pairs),
+s_upper AS (SELECT f1, f2, CASE WHEN var_pop(r1) > 0 AND var_pop(r2) > 0 THEN corr(r1, r2) END AS rho,
+  count(*) AS n_complete FROM s_rank GROUP BY f1, f2),
+fx_spearman AS (SELECT * FROM s_upper
+  UNION ALL SELECT f2 AS f1, f1 AS f2, rho, n_complete FROM s_upper
+  UNION ALL SELECT feature_id AS f1, feature_id AS f2, CASE WHEN min(rating) < max(rating) THEN 1.0 END AS rho,
+    count(*) AS n_complete FROM s_v GROUP BY feature_id)"""
+
+
+def app_features_sql() -> str:
+    rows = ", ".join(f"({i}, {q(n)}, {c}, {q(d)}, {q(o)})" for i, (n, c, d, o) in enumerate(fx.APP_FEATURES))
+    return f"app_features AS (SELECT * FROM (VALUES {rows}) t(row_pos, feature_name, cluster, description, rating_options))"
+
+
+def scoring_ctes(src_sql: str) -> str:
+    """``src_sql`` yields (id, text). A6 prompt with A11 CSV text -> stub
+    model reply from md5(prompt) -> J8 (last key wins) -> K4 -> G7."""
+    from tessera.functions.templates import SCORING_TEMPLATE, render_sql
+    names = fx.app_feature_names()
+
+    def fld(c):
+        return (f"CASE WHEN regexp_matches({c}, '[,\"\\r\\n]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' "
+                f"ELSE {c} END")
+    items = [f"'\"{n}\": ' || CAST(('0x' || substr(h, {i + 1}, 1))::INTEGER % 4 AS VARCHAR)"
+             for i, n in enumerate(names)]
+    dup = (f"CASE WHEN substr(h, 11, 1) = '0' THEN ', \"{names[0]}\": ' || "
+           f"CAST(('0x' || substr(h, 12, 1))::INTEGER % 4 AS VARCHAR) ELSE '' END")
+    unk = "CASE WHEN substr(h, 13, 1) = '0' THEN ', \"unlisted_feature\": 2' ELSE '' END"
+    prompt = render_sql(SCORING_TEMPLATE, text="text", features="csv")
+    return f"""{app_features_sql()},
+app_csv AS (SELECT 'feature_name,description,rating_options' || chr(10) ||
+  string_agg({fld('feature_name')} || ',' || {fld('description')} || ',' || {fld('rating_options')} || chr(10), ''
+  ORDER BY row_pos) AS csv FROM app_features),
+sc_src AS ({src_sql}),
+sc_prompts AS (SELECT id, {prompt} AS prompt FROM sc_src, app_csv),
+sc_replies AS (SELECT id, md5(prompt) AS prompt_md5, md5(prompt) AS h FROM sc_prompts),
+sc_json AS (SELECT id, prompt_md5, '{{' || {" || ', ' || ".join(items)} || ({dup}) || ({unk}) || '}}' AS response
+  FROM sc_replies),
+sc_entries AS (SELECT s.id, e.key AS feature_name, e.value AS raw, e.id AS pos FROM sc_json s, json_each(s.response) e),
+fx_scores AS (SELECT id, feature_name, TRY_CAST(arg_max(raw, pos) AS DOUBLE) AS score FROM sc_entries
+  GROUP BY id, feature_name),
+fx_cluster_means AS (SELECT s.id, f.cluster, round_even(avg(s.score), 2) AS mean_score FROM fx_scores s
+  JOIN app_features f ON f.feature_name = s.feature_name GROUP BY s.id, f.cluster)"""

@@ -60,3 +60,255 @@ SELECT label, CAST(sum(CASE WHEN any_flag = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n
 FROM fx_questionnaire GROUP BY label"""))
 def q_g2(spark, sf):
     return G.contingency(J.questionnaire(spark, sf), "label", "any_flag", [0, 1])
+
+
+from tessera.functions import scalars as X  # noqa: E402
+from tessera.functions.hashing import hash_mod, md5_key  # noqa: E402
+from tessera.functions.parsing import bracket_slice, yes_to_bool, to_int  # noqa: E402
+from tessera.functions.templates import (DEFINITION_TEMPLATE, MERGE_TEMPLATE, PAIR_TEMPLATE,  # noqa: E402
+                                         QUESTIONNAIRE_TEMPLATE, RATING_TEMPLATE, render, render_sql)
+from tessera.operators import annotate as A  # noqa: E402
+from tessera.operators import stats as T  # noqa: E402
+from tessera.plans import fixtures as fx  # noqa: E402
+from tessera.plans.fixtures import DUCKDB, q  # noqa: E402
+
+QC, FC, C2, MC, SC = (O.questionnaire_ctes(), O.flagged_ctes(), O.c2_ctes(), O.matrix_ctes(), O.spearman_ctes())
+PC = O.pairs_ctes()
+RC = O.rating_ctes()
+QUESTIONS = "1. first question\n2. second question\n3. third question\n4. fourth question\n5. fifth question"
+
+
+# --------------------------------------------------------------------------- T1 / T9
+def _chisq_sql(src: str, r: str, c: str) -> str:
+    return f"""
+cells AS (SELECT {r} AS r, {c} AS c, count(*) AS o FROM {src} GROUP BY 1, 2),
+rv AS (SELECT DISTINCT r FROM cells), cv AS (SELECT DISTINCT c FROM cells),
+grid AS (SELECT rv.r, cv.c, coalesce(cells.o, 0) AS o FROM rv CROSS JOIN cv
+  LEFT JOIN cells ON cells.r = rv.r AND cells.c = cv.c),
+rt AS (SELECT r, sum(o) AS nr FROM grid GROUP BY r), ct AS (SELECT c, sum(o) AS nc FROM grid GROUP BY c),
+tt AS (SELECT sum(o) AS n, (SELECT count(*) FROM rt) AS nrow, (SELECT count(*) FROM ct) AS ncol FROM grid),
+ex AS (SELECT g.o, CAST(rt.nr AS DOUBLE) * ct.nc / tt.n AS e, tt.* FROM grid g JOIN rt USING (r) JOIN ct USING (c), tt)
+SELECT sum(power(abs(o - e) - CASE WHEN nrow = 2 AND ncol = 2 THEN least(0.5, abs(o - e)) ELSE 0 END, 2) / e)
+  AS statistic, CAST((min(nrow) - 1) * (min(ncol) - 1) AS BIGINT) AS df, (min(nrow) = 2 AND min(ncol) = 2) AS yates,
+  CAST(min(n) AS BIGINT) AS n FROM ex"""
+
+
+@register("t1_chisq_label_flag", "WITH " + QC + "," + _chisq_sql("fx_questionnaire", "label", "any_flag"))
+def q_t1a(spark, sf):
+    return T.chisq_independence(J.questionnaire(spark, sf), "label", "any_flag")
+
+
+@register("t1_chisq_quality_toxic", "WITH " + _chisq_sql("labels", "quality", "toxic").lstrip())
+def q_t1b(spark, sf):
+    from tessera.sources.tables import table
+    return T.chisq_independence(table(spark, sf, "labels"), "quality", "toxic")
+
+
+@register("t9_chisq_pvalue")
+def q_t9a(spark, sf):
+    return T.with_chisq_p(T.chisq_independence(J.questionnaire(spark, sf), "label", "any_flag"))
+
+
+# --------------------------------------------------------------------------- P
+@register("p1_post_ids", with_ctes(QC, "SELECT doc_id, id, label FROM fx_posts"))
+def q_p1(spark, sf):
+    from tessera.sources.tables import table
+    d = table(spark, sf, "documents").withColumn("label", F.concat(F.lit("l_"), F.col("lang")))
+    return P.with_post_id(d, "doc_id").select("doc_id", "id", "label")
+
+
+@register("p2_sample_posts", with_ctes(QC, f"""
+SELECT id, label FROM fx_posts ORDER BY md5(concat(id, '|', '7')), id LIMIT 300"""))
+def q_p2(spark, sf):
+    return P.sample_n(J.posts(spark, sf), 300, "id", "7").select("id", "label")
+
+
+@register("p3_pairs", with_ctes(PC, "SELECT pair_id, id1, id2 FROM fx_pairs"))
+def q_p3(spark, sf):
+    return J.pairs(spark, sf)
+
+
+@register("p4_pair_texts", with_ctes(PC, "SELECT pair_id, id1, id2, text1, text2 FROM fx_pair_texts"))
+def q_p4(spark, sf):
+    return J.pair_texts(spark, sf)
+
+
+@register("p5_typed_columns", with_ctes(QC, """
+SELECT id, label, CAST(NULL AS VARCHAR) AS output, CAST(NULL AS DOUBLE) AS score FROM fx_posts"""))
+def q_p5(spark, sf):
+    df = P.add_typed_columns(J.posts(spark, sf), {"output": "string", "score": "double"})
+    return P.drop_columns(df, ["doc_id", "text", "n_chars"])
+
+
+@register("p6_one_post_per_label", with_ctes(QC, """
+SELECT label, arg_min(id, md5(concat(id, '|', '3'))) AS id, arg_min(doc_id, md5(concat(id, '|', '3'))) AS doc_id
+FROM fx_posts GROUP BY label"""))
+def q_p6(spark, sf):
+    return P.one_per_group(J.posts(spark, sf).select("label", "id", "doc_id"), "label", "id", "3")
+
+
+@register("p7_answer_columns", with_ctes(QC, "SELECT id, answer1, answer2, answer3, answer4, answer5 FROM fx_questionnaire"))
+def q_p7(spark, sf):
+    return P.select_prefix(J.questionnaire(spark, sf), "answer", keep=["id"])
+
+
+# --------------------------------------------------------------------------- F
+@register("f1_flagged_posts", with_ctes(FC, "SELECT id, label FROM fx_flagged"))
+def q_f1(spark, sf):
+    return J.flagged_posts(spark, sf).select("id", "label")
+
+
+@register("f2_yes_no_answers", with_ctes(QC, """
+SELECT id, question, value FROM (UNPIVOT (SELECT id, answer1, answer2, answer3, answer4, answer5 FROM fx_questionnaire)
+  ON answer1, answer2, answer3, answer4, answer5 INTO NAME question VALUE value) WHERE value IN ('Yes', 'No')"""))
+def q_f2(spark, sf):
+    long = G.unpivot(J.questionnaire(spark, sf).select("id", *J.ANSWERS), ["id"], J.ANSWERS, "question", "value")
+    return P.yes_no_only(long, "value")
+
+
+@register("f3_frequency_range", with_ctes(QC, "SELECT id, freq_num FROM fx_questionnaire WHERE freq_num BETWEEN 0 AND 5"))
+def q_f3(spark, sf):
+    return P.in_range(J.questionnaire(spark, sf), "freq_num", 0, 5).select("id", "freq_num")
+
+
+@register("f4_category_rows", with_ctes(PC, "SELECT pair_id, pos, post1, post2 FROM fx_comparisons WHERE category = 'tone'"))
+def q_f4(spark, sf):
+    return P.equals(J.comparisons(spark, sf), "category", "tone").select("pair_id", "pos", "post1", "post2")
+
+
+@register("f5_kept_features", with_ctes(MC, "SELECT feature_id FROM fx_kept"))
+def q_f5(spark, sf):
+    return T.kept_features(J.ratings(spark, sf), J.flagged_posts(spark, sf), 0.5, value="rating")
+
+
+@register("f7_positive_fold_change", with_ctes(MC, "SELECT feature, cluster, log2fc FROM fx_tests WHERE log2fc > 0"))
+def q_f7(spark, sf):
+    t = J.anova_segments(spark, sf).withColumn("log2fc", X.log2_ratio("mean_in_cluster", "mean_out_cluster"))
+    return P.positive(t, "log2fc").select("feature", "cluster", "log2fc")
+
+
+@register("f8_cluster_slice", with_ctes(MC, "SELECT feature, f, ges FROM fx_anova WHERE cluster = 3"))
+def q_f8(spark, sf):
+    return P.equals(J.anova_segments(spark, sf), "cluster", 3).select("feature", "f", "ges")
+
+
+# --------------------------------------------------------------------------- A
+@register("a1_questionnaire_prompts", with_ctes(QC, f"""
+SELECT id, md5(p) AS prompt_md5, length(p) AS prompt_len FROM (SELECT id,
+  {render_sql(QUESTIONNAIRE_TEMPLATE, text='text', questions=q(QUESTIONS))} AS p FROM fx_posts)"""))
+def q_a1(spark, sf):
+    p = render(QUESTIONNAIRE_TEMPLATE, text="text", questions=F.lit(QUESTIONS))
+    return J.posts(spark, sf).select("id", F.md5(p).alias("prompt_md5"), F.length(p).alias("prompt_len"))
+
+
+@register("a2_pair_prompts", with_ctes(PC, f"""
+SELECT pair_id, md5(p) AS prompt_md5, length(p) AS prompt_len
+FROM (SELECT pair_id, {render_sql(PAIR_TEMPLATE, post1='text1', post2='text2')} AS p FROM fx_pair_texts)"""))
+def q_a2(spark, sf):
+    p = render(PAIR_TEMPLATE, post1="text1", post2="text2")
+    return J.pair_texts(spark, sf).select("pair_id", F.md5(p).alias("prompt_md5"), F.length(p).alias("prompt_len"))
+
+
+_EX_SQL = """ex_rows AS (SELECT g.name AS category, c.pair_id, c.pos,
+  coalesce(c.post1, '') || chr(10) || '------' || chr(10) || coalesce(c.post2, '') || chr(10) || '------' || chr(10) AS t
+  FROM fx_groups g JOIN fx_comparisons c ON c.category = g.name),
+fx_examples AS (SELECT category, string_agg(t, '' ORDER BY pair_id, pos) AS examples FROM ex_rows GROUP BY category)"""
+
+
+@register("a8_examples_text", "WITH " + C2 + ",\n" + _EX_SQL + "\nSELECT category, examples FROM fx_examples")
+def q_a8(spark, sf):
+    groups = J.category_groups(spark, sf).select(F.col("name").alias("category"))
+    return A.examples_text(J.comparisons(spark, sf), groups)
+
+
+@register("a3_definition_prompts", "WITH " + C2 + ",\n" + _EX_SQL + f"""
+SELECT category, md5(p) AS prompt_md5, length(p) AS prompt_len FROM (SELECT category,
+  {render_sql(DEFINITION_TEMPLATE, category='category', examples='examples')} AS p FROM fx_examples)""")
+def q_a3(spark, sf):
+    groups = J.category_groups(spark, sf).select(F.col("name").alias("category"))
+    ex = A.examples_text(J.comparisons(spark, sf), groups)
+    p = render(DEFINITION_TEMPLATE, category="category", examples="examples")
+    return ex.select("category", F.md5(p).alias("prompt_md5"), F.length(p).alias("prompt_len"))
+
+
+_A10_SQL = """fx_terms AS (SELECT '[' || string_agg('''' || category || '''', ', ' ORDER BY n DESC, category) || ']' AS terms,
+  count(*) AS n_terms FROM m_counts)"""
+
+
+@register("a10_category_list_text", "WITH " + C2 + ",\n" + _A10_SQL + "\nSELECT terms, n_terms FROM fx_terms")
+def q_a10(spark, sf):
+    return A.ranked_list_text(J.comparisons(spark, sf), "category")
+
+
+@register("a4_merge_prompt", "WITH " + C2 + ",\n" + _A10_SQL + f"""
+SELECT md5(p) AS prompt_md5, length(p) AS prompt_len FROM (SELECT
+  {render_sql(MERGE_TEMPLATE, n="'10'", terms='terms')} AS p FROM fx_terms)""")
+def q_a4(spark, sf):
+    t = A.ranked_list_text(J.comparisons(spark, sf), "category")
+    p = render(MERGE_TEMPLATE, n=F.lit("10"), terms="terms")
+    return t.select(F.md5(p).alias("prompt_md5"), F.length(p).alias("prompt_len"))
+
+
+_A7_SQL = """a7_rows AS (SELECT category, pos, 'featureid: ''' || feature_id || '''' || chr(10) || short_description
+  || chr(10) || rating || chr(10) || '------' || chr(10) AS t FROM fx_definitions),
+fx_ftext AS (SELECT category, string_agg(t, '' ORDER BY pos) AS features_text FROM a7_rows GROUP BY category)"""
+
+
+@register("a7_features_text", "WITH " + C2 + ",\n" + _A7_SQL + "\nSELECT category, features_text FROM fx_ftext")
+def q_a7(spark, sf):
+    return A.features_text(J.definitions(spark, sf))
+
+
+@register("a9_work_list", with_ctes(FC, "SELECT id, cat_pos, category FROM fx_flagged, (VALUES " + ", ".join(
+    f"({i}, {q(c)})" for i, c in enumerate(fx.categories())) + ") t(cat_pos, category)"))
+def q_a9(spark, sf):
+    return A.work_list(J.flagged_posts(spark, sf).select("id"), fx.categories())
+
+
+@register("a5_rating_prompts", "WITH " + C2 + ",\n" + _A7_SQL + f""",
+wl AS (SELECT f.id, f.text, d.category FROM fx_flagged f, (SELECT DISTINCT category FROM fx_definitions) d)
+SELECT w.id, w.category, md5(p) AS prompt_md5, length(p) AS prompt_len FROM (SELECT w.id, w.category,
+  {render_sql(RATING_TEMPLATE, text='w.text', features='t.features_text')} AS p
+  FROM wl w JOIN fx_ftext t ON t.category = w.category) w""")
+def q_a5(spark, sf):
+    ftext = A.features_text(J.definitions(spark, sf))
+    cats = sorted(r[0] for r in ftext.select("category").collect())       # bounded: target categories
+    wl = A.work_list(J.flagged_posts(spark, sf).select("id", "text"), cats)
+    p = render(RATING_TEMPLATE, text="text", features="features_text")
+    return (wl.join(F.broadcast(ftext), "category")
+            .select("id", "category", F.md5(p).alias("prompt_md5"), F.length(p).alias("prompt_len")))
+
+
+@register("a6_scoring_prompts", "WITH " + QC + ",\n" + O.scoring_ctes("SELECT id, text FROM fx_posts") + """
+SELECT id, md5(prompt) AS prompt_md5, length(prompt) AS prompt_len FROM sc_prompts""")
+def q_a6(spark, sf):
+    p = J.scoring_prompts(spark, J.posts(spark, sf))
+    return p.select("id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_len"))
+
+
+_STUB_SQL = ", ".join(
+    f"""'"answer{k}": "' || CASE WHEN substr(h, {k}, 1) < '4' THEN 'Yes' ELSE 'No' END || '"'""" for k in range(1, 6))
+
+
+@register("a12_annotate_stub", "WITH " + QC + ",\n" + f"""
+a_p AS (SELECT id, {render_sql(QUESTIONNAIRE_TEMPLATE, text='text', questions=q(QUESTIONS))} AS p FROM fx_posts),
+a_r AS (SELECT id, md5(p) AS prompt_md5, md5(p) AS h FROM a_p)
+SELECT id, prompt_md5, '{{"brief_reasoning": "stub ' || substr(h, 1, 8) || '", ' || {" || ', ' || ".join(
+    f'''('"answer{k}": "' || CASE WHEN substr(h, {k}, 1) < '4' THEN 'Yes' ELSE 'No' END || '"')''' for k in range(1, 6))}
+  || ', "frequency": ' || CAST(('0x' || substr(h, 6, 1))::INTEGER % 5 AS VARCHAR) || '}}' AS response,
+  CAST(NULL AS VARCHAR) AS error FROM a_r""")
+def q_a12(spark, sf):
+    p = J.posts(spark, sf).select("id", render(QUESTIONNAIRE_TEMPLATE, text="text",
+                                               questions=F.lit(QUESTIONS)).alias("prompt"))
+    return A.annotate(p, A.stub_client, key="id", prefix="Here is my answer in the requested format:")
+
+
+@register("a13_pending_prompts", "WITH " + QC + ",\n" + f"""
+a_p AS (SELECT id, doc_id, {render_sql(QUESTIONNAIRE_TEMPLATE, text='text', questions=q(QUESTIONS))} AS p FROM fx_posts),
+rec AS (SELECT md5(p) AS prompt_md5 FROM a_p WHERE {DUCKDB.h('doc_id', "'rec'", 3)} <> 0)
+SELECT id, md5(p) AS prompt_md5 FROM a_p WHERE md5(p) NOT IN (SELECT prompt_md5 FROM rec)""")
+def q_a13(spark, sf):
+    p = J.posts(spark, sf).select("id", "doc_id", render(QUESTIONNAIRE_TEMPLATE, text="text",
+                                                         questions=F.lit(QUESTIONS)).alias("prompt"))
+    recorded = p.where(hash_mod("doc_id", "rec", 3) != 0).select(F.md5("prompt").alias("prompt_md5"))
+    return A.pending(p, recorded).select("id", "prompt_md5")
