@@ -97,5 +97,7 @@ def parse_scores(responses: DataFrame, key: str = "id", text: str = "response")
     """``{"feature": score}`` replies -> (id, feature_name, score double);
     a repeated key keeps its last value; an unparsable reply drops."""
     staged = responses.select(key, text)
-    return (staged.select(key, F.explode(parse_score_map(F.col(text))).alias("feature_name", "score_raw"))
-            .select(key, "feature_name", to_double("score_raw").alias("score")))
+    entries = staged.select(key, F.posexplode(parse_score_map(F.col(text))).alias("pos", "feature_name", "score_raw"))
+    # from_json keeps repeated keys in the map; the last occurrence wins (max_by over position)
+    last = entries.groupBy(key, "feature_name").agg(F.max_by("score_raw", "pos").alias("score_raw"))
+    return last.select(key, "feature_name", to_double("score_raw").alias("score"))

@@ -312,3 +312,251 @@ def q_a13(spark, sf):
                                                          questions=F.lit(QUESTIONS)).alias("prompt"))
     recorded = p.where(hash_mod("doc_id", "rec", 3) != 0).select(F.md5("prompt").alias("prompt_md5"))
     return A.pending(p, recorded).select("id", "prompt_md5")
+
+
+# --------------------------------------------------------------------------- J
+@register("j2_bracket_slice", with_ctes(RC, "SELECT id, cat_pos, clean FROM r_clean"))
+def q_j2(spark, sf):
+    return J.rating_responses(spark, sf).select("id", "cat_pos", bracket_slice("response").alias("clean"))
+
+
+@register("j3_j4_comparisons", with_ctes(PC, "SELECT pair_id, pos, category, post1, post2 FROM fx_comparisons"))
+def q_j34(spark, sf):
+    return J.comparisons(spark, sf)
+
+
+@register("j5_category_groups", with_ctes(C2, "SELECT group_pos, name, array_to_string(terms, '|') AS terms FROM fx_groups"))
+def q_j5(spark, sf):
+    return J.category_groups(spark, sf).select("group_pos", "name", F.array_join("terms", "|").alias("terms"))
+
+
+@register("j6_x1_definitions", with_ctes(C2, """
+SELECT category, pos, featurename, short_description, rating, feature_id FROM fx_definitions"""))
+def q_j6(spark, sf):
+    return J.definitions(spark, sf)
+
+
+@register("j7_j10_ratings", with_ctes(RC, "SELECT id, feature_id, rating_raw, rating FROM fx_ratings"))
+def q_j7(spark, sf):
+    return J.ratings(spark, sf)
+
+
+@register("j8_scores", "WITH " + QC + ",\n" + O.scoring_ctes("SELECT id, text FROM fx_posts") + """
+SELECT id, feature_name, score FROM fx_scores""")
+def q_j8(spark, sf):
+    from tessera.operators.annotate import annotate, stub_scoring_client
+    prompts = J.scoring_prompts(spark, J.posts(spark, sf))
+    return R.parse_scores(annotate(prompts, stub_scoring_client(fx.app_feature_names())))
+
+
+@register("j9_answer_booleans", with_ctes(QC, """
+SELECT id, coalesce(answer1 = 'Yes', FALSE) AS answer1, coalesce(answer2 = 'Yes', FALSE) AS answer2,
+  coalesce(answer3 = 'Yes', FALSE) AS answer3, coalesce(answer4 = 'Yes', FALSE) AS answer4,
+  coalesce(answer5 = 'Yes', FALSE) AS answer5, TRY_CAST(frequency AS INTEGER) AS freq FROM fx_questionnaire"""))
+def q_j9(spark, sf):
+    qn = J.questionnaire(spark, sf)
+    return qn.select("id", *[yes_to_bool(a).alias(a) for a in J.ANSWERS], to_int("frequency").alias("freq"))
+
+
+# --------------------------------------------------------------------------- S5 / X
+@register("s5_canonical_ids", with_ctes(RC, """
+SELECT DISTINCT feature_id, regexp_replace(feature_id, '[^0-9A-Za-z_.]', '.', 'g') AS canonical_id FROM fx_ratings"""))
+def q_s5(spark, sf):
+    return J.ratings(spark, sf).select("feature_id", X.canonical_id("feature_id").alias("canonical_id")).distinct()
+
+
+@register("x2_x3_x4_feature_text", with_ctes(RC, """
+SELECT DISTINCT feature_id, split_part(feature_id, '_', 1) AS feature_group,
+  CASE WHEN instr(feature_id, '_') > 0 THEN substr(feature_id, instr(feature_id, '_') + 1) ELSE feature_id END AS feature_label,
+  replace(feature_id, '_', ' ') AS display_name FROM fx_ratings"""))
+def q_x234(spark, sf):
+    return J.ratings(spark, sf).select(
+        "feature_id", X.before_first("feature_id").alias("feature_group"),
+        X.after_first("feature_id").alias("feature_label"),
+        X.underscores_to_spaces("feature_id").alias("display_name")).distinct()
+
+
+@register("x3_post_label_from_id", with_ctes(QC, """
+SELECT id, substr(id, instr(id, '_') + 1) AS group_label FROM fx_posts"""))
+def q_x3(spark, sf):
+    return J.posts(spark, sf).select("id", X.after_first("id").alias("group_label"))
+
+
+@register("x5_x7_x8_x9_answer_codes", with_ctes(QC, """
+SELECT id, a1, a2, a3, a4, a5, a1 + a2 + a3 + a4 + a5 AS sum_score,
+  CASE WHEN freq_num > 0 THEN 1 ELSE 0 END AS freq_positive,
+  'Cluster ' || CAST(CAST(('0x' || substr(md5(concat(CAST(doc_id AS VARCHAR), '|', 'seg')), 1, 6)) AS BIGINT) % 4 + 1
+    AS VARCHAR) AS cluster_name
+FROM (SELECT *, CASE answer1 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS a1, CASE answer2 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS a2,
+  CASE answer3 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS a3, CASE answer4 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS a4,
+  CASE answer5 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS a5 FROM fx_questionnaire)"""))
+def q_x5789(spark, sf):
+    qn = J.questionnaire(spark, sf)
+    codes = [X.yes_no_code(a).alias(f"a{i}") for i, a in enumerate(J.ANSWERS, start=1)]
+    c = qn.select("id", "doc_id", "freq_num", *codes)
+    return c.select("id", "a1", "a2", "a3", "a4", "a5", X.row_sum([f"a{i}" for i in range(1, 6)]).alias("sum_score"),
+                    X.positive_flag("freq_num").alias("freq_positive"),
+                    X.cluster_label(hash_mod("doc_id", "seg", 4) + 1).alias("cluster_name"))
+
+
+@register("x10_x11_log2fc", with_ctes(MC, """
+SELECT feature, cluster, log2fc, CASE WHEN log2fc = '-inf'::DOUBLE THEN 0.0 ELSE log2fc END AS log2fc_plot FROM fx_tests"""))
+def q_x1011(spark, sf):
+    t = J.anova_segments(spark, sf).withColumn("log2fc", X.log2_ratio("mean_in_cluster", "mean_out_cluster"))
+    return t.select("feature", "cluster", "log2fc", X.clamp_neg_inf("log2fc").alias("log2fc_plot"))
+
+
+# --------------------------------------------------------------------------- G
+@register("g3_category_counts", with_ctes(PC, "SELECT category, count(*) AS n FROM fx_comparisons GROUP BY category"))
+def q_g3(spark, sf):
+    return G.value_counts(J.comparisons(spark, sf), "category")
+
+
+@register("g3_definitions_per_category", with_ctes(C2, "SELECT category, count(*) AS n FROM fx_definitions GROUP BY category"))
+def q_g3b(spark, sf):
+    return G.value_counts(J.definitions(spark, sf), "category")
+
+
+@register("g4_median_definitions", with_ctes(C2, """
+SELECT CAST(median(n) AS DOUBLE) AS median_n FROM (SELECT category, count(*) AS n FROM fx_definitions GROUP BY category)"""))
+def q_g4(spark, sf):
+    return G.median_group_size(J.definitions(spark, sf), "category")
+
+
+@register("g5_answer_counts", with_ctes(QC, """
+SELECT question, value, label, count(*) AS n FROM (UNPIVOT (SELECT label, answer1, answer2, answer3, answer4, answer5
+  FROM fx_questionnaire) ON answer1, answer2, answer3, answer4, answer5 INTO NAME question VALUE value)
+WHERE value IN ('Yes', 'No') GROUP BY question, value, label"""))
+def q_g5(spark, sf):
+    return G.answer_counts(J.questionnaire(spark, sf), J.ANSWERS, "label")
+
+
+@register("g6_frequency_counts", with_ctes(QC, """
+SELECT label, freq_num AS freq, count(*) AS n FROM fx_questionnaire WHERE freq_num BETWEEN 0 AND 5 GROUP BY label, freq_num"""))
+def q_g6(spark, sf):
+    return G.frequency_counts(J.questionnaire(spark, sf))
+
+
+@register("g7_x12_cluster_means", "WITH " + QC + ",\n" + O.scoring_ctes("SELECT id, text FROM fx_posts") + """
+SELECT id, cluster, mean_score FROM fx_cluster_means""")
+def q_g7(spark, sf):
+    return J.score_posts(spark, J.posts(spark, sf))
+
+
+@register("g8_feature_score_map", "WITH " + QC + ",\n" + O.scoring_ctes("SELECT id, text FROM fx_posts") + """
+SELECT id, feature_name, score FROM fx_scores""")
+def q_g8(spark, sf):
+    from tessera.operators.annotate import annotate, stub_scoring_client
+    prompts = J.scoring_prompts(spark, J.posts(spark, sf))
+    replies = annotate(prompts, stub_scoring_client(fx.app_feature_names()))
+    entries = replies.select("id", F.posexplode(F.from_json("response", "map<string,string>")).alias("pos", "k", "v"))
+    maps = G.collapse_to_map(entries.withColumn("score", F.col("v").try_cast("double")), "id", "k", "score",
+                             order="pos")
+    return maps.select("id", F.explode("m").alias("feature_name", "score"))
+
+
+_SEGS = "fx_seg"
+
+
+@register("g9_cluster_label_composition", with_ctes(MC, """
+SELECT cluster, label, n, n * 1.0 / sum(n) OVER (PARTITION BY cluster) AS prop FROM
+ (SELECT s.cluster, f.label, count(*) AS n FROM fx_seg s JOIN fx_flagged f ON f.id = s.id GROUP BY s.cluster, f.label)"""))
+def q_g9(spark, sf):
+    df = J.segments(spark, sf).join(J.flagged_posts(spark, sf).select("id", "label"), "id")
+    return G.composition(df, "cluster", "label")
+
+
+@register("g10_answer_proportions", with_ctes(MC + """,
+g10_src AS (SELECT s.cluster, CASE q.answer1 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS answer1,
+  CASE q.answer2 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS answer2, CASE q.answer3 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS answer3,
+  CASE q.answer4 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS answer4, CASE q.answer5 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS answer5
+  FROM fx_seg s JOIN fx_questionnaire q ON q.id = s.id),
+g10_long AS (UNPIVOT INCLUDE NULLS g10_src ON answer1, answer2, answer3, answer4, answer5 INTO NAME question VALUE value)""", """
+SELECT question, cluster, value, n, n * 1.0 / sum(n) OVER (PARTITION BY question, cluster) AS prop FROM (
+ SELECT question, cluster, coalesce(CAST(value AS VARCHAR), 'NA') AS value, count(*) AS n FROM g10_long
+ GROUP BY question, cluster, coalesce(CAST(value AS VARCHAR), 'NA'))"""))
+def q_g10(spark, sf):
+    qn = G.yes_no_recode(J.questionnaire(spark, sf).select("id", *J.ANSWERS), J.ANSWERS)
+    df = J.segments(spark, sf).join(qn, "id")
+    return G.answer_proportions(df, J.ANSWERS, "cluster")
+
+
+_SUM_SQL = """sums AS (SELECT s.cluster, a1 + a2 + a3 + a4 + a5 AS sum_score FROM fx_seg s JOIN (SELECT id,
+  CASE answer1 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS a1, CASE answer2 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS a2,
+  CASE answer3 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS a3, CASE answer4 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS a4,
+  CASE answer5 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS a5 FROM fx_questionnaire) q ON q.id = s.id)"""
+
+
+def _sum_scores(spark, sf):
+    qn = G.yes_no_recode(J.questionnaire(spark, sf).select("id", *J.ANSWERS), J.ANSWERS)
+    return G.sum_score(J.segments(spark, sf).join(qn, "id"), J.ANSWERS)
+
+
+@register("g11_sum_score_distribution", "WITH " + MC + ",\n" + _SUM_SQL + """
+SELECT cluster, count(*) AS n, avg(sum_score) AS mean, stddev_samp(sum_score) / sqrt(count(*)) AS se,
+  CAST(median(sum_score) AS DOUBLE) AS median FROM sums WHERE sum_score IS NOT NULL GROUP BY cluster""")
+def q_g11(spark, sf):
+    return G.score_distribution(_sum_scores(spark, sf), "cluster", "sum_score")
+
+
+@register("g11_sum_score_histogram", "WITH " + MC + ",\n" + _SUM_SQL + """
+SELECT cluster, sum_score AS score, count(*) AS n, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY cluster) AS density
+FROM sums WHERE sum_score IS NOT NULL GROUP BY cluster, sum_score""")
+def q_g11b(spark, sf):
+    return G.score_histogram(_sum_scores(spark, sf), "cluster", "sum_score")
+
+
+@register("g12_missing_counts", with_ctes(MC, """
+SELECT feature_id, n_posts, n_rated, n_posts - n_rated AS n_missing FROM f_rated, n_posts"""))
+def q_g12(spark, sf):
+    return G.missing_counts(J.ratings(spark, sf), J.flagged_posts(spark, sf), value="rating")
+
+
+@register("g13_t5_group_means", with_ctes(MC, "SELECT feature, cluster, mean_in_cluster, mean_out_cluster FROM fx_anova"))
+def q_g13(spark, sf):
+    return J.anova_segments(spark, sf).select("feature", "cluster", "mean_in_cluster", "mean_out_cluster")
+
+
+@register("g14_distinct_clusters", with_ctes(MC, "SELECT DISTINCT cluster FROM fx_anova"))
+def q_g14(spark, sf):
+    return G.distinct_values(J.anova_segments(spark, sf), "cluster")
+
+
+# --------------------------------------------------------------------------- W
+@register("w1_top_categories", with_ctes(PC, """
+SELECT category, n, rank FROM (SELECT category, n, rank() OVER (ORDER BY n DESC) AS rank
+  FROM (SELECT category, count(*) AS n FROM fx_comparisons GROUP BY category)) WHERE rank <= 5"""))
+def q_w1(spark, sf):
+    return G.top_k_with_ties(G.value_counts(J.comparisons(spark, sf), "category"), 5, "n")
+
+
+@register("w2_top_markers_by_f", with_ctes(MC, """
+SELECT feature, cluster, f, rank FROM (SELECT feature, cluster, f,
+  rank() OVER (PARTITION BY cluster ORDER BY f DESC NULLS LAST) AS rank FROM fx_anova) WHERE rank <= 15"""))
+def q_w2(spark, sf):
+    return T.top_by_f(J.anova_segments(spark, sf), 15).select("feature", "cluster", "f", "rank")
+
+
+@register("w3_order_by_fold_change", with_ctes(MC, """
+SELECT feature, cluster, log2fc, row_number() OVER (PARTITION BY cluster ORDER BY log2fc, feature) AS "order"
+FROM fx_tests"""))
+def q_w3(spark, sf):
+    t = J.anova_segments(spark, sf).withColumn("log2fc", X.log2_ratio("mean_in_cluster", "mean_out_cluster"))
+    return G.order_within(t.select("feature", "cluster", "log2fc"), "cluster", "log2fc")
+
+
+@register("w4_question_order", with_ctes(QC, """
+SELECT question, value, n, CAST(list_position(['answer5', 'answer4', 'answer3', 'answer2', 'answer1'], question) AS INTEGER)
+  AS level_pos FROM (SELECT question, value, count(*) AS n FROM (UNPIVOT (SELECT answer1, answer2, answer3, answer4, answer5
+  FROM fx_questionnaire) ON answer1, answer2, answer3, answer4, answer5 INTO NAME question VALUE value)
+  WHERE value IN ('Yes', 'No') GROUP BY question, value)"""))
+def q_w4(spark, sf):
+    counts = G.answer_counts(J.questionnaire(spark, sf).withColumn("all", F.lit(1)), J.ANSWERS, "all").drop("all")
+    return G.with_explicit_order(counts, "question", list(reversed(J.ANSWERS)))
+
+
+@register("w5_category_first", with_ctes(C2, """
+SELECT category, featurename, short_description, rating FROM fx_definitions"""))
+def q_w5(spark, sf):
+    d = J.definitions(spark, sf).select("featurename", "short_description", "rating", "category")
+    return G.reorder_first(d, "category")
