@@ -471,7 +471,8 @@ g10_src AS (SELECT s.cluster, CASE q.answer1 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0
   CASE q.answer2 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS answer2, CASE q.answer3 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS answer3,
   CASE q.answer4 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS answer4, CASE q.answer5 WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS answer5
   FROM fx_seg s JOIN fx_questionnaire q ON q.id = s.id),
-g10_long AS (UNPIVOT INCLUDE NULLS g10_src ON answer1, answer2, answer3, answer4, answer5 INTO NAME question VALUE value)""", """
+g10_long AS (SELECT * FROM g10_src UNPIVOT INCLUDE NULLS (value FOR question IN (answer1, answer2, answer3, answer4,
+  answer5)))""", """
 SELECT question, cluster, value, n, n * 1.0 / sum(n) OVER (PARTITION BY question, cluster) AS prop FROM (
  SELECT question, cluster, coalesce(CAST(value AS VARCHAR), 'NA') AS value, count(*) AS n FROM g10_long
  GROUP BY question, cluster, coalesce(CAST(value AS VARCHAR), 'NA'))"""))
