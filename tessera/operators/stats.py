@@ -111,7 +111,7 @@ def zscore(wide: DataFrame, key: str = "id") -> tuple[DataFrame, list[str]]:
 
 
 # T5 / T6 / G13 ----------------------------------------------------------------
-def one_vs_rest_anova(values: DataFrame, clusters: DataFrame, key: str = "id", feature: str = "feature_id",
+def one_vs_rest_anova(values: DataFrame, clusters: DataFrame | None = None, key: str = "id", feature: str = "feature_id",
                       value: str = "value", cluster: str = "cluster") -> DataFrame:
     """Every one-vs-rest one-way ANOVA (feature x cluster) from ONE aggregate.
 
@@ -123,7 +123,7 @@ def one_vs_rest_anova(values: DataFrame, clusters: DataFrame, key: str = "id", f
     (features x clusters) table. F and ges are rounded to 3 decimals as the
     reference's test table is.
     """
-    v = values.join(clusters.select(key, cluster), key) if cluster not in values.columns else values
+    v = values if clusters is None else values.join(clusters.select(key, cluster), key)
     g = (v.groupBy(feature, cluster)
          .agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("vp")))
     w = Window.partitionBy(feature)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import posts as P
@@ -561,3 +561,339 @@ SELECT category, featurename, short_description, rating FROM fx_definitions"""))
 def q_w5(spark, sf):
     d = J.definitions(spark, sf).select("featurename", "short_description", "rating", "category")
     return G.reorder_first(d, "category")
+
+
+# --------------------------------------------------------------------------- H
+_FIDS = fx.feature_ids() + [fx.UNKNOWN_FEATURE]
+
+
+@register("h1_t2_imputed_long", with_ctes(MC, "SELECT id, feature_id, value FROM fx_imputed"))
+def q_h1(spark, sf):
+    return J.imputed_long(spark, sf)
+
+
+@register("h2_mean_by_cluster_wide", with_ctes(MC, "SELECT feature, " + ", ".join(
+    f"max(CASE WHEN cluster = {k} THEN mean_in_cluster END) AS mean_{k}" for k in range(1, 5))
+    + " FROM fx_anova GROUP BY feature"))
+def q_h2(spark, sf):
+    w = G.pivot_known(J.anova_segments(spark, sf), "feature", "cluster", [1, 2, 3, 4], "mean_in_cluster")
+    return w.select("feature", *[F.col(f"`{k}`").alias(f"mean_{k}") for k in range(1, 5)])
+
+
+@register("h3_ratings_wide", with_ctes(RC, "SELECT id, " + ", ".join(
+    f"max(CASE WHEN feature_id = {q(f)} THEN rating END) AS \"{f}\"" for f in _FIDS) + " FROM fx_ratings GROUP BY id"))
+def q_h3(spark, sf):
+    return G.pivot_known(J.ratings(spark, sf), "id", "feature_id", _FIDS, "rating")
+
+
+@register("h4_stack_frames", with_ctes(RC, """
+SELECT id, feature_id, rating, NULL::VARCHAR AS source FROM fx_ratings
+UNION ALL SELECT id, 'answer1' AS feature_id, CASE answer1 WHEN 'Yes' THEN 1.0 WHEN 'No' THEN 0.0 END AS rating,
+  'questionnaire' AS source FROM fx_questionnaire"""))
+def q_h4(spark, sf):
+    a = J.ratings(spark, sf).select("id", "feature_id", "rating")
+    b = J.questionnaire(spark, sf).select("id", F.lit("answer1").alias("feature_id"),
+                                          X.yes_no_code("answer1").cast("double").alias("rating"),
+                                          F.lit("questionnaire").alias("source"))
+    return G.stack([a, b])
+
+
+# --------------------------------------------------------------------------- S1-S4 / H5 round trips
+def _scratch(spark, name: str) -> str:
+    import uuid
+    from tessera.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/io/{name}-{uuid.uuid4().hex}"
+
+
+@register("s2_s3_csv_roundtrip", with_ctes(QC, "SELECT id, label, text FROM fx_posts"))
+def q_s23(spark, sf):
+    from tessera.sources.tables import read_csv, write_table
+    path = _scratch(spark, "posts-csv")
+    write_table(J.posts(spark, sf).select("id", "label", "text"), path, fmt="csv")
+    return read_csv(spark, path, "id string, label string, text string")
+
+
+@register("s1_posts_jsonl_roundtrip", with_ctes(QC, "SELECT text, label FROM fx_posts"))
+def q_s1(spark, sf):
+    from tessera.sources.tables import read_posts_jsonl, write_json
+    path = _scratch(spark, "posts-jsonl")
+    write_json(J.posts(spark, sf).select("text", "label"), path)
+    return read_posts_jsonl(spark, path)
+
+
+@register("s4_groups_file_roundtrip", with_ctes(C2, """
+SELECT group_pos, name FROM fx_groups"""))
+def q_s4(spark, sf):
+    from tessera.sources.tables import read_text_documents
+    path = _scratch(spark, "groups-json")
+    J.merge_response(spark, sf).coalesce(1).write.text(path)     # one reply, one file
+    return R.parse_category_groups(read_text_documents(spark, path).withColumnRenamed("text", "response"),
+                                   first_n=8).select("group_pos", "name")
+
+
+@register("h5_partitioned_by_category", with_ctes(C2, "SELECT category, feature_id, featurename FROM fx_definitions"))
+def q_h5(spark, sf):
+    from tessera.sources.tables import write_table
+    path = _scratch(spark, "definitions-by-category")
+    write_table(J.definitions(spark, sf).select("category", "feature_id", "featurename"), path,
+                partition_by=["category"])
+    return spark.read.parquet(path).select("category", "feature_id", "featurename")
+
+
+# --------------------------------------------------------------------------- K
+@register("k1_clusters_join_questionnaire", with_ctes(MC, """
+SELECT s.id, s.cluster, q.any_flag, q.freq_num FROM fx_seg s JOIN fx_questionnaire q ON q.id = s.id"""))
+def q_k1(spark, sf):
+    return J.segments(spark, sf).join(J.questionnaire(spark, sf).select("id", "any_flag", "freq_num"), "id")
+
+
+@register("k2_semi_clustered", with_ctes(MC, """
+SELECT id, label FROM fx_questionnaire WHERE id IN (SELECT id FROM fx_seg)"""))
+def q_k2(spark, sf):
+    return G.semi(J.questionnaire(spark, sf).select("id", "label"), J.segments(spark, sf), "id")
+
+
+@register("k3_left_join_tests", with_ctes(MC, """
+SELECT k.feature_id, a.f, a.mean_in_cluster FROM fx_kept k LEFT JOIN (SELECT * FROM fx_anova WHERE cluster = 1) a
+  ON a.feature = k.feature_id"""))
+def q_k3(spark, sf):
+    kept = T.kept_features(J.ratings(spark, sf), J.flagged_posts(spark, sf), 0.5, value="rating")
+    a = J.anova_segments(spark, sf).where("cluster = 1").select(F.col("feature").alias("feature_id"), "f",
+                                                                 "mean_in_cluster")
+    return kept.join(a, "feature_id", "left")
+
+
+@register("k4_lookup_fanout", "WITH " + QC + ",\n" + O.scoring_ctes("SELECT id, text FROM fx_posts") + """
+SELECT s.id, s.feature_name, f.cluster, s.score FROM fx_scores s JOIN app_features f ON f.feature_name = s.feature_name""")
+def q_k4(spark, sf):
+    from tessera.operators.annotate import annotate, stub_scoring_client
+    replies = annotate(J.scoring_prompts(spark, J.posts(spark, sf)), stub_scoring_client(fx.app_feature_names()))
+    lookup = fx.app_features_df(spark).select("feature_name", "cluster")
+    return G.lookup_join(R.parse_scores(replies), lookup, "feature_name").select("id", "feature_name", "cluster", "score")
+
+
+@register("k6_attach_cluster", with_ctes(MC, """
+SELECT i.id, i.feature_id, i.value, s.cluster FROM fx_imputed i JOIN fx_seg s ON s.id = i.id"""))
+def q_k6(spark, sf):
+    return J.imputed_long(spark, sf).join(J.segments(spark, sf), "id")
+
+
+# --------------------------------------------------------------------------- T
+@register("t3_zscore_long", with_ctes(MC, "SELECT id, feature_id, value FROM fx_z"))
+def q_t3(spark, sf):
+    z, _dropped = T.zscore(J.imputed_wide(spark, sf))
+    return T.to_long(z)
+
+
+@register("t5_one_vs_rest_anova", with_ctes(MC, """
+SELECT feature, cluster, mean_in_cluster, mean_out_cluster, dfn, dfd, f, ges FROM fx_anova"""))
+def q_t5(spark, sf):
+    return J.anova_segments(spark, sf)
+
+
+@register("t6_bonferroni", with_ctes(MC, """
+SELECT feature, cluster, 0.05 / count(*) OVER (PARTITION BY cluster) AS bonferroni_threshold FROM fx_anova"""))
+def q_t6(spark, sf):
+    return T.bonferroni(J.anova_segments(spark, sf)).select("feature", "cluster", "bonferroni_threshold")
+
+
+@register("t9_f_pvalues")
+def q_t9(spark, sf):
+    return T.with_p(J.anova_segments(spark, sf)).select("feature", "cluster", "f", "dfn", "dfd", "p")
+
+
+@register("t10_spearman_pairwise", with_ctes(SC, "SELECT f1, f2, rho, n_complete FROM fx_spearman"))
+def q_t10(spark, sf):
+    kept = J.kept(spark, sf)
+    return T.spearman_pairwise(J.ratings(spark, sf).where(F.col("feature_id").isin(kept)), value="rating")
+
+
+@register("t12_fold_change_table", with_ctes(MC, "SELECT feature, " + ", ".join(
+    f"max(CASE WHEN cluster = {k} THEN log2fc END) AS fc_{k}" for k in range(1, 5)) + ", " + ", ".join(
+    f"max(CASE WHEN cluster = {k} THEN (CASE WHEN log2fc = '-inf'::DOUBLE THEN 0.0 ELSE log2fc END) END) AS fcp_{k}"
+    for k in range(1, 5)) + " FROM fx_tests GROUP BY feature"))
+def q_t12(spark, sf):
+    return T.fold_change_table(J.anova_segments(spark, sf), [1, 2, 3, 4])
+
+
+@register("k5_align_to_matrix_order", with_ctes(MC, "SELECT feature, " + ", ".join(
+    f"max(CASE WHEN cluster = {k} THEN log2fc END) AS fc_{k}" for k in range(1, 5))
+    + ", CAST(row_number() OVER (ORDER BY feature) AS INTEGER) AS matrix_pos FROM fx_tests GROUP BY feature"))
+def q_k5(spark, sf):
+    fc = T.fold_change_table(J.anova_segments(spark, sf), [1, 2, 3, 4], clamp_cluster=False)
+    order = J.anova_segments(spark, sf).select("feature").distinct() \
+        .withColumn("matrix_pos", F.row_number().over(Window.orderBy("feature")))
+    return fc.join(order, "feature")
+
+
+@register("t13_marker_table_segments")
+def q_t13(spark, sf):
+    return T.marker_table(J.anova_segments(spark, sf), 15)
+
+
+def _pca_inputs(spark, sf):
+    z, _ = T.zscore(J.imputed_wide(spark, sf))
+    return T.assemble(z)
+
+
+@register("t4_pca_scores")
+def q_t4(spark, sf):
+    scores, _var = T.pca_scores(_pca_inputs(spark, sf))
+    return scores.select("id", F.col("pcs")[0].alias("pc1"), F.col("pcs")[1].alias("pc2"))
+
+
+@register("t7_kmeans_clusters")
+def q_t7(spark, sf):
+    clusters, _cost = T.kmeans_clusters(_pca_inputs(spark, sf), k=4, seed=1)
+    return clusters
+
+
+@register("t8_elbow")
+def q_t8(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+    scores, _ = T.pca_scores(_pca_inputs(spark, sf))
+    top = scores.select("id", array_to_vector(F.slice("pcs", 1, 10)).alias("features"))
+    return T.elbow(top, range(1, 11), seed=1)
+
+
+@register("t11_feature_blocks")
+def q_t11(spark, sf):
+    kept = J.kept(spark, sf)
+    corr = T.spearman_pairwise(J.ratings(spark, sf).where(F.col("feature_id").isin(kept)), value="rating")
+    return T.feature_blocks(corr, k=4)
+
+
+# --------------------------------------------------------------------------- scale: lineitem / events
+_LI_VALS = ("l_quantity", "l_discount", "l_tax")
+
+
+def _lineitem_long(spark, sf):
+    from tessera.sources.tables import table
+    li = table(spark, sf, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_returnflag").alias("cluster"), *_LI_VALS)
+    return li.unpivot(["id", "cluster"], list(_LI_VALS), "feature_id", "value")
+
+
+def _anova_sql(src: str) -> str:
+    return f"""a_grp AS (SELECT feature_id, cluster, count(value) AS n, avg(value) AS mean FROM {src} GROUP BY feature_id, cluster),
+a_tot AS (SELECT feature_id, count(value) AS nn, sum(value) AS s, var_pop(value) * count(value) AS t FROM {src}
+  GROUP BY feature_id),
+a_ss AS (SELECT g.feature_id, g.cluster, g.n, g.mean, t.nn, t.t,
+  CASE WHEN t.nn - g.n > 0 THEN (t.s - g.n * g.mean) / (t.nn - g.n) END AS mean_out
+  FROM a_grp g JOIN a_tot t ON t.feature_id = g.feature_id),
+a_ssb AS (SELECT *, n * (nn - n) / nn * (mean - mean_out) * (mean - mean_out) AS ssb FROM a_ss)
+SELECT feature_id AS feature, cluster, mean AS mean_in_cluster, mean_out AS mean_out_cluster, 1 AS dfn,
+  CAST(nn - 2 AS INTEGER) AS dfd, round(CASE WHEN t - ssb > 0 AND nn > 2 THEN ssb / ((t - ssb) / (nn - 2)) END, 3) AS f,
+  round(CASE WHEN t > 0 THEN ssb / t END, 3) AS ges FROM a_ssb"""
+
+
+@register("t5_lineitem_anova", f"""WITH li AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_returnflag AS cluster,
+  l_quantity, l_discount, l_tax FROM lineitem),
+lv AS (SELECT id, cluster, feature_id, value FROM li UNPIVOT (value FOR feature_id IN (l_quantity, l_discount, l_tax))),
+{_anova_sql("lv")}""")
+def q_t5_li(spark, sf):
+    return T.one_vs_rest_anova(_lineitem_long(spark, sf))
+
+
+@register("t5_events_anova", f"""WITH ev AS (SELECT event_id AS id, event_type AS cluster, 'value' AS feature_id, value
+  FROM events),
+{_anova_sql("ev")}""")
+def q_t5_ev(spark, sf):
+    from tessera.sources.tables import table
+    ev = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("cluster"),
+                                           F.lit("value").alias("feature_id"), "value")
+    return T.one_vs_rest_anova(ev)
+
+
+@register("t10_lineitem_spearman", """WITH li AS (SELECT l_orderkey || '-' || l_linenumber AS id,
+  l_quantity, l_discount, l_tax FROM lineitem),
+s_v AS (SELECT id, feature_id, value AS rating FROM li UNPIVOT (value FOR feature_id IN (l_quantity, l_discount, l_tax))),
+s_pairs AS (SELECT a.feature_id AS f1, b.feature_id AS f2, a.rating AS v1, b.rating AS v2
+  FROM s_v a JOIN s_v b ON a.id = b.id AND a.feature_id < b.feature_id),
+s_rank AS (SELECT f1, f2,
+  rank() OVER (PARTITION BY f1, f2 ORDER BY v1) + (count(*) OVER (PARTITION BY f1, f2, v1) - 1) / 2.0 AS r1,
+  rank() OVER (PARTITION BY f1, f2 ORDER BY v2) + (count(*) OVER (PARTITION BY f1, f2, v2) - 1) / 2.0 AS r2 FROM s_pairs),
+s_upper AS (SELECT f1, f2, CASE WHEN var_pop(r1) > 0 AND var_pop(r2) > 0 THEN corr(r1, r2) END AS rho,
+  count(*) AS n_complete FROM s_rank GROUP BY f1, f2)
+SELECT * FROM s_upper UNION ALL SELECT f2 AS f1, f1 AS f2, rho, n_complete FROM s_upper
+UNION ALL SELECT feature_id AS f1, feature_id AS f2, CASE WHEN min(rating) < max(rating) THEN 1.0 END AS rho,
+  count(*) AS n_complete FROM s_v GROUP BY feature_id""")
+def q_t10_li(spark, sf):
+    return T.spearman_pairwise(_lineitem_long(spark, sf).drop("cluster"))
+
+
+@register("g_lineitem_top_flags", """SELECT l_returnflag, n, rank FROM (SELECT l_returnflag, n,
+  rank() OVER (ORDER BY n DESC) AS rank FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag))
+WHERE rank <= 2""")
+def q_g_li(spark, sf):
+    from tessera.sources.tables import table
+    return G.top_k_with_ties(G.value_counts(table(spark, sf, "lineitem"), "l_returnflag"), 2, "n")
+
+
+# --------------------------------------------------------------------------- C jobs
+@register("c1_questionnaire_summary", ORACLE["g1_label_summary"])
+def q_c1(spark, sf):
+    return G.label_summary(J.questionnaire(spark, sf), J.ANSWERS)
+
+
+@register("c2_feature_discovery", ORACLE["j6_x1_definitions"])
+def q_c2(spark, sf):
+    return J.definitions(spark, sf)
+
+
+@register("c3_feature_rating_sample", with_ctes(RC, """
+SELECT r.id, r.feature_id, r.rating FROM fx_ratings r WHERE r.id IN
+  (SELECT id FROM fx_flagged ORDER BY md5(concat(id, '|', '1k')), id LIMIT 500)"""))
+def q_c3(spark, sf):
+    sample = P.sample_n(J.flagged_posts(spark, sf).select("id"), 500, "id", "1k")
+    return J.ratings(spark, sf).join(sample, "id", "left_semi").select("id", "feature_id", "rating")
+
+
+@register("c4_subtypes_markers")
+def q_c4(spark, sf):
+    """F5 -> T2 -> T3 -> T7 (k-means on z-scores) -> K6 -> T5 -> T13."""
+    z, _ = T.zscore(J.imputed_wide(spark, sf))
+    clusters, _cost = T.kmeans_clusters(T.assemble(z), k=4, seed=1)
+    tests = T.one_vs_rest_anova(J.imputed_long(spark, sf), clusters)
+    return T.marker_table(tests, 15)
+
+
+@register("c5_feature_correlation")
+def q_c5(spark, sf):
+    kept = J.kept(spark, sf)
+    corr = T.spearman_pairwise(J.ratings(spark, sf).where(F.col("feature_id").isin(kept)), value="rating")
+    blocks = T.feature_blocks(corr, k=4)
+    fc = T.fold_change_table(J.anova_segments(spark, sf), [1, 2, 3, 4])
+    return blocks.join(fc, "feature", "left")
+
+
+_C6_BODY = """
+SELECT id, cluster, mean_score, least(greatest(mean_score / 4.0 * 100.0, 0.0), 100.0) AS percent
+FROM fx_cluster_means"""
+
+
+@register("c6_x13_batch_scoring", "WITH " + QC + ",\n" + O.scoring_ctes("SELECT id, text FROM fx_posts") + _C6_BODY)
+def q_c6(spark, sf):
+    m = J.score_posts(spark, J.posts(spark, sf))
+    return m.withColumn("percent", X.percent_of_max("mean_score", 4.0))
+
+
+@register("c7_stream_scoring", "WITH " + O.scoring_ctes(
+    "SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS id, text FROM conversations WHERE role = 'user'")
+    + _C6_BODY)
+def q_c7(spark, sf):
+    from tessera.operators.annotate import csv_text, stub_scoring_client
+    from tessera.sources.tables import table
+    from tessera.streaming.scoring import run_available, scoring_stream
+    src = _scratch(spark, "stream-in")
+    users = table(spark, sf, "conversations").where(F.col("role") == "user").select(
+        F.concat_ws("_", "conv_id", "turn").alias("id"), "text")
+    users.write.json(src)
+    csv = csv_text(fx.app_features_df(spark), ["feature_name", "description", "rating_options"], "row_pos").first()[0]
+    lookup = [(n, c) for n, c, _, _ in fx.APP_FEATURES]
+    stream = scoring_stream(spark, src, "id string, text string", csv, lookup,
+                            stub_scoring_client(fx.app_feature_names()))
+    sink = _scratch(spark, "stream-out")
+    run_available(stream, sink, sink + "-checkpoint")
+    out = spark.read.parquet(sink)
+    return out.withColumn("percent", X.percent_of_max("mean_score", 4.0))
