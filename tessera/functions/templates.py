@@ -13,24 +13,29 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SLOT = re.compile(r"\{([A-Za-z_][A-Za-z0-9_]*)\}")
+_TOKEN = re.compile(r"\{\{|\}\}|\{([A-Za-z_][A-Za-z0-9_]*)\}|[^{}]+|[{}]", re.S)
 
 
 def template_parts(template: str) -> list[tuple[str, str]]:
     """Split into ``[("lit", text) | ("slot", name)]`` in order; ``{{`` and
-    ``}}`` in literal text stand for single braces."""
-    parts, pos = [], 0
-
-    def lit(s):
-        return ("lit", s.replace("{{", "{").replace("}}", "}"))
-
-    for m in _SLOT.finditer(template):
-        if m.start() > pos:
-            parts.append(lit(template[pos:m.start()]))
-        parts.append(("slot", m.group(1)))
-        pos = m.end()
-    if pos < len(template):
-        parts.append(lit(template[pos:]))
+    ``}}`` stand for literal braces and are never part of a slot."""
+    parts: list[tuple[str, str]] = []
+    buf: list[str] = []
+    for m in _TOKEN.finditer(template):
+        tok = m.group(0)
+        if tok == "{{":
+            buf.append("{")
+        elif tok == "}}":
+            buf.append("}")
+        elif m.group(1):
+            if buf:
+                parts.append(("lit", "".join(buf)))
+                buf = []
+            parts.append(("slot", m.group(1)))
+        else:
+            buf.append(tok)
+    if buf:
+        parts.append(("lit", "".join(buf)))
     return parts
 
 
