@@ -205,29 +205,37 @@ def spearman_pairwise(long: DataFrame, key: str = "id", feature: str = "feature_
     b = v.select(key, F.col(feature).alias("f2"), F.col(value).alias("v2"))
     cells = (a.join(b, key).where(F.col("f1") < F.col("f2"))
              .groupBy("f1", "f2", "v1", "v2").agg(F.count(F.lit(1)).alias("c")))
-
-    def ranks(side: str) -> DataFrame:
-        m = cells.groupBy("f1", "f2", side).agg(F.sum("c").alias("k"))
-        w = Window.partitionBy("f1", "f2").orderBy(side).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return m.withColumn(f"r_{side}", F.sum("k").over(w) - (F.col("k") - 1) / 2.0).drop("k")
-
-    x = cells.join(ranks("v1"), ["f1", "f2", "v1"]).join(ranks("v2"), ["f1", "f2", "v2"])
-    x = x.withColumn("n", F.sum("c").over(Window.partitionBy("f1", "f2")))
-    x = x.withColumn("d1", F.col("r_v1") - (F.col("n") + 1) / 2.0).withColumn("d2", F.col("r_v2") - (F.col("n") + 1) / 2.0)
-    agg = x.groupBy("f1", "f2").agg(F.sum(F.col("c") * F.col("d1") * F.col("d2")).alias("sxy"),
+    # every window below shares the (f1, f2) partitioning: one exchange of the cells
+    pair = Window.partitionBy("f1", "f2")
+
+    def upto(side):   # count of complete posts with a value <= this cell's value (ties included)
+        return F.sum("c").over(pair.orderBy(side).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+
+    x = (cells.withColumn("n", F.sum("c").over(pair))
+         .withColumn("k1", F.sum("c").over(Window.partitionBy("f1", "f2", "v1")))
+         .withColumn("k2", F.sum("c").over(Window.partitionBy("f1", "f2", "v2")))
+         .withColumn("u1", upto("v1")).withColumn("u2", upto("v2")))
+    # mid-rank = (#below) + (ties + 1) / 2, centred at (n + 1) / 2
+    d1 = F.col("u1") - (F.col("k1") - 1) / 2.0 - (F.col("n") + 1) / 2.0
+    d2 = F.col("u2") - (F.col("k2") - 1) / 2.0 - (F.col("n") + 1) / 2.0
+    agg = (x.select("f1", "f2", "c", d1.alias("d1"), d2.alias("d2"))
+           .groupBy("f1", "f2").agg(F.sum(F.col("c") * F.col("d1") * F.col("d2")).alias("sxy"),
                                     F.sum(F.col("c") * F.col("d1") * F.col("d1")).alias("sxx"),
                                     F.sum(F.col("c") * F.col("d2") * F.col("d2")).alias("syy"),
-                                    F.sum("c").alias("n"))
+                                    F.sum("c").alias("n_complete")))
     rho = F.when((F.col("sxx") > 0) & (F.col("syy") > 0), F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))
-    upper = agg.select("f1", "f2", rho.alias("rho"), F.col("n").alias("n_complete"))
+    upper = agg.select("f1", "f2", rho.alias("rho"), "n_complete")
     if not full:
         return upper
+    both = upper.select(F.inline(F.array(
+        F.struct(F.col("f1").alias("a"), F.col("f2").alias("b"), "rho", "n_complete"),
+        F.struct(F.col("f2").alias("a"), F.col("f1").alias("b"), "rho", "n_complete"))))
+    both = both.select(F.col("a").alias("f1"), F.col("b").alias("f2"), "rho", "n_complete")
     diag = (v.groupBy(F.col(feature).alias("f1"))
             .agg(F.count(F.lit(1)).alias("n_complete"), F.min(value).alias("lo"), F.max(value).alias("hi"))
             .select("f1", F.col("f1").alias("f2"), F.when(F.col("lo") < F.col("hi"), F.lit(1.0)).alias("rho"),
                     "n_complete"))
-    lower = upper.select(F.col("f2").alias("f1"), F.col("f1").alias("f2"), "rho", "n_complete")
-    return upper.unionByName(lower).unionByName(diag)
+    return both.unionByName(diag)
 
 
 # MLlib -----------------------------------------------------
