@@ -30,7 +30,7 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     from tessera.session import materialize
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     if key not in _STAGES:
-        _STAGES[key] = materialize(build(), spark)
+        _STAGES[key] = materialize(build(), spark, name)
     return _STAGES[key]
 
 

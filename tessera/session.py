@@ -61,9 +61,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
-def materialize(df, spark: SparkSession | None = None):
-    """Cut lineage with a reliable checkpoint in the shared folder, so a lost
-    executor never forces re-running expensive upstream work (model calls)."""
+def materialize(df, spark: SparkSession | None = None, name: str = "stage"):
+    """Cut lineage by writing the table as parquet into the shared folder
+    named by ``spark.checkpoint.dir`` and reading it back.
+
+    Unlike an eager ``checkpoint()`` of an unpersisted plan (computed once for
+    the count and again for the write), the plan runs once; later readers get
+    column pruning and filter pushdown on the stage table, and a lost
+    executor re-reads files instead of recomputing upstream work.
+    """
+    import uuid
     spark = spark or df.sparkSession
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
