@@ -50,3 +50,16 @@ def test_every_query_runs(spark):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "any_perc" in df.columns
+
+
+def test_stream_equals_batch(spark):
+    """C7 (streaming, availableNow) produces exactly the C6 batch rows for the same posts."""
+    from pyspark.sql import functions as F
+    from tessera.plans import jobs as J
+    from tessera.sources.tables import table
+    stream = E.queries()["c7_stream_scoring"](spark, SF).drop("percent")
+    users = table(spark, SF, "conversations").where(F.col("role") == "user").select(
+        F.concat_ws("_", "conv_id", "turn").alias("id"), "text")
+    batch = J.score_posts(spark, users)
+    assert sorted(map(tuple, stream.select("id", "cluster", "mean_score").collect())) == \
+        sorted(map(tuple, batch.select("id", "cluster", "mean_score").collect()))
