@@ -30,10 +30,13 @@ def chisq_independence(df: DataFrame, row: str, col: str) -> DataFrame:
     cells = df.groupBy(F.col(row).alias("r"), F.col(col).alias("c")).agg(F.count(F.lit(1)).alias("o"))
     rows = cells.groupBy("r").agg(F.sum("o").alias("nr"))
     cols = cells.groupBy("c").agg(F.sum("o").alias("nc"))
-    tot = rows.agg(F.sum("nr").alias("N"), F.count(F.lit(1)).alias("levels_r"), F.sum(1.0 / F.col("nr")).alias("inv_r"))
-    ctot = cols.agg(F.count(F.lit(1)).alias("levels_c"), F.sum(1.0 / F.col("nc")).alias("inv_c"))
-    t = tot.join(ctot, how="inner")   # 1 x 1 rows
-    x = (cells.join(F.broadcast(rows), "r").join(F.broadcast(cols), "c").join(F.broadcast(t), how="inner")
+    # table totals as scalar subqueries (no join); row/column margins are bounded by the levels
+    n_all = rows.agg(F.sum("nr")).scalar()
+    x = (cells.join(F.broadcast(rows), "r").join(F.broadcast(cols), "c")
+         .withColumn("N", n_all).withColumn("levels_r", rows.agg(F.count(F.lit(1))).scalar())
+         .withColumn("inv_r", rows.agg(F.sum(1.0 / F.col("nr"))).scalar())
+         .withColumn("levels_c", cols.agg(F.count(F.lit(1))).scalar())
+         .withColumn("inv_c", cols.agg(F.sum(1.0 / F.col("nc"))).scalar())
          .withColumn("e", F.col("nr").cast("double") * F.col("nc") / F.col("N")))
     agg = x.groupBy("N", "levels_r", "levels_c", "inv_r", "inv_c").agg(
         F.sum(F.col("o").cast("double") * F.col("o") / F.col("e")).alias("s_o2e"),
@@ -56,11 +59,9 @@ def kept_features(long: DataFrame, posts: DataFrame, max_missing_frac: float = 0
     """Features with fewer than ``max_missing_frac * posts`` missing values
     (the reference's absolute rule is 500 of 1,000 posts). Missing = posts -
     non-null values; unknown feature ids are judged like any other."""
-    n_posts = posts.agg(F.countDistinct(key).alias("n_posts"))
+    n_posts = posts.agg(F.countDistinct(key)).scalar()       # scalar subquery, no join
     per = long.groupBy(feature).agg(F.count(value).alias("n_rated"))
-    return (per.join(F.broadcast(n_posts), how="inner")
-            .where((F.col("n_posts") - F.col("n_rated")) < F.lit(max_missing_frac) * F.col("n_posts"))
-            .select(feature))
+    return per.where((n_posts - F.col("n_rated")) < F.lit(max_missing_frac) * n_posts).select(feature)
 
 
 def _collect_names(df: DataFrame, col: str) -> list[str]:

@@ -119,10 +119,9 @@ def missing_counts(long: DataFrame, posts: DataFrame, key: str = "id", feature:
                    value: str = "rating") -> DataFrame:
     """Posts lacking a (numeric) value, per feature: posts - non-null values.
     The post count is a one-row aggregate; no posts x features grid is built."""
-    n_posts = posts.agg(F.countDistinct(key).alias("n_posts"))
+    n_posts = posts.agg(F.countDistinct(key)).scalar()       # scalar subquery, no join
     per = long.groupBy(feature).agg(F.count(value).alias("n_rated"))
-    return (per.join(F.broadcast(n_posts), how="inner")
-            .select(feature, "n_posts", "n_rated", (F.col("n_posts") - F.col("n_rated")).alias("n_missing")))
+    return per.select(feature, n_posts.alias("n_posts"), "n_rated", (n_posts - F.col("n_rated")).alias("n_missing"))
 
 
 # G14 ------------------------------------------------------------------------
