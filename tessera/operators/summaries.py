@@ -142,10 +142,9 @@ def top_k_with_ties(counts: DataFrame, k: int, by: str = "n", desc: bool = True,
     if partition is not None:
         w = Window.partitionBy(partition).orderBy(order)
         return counts.withColumn("rank", F.rank().over(w)).where(F.col("rank") <= k)
-    kth = counts.select(by).orderBy(order).limit(k).agg(
-        (F.min(by) if desc else F.max(by)).alias("_kth"))
-    kept = counts.join(F.broadcast(kth), (F.col(by) >= F.col("_kth")) if desc else (F.col(by) <= F.col("_kth")))
-    return kept.drop("_kth").withColumn("rank", F.rank().over(Window.partitionBy().orderBy(order)))
+    kth = counts.select(by).orderBy(order).limit(k).agg(F.min(by) if desc else F.max(by)).scalar()
+    kept = counts.where((F.col(by) >= kth) if desc else (F.col(by) <= kth))
+    return kept.withColumn("rank", F.rank().over(Window.partitionBy().orderBy(order)))
 
 
 # W3 / W4 / W5 ----------------------------------------------------------------
