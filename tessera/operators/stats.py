@@ -313,8 +313,10 @@ def feature_blocks(corr: DataFrame, k: int = 4, seed: int = 1) -> DataFrame:
     rows with bisecting k-means (the original cuts a complete-linkage tree)."""
     from pyspark.ml.clustering import BisectingKMeans
     feats = sorted(r[0] for r in corr.select("f1").distinct().collect())   # p names
+    from tessera.session import materialize
     filled = corr.withColumn("rho", F.coalesce("rho", F.lit(0.0)))
     wide = filled.groupBy("f1").pivot("f2", feats).agg(F.first("rho"))
-    vec = assemble(wide.fillna(0.0), key="f1")
+    # p rows of p values: written once so the iterative fit never re-runs the correlation plan
+    vec = materialize(assemble(wide.fillna(0.0), key="f1"), name="corr_rows")
     model = BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol="block").fit(vec)
     return model.transform(vec).select(F.col("f1").alias("feature"), (F.col("block") + 1).alias("block"))

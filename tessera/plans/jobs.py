@@ -103,11 +103,18 @@ def definitions(spark: SparkSession, sf_dir: str, first_n: int = 8) -> DataFrame
 
 
 # ---------------------------------------------------------------------------- C4 inputs
+_KEPT: dict[tuple, list[str]] = {}
+
+
 def kept(spark: SparkSession, sf_dir: str, frac: float = 0.5) -> list[str]:
-    """F5 on the fixture ratings; the (bounded) kept feature list."""
+    """F5 on the fixture ratings; the (bounded: one name per feature) kept list,
+    computed once per session and input folder."""
     from tessera.operators.stats import kept_features
-    k = kept_features(ratings(spark, sf_dir), flagged_posts(spark, sf_dir), frac, value="rating")
-    return sorted(r[0] for r in k.collect())
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), frac)
+    if key not in _KEPT:
+        k = kept_features(ratings(spark, sf_dir), flagged_posts(spark, sf_dir), frac, value="rating")
+        _KEPT[key] = sorted(r[0] for r in k.collect())
+    return _KEPT[key]
 
 
 def imputed_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
