@@ -897,3 +897,12 @@ def q_c7(spark, sf):
     run_available(stream, sink, sink + "-checkpoint")
     out = spark.read.parquet(sink)
     return out.withColumn("percent", X.percent_of_max("mean_score", 4.0))
+
+
+@register("x13_display_segments", with_ctes(QC, """
+SELECT id, least(greatest(CAST(round(freq_num) AS INTEGER), 0), 4) AS freq_segments,
+  least(greatest(freq_num / 4.0 * 100.0, 0.0), 100.0) AS freq_percent FROM fx_questionnaire WHERE freq_num IS NOT NULL"""))
+def q_x13(spark, sf):
+    qn = J.questionnaire(spark, sf).where(F.col("freq_num").isNotNull())
+    return qn.select("id", X.filled_segments("freq_num", 4).alias("freq_segments"),
+                     X.percent_of_max("freq_num", 4.0).alias("freq_percent"))
