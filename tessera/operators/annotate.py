@@ -159,3 +159,27 @@ def stub_scoring_client(names: Sequence[str]) -> Callable[[], Callable[[list[dic
             return "{" + ", ".join(items) + "}"
         return call
     return factory
+
+
+def annotate_resumable(prompts: DataFrame, client_factory: ClientFactory, store_path: str, key: str = "id",
+                       prompt: str = "prompt", prefix: str | None = None, partitions: int | None = None) -> DataFrame:
+    """A12 + A13 as a resumable job over a reply store (parquet, keyed by md5(prompt)).
+
+    Only prompts without a stored reply are sent; successful replies are
+    appended to the store before anything else reads them (the commit
+    protocol keeps one attempt per task), and failed calls are left out so a
+    re-run retries them. Returns every prompt with its stored reply (NULL if
+    still missing): (key, prompt_md5, response).
+    """
+    from pyspark.errors import AnalysisException
+    spark = prompts.sparkSession
+    p = prompts.select(key, prompt).withColumn("prompt_md5", F.md5(prompt))
+    try:
+        done = spark.read.parquet(store_path).select("prompt_md5")
+        todo = p.join(done, "prompt_md5", "left_anti")
+    except AnalysisException:            # no store yet: everything is pending
+        todo = p
+    new = annotate(todo, client_factory, key=key, prompt=prompt, prefix=prefix, partitions=partitions)
+    new.where(F.col("error").isNull()).select("prompt_md5", "response").write.mode("append").parquet(store_path)
+    store = spark.read.parquet(store_path).dropDuplicates(["prompt_md5"])
+    return p.select(key, "prompt_md5").join(store, "prompt_md5", "left")

@@ -906,3 +906,13 @@ def q_x13(spark, sf):
     qn = J.questionnaire(spark, sf).where(F.col("freq_num").isNotNull())
     return qn.select("id", X.filled_segments("freq_num", 4).alias("freq_segments"),
                      X.percent_of_max("freq_num", 4.0).alias("freq_percent"))
+
+
+@register("a12_a13_resumable_annotation", ORACLE["a12_annotate_stub"].replace(
+    """,
+  CAST(NULL AS VARCHAR) AS error FROM a_r""", " FROM a_r"))
+def q_a12_a13(spark, sf):
+    p = J.posts(spark, sf).select("id", render(QUESTIONNAIRE_TEMPLATE, text="text",
+                                               questions=F.lit(QUESTIONS)).alias("prompt"))
+    return A.annotate_resumable(p, A.stub_client, _scratch(spark, "reply-store"), key="id",
+                                prefix="Here is my answer in the requested format:")

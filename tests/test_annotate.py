@@ -78,3 +78,26 @@ def test_csv_roundtrip_multiline(spark, tmp_path):
     write_table(df, str(tmp_path / "t"), fmt="csv")
     back = read_csv(spark, str(tmp_path / "t"), "id string, text string")
     assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+def test_annotate_resumable_sends_each_prompt_once(spark, tmp_path):
+    import uuid
+
+    def factory():
+        nonce = uuid.uuid4().hex          # a new reply text on every call
+
+        def call(messages):
+            if messages[0]["content"] == "flaky" and not (tmp_path / "ok").exists():
+                raise RuntimeError("transient")
+            return f"{messages[0]['content']}:{nonce}"
+        return call
+
+    prompts = spark.createDataFrame([("a", "p1"), ("b", "p2"), ("c", "flaky")], "id string, prompt string")
+    store = str(tmp_path / "store")
+    first = {r["id"]: r["response"] for r in A.annotate_resumable(prompts, factory, store).collect()}
+    assert first["c"] is None and first["a"].startswith("p1:")
+    (tmp_path / "ok").write_text("1")
+    second = {r["id"]: r["response"] for r in A.annotate_resumable(prompts, factory, store).collect()}
+    assert second["a"] == first["a"] and second["b"] == first["b"]     # reused, not re-sent
+    assert second["c"].startswith("flaky:")                             # failed call retried
+    assert spark.read.parquet(store).count() == 3

@@ -116,3 +116,13 @@ def test_kept_features_absolute_rule(spark):
     long = spark.createDataFrame(rows, "id string, feature_id string, value double")
     kept = [r[0] for r in T.kept_features(long, posts, 0.5).collect()]
     assert kept == ["six"]                      # 5 missing of 10 is dropped, 4 is kept
+
+
+def test_long_wide_roundtrip(spark):
+    from tessera.operators import summaries as G
+    rng = np.random.default_rng(9)
+    rows = [(f"p{i}", f"f{j}", float(rng.integers(0, 4))) for i in range(50) for j in range(5) if rng.random() > 0.2]
+    long = spark.createDataFrame(rows, "id string, feature_id string, value double")
+    wide = G.pivot_known(long, "id", "feature_id", [f"f{j}" for j in range(5)], "value")
+    back = T.to_long(wide).where("value IS NOT NULL")
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
