@@ -144,7 +144,12 @@ def top_k_with_ties(counts: DataFrame, k: int, by: str = "n", desc: bool = True,
         return counts.withColumn("rank", F.rank().over(w)).where(F.col("rank") <= k)
     kth = counts.select(by).orderBy(order).limit(k).agg(F.min(by) if desc else F.max(by)).scalar()
     kept = counts.where((F.col(by) >= kth) if desc else (F.col(by) <= kth))
-    return kept.withColumn("rank", F.rank().over(Window.partitionBy().orderBy(order)))
+    # ties can make the kept rows many, but they hold at most k distinct values: rank those
+    # (1 + rows strictly better) on a <= k-row table and broadcast it back
+    levels = kept.groupBy(by).agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy().orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levels = levels.select(by, (F.sum("_cnt").over(w) - F.col("_cnt") + 1).cast("int").alias("rank"))
+    return kept.join(F.broadcast(levels), by)
 
 
 # W3 / W4 / W5 ----------------------------------------------------------------

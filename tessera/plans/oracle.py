@@ -71,7 +71,7 @@ def pairs_ctes(m: int = 100, seed: str = "pairs") -> str:
 p_draws AS (SELECT id, row_number() OVER (ORDER BY {key}, id) AS rn
   FROM (SELECT id FROM fx_flagged ORDER BY {key}, id LIMIT {2 * m})),
 p_half AS (SELECT floor(count(*) / 2) AS half FROM p_draws),
-fx_pairs AS (SELECT a.rn AS pair_id, a.id AS id1, b.id AS id2
+fx_pairs AS (SELECT CAST(a.rn AS INTEGER) AS pair_id, a.id AS id1, b.id AS id2
   FROM p_draws a, p_half h, p_draws b WHERE a.rn <= h.half AND b.rn = a.rn + h.half),
 fx_pair_texts AS (SELECT p.pair_id, p.id1, p.id2, f1.text AS text1, f2.text AS text2
   FROM fx_pairs p JOIN fx_flagged f1 ON f1.id = p.id1 JOIN fx_flagged f2 ON f2.id = p.id2),
@@ -81,7 +81,7 @@ c_try AS (SELECT pair_id, response,
   regexp_extract(response, '(?s)\\[.*\\]', 0) AS cut FROM fx_presp),
 c_arr AS (SELECT pair_id, coalesce(a1,
   CASE WHEN coalesce(json_valid(cut), FALSE) THEN from_json(cut, '{schema}') END) AS arr FROM c_try),
-fx_comparisons AS (SELECT pair_id, i AS pos, lower(arr[i + 1]."Category") AS category,
+fx_comparisons AS (SELECT pair_id, CAST(i AS INTEGER) AS pos, lower(arr[i + 1]."Category") AS category,
   arr[i + 1]."Post 1" AS post1, arr[i + 1]."Post 2" AS post2
   FROM (SELECT *, unnest(range(len(arr))) AS i FROM c_arr WHERE arr IS NOT NULL))"""
 
@@ -98,13 +98,13 @@ m_json AS (SELECT '{{"categories": [' || string_agg({item}, ', ' ORDER BY n DESC
 fx_mresp AS (SELECT '"' || replace(replace(j, '\\', '\\\\'), '"', '\\"') || '"' AS response FROM m_json),
 g_doc AS (SELECT json_extract_string('{{"v":' || response || '}}', '$.v') AS doc FROM fx_mresp),
 g_arr AS (SELECT CASE WHEN coalesce(json_valid(doc), FALSE) THEN from_json(doc, '{gschema}') END AS s FROM g_doc),
-fx_groups AS (SELECT i AS group_pos, lower(s.categories[i + 1]."name") AS name, s.categories[i + 1].terms AS terms
+fx_groups AS (SELECT CAST(i AS INTEGER) AS group_pos, lower(s.categories[i + 1]."name") AS name, s.categories[i + 1].terms AS terms
   FROM (SELECT s, unnest(range(least(len(s.categories), {first_n}))) AS i FROM g_arr WHERE s IS NOT NULL)),
 fx_dresp AS (SELECT group_pos, name AS category, response FROM ({fx.staged_sql("fx_groups", fx.definition_stages(D, 'name'))})),
 d_arr AS (SELECT group_pos, category,
   CASE WHEN coalesce(json_valid(clean), FALSE) THEN from_json(clean, '{dschema}') END AS arr
   FROM (SELECT *, regexp_extract(response, '(?s)\\[.*\\]', 0) AS clean FROM fx_dresp)),
-fx_definitions AS (SELECT category, i AS pos, arr[i + 1].featurename AS featurename,
+fx_definitions AS (SELECT category, CAST(i AS INTEGER) AS pos, arr[i + 1].featurename AS featurename,
   arr[i + 1].short_description AS short_description, arr[i + 1].rating AS rating,
   replace(replace(category, ' ', '') || '_' || arr[i + 1].featurename, ' ', '_') AS feature_id, group_pos
   FROM (SELECT *, unnest(range(len(arr))) AS i FROM d_arr WHERE arr IS NOT NULL))"""

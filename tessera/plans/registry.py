@@ -194,7 +194,7 @@ def q_f8(spark, sf):
 
 # --------------------------------------------------------------------------- A
 @register("a1_questionnaire_prompts", with_ctes(QC, f"""
-SELECT id, md5(p) AS prompt_md5, length(p) AS prompt_len FROM (SELECT id,
+SELECT id, md5(p) AS prompt_md5, CAST(length(p) AS INTEGER) AS prompt_len FROM (SELECT id,
   {render_sql(QUESTIONNAIRE_TEMPLATE, text='text', questions=q(QUESTIONS))} AS p FROM fx_posts)"""))
 def q_a1(spark, sf):
     p = render(QUESTIONNAIRE_TEMPLATE, text="text", questions=F.lit(QUESTIONS))
@@ -202,7 +202,7 @@ def q_a1(spark, sf):
 
 
 @register("a2_pair_prompts", with_ctes(PC, f"""
-SELECT pair_id, md5(p) AS prompt_md5, length(p) AS prompt_len
+SELECT pair_id, md5(p) AS prompt_md5, CAST(length(p) AS INTEGER) AS prompt_len
 FROM (SELECT pair_id, {render_sql(PAIR_TEMPLATE, post1='text1', post2='text2')} AS p FROM fx_pair_texts)"""))
 def q_a2(spark, sf):
     p = render(PAIR_TEMPLATE, post1="text1", post2="text2")
@@ -222,7 +222,7 @@ def q_a8(spark, sf):
 
 
 @register("a3_definition_prompts", "WITH " + C2 + ",\n" + _EX_SQL + f"""
-SELECT category, md5(p) AS prompt_md5, length(p) AS prompt_len FROM (SELECT category,
+SELECT category, md5(p) AS prompt_md5, CAST(length(p) AS INTEGER) AS prompt_len FROM (SELECT category,
   {render_sql(DEFINITION_TEMPLATE, category='category', examples='examples')} AS p FROM fx_examples)""")
 def q_a3(spark, sf):
     groups = J.category_groups(spark, sf).select(F.col("name").alias("category"))
@@ -241,7 +241,7 @@ def q_a10(spark, sf):
 
 
 @register("a4_merge_prompt", "WITH " + C2 + ",\n" + _A10_SQL + f"""
-SELECT md5(p) AS prompt_md5, length(p) AS prompt_len FROM (SELECT
+SELECT md5(p) AS prompt_md5, CAST(length(p) AS INTEGER) AS prompt_len FROM (SELECT
   {render_sql(MERGE_TEMPLATE, n="'10'", terms='terms')} AS p FROM fx_terms)""")
 def q_a4(spark, sf):
     t = A.ranked_list_text(J.comparisons(spark, sf), "category")
@@ -267,7 +267,7 @@ def q_a9(spark, sf):
 
 @register("a5_rating_prompts", "WITH " + C2 + ",\n" + _A7_SQL + f""",
 wl AS (SELECT f.id, f.text, d.category FROM fx_flagged f, (SELECT DISTINCT category FROM fx_definitions) d)
-SELECT w.id, w.category, md5(p) AS prompt_md5, length(p) AS prompt_len FROM (SELECT w.id, w.category,
+SELECT w.id, w.category, md5(p) AS prompt_md5, CAST(length(p) AS INTEGER) AS prompt_len FROM (SELECT w.id, w.category,
   {render_sql(RATING_TEMPLATE, text='w.text', features='t.features_text')} AS p
   FROM wl w JOIN fx_ftext t ON t.category = w.category) w""")
 def q_a5(spark, sf):
@@ -280,7 +280,7 @@ def q_a5(spark, sf):
 
 
 @register("a6_scoring_prompts", "WITH " + QC + ",\n" + O.scoring_ctes("SELECT id, text FROM fx_posts") + """
-SELECT id, md5(prompt) AS prompt_md5, length(prompt) AS prompt_len FROM sc_prompts""")
+SELECT id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS prompt_len FROM sc_prompts""")
 def q_a6(spark, sf):
     p = J.scoring_prompts(spark, J.posts(spark, sf))
     return p.select("id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_len"))
@@ -525,7 +525,7 @@ def q_g14(spark, sf):
 
 # --------------------------------------------------------------------------- W
 @register("w1_top_categories", with_ctes(PC, """
-SELECT category, n, rank FROM (SELECT category, n, rank() OVER (ORDER BY n DESC) AS rank
+SELECT category, n, rank FROM (SELECT category, n, CAST(rank() OVER (ORDER BY n DESC) AS INTEGER) AS rank
   FROM (SELECT category, count(*) AS n FROM fx_comparisons GROUP BY category)) WHERE rank <= 5"""))
 def q_w1(spark, sf):
     return G.top_k_with_ties(G.value_counts(J.comparisons(spark, sf), "category"), 5, "n")
@@ -533,13 +533,13 @@ def q_w1(spark, sf):
 
 @register("w2_top_markers_by_f", with_ctes(MC, """
 SELECT feature, cluster, f, rank FROM (SELECT feature, cluster, f,
-  rank() OVER (PARTITION BY cluster ORDER BY f DESC NULLS LAST) AS rank FROM fx_anova) WHERE rank <= 15"""))
+  CAST(rank() OVER (PARTITION BY cluster ORDER BY f DESC NULLS LAST) AS INTEGER) AS rank FROM fx_anova) WHERE rank <= 15"""))
 def q_w2(spark, sf):
     return T.top_by_f(J.anova_segments(spark, sf), 15).select("feature", "cluster", "f", "rank")
 
 
 @register("w3_order_by_fold_change", with_ctes(MC, """
-SELECT feature, cluster, log2fc, row_number() OVER (PARTITION BY cluster ORDER BY log2fc, feature) AS "order"
+SELECT feature, cluster, log2fc, CAST(row_number() OVER (PARTITION BY cluster ORDER BY log2fc, feature) AS INTEGER) AS "order"
 FROM fx_tests"""))
 def q_w3(spark, sf):
     t = J.anova_segments(spark, sf).withColumn("log2fc", X.log2_ratio("mean_in_cluster", "mean_out_cluster"))
@@ -547,7 +547,7 @@ def q_w3(spark, sf):
 
 
 @register("w4_question_order", with_ctes(QC, """
-SELECT question, value, n, CAST(list_position(['answer5', 'answer4', 'answer3', 'answer2', 'answer1'], question) AS INTEGER)
+SELECT question, value, n, CAST(list_position(['answer5', 'answer4', 'answer3', 'answer2', 'answer1'], question) AS BIGINT)
   AS level_pos FROM (SELECT question, value, count(*) AS n FROM (UNPIVOT (SELECT answer1, answer2, answer3, answer4, answer5
   FROM fx_questionnaire) ON answer1, answer2, answer3, answer4, answer5 INTO NAME question VALUE value)
   WHERE value IN ('Yes', 'No') GROUP BY question, value)"""))
@@ -823,7 +823,7 @@ def q_t10_li(spark, sf):
 
 
 @register("g_lineitem_top_flags", """SELECT l_returnflag, n, rank FROM (SELECT l_returnflag, n,
-  rank() OVER (ORDER BY n DESC) AS rank FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag))
+  CAST(rank() OVER (ORDER BY n DESC) AS INTEGER) AS rank FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag))
 WHERE rank <= 2""")
 def q_g_li(spark, sf):
     from tessera.sources.tables import table
