@@ -916,3 +916,25 @@ def q_a12_a13(spark, sf):
                                                questions=F.lit(QUESTIONS)).alias("prompt"))
     return A.annotate_resumable(p, A.stub_client, _scratch(spark, "reply-store"), key="id",
                                 prefix="Here is my answer in the requested format:")
+
+
+def _fitted_clusters(spark, sf):
+    """T3 -> T7: k-means (k = 4, seed 1) on the z-scored imputed matrix."""
+    z, _ = T.zscore(J.imputed_wide(spark, sf))
+    clusters, _cost = T.kmeans_clusters(T.assemble(z), k=4, seed=1)
+    return clusters
+
+
+@register("c4_cluster_label_composition")
+def q_c4_comp(spark, sf):
+    """K1 + G9 on fitted clusters: label shares per cluster."""
+    df = _fitted_clusters(spark, sf).join(J.questionnaire(spark, sf).select("id", "label"), "id")
+    return G.composition(df, "cluster", "label")
+
+
+@register("c4_cluster_sum_scores")
+def q_c4_sum(spark, sf):
+    """K1 + X8/X9 + G11 on fitted clusters: questionnaire sum-score distribution."""
+    qn = G.yes_no_recode(J.questionnaire(spark, sf).select("id", *J.ANSWERS), J.ANSWERS)
+    df = G.sum_score(_fitted_clusters(spark, sf).join(qn, "id"), J.ANSWERS)
+    return G.score_distribution(df, "cluster", "sum_score")
