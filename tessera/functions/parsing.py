@@ -19,13 +19,22 @@ def _col(c) -> Column:
 
 
 def json_valid(text) -> Column:
-    """True when ``text`` holds one complete JSON value and nothing else.
-
-    Wrapping the text as the value of a one-key object makes Jackson reject
-    leading prose, truncation and trailing text alike.
+    """True when ``text`` holds exactly one JSON value, as Python's
+    ``json.loads`` would accept it (except bare NaN/Infinity).
+
+    Three JVM-side checks, each closing a gap of the others:
+    the text as the value of a one-key object must parse (rejects leading
+    prose and truncation); the text as the single element of an array must
+    give length 1 (rejects trailing text, including a stray closing brace);
+    and a strict parse must succeed (rejects single-quoted pseudo-JSON and raw
+    control characters inside strings, which Jackson's lenient mode allows).
     """
-    wrapped = F.concat(F.lit('{"v":'), _col(text), F.lit("}"))
-    return F.coalesce(F.get_json_object(wrapped, "$.v").isNotNull(), F.lit(False))
+    t = _col(text)
+    as_value = F.json_object_keys(F.concat(F.lit('{"v":'), t, F.lit("}"))).isNotNull()
+    as_element = F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1
+    strict = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>",
+                         {"allowSingleQuotes": "false"}).isNotNull()
+    return F.coalesce(as_value & as_element & strict, F.lit(False))
 
 
 def unwrap_json_string(text) -> Column:

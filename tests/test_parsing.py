@@ -87,3 +87,20 @@ def test_definitions_and_feature_ids(spark):
     df = spark.createDataFrame([("emotional state", resp)], "category string, response string")
     ids = [r["feature_id"] for r in R.parse_definitions(df).orderBy("pos").collect()]
     assert ids == ["emotionalstate_Help-seeking", "emotionalstate_Emotional_tone"]
+
+
+def test_json_validity_matches_python(spark):
+    import json
+    from tessera.functions.parsing import json_valid
+    cases = ["{'a': 1}", 'null', '{"a": "tab\there"}', '{"a": 1}}', '{"a":1}', '[1,2]', '{"a":1} x', '1] [2',
+             'X}', '"s"', '{"a": 1}\n', '{"a": 1,}', '{"a": 01}', '', '{"a": [1, {"b": null}]}']
+
+    def py(s):
+        try:
+            json.loads(s)
+            return True
+        except ValueError:
+            return False
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    got = [r[0] for r in df.select(json_valid("t")).collect()]
+    assert got == [py(c) for c in cases]
