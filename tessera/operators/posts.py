@@ -120,6 +120,3 @@ def significant(df: DataFrame, p: str = "p", threshold: str = "bonferroni_thresh
 def positive(df: DataFrame, col: str = "log2fc") -> DataFrame:
     return df.where(F.col(col) > 0)
 
-
-def cond(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c

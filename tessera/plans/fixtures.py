@@ -256,13 +256,6 @@ def fx_pair_responses(pairs_with_text: DataFrame) -> DataFrame:
     return apply_stages(pairs_with_text, pair_stages(SPARK)).select("pair_id", "response")
 
 
-def definitions_df(spark) -> DataFrame:
-    """The fixture definition table as a small DataFrame (24 rows)."""
-    rows = [(i, c, n, desc, scale) for i, (c, n, desc, scale) in enumerate(DEFINITIONS)]
-    return spark.createDataFrame(rows, "def_pos int, category string, featurename string, "
-                                       "short_description string, rating string")
-
-
 def app_features_df(spark) -> DataFrame:
     rows = [(i, n, c, desc, opts) for i, (n, c, desc, opts) in enumerate(APP_FEATURES)]
     return spark.createDataFrame(rows, "row_pos int, feature_name string, cluster int, "

@@ -455,9 +455,6 @@ def q_g8(spark, sf):
     return maps.select("id", F.explode("m").alias("feature_name", "score"))
 
 
-_SEGS = "fx_seg"
-
-
 @register("g9_cluster_label_composition", with_ctes(MC, """
 SELECT cluster, label, n, n * 1.0 / sum(n) OVER (PARTITION BY cluster) AS prop FROM
  (SELECT s.cluster, f.label, count(*) AS n FROM fx_seg s JOIN fx_flagged f ON f.id = s.id GROUP BY s.cluster, f.label)"""))
