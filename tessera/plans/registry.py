@@ -935,3 +935,19 @@ def q_c4_sum(spark, sf):
     qn = G.yes_no_recode(J.questionnaire(spark, sf).select("id", *J.ANSWERS), J.ANSWERS)
     df = G.sum_score(_fitted_clusters(spark, sf).join(qn, "id"), J.ANSWERS)
     return G.score_distribution(df, "cluster", "sum_score")
+
+
+@register("s4_pairs_json_roundtrip", with_ctes(PC, "SELECT pair_id, id1, id2 FROM fx_pairs"))
+def q_s4_pairs(spark, sf):
+    """The pair draw saved as a JSON artefact and read back with a schema."""
+    from tessera.sources.tables import write_json
+    path = _scratch(spark, "pairs-json")
+    write_json(J.pairs(spark, sf), path)
+    return spark.read.schema("pair_id int, id1 string, id2 string").json(path)
+
+
+@register("f6_significant_tests")
+def q_f6(spark, sf):
+    """tests whose (rounded) p is below the Bonferroni threshold."""
+    t = T.with_p(T.bonferroni(J.anova_segments(spark, sf)))
+    return P.significant(t, "p", "bonferroni_threshold").select("feature", "cluster", "f", "p", "bonferroni_threshold")
