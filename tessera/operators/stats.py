@@ -191,7 +191,8 @@ def fold_change_table(tests: DataFrame, clusters: Sequence[int], clamp_cluster:
 
 # T10 ------------------------------------------------------------------------
 def spearman_pairwise(long: DataFrame, key: str = "id", feature: str = "feature_id", value: str = "value",
-                      full: bool = True) -> DataFrame:
+                      full: bool = True, max_values_per_task: int = 1_000_000,
+                      buckets: int | None = None) -> DataFrame:
     """Spearman correlation of every feature pair on that pair's complete
     posts, ties as mid-ranks (R ``cor(..., "pairwise.complete.obs", "spearman")``).
 
@@ -200,22 +201,36 @@ def spearman_pairwise(long: DataFrame, key: str = "id", feature: str = "feature_
     p^2/2 x (distinct values)^2 cells. Mid-ranks come from cumulative marginal
     counts inside each pair, centred at (n+1)/2 before the weighted sums, so no
     large-number cancellation. A constant side gives NULL.
+
+    Rating scales give a few cells per pair, and one pair's window fits one
+    task. When a feature has more than ``max_values_per_task`` distinct values
+    (estimated with ``approx_count_distinct``), ranks come from ``buckets``
+    value ranges instead: mergeable approximate quantile cuts per feature
+    (p x buckets numbers, broadcast), per-bucket totals turned into offsets,
+    and windows over (pair, bucket) only. The ranks stay exact; the cuts only
+    decide how the work is split.
     """
     v = long.where(F.col(value).isNotNull()).select(key, feature, value)
     a = v.select(key, F.col(feature).alias("f1"), F.col(value).alias("v1"))
     b = v.select(key, F.col(feature).alias("f2"), F.col(value).alias("v2"))
     cells = (a.join(b, key).where(F.col("f1") < F.col("f2"))
              .groupBy("f1", "f2", "v1", "v2").agg(F.count(F.lit(1)).alias("c")))
-    # every window below shares the (f1, f2) partitioning: one exchange of the cells
-    pair = Window.partitionBy("f1", "f2")
-
-    def upto(side):   # count of complete posts with a value <= this cell's value (ties included)
-        return F.sum("c").over(pair.orderBy(side).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-
-    x = (cells.withColumn("n", F.sum("c").over(pair))
-         .withColumn("k1", F.sum("c").over(Window.partitionBy("f1", "f2", "v1")))
-         .withColumn("k2", F.sum("c").over(Window.partitionBy("f1", "f2", "v2")))
-         .withColumn("u1", upto("v1")).withColumn("u2", upto("v2")))
+    if buckets is None:
+        most = v.groupBy(feature).agg(F.approx_count_distinct(value).alias("nd")).agg(F.max("nd")).first()[0] or 0
+        buckets = max(1, -(-int(most) // max_values_per_task))
+    if buckets <= 1:
+        # every window below shares the (f1, f2) partitioning: one exchange of the cells
+        pair = Window.partitionBy("f1", "f2")
+
+        def upto(side):   # complete posts with a value <= this cell's value (ties included)
+            return F.sum("c").over(pair.orderBy(side).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+
+        x = (cells.withColumn("n", F.sum("c").over(pair))
+             .withColumn("k1", F.sum("c").over(Window.partitionBy("f1", "f2", "v1")))
+             .withColumn("k2", F.sum("c").over(Window.partitionBy("f1", "f2", "v2")))
+             .withColumn("u1", upto("v1")).withColumn("u2", upto("v2")))
+    else:
+        x = _bucketed_ranks(v, cells, feature, value, buckets)
     # mid-rank = (#below) + (ties + 1) / 2, centred at (n + 1) / 2
     d1 = F.col("u1") - (F.col("k1") - 1) / 2.0 - (F.col("n") + 1) / 2.0
     d2 = F.col("u2") - (F.col("k2") - 1) / 2.0 - (F.col("n") + 1) / 2.0
@@ -239,6 +254,39 @@ def spearman_pairwise(long: DataFrame, key: str = "id", feature: str = "feature_
     return both.unionByName(diag)
 
 
+def _bucketed_ranks(v: DataFrame, cells: DataFrame, feature: str, value: str, buckets: int) -> DataFrame:
+    """Cells with n, k1/k2 (ties) and u1/u2 (posts <= value) per pair, computed
+    without a window over a whole pair: value ranges from approximate
+    quantile cuts bound every window partition to one (pair, bucket)."""
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = v.groupBy(F.col(feature).alias("f")).agg(
+        F.percentile_approx(value, probs, 10_000).alias("cuts"))          # p x (buckets - 1) numbers
+    cuts = F.broadcast(cuts)
+    def below(col_name):
+        return lambda t: t < F.col(col_name)
+
+    x = cells
+    for side, f in (("1", "f1"), ("2", "f2")):
+        x = (x.join(cuts.select(F.col("f").alias(f), F.col("cuts").alias("cuts" + side)), f, "left")
+             .withColumn("b" + side, F.size(F.filter(F.col("cuts" + side), below("v" + side))))
+             .drop("cuts" + side))
+    n = x.groupBy("f1", "f2").agg(F.sum("c").alias("n"))
+    x = x.join(n, ["f1", "f2"])
+    for side in ("1", "2"):
+        vs, bs = "v" + side, "b" + side
+        marg = x.groupBy("f1", "f2", bs, vs).agg(F.sum("c").alias("k" + side))
+        tot = marg.groupBy("f1", "f2", bs).agg(F.sum("k" + side).alias("bt"))
+        # offsets: posts in lower buckets of the same pair (a window over <= buckets rows)
+        tot = tot.withColumn("off", F.sum("bt").over(
+            Window.partitionBy("f1", "f2").orderBy(bs).rowsBetween(Window.unboundedPreceding, -1)))
+        within = Window.partitionBy("f1", "f2", bs).orderBy(vs).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        marg = (marg.join(tot.select("f1", "f2", bs, "off"), ["f1", "f2", bs])
+                .withColumn("u" + side, F.coalesce(F.col("off"), F.lit(0)) + F.sum("k" + side).over(within))
+                .drop("off"))
+        x = x.join(marg, ["f1", "f2", bs, vs])
+    return x
+
+
 # MLlib -----------------------------------------------------
 def assemble(wide: DataFrame, key: str = "id", out: str = "features") -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
