@@ -29,6 +29,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     active = SparkSession.getActiveSession()
     if active is not None:
         ensure_checkpoint_dir(active)
+        ship_package(active)
         return active
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -41,6 +42,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -75,3 +77,37 @@ def materialize(df, spark: SparkSession | None = None, name: str = "stage"):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable in every Python worker (mapInPandas
+    model calls, pandas UDFs): zip the package once per application and
+    register it with ``addPyFile``, as ``spark-submit --py-files`` would.
+    The zip goes under ``spark.checkpoint.dir`` when that is a local or
+    mounted path; Spark then serves it to the executors."""
+    import hashlib
+    import os
+    import zipfile
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    files = sorted(os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
+    digest = hashlib.md5(b"".join(open(f, "rb").read() for f in files)).hexdigest()[:12]
+    base = ensure_checkpoint_dir(spark)
+    if "://" in base and not base.startswith("file://"):
+        base = tempfile.mkdtemp(prefix="tessera-code-")      # non-POSIX store: ship from the driver
+    base = base.replace("file://", "")
+    os.makedirs(os.path.join(base, "code"), exist_ok=True)
+    target = os.path.join(base, "code", f"tessera-{digest}.zip")
+    if not os.path.exists(target):
+        tmp = f"{target}.{os.getpid()}.part"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in files:
+                z.write(f, os.path.join("tessera", os.path.relpath(f, pkg)))
+        os.replace(tmp, target)
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
