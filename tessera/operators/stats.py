@@ -215,6 +215,30 @@ def spearman_pairwise(long: DataFrame, key: str = "id", feature: str = "feature_
     b = v.select(key, F.col(feature).alias("f2"), F.col(value).alias("v2"))
     cells = (a.join(b, key).where(F.col("f1") < F.col("f2"))
              .groupBy("f1", "f2", "v1", "v2").agg(F.count(F.lit(1)).alias("c")))
+    return _spearman_from_cells(cells, v, feature, value, full, max_values_per_task, buckets)
+
+
+def spearman_pairwise_wide(wide: DataFrame, features: Sequence[str], full: bool = True,
+                           max_values_per_task: int = 1_000_000, buckets: int | None = None) -> DataFrame:
+    """T10 on a wide table (one row per post, one column per feature, NULL
+    where missing) - the shape R's ``cor(mat)`` takes. Every feature pair's
+    (v1, v2) is generated inside the row and counted map-side, so only the
+    cell counts are shuffled: no exchange of raw rows, no join."""
+    feats = sorted(features)
+    pairs = [(a, b) for i, a in enumerate(feats) for b in feats[i + 1:]]
+    arr = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"`{a}`").cast("double").alias("v1"),
+                             F.col(f"`{b}`").cast("double").alias("v2")) for a, b in pairs])
+    cells = (wide.select(F.inline(arr)).where(F.col("v1").isNotNull() & F.col("v2").isNotNull())
+             .groupBy("f1", "f2", "v1", "v2").agg(F.count(F.lit(1)).alias("c")))
+    v = (wide.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in feats])
+         .unpivot([], feats, "feature_id", "value").where(F.col("value").isNotNull()))
+    return _spearman_from_cells(cells, v, "feature_id", "value", full, max_values_per_task, buckets)
+
+
+def _spearman_from_cells(cells: DataFrame, v: DataFrame, feature: str, value: str, full: bool,
+                         max_values_per_task: int, buckets: int | None) -> DataFrame:
+    """Mid-ranks and centred weighted sums from (f1, f2, v1, v2, c) cells; ``v``
+    is the long (feature, value) table for the diagonal and the bucket cuts."""
     if buckets is None:
         most = v.groupBy(feature).agg(F.approx_count_distinct(value).alias("nd")).agg(F.max("nd")).first()[0] or 0
         buckets = max(1, -(-int(most) // max_values_per_task))

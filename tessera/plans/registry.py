@@ -802,11 +802,11 @@ def q_t5_ev(spark, sf):
     return T.one_vs_rest_anova(ev)
 
 
-@register("t10_lineitem_spearman", """WITH li AS (SELECT l_orderkey || '-' || l_linenumber AS id,
-  l_quantity, l_discount, l_tax FROM lineitem),
-s_v AS (SELECT id, feature_id, value AS rating FROM li UNPIVOT (value FOR feature_id IN (l_quantity, l_discount, l_tax))),
-s_pairs AS (SELECT a.feature_id AS f1, b.feature_id AS f2, a.rating AS v1, b.rating AS v2
-  FROM s_v a JOIN s_v b ON a.id = b.id AND a.feature_id < b.feature_id),
+@register("t10_lineitem_spearman", """WITH s_pairs AS (SELECT 'l_discount' AS f1, 'l_quantity' AS f2, l_discount AS v1, l_quantity AS v2 FROM lineitem WHERE l_discount IS NOT NULL AND l_quantity IS NOT NULL
+  UNION ALL SELECT 'l_discount' AS f1, 'l_tax' AS f2, l_discount AS v1, l_tax AS v2 FROM lineitem WHERE l_discount IS NOT NULL AND l_tax IS NOT NULL
+  UNION ALL SELECT 'l_quantity' AS f1, 'l_tax' AS f2, l_quantity AS v1, l_tax AS v2 FROM lineitem WHERE l_quantity IS NOT NULL AND l_tax IS NOT NULL),
+s_v AS (SELECT feature_id, value AS rating FROM (SELECT l_quantity, l_discount, l_tax FROM lineitem)
+  UNPIVOT (value FOR feature_id IN (l_quantity, l_discount, l_tax))),
 s_rank AS (SELECT f1, f2,
   rank() OVER (PARTITION BY f1, f2 ORDER BY v1) + (count(*) OVER (PARTITION BY f1, f2, v1) - 1) / 2.0 AS r1,
   rank() OVER (PARTITION BY f1, f2 ORDER BY v2) + (count(*) OVER (PARTITION BY f1, f2, v2) - 1) / 2.0 AS r2 FROM s_pairs),
@@ -814,9 +814,11 @@ s_upper AS (SELECT f1, f2, CASE WHEN var_pop(r1) > 0 AND var_pop(r2) > 0 THEN co
   count(*) AS n_complete FROM s_rank GROUP BY f1, f2)
 SELECT * FROM s_upper UNION ALL SELECT f2 AS f1, f1 AS f2, rho, n_complete FROM s_upper
 UNION ALL SELECT feature_id AS f1, feature_id AS f2, CASE WHEN min(rating) < max(rating) THEN 1.0 END AS rho,
-  count(*) AS n_complete FROM s_v GROUP BY feature_id""")
+  count(*) AS n_complete FROM s_v WHERE rating IS NOT NULL GROUP BY feature_id""")
 def q_t10_li(spark, sf):
-    return T.spearman_pairwise(_lineitem_long(spark, sf).drop("cluster"))
+    """Wide source: pairs are generated inside each lineitem row (no shuffle of raw rows)."""
+    from tessera.sources.tables import table
+    return T.spearman_pairwise_wide(table(spark, sf, "lineitem"), list(_LI_VALS))
 
 
 @register("g_lineitem_top_flags", """SELECT l_returnflag, n, rank FROM (SELECT l_returnflag, n,

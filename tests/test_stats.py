@@ -144,3 +144,16 @@ def test_spearman_bucketed_ranks_equal_single_window(spark):
     pdf = pd.DataFrame(rows, columns=["id", "feature_id", "value"]).pivot(index="id", columns="feature_id", values="value")
     both = pdf[["a", "b"]].dropna()
     assert abs(many[("a", "b")] - both["a"].rank().corr(both["b"].rank())) < 1e-12
+
+
+def test_spearman_wide_equals_long(spark):
+    rng = np.random.default_rng(21)
+    rows = [(f"p{i}", *[None if rng.random() < 0.15 else float(rng.integers(0, 4)) for _ in range(4)])
+            for i in range(300)]
+    wide = spark.createDataFrame(rows, "id string, a double, b double, c double, d double")
+    long = T.to_long(wide).where("value IS NOT NULL")
+    w = {(r.f1, r.f2): (r.rho, r.n_complete) for r in T.spearman_pairwise_wide(wide, ["a", "b", "c", "d"]).collect()}
+    lg = {(r.f1, r.f2): (r.rho, r.n_complete) for r in T.spearman_pairwise(long).collect()}
+    assert w.keys() == lg.keys()
+    for k in w:
+        assert w[k][1] == lg[k][1] and abs(w[k][0] - lg[k][0]) < 1e-12
