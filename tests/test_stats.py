@@ -157,3 +157,15 @@ def test_spearman_wide_equals_long(spark):
     assert w.keys() == lg.keys()
     for k in w:
         assert w[k][1] == lg[k][1] and abs(w[k][0] - lg[k][0]) < 1e-12
+
+
+def test_spearman_known_features_path_equals_self_join(spark):
+    rng = np.random.default_rng(22)
+    rows = [(f"p{i}", f, float(rng.integers(0, 4))) for i in range(200) for f in ("x-1", "y z", "w")
+            if rng.random() > 0.2]
+    long = spark.createDataFrame(rows, "id string, feature_id string, value double")
+    a = {(r.f1, r.f2): (r.rho, r.n_complete) for r in T.spearman_pairwise(long).collect()}
+    b = {(r.f1, r.f2): (r.rho, r.n_complete) for r in T.spearman_pairwise(long, features=["x-1", "y z", "w"]).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k][1] == b[k][1] and abs(a[k][0] - b[k][0]) < 1e-12
