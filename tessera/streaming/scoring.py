@@ -23,7 +23,7 @@ from tessera.operators.annotate import annotate
 def _last_value(m: Column, name: str) -> Column:
     """Value of the last occurrence of ``name`` in a parsed reply map."""
     hits = F.filter(F.reverse(F.map_entries(m)), lambda e: e["key"] == F.lit(name))
-    return F.element_at(hits, 1)["value"]
+    return F.try_element_at(hits, F.lit(1))["value"]      # absent name -> NULL, never an error
 
 
 def row_cluster_means(replies: DataFrame, lookup: Sequence[tuple[str, int]], key: str = "id") -> DataFrame:

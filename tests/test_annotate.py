@@ -101,3 +101,15 @@ def test_annotate_resumable_sends_each_prompt_once(spark, tmp_path):
     assert second["a"] == first["a"] and second["b"] == first["b"]     # reused, not re-sent
     assert second["c"].startswith("flaky:")                             # failed call retried
     assert spark.read.parquet(store).count() == 3
+
+
+def test_row_cluster_means_last_key_wins_and_empty_clusters_omitted(spark):
+    from tessera.streaming.scoring import row_cluster_means
+    lookup = [("a", 1), ("b", 1), ("c", 2), ("a", 3)]
+    replies = spark.createDataFrame([
+        ("p1", '{"a": 1, "b": 2, "a": 3, "zz": 9}'),     # a -> 3 (last wins); cluster 2 has no feature present
+        ("p2", '{"c": "high", "b": 1}'),                 # c present but not numeric -> mean NULL for cluster 2
+        ("p3", "not json"),
+    ], "id string, response string")
+    got = {(r["id"], r["cluster"]): r["mean_score"] for r in row_cluster_means(replies, lookup).collect()}
+    assert got == {("p1", 1): 2.5, ("p1", 3): 3.0, ("p2", 1): 1.0, ("p2", 2): None}
