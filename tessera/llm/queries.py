@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing, rules, sharding, simhash
+from tessera.llm import decontaminate, mixing, rules, sharding, simhash, suffix_dedup, window_dedup
 from tessera.llm.common import read
 
 
@@ -29,13 +29,25 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without 50-byte strings that start in an earlier one."""
+    found = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), length=50)
+    return found.select("doc_id", "n_bytes", "n_removed", F.expr("size(spans) div 2").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without 50-word windows that start in an earlier one."""
+    found = window_dedup.remove_repeats(read(spark, sf_dir, "documents"), words=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_mix, op5_shard, op6_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_mix, op5_shard, op6_rules, op7_suffix_dedup, op8_window_dedup, op10_simhash)}
 
 
 # Oracles ---------------------------------------------------------------------
@@ -119,4 +131,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 10 * n_stutter > 3 * n_words OR 2 * n_dup_lines > len(lines) OR word_chars > 30 * n_words) AS kept FROM v
 """
 
-ORACLE = {"op1_decontaminate": _OP1, "op3_mix": _OP3, "op6_rules": _OP6}
+_OP8 = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM w, unnest(range(1, greatest(len(w) - 49, 0) + 1)) AS r(i)),
+late AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS least FROM win) WHERE least < doc_id),
+gone AS (SELECT doc_id, list(DISTINCT j) AS js FROM late, unnest(range(i, i + 50)) AS r(j) GROUP BY doc_id),
+words AS (SELECT doc_id, i, w[i] AS word FROM w, unnest(range(1, len(w) + 1)) AS r(i)),
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM words LEFT JOIN (SELECT doc_id, unnest(js) AS i FROM gone) AS g USING (doc_id, i)
+         WHERE g.doc_id IS NULL GROUP BY words.doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
+ORACLE = {"op1_decontaminate": _OP1, "op3_mix": _OP3, "op6_rules": _OP6, "op8_window_dedup": _OP8}
