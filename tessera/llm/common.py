@@ -9,6 +9,7 @@ no row per word or byte is ever shuffled.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import materialize, ship_package
+from tessera.session import ensure_checkpoint_dir, materialize
+from tessera.session import ship_package as _ship
 
 __all__ = ["materialize", "ship_package", "read", "require", "n_shards", "chunks", "unpack", "texts", "sliced",
            "planes", "unplanes", "exchange", "components", "empty"]
@@ -27,6 +29,19 @@ __all__ = ["materialize", "ship_package", "read", "require", "n_shards", "chunks
 CHUNK_BYTES = 4_000_000
 
 
+#: Rows in one Arrow batch, where the session keeps Spark's default of 10,000: texts are long, and a task holds a
+#: batch in several forms at a time.
+ARROW_ROWS = 1000
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers and keep Arrow batches of texts small."""
+    _ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of the data folder."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -134,6 +149,17 @@ def unplanes(b: bytes, dtype=np.uint64) -> np.ndarray:
     return raw.view(dtype.newbyteorder(">")).ravel().astype(dtype)
 
 
+def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    """``df`` written once to the checkpoint folder in ``n`` buckets by ``key``: later groupings by it need no shuffle.
+
+    The rows lie under a table of a fresh name in the session's catalog, which holds just the path and the buckets.
+    """
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/{table}"
+    df.write.bucketBy(n, key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def exchange(sent: DataFrame, answer: Callable[[list[bytes]], list[bytes]], n: int) -> DataFrame:
     """Answer (shard int, chunk long, blob binary): ``answer`` gets all blobs of a shard and returns one for each.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing, rules, sharding, simhash, suffix_dedup, window_dedup
+from tessera.llm import decontaminate, kneser_ney, licenses, mixing, privacy, rules, sharding, simhash, suffix_dedup, window_dedup
 from tessera.llm.common import read
 
 
@@ -14,11 +14,27 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document: the best one, and all with their places."""
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    best = F.get(F.array_sort(F.transform("matches", lambda m: F.struct((-m["dice"]).alias("d"), m["template"].alias("t")))), F.lit(0))
+    listed = F.transform("matches", lambda m: F.concat_ws(":", m["template"], m["first"].cast("string"), m["end"].cast("string")))
+    return found.select("doc_id", "n_segments", F.size("matches").cast("long").alias("n_matches"), best["t"].alias("license"),
+                        F.round(-best["d"], 6).alias("dice"), F.array_join(listed, ",").alias("matches"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is taken, for a budget of as many tokens as there are."""
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op4_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity under a model of the labelled good documents, and the verdict."""
+    trusted = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    found = kneser_ney.classify(read(spark, sf_dir, "documents"), trusted)
+    return found.withColumns({c: F.round(c, 4) for c in ("perplexity", "threshold")})
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     return sharding.shard(read(spark, sf_dir, "documents"), 40)
@@ -41,13 +57,22 @@ def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = privacy.find(read(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in privacy.KINDS], F.sha2(privacy.listed(F.col("base")), 256).alias("base_sha256"),
+                        privacy.listed(F.col("spans")).alias("spans"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_mix, op5_shard, op6_rules, op7_suffix_dedup, op8_window_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_mix, op4_perplexity, op5_shard, op6_rules, op7_suffix_dedup,
+                                        op8_window_dedup, op9_privacy, op10_simhash)}
 
 
 # Oracles ---------------------------------------------------------------------
