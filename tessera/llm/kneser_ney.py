@@ -1,8 +1,8 @@
 """Perplexity by an interpolated modified Kneser-Ney model of bytes, trained on trusted text, one model a language.
 
 Counts of trusted ``ORDER``-grams are merged shard by shard and become the
-tables of a model by joins and aggregations of DataFrames. To score, every chunk
-sends its distinct grams and contexts of all orders to their shards, joins the
+tables of a model by joins and aggregations of DataFrames. To score, every group of
+chunks sends its distinct grams and contexts of all orders to their shards, joins the
 probabilities and back-off weights that come back, and sums them up by document.
 Texts are written once, bucketed by chunk, and never shuffled.
 """
@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucketed, chunks, materialize, n_shards, planes, require, ship_package, texts, unpack, unplanes
+from tessera.llm.common import CHUNK_BYTES, bucketed, chunks, materialize, n_shards, planes, require, ship_package, texts, unpack, unplanes
 
 #: Bytes in a gram. A key holds up to five bytes and, above them, how many these are.
 ORDER = 5
 #: Shards are keys modulo this prime, modulo their number, in numpy and in Spark alike.
 PRIME = 1_000_003
+#: Chunks of a task that ask for their keys together: what many documents share is then asked for once.
+GROUP = 8
 #: A document stays if its perplexity is not above this quantile of its language's trusted documents.
 QUANTILE = 0.998
 #: Cells of log-perplexity in which quantiles are counted.
@@ -75,38 +77,50 @@ def _languages(batch: pa.RecordBatch):
 
 
 def _send(own, trusted, n: int):
-    """Kind 0: counts of the trusted documents' grams. Kind 1: the keys that the chunk asks for."""
+    """Kind 0: counts of the trusted documents' grams. Kind 1: the keys that the group's chunks ask for."""
     import pandas as pd
-    out = []
-    for chunk, blob in zip(own["chunk"], own["blob"]):
+    known = np.concatenate([np.asarray(x, np.int64) for x in trusted["ids"]]) if len(trusted) else np.zeros(0, np.int64)
+    counted: dict[str, list] = {}
+    asked: dict[str, list] = {}
+    for blob in own["blob"]:
         batch = unpack(blob)
-        known = np.concatenate([np.asarray(x, np.int64) for x in trusted["ids"]]) if len(trusted) else np.zeros(0, np.int64)
-        good = np.isin(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), known) & ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        ids = batch.column(0)
+        good = np.isin(ids.fill_null(-1).to_numpy(zero_copy_only=False), known) & ~ids.is_null().to_numpy(zero_copy_only=False)
         for lang, rows, data, offsets in _languages(batch):
             codes, doc = grams(data, offsets)
-            own_grams, counts = np.unique(codes[good[rows][doc]], return_counts=True)
-            order, cuts = _by_shard(own_grams, n)
-            for s in range(n):
-                pick = order[cuts[s]:cuts[s + 1]]
-                if len(pick):
-                    out.append((0, lang, s, chunk, planes(own_grams[pick]) + planes(counts[pick].astype(np.uint32))))
-            keys = queried(np.unique(codes)) if len(codes) else codes
-            order, cuts = _by_shard(keys, n)
-            out.extend((1, lang, s, chunk, planes(keys[order[cuts[s]:cuts[s + 1]]])) for s in range(n) if cuts[s + 1] > cuts[s])
+            counted.setdefault(lang, []).append(np.unique(codes[good[rows][doc]], return_counts=True))
+            if len(codes):
+                asked.setdefault(lang, []).append(queried(np.unique(codes)))
+    out = []
+    for lang, parts in counted.items():
+        own_grams, counts = _summed(parts)
+        order, cuts = _by_shard(own_grams, n)
+        for s in range(n):
+            pick = order[cuts[s]:cuts[s + 1]]
+            if len(pick):
+                out.append((0, lang, s, own["chunk"].iloc[0], planes(own_grams[pick]) + planes(counts[pick].astype(np.uint32))))
+    for lang, parts in asked.items():
+        keys = np.unique(np.concatenate(parts))
+        order, cuts = _by_shard(keys, n)
+        out.extend((1, lang, s, own["chunk"].iloc[0], planes(keys[order[cuts[s]:cuts[s + 1]]])) for s in range(n) if cuts[s + 1] > cuts[s])
     return pd.DataFrame(out, columns=["kind", "lang", "shard", "chunk", "blob"])
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    found, place = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return found, np.bincount(place, np.concatenate([c for _, c in parts]).astype(np.float64), minlength=len(found)).astype(np.int64)
+
+
 def _merge(pdf):
     """Counts of a (language, shard) over all chunks."""
     import pandas as pd
     parts = [(unplanes(b[:8 * (len(b) // 12)]), unplanes(b[8 * (len(b) // 12):], np.uint32)) for b in pdf["blob"]]
-    grams_, place = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-    total = np.bincount(place, np.concatenate([c for _, c in parts]).astype(np.float64)).astype(np.int64)
-    return pd.DataFrame({"lang": pdf["lang"].iloc[0], "gram": grams_.astype(np.int64), "c": total})
+    found, total = _summed(parts)
+    return pd.DataFrame({"lang": pdf["lang"].iloc[0], "gram": found.astype(np.int64), "c": total})
 
 
 def model(counts: DataFrame) -> DataFrame:
-    """(lang, key, logp, logb) from counts (lang, gram, c) of ``ORDER``-grams.
+    """(lang, key, logp float, logb float), one of the two null in each row, from counts (lang, gram, c) of ``ORDER``-grams.
 
     The highest order counts occurrences, the others the distinct bytes seen before a gram. Each order has the
     discounts of modified Kneser-Ney (one, two, three or more) from its own counts of counts; a discount that these do
@@ -138,13 +152,13 @@ def model(counts: DataFrame) -> DataFrame:
             g = g.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1))).join(below, ["lang", "suffix"])
         p = materialize(g.select("lang", "gram", ((F.col("c") - F.col("d")) / F.col("total") + F.col("weight") * F.col("low")).alias("p")), spark, f"p{n}")
         below = p.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("low"))
-        tables.append(p.select("lang", (F.col("gram").bitwiseOR(F.lit(n << 40))).alias("key"), F.log("p").alias("logp"), F.lit(None).cast("double").alias("logb")))
-        tables.append(contexts.select("lang", (F.col("context").bitwiseOR(F.lit((n - 1) << 40))).alias("key"), F.lit(None).cast("double").alias("logp"),
-                                      F.log("weight").alias("logb")))
+        tables.append(p.select("lang", (F.col("gram").bitwiseOR(F.lit(n << 40))).alias("key"), F.log("p").cast("float").alias("logp"), F.lit(None).cast("float").alias("logb")))
+        tables.append(contexts.select("lang", (F.col("context").bitwiseOR(F.lit((n - 1) << 40))).alias("key"), F.lit(None).cast("float").alias("logp"),
+                                      F.log("weight").cast("float").alias("logb")))
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    return out.groupBy("lang", "key").agg(F.max("logp").alias("logp"), F.max("logb").alias("logb"))
+    return out
 
 
 def _look_up(table, asked):
@@ -152,18 +166,21 @@ def _look_up(table, asked):
     import pandas as pd
     if not len(asked):
         return pd.DataFrame(columns=["kind", "lang", "shard", "chunk", "blob"])
-    table = table.sort_values("key")
-    keys = table["key"].to_numpy().astype(_U)
-    logp, logb = table["logp"].to_numpy(np.float32), np.nan_to_num(table["logb"].to_numpy(np.float32))
+    tables = []
+    for name in ("logp", "logb"):
+        own = table[table[name].notna()].sort_values("key")
+        tables.append((own["key"].to_numpy().astype(_U), own[name].to_numpy(np.float32)))
     out = []
     for lang, shard, chunk, blob in zip(asked["lang"], asked["shard"], asked["chunk"], asked["blob"]):
-        want = unplanes(blob)
-        p, b = np.full(len(want), np.nan, np.float32), np.zeros(len(want), np.float32)
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            hit = keys[at] == want
-            p[hit], b[hit] = logp[at[hit]], logb[at[hit]]
-        out.append((1, lang, shard, chunk, p.tobytes() + b.tobytes()))
+        want, got = unplanes(blob), []
+        for (keys, values), missing in zip(tables, (np.nan, 0)):
+            found = np.full(len(want), missing, np.float32)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                hit = keys[at] == want
+                found[hit] = values[at[hit]]
+            got.append(planes(found.view(np.uint32)))
+        out.append((1, lang, shard, chunk, b"".join(got)))
     return pd.DataFrame(out, columns=["kind", "lang", "shard", "chunk", "blob"])
 
 
@@ -181,44 +198,52 @@ def log_probabilities(codes: np.ndarray, keys: np.ndarray, logp: np.ndarray, log
     return out
 
 
+def _reply(own, replies, n: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per language the group's sorted keys with the log-probabilities and log weights that came back."""
+    asked: dict[str, list] = {}
+    for blob in own["blob"]:
+        for lang, _, data, offsets in _languages(unpack(blob)):
+            if len(data):
+                asked.setdefault(lang, []).append(queried(np.unique(grams(data, offsets)[0])))
+    out = {}
+    for lang, parts in asked.items():
+        keys = np.unique(np.concatenate(parts))
+        order, cuts = _by_shard(keys, n)
+        mine = replies[replies["lang"] == lang]
+        got = dict(zip(mine["shard"].tolist(), mine["blob"].tolist()))
+        both = np.empty((2, len(keys)), np.float32)
+        for s in range(n):
+            pick = order[cuts[s]:cuts[s + 1]]
+            if len(pick):
+                both[:, pick] = [unplanes(x, np.uint32).view(np.float32) for x in (got[s][:4 * len(pick)], got[s][4 * len(pick):])]
+        out[lang] = keys, both[0], both[1]
+    return out
+
+
 def _score(own, replies, n: int, id_col: str):
     import pandas as pd
-    frames = []
+    frames, got = [], _reply(own, replies, n)
     for blob in own["blob"]:
         batch = unpack(blob)
         size, total = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, np.nan)
         for lang, rows, data, offsets in _languages(batch):
             size[rows] = np.diff(offsets)
             codes, doc = grams(data, offsets)
-            if not len(codes):
+            if not len(codes) or np.isnan(got[lang][1]).all():          # no trusted text in this language
                 continue
             order = np.argsort(codes)
             ranked = codes[order]
             first = np.append(True, ranked[1:] != ranked[:-1])
             place = np.empty(len(codes), np.int64)
             place[order] = np.cumsum(first) - 1
-            distinct = ranked[first]
-            keys = queried(distinct)
-            by_shard, cuts = _by_shard(keys, n)
-            mine = replies[replies["lang"] == lang]
-            got = dict(zip(mine["shard"].tolist(), mine["blob"].tolist()))
-            logp, logb = np.empty(len(keys), np.float32), np.empty(len(keys), np.float32)
-            for s in range(n):
-                pick = by_shard[cuts[s]:cuts[s + 1]]
-                if len(pick):
-                    both = np.frombuffer(got[s], np.float32)
-                    logp[pick], logb[pick] = both[:len(pick)], both[len(pick):]
-            if np.isnan(logp).all():                                    # no trusted text in this language
-                continue
-            each = log_probabilities(distinct, keys, logp, logb)[place]
-            total[rows] = np.bincount(doc, each, minlength=len(rows))
+            total[rows] = np.bincount(doc, log_probabilities(ranked[first], *got[lang])[place], minlength=len(rows))
         mean = np.divide(-total, size, out=np.full(len(size), np.nan), where=size > 0)
-        frames.append(pd.DataFrame({id_col: batch.column(0).to_pandas(types_mapper=pd.ArrowDtype), "lang": batch.column(1).to_pandas(types_mapper=pd.ArrowDtype),
-                                    "n_bytes": size, "nll": pd.Series(mean).astype("Float64").where(~np.isnan(mean))}))
+        frames.append(pd.DataFrame({id_col: pd.array(batch.column(0).to_pylist(), "Int64"), "lang": pd.Series(batch.column(1).to_pylist(), dtype=object), "n_bytes": size, "nll": pd.Series(mean).astype("Float64").where(~np.isnan(mean))}))
     return pd.concat(frames) if frames else pd.DataFrame(columns=[id_col, "lang", "n_bytes", "nll"])
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                 chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(id long, lang, n_bytes long, nll double) of every row: mean negative log-probability a byte, null where the
     text is empty or the language has no trusted text. ``trusted`` holds the ids of trusted documents."""
     require(docs, id_col, text_col, lang_col)
@@ -227,7 +252,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
     ship_package(spark)
     n = n_shards(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    packed = bucketed(chunks(rows, "id", "lang"), "chunk", n, "chunks")
+    grouped = chunks(rows, "id", "lang", limit=chunk_bytes).withColumn("chunk", F.col("chunk") - F.pmod("chunk", F.lit(GROUP)))
+    packed = bucketed(grouped, "chunk", n, "chunks")
 
     def ids(batches):
         for b in batches:
@@ -242,7 +268,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
         return _score(own, replies, n, id_col)
 
     good = trusted.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
-    known = packed.mapInArrow(ids, "chunk long, id long").join(good, "id").groupBy("chunk").agg(F.collect_list("id").alias("ids"))    # a chunk's at most
+    known = packed.mapInArrow(ids, "chunk long, id long").join(good, "id").groupBy("chunk").agg(F.collect_list("id").alias("ids"))    # a group's at most
     sent = materialize(packed.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(send, _SENT), spark, "sent")
     counts = sent.where("kind = 0").groupBy("lang", "shard").applyInPandas(_merge, "lang string, gram long, c long")
     table = model(counts).withColumn("shard", F.pmod(F.pmod("key", F.lit(PRIME)), F.lit(n)).cast("int"))

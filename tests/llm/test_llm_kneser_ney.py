@@ -56,9 +56,9 @@ def brute(rows, trusted):
     return out
 
 
-def check(df, trusted, spark):
+def check(df, trusted, spark, **kw):
     ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
-    got = sorted(map(tuple, K.perplexities(df, ids).collect()), key=repr)
+    got = sorted(map(tuple, K.perplexities(df, ids, **kw).collect()), key=repr)
     want = sorted(brute([(r.doc_id, r.text, r.lang) for r in df.collect()], trusted), key=repr)
     assert [x[:3] for x in got] == [x[:3] for x in want]
     for a, b in zip(got, want):
@@ -69,6 +69,10 @@ def test_documents(spark, documents):
     check(documents.limit(60).cache(), set(range(0, 300, 2)), spark)
 
 
+def test_many_chunks_in_a_group(spark, documents):
+    check(documents.limit(60).coalesce(1).cache(), set(range(0, 300, 2)), spark, chunk_bytes=5000)
+
+
 def test_odd_rows(spark, odd, none):
     small = odd.where("length(text) < 3000 or text is null")
     check(small, {1, 2, 3, 4, 6, 11, 100, 101, 102, 103, 104, 105, 110, 120}, spark)
