@@ -29,15 +29,20 @@ _HASHES = ((11, 0x9FB21C651E98DF25), (12, 0xC2B2AE3D27D4EB4F))
 _LAST = np.iinfo(np.int64).max
 
 
+#: Bytes hashed at a time, and the longest run of powers that is kept for the next.
+_BLOCK, _KEPT = 1 << 18, 1 << 20
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """``base`` to the powers 1 to ``n``; kept for the next chunk, which is about as long."""
-    if len(_POWERS.get(base, ())) < n:
-        with np.errstate(over="ignore"):
-            _POWERS[base] = np.cumprod(np.full(n, base, np.uint64))
-    return _POWERS[base][:n]
+    """``base`` to the powers 1 to ``n``."""
+    if len(_POWERS.get(base, ())) >= n:
+        return _POWERS[base][:n]
+    with np.errstate(over="ignore"):
+        out = np.cumprod(np.full(n, base, np.uint64))
+    if n <= _KEPT:
+        _POWERS[base] = out
+    return out
 
 
 class Words:
@@ -63,10 +68,16 @@ class Words:
     def hashes(self, which: int) -> np.ndarray:
         """64-bit hash of each word, from prefix sums of byte values times powers of an odd base."""
         seed, base = _HASHES[which]
-        powers, back = _powers(base, len(self.data) + 1), _powers(pow(base, -1, 1 << 64), len(self.data) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table(seed)[self.data] * powers[:-1], dtype=np.uint64)))
-            return mix((sums[self.ends] - sums[self.starts]) * back[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        values, out = table(seed), np.empty(len(self.starts), np.uint64)
+        edges = np.unique(np.searchsorted(self.starts, np.append(np.arange(0, len(self.data), _BLOCK), len(self.data))))
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            a, b = int(self.starts[i]), int(self.ends[j - 1])
+            powers, back = _powers(base, b - a + 1), _powers(pow(base, -1, 1 << 64), b - a + 1)
+            starts, ends = self.starts[i:j] - a, self.ends[i:j] - a
+            with np.errstate(over="ignore"):
+                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values[self.data[a:b]] * powers[:-1], dtype=np.uint64)))
+                out[i:j] = mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+        return out
 
     def ids(self) -> np.ndarray:
         """Document ids; a null id counts as larger than any other."""
@@ -185,7 +196,7 @@ def _remove(own, replies, words: int, n: int, id_col: str):
         np.add.at(mark, seen + words, -1)
         gone = np.cumsum(mark[:-1]) > 0
         frames.append(pd.DataFrame({
-            id_col: w.batch.column(0).to_pandas(types_mapper=pd.ArrowDtype), "n_words": w.per_doc,
+            id_col: pd.array(w.batch.column(0).to_pylist(), "Int64"), "n_words": w.per_doc,
             "n_removed": np.bincount(w.owner[gone], minlength=w.batch.num_rows),
             "kept_text": pd.Series([x.decode() for x in kept_words(w, gone).to_pylist()], dtype=object)}))
     return pd.concat(frames) if frames else pd.DataFrame(columns=[id_col, "n_words", "n_removed", "kept_text"])
