@@ -99,19 +99,35 @@ def least_by_window(parts: list[bytes], docs: np.ndarray, length: int) -> np.nda
     return least[own]
 
 
-def _grouped(parts: list[bytes], docs: np.ndarray, length: int) -> np.ndarray:
-    """``least_by_window`` of the fragments of one key. Where they are too many for one transform, their windows are
-    dealt to several by a hash of the window."""
+def _grouped(parts: list[bytes], docs: np.ndarray, length: int, depth: int = 0) -> np.ndarray:
+    """``least_by_window`` of the distinct fragments of one key.
+
+    Where they are too many for one transform, their windows are dealt out anew by keys of other hashes, which seldom
+    choose the same gram again, and equal pieces are joined; what is still too many is dealt by a hash of each window.
+    """
     size = sum(map(len, parts)) + len(parts)
     if size <= TRANSFORM_SYMBOLS or len(parts) == 1:
         return least_by_window(parts, docs, length)
     lens = np.fromiter(map(len, parts), np.int64, len(parts))
-    windows, starts = lens - length + 1, np.cumsum(lens) - lens
+    windows, bounds = lens - length + 1, np.concatenate(([0], np.cumsum(lens)))
     raw = b"".join(parts)
-    at = np.repeat(starts, windows) + spread(windows)
-    turns = -(-int(windows.sum()) * (length + 1) // TRANSFORM_SYMBOLS)
-    turn = (mix(rolling(table(22)[np.frombuffer(raw, np.uint8)], length, 0x9FB21C651E98DF25))[at] % np.uint64(turns)).astype(np.int64)
-    owner, out = np.repeat(docs, windows), np.empty(len(at), np.int64)
+    data = np.frombuffer(raw, np.uint8)
+    out, first = np.empty(int(windows.sum()), np.int64), np.cumsum(windows) - windows
+    if depth < 3:
+        start, count, key, owner = key_runs(data, bounds, length, min(KEY_BYTES, length), table(31 + depth))
+        seen: dict[bytes, int] = {}
+        number = np.fromiter((seen.setdefault(raw[a:b], len(seen)) for a, b in zip(start.tolist(), (start + count + length - 1).tolist())), np.int64, len(start))
+        least, keys = np.full(len(seen), _LAST, np.int64), np.zeros(len(seen), np.uint64)
+        np.minimum.at(least, number, docs[owner])
+        keys[number] = key
+        found, base = _by_key(list(seen), keys, least, length, depth + 1)
+        inner = spread(count)
+        out[np.repeat(first[owner] + start - bounds[owner], count) + inner] = found[np.repeat(base[number], count) + inner]
+        return out
+    at = np.repeat(bounds[:-1], windows) + spread(windows)
+    turns = -(-len(at) * (length + 1) // TRANSFORM_SYMBOLS)
+    turn = (mix(rolling(table(22)[data], length, 0x9FB21C651E98DF25))[at] % np.uint64(turns)).astype(np.int64)
+    owner = np.repeat(docs, windows)
     for k in range(turns):
         own = np.flatnonzero(turn == k)
         if len(own):
@@ -119,6 +135,37 @@ def _grouped(parts: list[bytes], docs: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def _by_key(parts: list[bytes], key: np.ndarray, least: np.ndarray, length: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Least document of every window of distinct fragments, and where each fragment's windows begin. Fragments that
+    share a key go through one transform, as many keys together as it holds; one alone with its key needs none."""
+    lens = np.fromiter(map(len, parts), np.int64, len(parts))
+    windows = lens - length + 1
+    base = np.cumsum(windows) - windows
+    found = np.repeat(least, windows)
+    order = np.argsort(key, kind="stable")
+    edges = np.append(np.flatnonzero(np.append(True, key[order[1:]] != key[order[:-1]])), len(order))
+
+    def settle(groups: list[np.ndarray]) -> None:
+        group = np.concatenate(groups)
+        own = [parts[i] for i in group.tolist()]
+        got = _grouped(own, least[group], length, depth) if len(groups) == 1 else least_by_window(own, least[group], length)
+        found[np.repeat(base[group], windows[group]) + spread(windows[group])] = got
+
+    held, size = [], 0
+    for b, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if e - b < 2:
+            continue
+        n = int(lens[order[b:e]].sum()) + e - b
+        if held and size + n > TRANSFORM_SYMBOLS:
+            settle(held)
+            held, size = [], 0
+        held.append(order[b:e])
+        size += n
+    if held:
+        settle(held)
+    return found, base
+
+
 def answer(blobs: list[bytes], length: int) -> list[bytes]:
     """A shard's answer: for each fragment sent, runs of windows with one least document."""
     sent = [_parse(b) for b in blobs]
@@ -135,31 +182,8 @@ def answer(blobs: list[bytes], length: int) -> list[bytes]:
     key[every] = np.concatenate(keys)
     np.minimum.at(least, every, np.concatenate(docs))
     parts = list(seen)
-    order = np.argsort(key, kind="stable")
-    edges = np.append(np.flatnonzero(np.append(True, key[order[1:]] != key[order[:-1]])), len(order))
-    # a fragment alone with its key: all its windows have its least document
-    lens = np.fromiter(map(len, parts), np.int64, len(parts))
-    windows = lens - length + 1
-    base = np.cumsum(windows) - windows
-    found = np.repeat(least, windows)
-
-    def settle(group: np.ndarray) -> None:
-        got = _grouped([parts[i] for i in group.tolist()], least[group], length)
-        found[np.repeat(base[group], windows[group]) + spread(windows[group])] = got
-
-    held, size = [], 0
-    for b, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if e - b < 2:
-            continue
-        group = order[b:e]
-        n = int(lens[group].sum()) + e - b
-        if held and size + n > TRANSFORM_SYMBOLS:
-            settle(np.concatenate(held))
-            held, size = [], 0
-        held.append(group)
-        size += n
-    if held:
-        settle(np.concatenate(held))
+    found, base = _by_key(parts, key, least, length)
+    windows = np.fromiter(map(len, parts), np.int64, len(parts)) - length + 1
     out = []
     for own in number:
         at = np.repeat(base[own], windows[own]) + spread(windows[own])
@@ -233,7 +257,7 @@ def _remove(own, replies, length: int, n: int, id_col: str):
         ends_mark[inner[inner > 0] - 1] = gone[inner[inner > 0] - 1]
         first, last, home = upto(begins), np.flatnonzero(ends_mark) + 1, s.offsets
         frames.append(pd.DataFrame({
-            id_col: s.batch.column(0).to_pandas(types_mapper=pd.ArrowDtype), "n_bytes": np.diff(s.offsets), "n_removed": np.diff(upto(gone)),
+            id_col: pd.array(s.batch.column(0).to_pylist(), "Int64"), "n_bytes": np.diff(s.offsets), "n_removed": np.diff(upto(gone)),
             "spans": pd.Series([np.column_stack((spans_at[first[d]:first[d + 1]], last[first[d]:first[d + 1]])).ravel() - home[d] for d in range(docs)], dtype=object),
             "kept": pd.Series([raw[kept[d]:kept[d + 1]] for d in range(docs)], dtype=object)}))
     return pd.concat(frames) if frames else pd.DataFrame(columns=[id_col, "n_bytes", "n_removed", "spans", "kept"])

@@ -94,7 +94,7 @@ def test_many_transforms_agree_with_one(monkeypatch):
     docs = np.array([r.randrange(50) for _ in parts])
     want = suffix_dedup.least_by_window(parts, docs, 20)
     monkeypatch.setattr(suffix_dedup, "TRANSFORM_SYMBOLS", 500)
-    assert (suffix_dedup._grouped(parts, docs, 20) == want).all()
+    assert all((suffix_dedup._grouped(parts, docs, 20, depth) == want).all() for depth in range(4))
 
 
 def test_fragments_are_cut_with_their_overlap(monkeypatch):
