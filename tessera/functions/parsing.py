@@ -71,10 +71,17 @@ def parse_list_two_stage(text, element_schema: str, cut=None) -> Column:
     ``cut`` may name a column already holding the slice."""
     schema = f"array<{element_schema}>"
     sliced = _col(cut) if cut is not None else bracket_slice(text)
-    return F.coalesce(parse_json(text, schema), parse_json(sliced, schema))
+    whole = F.when(_col(text).rlike(r"^\s*\["), parse_json(text, schema))     # a bare object is no list
+    return F.coalesce(whole, parse_json(sliced, schema))
 
 
 # J1 ------------------------------------------------------------------------
+def _last_value(m: Column, key: str) -> Column:
+    """Value of a key in a parsed map; of a repeated key the last, as ``json.loads`` has it."""
+    own = F.filter(F.map_entries(m), lambda e: e["key"] == F.lit(key))
+    return F.get(F.reverse(own), F.lit(0))["value"]
+
+
 def parse_object_fields(text, keys: Sequence[str], prefix: str = "", valid=None, parsed=None) -> list[Column]:
     """Parse a JSON object into one string column per key, in order, plus
     ``error``. Keys are read one by one: a missing key sets the error and
@@ -92,7 +99,7 @@ def parse_object_fields(text, keys: Sequence[str], prefix: str = "", valid=None,
     reached = m.isNotNull()
     for k, has in zip(keys, present):
         reached = reached & has
-        cols.append(F.when(reached, F.element_at(m, F.lit(k))).alias(prefix + k))
+        cols.append(F.when(reached, _last_value(m, k)).alias(prefix + k))
     err = F.when(~valid, F.lit("invalid json")).when(m.isNull(), F.lit("not an object"))
     for k, has in zip(keys, present):
         err = err.when(~has, F.lit(f"missing key: {k}"))
@@ -107,6 +114,9 @@ def parse_score_map(text) -> Column:
     return parse_json(text, "map<string,string>")
 
 
+_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 # J9 / J10 -------------------------------------------------------------------
 def yes_to_bool(c) -> Column:
     """Exact ``== "Yes"``; NULL and other spellings are False."""
@@ -114,8 +124,9 @@ def yes_to_bool(c) -> Column:
 
 
 def to_double(c) -> Column:
-    """Numeric text -> double; anything else -> NULL (never raises)."""
-    return _try_cast(c, "double")
+    """Numeric text -> finite double; anything else (NaN, Infinity, ``3d``, ``1e400``) -> NULL (never raises)."""
+    x = F.when(_col(c).cast("string").rlike(_NUMBER), _try_cast(c, "double"))
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
 def to_int(c) -> Column:

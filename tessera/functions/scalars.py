@@ -119,6 +119,8 @@ def filled_segments(c, segments: int) -> Column:
 def sig_round(c, digits: int = 3) -> Column:
     """Round to ``digits`` significant digits (R's ``signif``); 0 stays 0."""
     x = _col(c)
-    mag = F.floor(F.log10(F.abs(x)))
-    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - mag)
-    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * scale) / scale)
+    places = F.lit(digits - 1) - F.floor(F.log10(F.abs(x)))
+    # in two steps: for values below 1e-306 the whole power would overflow
+    half = F.floor(places / 2)
+    one, two = F.pow(F.lit(10.0), half), F.pow(F.lit(10.0), places - half)
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * one * two) / one / two)

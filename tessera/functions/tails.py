@@ -1,6 +1,6 @@
 """Upper-tail probabilities of the F and chi-squared distributions.
 
-Vectorised over Arrow batches (``pandas_udf``); used only on small result
+A ``pandas_udf`` that loops over rows; used only on small result
 tables (one row per test). The regularised incomplete beta and gamma
 functions are evaluated by their standard continued fractions (Lentz's
 method) and series, with the prefactor in log space so that p-values far
@@ -17,37 +17,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_EPS = 1e-16
+_EPS = 1e-15
 _TINY = 1e-300
-_MAX_IT = 10_000
+_MAX_IT = 1_000_000
+
+
+def _fraction(numerator) -> float:
+    """1 / (1 + n1 / (1 + n2 / (1 + ...))) for ``numerator(k)``, by the ratios of successive convergents."""
+    value, upper, lower = 1.0, 1.0, 0.0       # the fraction so far, and ratios of its last numerators and denominators
+    for k in range(1, _MAX_IT):
+        n = numerator(k)
+        upper = 1.0 + n / upper
+        lower = 1.0 + n * lower
+        upper, lower = upper if abs(upper) > _TINY else _TINY, 1.0 / (lower if abs(lower) > _TINY else _TINY)
+        value *= upper * lower
+        if abs(upper * lower - 1.0) < _EPS:
+            return 1.0 / value
+    raise ArithmeticError(f"no convergence in {_MAX_IT} terms")
 
 
 def _betacf(a: float, b: float, x: float) -> float:
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = _TINY if abs(d) < _TINY else d
-    d = 1.0 / d
-    h = d
-    for m in range(1, _MAX_IT):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = _TINY if abs(d) < _TINY else d
-        c = 1.0 + aa / c
-        c = _TINY if abs(c) < _TINY else c
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = _TINY if abs(d) < _TINY else d
-        c = 1.0 + aa / c
-        c = _TINY if abs(c) < _TINY else c
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < _EPS:
-            break
-    return h
+    """The continued fraction of the incomplete beta function; its numerators alternate between two forms."""
+    def numerator(k: int) -> float:
+        m = k // 2
+        if k % 2:
+            return -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+    return _fraction(numerator)
 
 
 def betainc_reg(a: float, b: float, x: float) -> float:

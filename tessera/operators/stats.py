@@ -22,12 +22,14 @@ def chisq_independence(df: DataFrame, row: str, col: str) -> DataFrame:
     """Pearson chi-squared test of ``row`` x ``col`` (statistic, df, yates).
 
     Uses only the observed (non-empty) cells: without correction
-    X2 = sum(o^2/e) - N. For a 2x2 table R applies Yates' correction with
+    X2 = sum((o - e)^2 / e) + N - sum(e), as an empty cell gives its e. Rows
+    without a label on either side are left out. For a 2x2 table R applies Yates' correction with
     y = min(0.5, |o - e|); all four |o - e| are equal there, so one observed
     cell gives it and X2 = (d - y)^2 N (1/r1 + 1/r2)(1/c1 + 1/c2).
     No zero-filled grid (cross join) is ever built.
     """
-    cells = df.groupBy(F.col(row).alias("r"), F.col(col).alias("c")).agg(F.count(F.lit(1)).alias("o"))
+    known = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())        # a missing label is in no table
+    cells = known.groupBy(F.col(row).alias("r"), F.col(col).alias("c")).agg(F.count(F.lit(1)).alias("o"))
     rows = cells.groupBy("r").agg(F.sum("o").alias("nr"))
     cols = cells.groupBy("c").agg(F.sum("o").alias("nc"))
     # table totals as scalar subqueries (no join); row/column margins are bounded by the levels
@@ -39,12 +41,13 @@ def chisq_independence(df: DataFrame, row: str, col: str) -> DataFrame:
          .withColumn("inv_c", cols.agg(F.sum(1.0 / F.col("nc"))).scalar())
          .withColumn("e", F.col("nr").cast("double") * F.col("nc") / F.col("N")))
     agg = x.groupBy("N", "levels_r", "levels_c", "inv_r", "inv_c").agg(
-        F.sum(F.col("o").cast("double") * F.col("o") / F.col("e")).alias("s_o2e"),
+        F.sum((F.col("o") - F.col("e")) * (F.col("o") - F.col("e")) / F.col("e")).alias("s_seen"),
+        F.sum("e").alias("e_seen"),                                           # empty cells give their e: N less these
         F.max(F.abs(F.col("o") - F.col("e"))).alias("d"))
     yates = (F.col("levels_r") == 2) & (F.col("levels_c") == 2)
     y = F.least(F.lit(0.5), F.col("d"))
     stat = F.when(yates, (F.col("d") - y) * (F.col("d") - y) * F.col("N") * F.col("inv_r") * F.col("inv_c")) \
-        .otherwise(F.col("s_o2e") - F.col("N"))
+        .otherwise(F.col("s_seen") + F.col("N") - F.col("e_seen"))
     return agg.select(stat.alias("statistic"), ((F.col("levels_r") - 1) * (F.col("levels_c") - 1)).alias("df"),
                       yates.alias("yates"), F.col("N").alias("n"))
 
@@ -59,7 +62,7 @@ def kept_features(long: DataFrame, posts: DataFrame, max_missing_frac: float = 0
     """Features with fewer than ``max_missing_frac * posts`` missing values
     (the reference's absolute rule is 500 of 1,000 posts). Missing = posts -
     non-null values; unknown feature ids are judged like any other."""
-    n_posts = posts.agg(F.countDistinct(key)).scalar()       # scalar subquery, no join
+    n_posts = posts.agg(F.count(key)).scalar()       # scalar subquery, no join; ids are unique
     per = long.groupBy(feature).agg(F.count(value).alias("n_rated"))
     return per.where((n_posts - F.col("n_rated")) < F.lit(max_missing_frac) * n_posts).select(feature)
 
@@ -121,7 +124,7 @@ def one_vs_rest_anova(values: DataFrame, clusters: DataFrame | None = None, key:
     from the cluster moments (Chan et al.), and the "rest" group is total
     minus cluster. SSB = n_in n_out / N (mean_in - mean_out)^2, SSW = T - SSB,
     F = SSB / (SSW / (N - 2)), ges = SSB / T. The windows run on the small
-    (features x clusters) table. F and ges are rounded to 3 decimals as the
+    (features x clusters) table. ``f_raw`` is the full F; F and ges are rounded to 3 decimals as the
     reference's test table is.
     """
     v = values if clusters is None else values.join(clusters.select(key, cluster), key)
@@ -140,7 +143,7 @@ def one_vs_rest_anova(values: DataFrame, clusters: DataFrame | None = None, key:
     ges = F.when(F.col("t_ss") > 0, F.col("ssb") / F.col("t_ss"))
     return g.select(F.col(feature).alias("feature"), F.col(cluster).alias("cluster"),
                     F.col("mean").alias("mean_in_cluster"), F.col("mean_out").alias("mean_out_cluster"),
-                    F.lit(1).alias("dfn"), (F.col("n_all") - 2).cast("int").alias("dfd"),
+                    F.lit(1).alias("dfn"), (F.col("n_all") - 2).cast("long").alias("dfd"), fstat.alias("f_raw"),
                     F.round(fstat, 3).alias("f"), F.round(ges, 3).alias("ges"))
 
 
@@ -150,19 +153,20 @@ def bonferroni(tests: DataFrame, alpha: float = 0.05, by: str = "cluster") -> Da
 
 
 def with_p(tests: DataFrame) -> DataFrame:
-    """P of F(dfn, dfd), rounded to 3 significant digits as published."""
-    return tests.withColumn("p", sig_round(f_pvalue("f", "dfn", "dfd"), 3))
+    """P of the unrounded F(dfn, dfd), rounded to 3 significant digits as published."""
+    return tests.withColumn("p", sig_round(f_pvalue("f_raw", "dfn", "dfd"), 3))
 
 
 # X10 + F6 + F7 + W2 + X2/X4/X5: T13 ----------------------------------------------
 def marker_table(tests: DataFrame, top: int = 15) -> DataFrame:
     """Significant (rounded p < threshold), positive fold change, top ``top``
-    per cluster by smallest p with ties kept, plus display columns."""
+    per cluster by largest unrounded F (the order of p, also where p underflows),
+    ties kept, plus display columns."""
     t = with_p(bonferroni(tests))
     t = (t.withColumn("p_adj_sig", F.col("p") < F.col("bonferroni_threshold")).where("p_adj_sig")
          .withColumn("log2fc", log2_ratio("mean_in_cluster", "mean_out_cluster"))
          .where(F.col("log2fc") > 0))
-    ranked = t.withColumn("rank", F.rank().over(Window.partitionBy("cluster").orderBy(F.col("p").asc())))
+    ranked = t.withColumn("rank", F.rank().over(Window.partitionBy("cluster").orderBy(F.col("f_raw").desc())))
     return (ranked.where(F.col("rank") <= top)
             .withColumn("group", F.substring_index("feature", "_", 1))
             .withColumn("cluster_name", F.concat(F.lit("Cluster "), F.col("cluster").cast("string")))
@@ -172,7 +176,7 @@ def marker_table(tests: DataFrame, top: int = 15) -> DataFrame:
 def top_by_f(tests: DataFrame, top: int = 15) -> DataFrame:
     """W2 without p: rank by F descending (same order as p for equal df,
     immune to p underflow), ties kept."""
-    return (tests.withColumn("rank", F.rank().over(Window.partitionBy("cluster").orderBy(F.col("f").desc())))
+    return (tests.withColumn("rank", F.rank().over(Window.partitionBy("cluster").orderBy(F.col("f_raw").desc())))
             .where(F.col("rank") <= top))
 
 

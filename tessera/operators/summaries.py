@@ -119,7 +119,7 @@ def missing_counts(long: DataFrame, posts: DataFrame, key: str = "id", feature:
                    value: str = "rating") -> DataFrame:
     """Posts lacking a (numeric) value, per feature: posts - non-null values.
     The post count is a one-row aggregate; no posts x features grid is built."""
-    n_posts = posts.agg(F.countDistinct(key)).scalar()       # scalar subquery, no join
+    n_posts = posts.agg(F.count(key)).scalar()       # scalar subquery, no join; ids are unique
     per = long.groupBy(feature).agg(F.count(value).alias("n_rated"))
     return per.select(feature, n_posts.alias("n_posts"), "n_rated", (n_posts - F.col("n_rated")).alias("n_missing"))
 
@@ -195,11 +195,10 @@ def semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(keys.select(on), on, "left_semi")
 
 
-def lookup_join(df: DataFrame, lookup: DataFrame, on: str, max_rows: int = 1_000_000) -> DataFrame:
+def lookup_join(df: DataFrame, lookup: DataFrame, on: str) -> DataFrame:
     """Inner join against a lookup table; duplicate lookup keys fan out.
-    The lookup is broadcast only when its row count is proven small."""
-    small = lookup.limit(max_rows + 1).count() <= max_rows
-    return df.join(F.broadcast(lookup) if small else lookup, on, "inner")
+    Spark broadcasts the lookup where its bytes are below the threshold."""
+    return df.join(lookup, on, "inner")
 
 
 def yes_no_recode(df: DataFrame, cols: Sequence[str]) -> DataFrame:

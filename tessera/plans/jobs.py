@@ -86,15 +86,15 @@ def merge_response(spark: SparkSession, sf_dir: str, m: int = 100) -> DataFrame:
     return fx.fx_merge_response(comparisons(spark, sf_dir, m))
 
 
-def category_groups(spark: SparkSession, sf_dir: str, first_n: int = 8, m: int = 100) -> DataFrame:
+def category_groups(spark: SparkSession, sf_dir: str, first_n: int = 10, m: int = 100) -> DataFrame:
     return R.parse_category_groups(merge_response(spark, sf_dir, m), first_n=first_n)
 
 
-def definition_responses(spark: SparkSession, sf_dir: str, first_n: int = 8) -> DataFrame:
+def definition_responses(spark: SparkSession, sf_dir: str, first_n: int = 10) -> DataFrame:
     return fx.fx_definition_responses(category_groups(spark, sf_dir, first_n))
 
 
-def definitions(spark: SparkSession, sf_dir: str, first_n: int = 8) -> DataFrame:
+def definitions(spark: SparkSession, sf_dir: str, first_n: int = 10) -> DataFrame:
     """C2 result: feature definitions (category first, then list order; stage table)."""
     def build():
         d = R.parse_definitions(definition_responses(spark, sf_dir, first_n))

@@ -86,7 +86,7 @@ fx_comparisons AS (SELECT pair_id, CAST(i AS INTEGER) AS pos, lower(arr[i + 1]."
   FROM (SELECT *, unnest(range(len(arr))) AS i FROM c_arr WHERE arr IS NOT NULL))"""
 
 
-def c2_ctes(first_n: int = 8, m: int = 100) -> str:
+def c2_ctes(first_n: int = 10, m: int = 100) -> str:
     """... -> category-merge reply -> groups (J5) -> definition replies -> definitions (J6 + X1)."""
     gschema = '{"categories": [{"name": "VARCHAR", "terms": ["VARCHAR"]}]}'
     dschema = '[{"featurename": "VARCHAR", "short_description": "VARCHAR", "rating": "VARCHAR"}]'
@@ -142,7 +142,8 @@ a_ss AS (SELECT g.feature_id, g.cluster, g.n, g.mean, t.nn, t.t,
   FROM a_grp g JOIN a_tot t ON t.feature_id = g.feature_id),
 a_ssb AS (SELECT *, n * (nn - n) / nn * (mean - mean_out) * (mean - mean_out) AS ssb FROM a_ss),
 fx_anova AS (SELECT feature_id AS feature, cluster, mean AS mean_in_cluster, mean_out AS mean_out_cluster,
-  1 AS dfn, CAST(nn - 2 AS INTEGER) AS dfd,
+  1 AS dfn, CAST(nn - 2 AS BIGINT) AS dfd,
+  CASE WHEN t - ssb > 0 AND nn > 2 THEN ssb / ((t - ssb) / (nn - 2)) END AS f_raw,
   round(CASE WHEN t - ssb > 0 AND nn > 2 THEN ssb / ((t - ssb) / (nn - 2)) END, 3) AS f,
   round(CASE WHEN t > 0 THEN ssb / t END, 3) AS ges FROM a_ssb),
 fx_tests AS (SELECT *, {log2fc_sql('mean_in_cluster', 'mean_out_cluster')} AS log2fc FROM fx_anova)"""

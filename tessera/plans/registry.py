@@ -171,9 +171,9 @@ def q_f3(spark, sf):
     return P.in_range(J.questionnaire(spark, sf), "freq_num", 0, 5).select("id", "freq_num")
 
 
-@register("f4_category_rows", with_ctes(PC, "SELECT pair_id, pos, post1, post2 FROM fx_comparisons WHERE category = 'tone'"))
+@register("f4_category_rows", with_ctes(PC, "SELECT pair_id, pos, post1, post2 FROM fx_comparisons WHERE category = 'taste'"))
 def q_f4(spark, sf):
-    return P.equals(J.comparisons(spark, sf), "category", "tone").select("pair_id", "pos", "post1", "post2")
+    return P.equals(J.comparisons(spark, sf), "category", "taste").select("pair_id", "pos", "post1", "post2")
 
 
 @register("f5_kept_features", with_ctes(MC, "SELECT feature_id FROM fx_kept"))
@@ -444,7 +444,8 @@ def q_g7(spark, sf):
 
 
 @register("g8_feature_score_map", "WITH " + QC + ",\n" + O.scoring_ctes("SELECT id, text FROM fx_posts") + """
-SELECT id, feature_name, score FROM fx_scores""")
+SELECT id, feature_name, score FROM fx_scores WHERE feature_name IN (""" + ", ".join(
+    f"'{n}'" for n in fx.app_feature_names()) + """)""")
 def q_g8(spark, sf):
     from tessera.operators.annotate import annotate, stub_scoring_client
     prompts = J.scoring_prompts(spark, J.posts(spark, sf))
@@ -452,7 +453,8 @@ def q_g8(spark, sf):
     entries = replies.select("id", F.posexplode(F.from_json("response", "map<string,string>")).alias("pos", "k", "v"))
     maps = G.collapse_to_map(entries.withColumn("score", F.col("v").try_cast("double")), "id", "k", "score",
                              order="pos")
-    return maps.select("id", F.explode("m").alias("feature_name", "score"))
+    lookup = fx.app_features_df(spark).select("feature_name").distinct()        # a name that the lookup lacks has no place in the map
+    return maps.select("id", F.explode("m").alias("feature_name", "score")).join(lookup, "feature_name", "left_semi")
 
 
 @register("g9_cluster_label_composition", with_ctes(MC, """
@@ -530,7 +532,7 @@ def q_w1(spark, sf):
 
 @register("w2_top_markers_by_f", with_ctes(MC, """
 SELECT feature, cluster, f, rank FROM (SELECT feature, cluster, f,
-  CAST(rank() OVER (PARTITION BY cluster ORDER BY f DESC NULLS LAST) AS INTEGER) AS rank FROM fx_anova) WHERE rank <= 15"""))
+  CAST(rank() OVER (PARTITION BY cluster ORDER BY f_raw DESC NULLS LAST) AS INTEGER) AS rank FROM fx_anova) WHERE rank <= 15"""))
 def q_w2(spark, sf):
     return T.top_by_f(J.anova_segments(spark, sf), 15).select("feature", "cluster", "f", "rank")
 
@@ -625,7 +627,7 @@ def q_s4(spark, sf):
     path = _scratch(spark, "groups-json")
     J.merge_response(spark, sf).coalesce(1).write.text(path)     # one reply, one file
     return R.parse_category_groups(read_text_documents(spark, path).withColumnRenamed("text", "response"),
-                                   first_n=8).select("group_pos", "name")
+                                   first_n=10).select("group_pos", "name")
 
 
 @register("h5_partitioned_by_category", with_ctes(C2, "SELECT category, feature_id, featurename FROM fx_definitions"))
@@ -634,7 +636,8 @@ def q_h5(spark, sf):
     path = _scratch(spark, "definitions-by-category")
     write_table(J.definitions(spark, sf).select("category", "feature_id", "featurename"), path,
                 partition_by=["category"])
-    return spark.read.parquet(path).select("category", "feature_id", "featurename")
+    schema = "feature_id string, featurename string, category string"      # else "01" would be read as a number
+    return spark.read.schema(schema).parquet(path).select("category", "feature_id", "featurename")
 
 
 # --------------------------------------------------------------------------- K
@@ -685,7 +688,7 @@ def q_t3(spark, sf):
 @register("t5_one_vs_rest_anova", with_ctes(MC, """
 SELECT feature, cluster, mean_in_cluster, mean_out_cluster, dfn, dfd, f, ges FROM fx_anova"""))
 def q_t5(spark, sf):
-    return J.anova_segments(spark, sf)
+    return J.anova_segments(spark, sf).drop("f_raw")
 
 
 @register("t6_bonferroni", with_ctes(MC, """
@@ -718,9 +721,7 @@ def q_t12(spark, sf):
     + ", CAST(row_number() OVER (ORDER BY feature) AS INTEGER) AS matrix_pos FROM fx_tests GROUP BY feature"))
 def q_k5(spark, sf):
     fc = T.fold_change_table(J.anova_segments(spark, sf), [1, 2, 3, 4], clamp_cluster=False)
-    order = J.anova_segments(spark, sf).select("feature").distinct() \
-        .withColumn("matrix_pos", F.row_number().over(Window.orderBy("feature")))
-    return fc.join(order, "feature")
+    return fc.withColumn("matrix_pos", F.row_number().over(Window.orderBy("feature")))      # a row a feature
 
 
 @register("t13_marker_table_segments")
@@ -780,7 +781,7 @@ a_ss AS (SELECT g.feature_id, g.cluster, g.n, g.mean, t.nn, t.t,
   FROM a_grp g JOIN a_tot t ON t.feature_id = g.feature_id),
 a_ssb AS (SELECT *, n * (nn - n) / nn * (mean - mean_out) * (mean - mean_out) AS ssb FROM a_ss)
 SELECT feature_id AS feature, cluster, mean AS mean_in_cluster, mean_out AS mean_out_cluster, 1 AS dfn,
-  CAST(nn - 2 AS INTEGER) AS dfd, round(CASE WHEN t - ssb > 0 AND nn > 2 THEN ssb / ((t - ssb) / (nn - 2)) END, 3) AS f,
+  CAST(nn - 2 AS BIGINT) AS dfd, round(CASE WHEN t - ssb > 0 AND nn > 2 THEN ssb / ((t - ssb) / (nn - 2)) END, 3) AS f,
   round(CASE WHEN t > 0 THEN ssb / t END, 3) AS ges FROM a_ssb"""
 
 
@@ -789,7 +790,7 @@ SELECT feature_id AS feature, cluster, mean AS mean_in_cluster, mean_out AS mean
 lv AS (SELECT id, cluster, feature_id, value FROM li UNPIVOT (value FOR feature_id IN (l_quantity, l_discount, l_tax))),
 {_anova_sql("lv")}""")
 def q_t5_li(spark, sf):
-    return T.one_vs_rest_anova(_lineitem_long(spark, sf))
+    return T.one_vs_rest_anova(_lineitem_long(spark, sf)).drop("f_raw")
 
 
 @register("t5_events_anova", f"""WITH ev AS (SELECT event_id AS id, event_type AS cluster, 'value' AS feature_id, value
@@ -799,7 +800,7 @@ def q_t5_ev(spark, sf):
     from tessera.sources.tables import table
     ev = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("cluster"),
                                            F.lit("value").alias("feature_id"), "value")
-    return T.one_vs_rest_anova(ev)
+    return T.one_vs_rest_anova(ev).drop("f_raw")
 
 
 @register("t10_lineitem_spearman", """WITH s_pairs AS (SELECT 'l_discount' AS f1, 'l_quantity' AS f2, l_discount AS v1, l_quantity AS v2 FROM lineitem WHERE l_discount IS NOT NULL AND l_quantity IS NOT NULL

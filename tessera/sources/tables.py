@@ -22,16 +22,20 @@ POSTS_SCHEMA = "text string, label string"
 
 
 def read_posts_jsonl(spark: SparkSession, path: str, schema: str = POSTS_SCHEMA) -> DataFrame:
-    """JSON-lines posts with an explicit schema (no inference pass)."""
-    return spark.read.schema(schema).json(path)
+    """JSON-lines posts with an explicit schema (no inference pass); a broken line fails the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+#: The same on both sides, so that texts come back as they were written.
+_CSV = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "nullValue": "\\N"}
 
 
 # S2 ------------------------------------------------------------------------
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """CSV with a header, quoted commas and line breaks inside quoted fields;
-    a doubled quote inside a quoted field is a literal quote."""
-    r = (spark.read.option("header", True).option("multiLine", True)
-         .option("quote", '"').option("escape", '"'))
+    a doubled quote inside a quoted field is a literal quote; outer spaces stay,
+    ``\\N`` is NULL and an empty field is an empty text."""
+    r = spark.read.options(**_CSV).option("multiLine", True)
     if schema:
         r = r.schema(schema)
     return r.csv(path)
@@ -45,7 +49,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        w.options(**_CSV).csv(path)
     else:
         w.format(fmt).save(path)
 
