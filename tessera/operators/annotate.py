@@ -83,35 +83,46 @@ ClientFactory = Callable[[], Callable[[list[dict]], str]]
 
 
 def annotate(prompts: DataFrame, client_factory: ClientFactory, key: str = "id", prompt: str = "prompt",
-             prefix: str | None = None, partitions: int | None = None) -> DataFrame:
-    """Call the model once per prompt inside the executors.
-
-    ``client_factory()`` runs once per partition and returns ``call(messages)
-    -> text``. Messages are a user turn and an optional assistant prefix.
-    Exceptions are caught per row into ``error``; the row is kept.
-    ``partitions`` sets call concurrency (one shuffle, keyed by prompt hash).
+             prefix: str | None = None, partitions: int | None = None, model: str | None = None,
+             max_tokens: int | None = None, concurrency: int = 8, attempts: int = 3) -> DataFrame:
+    """Call the model once per row inside the executors.
+
+    ``client_factory(**options)`` runs once per partition and returns ``call(messages)
+    -> text``; ``model`` and ``max_tokens`` are its options, where given. Messages are a
+    user turn and an optional assistant prefix. A task has up to ``concurrency`` calls
+    open at a time, and a call is tried ``attempts`` times; the last exception goes to
+    ``error`` and the row is kept. ``partitions`` spreads the rows (one shuffle, keyed by
+    prompt hash). A NULL prompt is not sent: NULL reply, error ``no prompt``.
     Returns (key, prompt_md5, response, error).
     """
+    options = {k: v for k, v in (("model", model), ("max_tokens", max_tokens)) if v is not None}
     src = prompts.select(F.col(key).cast("string").alias("key"), F.col(prompt).alias("prompt"))
     if partitions:
         src = src.repartition(partitions, F.md5("prompt"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = client_factory()
-        for b in batches:
-            out_resp, out_err, out_md5 = [], [], []
-            for p in b["prompt"]:
-                msgs = [{"role": "user", "content": p}]
-                if prefix:
-                    msgs.append({"role": "assistant", "content": prefix})
-                out_md5.append(hashlib.md5(p.encode("utf-8")).hexdigest())
+        from concurrent.futures import ThreadPoolExecutor
+        call = client_factory(**options)
+
+        def one(p: str | None) -> tuple[str | None, str | None, str | None]:
+            if p is None:
+                return None, None, "no prompt"
+            msgs = [{"role": "user", "content": p}]
+            if prefix:
+                msgs.append({"role": "assistant", "content": prefix})
+            error = None
+            for _ in range(attempts):
                 try:
-                    out_resp.append(call(msgs))
-                    out_err.append(None)
+                    return hashlib.md5(p.encode("utf-8")).hexdigest(), call(msgs), None
                 except Exception as e:  # noqa: BLE001 - recorded per row
-                    out_resp.append(None)
-                    out_err.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({"key": b["key"], "prompt_md5": out_md5, "response": out_resp, "error": out_err})
+                    error = f"{type(e).__name__}: {e}"
+            return hashlib.md5(p.encode("utf-8")).hexdigest(), None, error
+
+        with ThreadPoolExecutor(max_workers=concurrency) as pool:
+            for b in batches:
+                rows = list(pool.map(one, b["prompt"]))                 # in the order of the rows
+                yield pd.DataFrame({"key": b["key"], **{n: pd.Series([r[k] for r in rows], index=b.index, dtype=object)
+                                                        for k, n in enumerate(("prompt_md5", "response", "error"))}})
 
     res = src.mapInPandas(run, "key string, prompt_md5 string, response string, error string")
     return res.withColumnRenamed("key", key)
@@ -162,24 +173,31 @@ def stub_scoring_client(names: Sequence[str]) -> Callable[[], Callable[[list[dic
 
 
 def annotate_resumable(prompts: DataFrame, client_factory: ClientFactory, store_path: str, key: str = "id",
-                       prompt: str = "prompt", prefix: str | None = None, partitions: int | None = None) -> DataFrame:
+                       prompt: str = "prompt", prefix: str | None = None, partitions: int | None = None, **calls) -> DataFrame:
     """A12 + A13 as a resumable job over a reply store (parquet, keyed by md5(prompt)).
 
-    Only prompts without a stored reply are sent; successful replies are
-    appended to the store before anything else reads them (the commit
-    protocol keeps one attempt per task), and failed calls are left out so a
-    re-run retries them. Returns every prompt with its stored reply (NULL if
-    still missing): (key, prompt_md5, response).
+    Only prompts without a stored reply are sent, each distinct one once;
+    successful replies are appended to the store before anything else reads them
+    (the commit protocol keeps one attempt per task), and failed calls are left
+    out so a re-run retries them. The store is missing only if its path is: any
+    other fault in reading it is raised, and nothing is sent. Of several stored
+    replies to a prompt the least counts. ``calls`` go to ``annotate``. Returns
+    every prompt with its stored reply (NULL if still missing): (key, prompt_md5,
+    response).
     """
     from pyspark.errors import AnalysisException
     spark = prompts.sparkSession
     p = prompts.select(key, prompt).withColumn("prompt_md5", F.md5(prompt))
+    distinct = p.where(F.col(prompt).isNotNull()).groupBy("prompt_md5").agg(F.first(prompt).alias(prompt))
     try:
         done = spark.read.parquet(store_path).select("prompt_md5")
-        todo = p.join(done, "prompt_md5", "left_anti")
-    except AnalysisException:            # no store yet: everything is pending
-        todo = p
-    new = annotate(todo, client_factory, key=key, prompt=prompt, prefix=prefix, partitions=partitions)
+        todo = distinct.join(done, "prompt_md5", "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        todo = distinct                  # no store yet: everything is pending
+    new = annotate(todo.withColumnRenamed("prompt_md5", "hash"), client_factory, key="hash", prompt=prompt,
+                   prefix=prefix, partitions=partitions, **calls)
     new.where(F.col("error").isNull()).select("prompt_md5", "response").write.mode("append").parquet(store_path)
-    store = spark.read.parquet(store_path).dropDuplicates(["prompt_md5"])
+    store = spark.read.parquet(store_path).groupBy("prompt_md5").agg(F.min("response").alias("response"))
     return p.select(key, "prompt_md5").join(store, "prompt_md5", "left")

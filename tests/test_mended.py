@@ -72,3 +72,54 @@ def test_a_broken_line_fails_the_read(spark, tmp_path):
     (tmp_path / "posts.jsonl").write_text('{"text": "a", "label": "l"}\n{"text": "b", "la\n')
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         read_posts_jsonl(spark, str(tmp_path / "posts.jsonl")).select(F.sum(F.length("text"))).collect()
+
+
+def _counting(folder, fail_first=False):
+    """A client factory that leaves one file a call; with ``fail_first`` the first call for a prompt fails."""
+    def factory(model="none", max_tokens=0):
+        import hashlib
+        import os
+        import uuid
+
+        def call(messages):
+            own = os.path.join(folder, hashlib.md5(messages[0]["content"].encode()).hexdigest())
+            os.makedirs(own, exist_ok=True)
+            first = not os.listdir(own)
+            open(os.path.join(own, uuid.uuid4().hex), "w").close()
+            if fail_first and first:
+                raise RuntimeError("busy")
+            return f"{model} {max_tokens} {messages[0]['content']}"
+        return call
+    return factory
+
+
+def test_resumable_sends_each_distinct_prompt_once(spark, tmp_path):
+    import os
+
+    from tessera.operators.annotate import annotate_resumable
+    prompts = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, "c")], "id int, prompt string")
+    calls, store = str(tmp_path / "calls"), str(tmp_path / "store")
+    run = lambda p: {r.id: r.response for r in annotate_resumable(p, _counting(calls), store, model="m", max_tokens=9).collect()}
+    want = {1: "m 9 a", 2: "m 9 a", 3: "m 9 b", 4: None, 5: "m 9 c"}
+    assert run(prompts.where("id < 4")) == {k: want[k] for k in (1, 2, 3)}
+    assert run(prompts) == want
+    assert sorted(len(os.listdir(os.path.join(calls, d))) for d in os.listdir(calls)) == [1, 1, 1]
+
+
+def test_calls_are_tried_again(spark, tmp_path):
+    from tessera.operators.annotate import annotate
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(20)], "id int, prompt string")
+    once = annotate(prompts, _counting(str(tmp_path / "x"), True), attempts=1).collect()
+    assert len(once) == 20 and all(r.response is None and r.error == "RuntimeError: busy" for r in once)
+    again = annotate(prompts, _counting(str(tmp_path / "y"), True), attempts=2).collect()
+    assert all(r.response == f"none 0 p{r.id}" and r.error is None for r in again)
+
+
+def test_a_damaged_store_sends_nothing(spark, tmp_path):
+    from tessera.operators.annotate import annotate_resumable
+    (tmp_path / "store").mkdir()
+    (tmp_path / "store" / "part-0.parquet").write_text("not parquet")
+    prompts = spark.createDataFrame([(1, "a")], "id int, prompt string")
+    with pytest.raises(Exception):
+        annotate_resumable(prompts, _counting(str(tmp_path / "calls")), str(tmp_path / "store"))
+    assert not (tmp_path / "calls").exists()
