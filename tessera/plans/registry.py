@@ -831,9 +831,26 @@ def q_g_li(spark, sf):
 
 
 # --------------------------------------------------------------------------- C jobs
-@register("c1_questionnaire_summary", ORACLE["g1_label_summary"])
+_PROMPT_SQL = render_sql(QUESTIONNAIRE_TEMPLATE, text="text", questions=q(QUESTIONS))
+#: The recorded replies by the hash of the rendered prompt: posts with equal texts share a prompt, and its reply.
+_C1_SQL = ORACLE["g1_label_summary"].replace("fx_qresp AS (", "fx_raw AS (", 1).replace("\nq_valid AS (", f"""
+c1_store AS (SELECT md5({_PROMPT_SQL}) AS prompt_md5, arg_min(response, doc_id) AS response FROM fx_raw GROUP BY ALL),
+fx_qresp AS (SELECT p.doc_id, p.id, p.label, p.text, s.response FROM fx_posts p LEFT JOIN c1_store s ON s.prompt_md5 = md5({_PROMPT_SQL})),
+q_valid AS (""", 1)
+
+
+@register("c1_questionnaire_summary", _C1_SQL)
 def q_c1(spark, sf):
-    return G.label_summary(J.questionnaire(spark, sf), J.ANSWERS)
+    """Render every prompt, attach the stored reply by prompt hash, parse, summarise; no text is shuffled."""
+    from tessera.operators.annotate import with_recorded
+    from tessera.session import materialize
+    prompt = render(QUESTIONNAIRE_TEMPLATE, text="text", questions=F.lit(QUESTIONS)).alias("prompt")
+    replies = fx.fx_questionnaire_responses(J.posts(spark, sf))
+    store = materialize(replies.groupBy(F.md5(prompt).alias("prompt_md5")).agg(F.min_by("response", "doc_id").alias("response")),
+                        spark, "reply-store")
+    prompts = J.posts(spark, sf).select("doc_id", "id", "label", prompt)
+    parsed = R.parse_questionnaire(with_recorded(prompts, store).select("doc_id", "id", "label", "response"), keep=("doc_id", "id", "label"))
+    return G.label_summary(parsed, J.ANSWERS)
 
 
 @register("c2_feature_discovery", ORACLE["j6_x1_definitions"])

@@ -123,3 +123,14 @@ def test_a_damaged_store_sends_nothing(spark, tmp_path):
     with pytest.raises(Exception):
         annotate_resumable(prompts, _counting(str(tmp_path / "calls")), str(tmp_path / "store"))
     assert not (tmp_path / "calls").exists()
+
+
+def test_no_text_is_shuffled_for_the_summary(spark):
+    """C1 joins replies by prompt hash: neither texts nor prompts pass an exchange."""
+    import re
+
+    import __spark_entry__ as E
+    plan = E.queries()["c1_questionnaire_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join" in line)
+    below = plan[plan.index(join):]
+    assert not re.search(r"Project \[[^\]]*\bprompt#", below), plan
