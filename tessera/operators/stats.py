@@ -91,9 +91,15 @@ def median_impute(long: DataFrame, posts: DataFrame, features: Sequence[str], ke
     return full.select(key, *[F.coalesce(F.col(f"`{f}`"), F.lit(meds[f]).cast("double")).alias(f) for f in feats])
 
 
-def to_long(wide: DataFrame, key: str = "id", feature: str = "feature_id", value: str = "value") -> DataFrame:
-    cols = [c for c in wide.columns if c != key]
-    return wide.unpivot([key], cols, feature, value)
+def to_long(wide: DataFrame, key: str = "id", feature: str = "feature_id", value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per key and feature; ``keep`` names further columns that stay."""
+    cols = [c for c in wide.columns if c != key and c not in keep]
+    return wide.unpivot([key, *keep], cols, feature, value)
+
+
+def clustered_long(wide: DataFrame, clusters: DataFrame, key: str = "id", cluster: str = "cluster") -> DataFrame:
+    """Values with their post's cluster: joined while a post is one row, then unpivoted."""
+    return to_long(wide.join(clusters.select(key, cluster), key), key, keep=(cluster,))
 
 
 # T3 -------------------------------------------------------------------------

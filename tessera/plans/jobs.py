@@ -130,8 +130,8 @@ def imputed_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anova_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5 over imputed ratings with the known segment as the cluster."""
-    from tessera.operators.stats import one_vs_rest_anova
-    return one_vs_rest_anova(imputed_long(spark, sf_dir), segments(spark, sf_dir))
+    from tessera.operators.stats import clustered_long, one_vs_rest_anova
+    return one_vs_rest_anova(clustered_long(imputed_wide(spark, sf_dir), segments(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------------- C6

@@ -871,7 +871,7 @@ def q_c4(spark, sf):
     """F5 -> T2 -> T3 -> T7 (k-means on z-scores) -> K6 -> T5 -> T13."""
     z, _ = T.zscore(J.imputed_wide(spark, sf))
     clusters, _cost = T.kmeans_clusters(T.assemble(z), k=4, seed=1)
-    tests = T.one_vs_rest_anova(J.imputed_long(spark, sf), clusters)
+    tests = T.one_vs_rest_anova(T.clustered_long(J.imputed_wide(spark, sf), clusters))
     return T.marker_table(tests, 15)
 
 
