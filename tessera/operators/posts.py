@@ -59,12 +59,14 @@ def draw_pairs(df: DataFrame, m: int, key: str = "id", seed: str = "pairs") -> D
 
 # P4 ------------------------------------------------------------------------
 def fetch_pair_texts(pairs: DataFrame, posts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """Attach both texts of each pair. ``pairs`` has a proven bound (m rows),
-    so it is broadcast and the post table is scanned once per side."""
-    p = F.broadcast(pairs)
-    t1 = posts.select(F.col(key).alias("id1"), F.col(text).alias("text1"))
-    t2 = posts.select(F.col(key).alias("id2"), F.col(text).alias("text2"))
-    return p.join(t1, "id1").join(t2, "id2").select("pair_id", "id1", "id2", "text1", "text2")
+    """Attach both texts of each pair whose posts are there. The 2m ids of the pairs (m is the caller's bound) are
+    broadcast to one scan of the posts; only the texts found are then brought together by pair."""
+    side = lambda k: F.struct(F.lit(k).alias("side"), F.col(f"id{k}").alias("__id"))
+    sides = pairs.select("pair_id", "id1", "id2", F.explode(F.array(side(1), side(2))).alias("s")).select("pair_id", "id1", "id2", "s.side", "s.__id")
+    found = posts.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(sides), "__id")
+    own = lambda k: F.max(F.when(F.col("side") == k, F.col("__text"))).alias(f"text{k}")
+    return (found.groupBy("pair_id", "id1", "id2").agg(own(1), own(2), F.count_distinct("side").alias("__n"))
+            .where("__n = 2").drop("__n"))
 
 
 # P5 ------------------------------------------------------------------------

@@ -134,3 +134,15 @@ def test_no_text_is_shuffled_for_the_summary(spark):
     join = next(line for line in plan.splitlines() if "Join" in line)
     below = plan[plan.index(join):]
     assert not re.search(r"Project \[[^\]]*\bprompt#", below), plan
+
+
+def test_pair_texts_take_one_scan(spark):
+    """P4 joins the broadcast ids of the pairs to one scan of the posts."""
+    from tessera.operators.posts import fetch_pair_texts
+    posts = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", None)], "id string, text string")
+    pairs = spark.createDataFrame([(1, "a", "b"), (2, "c", "a"), (3, "a", "gone"), (4, "b", "b")], "pair_id int, id1 string, id2 string")
+    out = fetch_pair_texts(pairs, posts)
+    assert sorted(map(tuple, out.collect())) == [(1, "a", "b", "A", "B"), (2, "c", "a", None, "A"), (4, "b", "b", "B", "B")]
+    files = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("cast(doc_id as string) as id", "text")
+    plan = fetch_pair_texts(pairs, files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "SortMergeJoin" not in plan
