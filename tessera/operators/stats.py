@@ -73,22 +73,33 @@ def _collect_names(df: DataFrame, col: str) -> list[str]:
 
 
 # T2 -------------------------------------------------------------------------
+def feature_medians(long: DataFrame, feature: str = "feature_id", value: str = "value") -> DataFrame:
+    """(feature, median): exact, even counts averaged as R's ``median``. Values are counted first, so the window
+    runs over a feature's distinct values, not over its rows."""
+    cells = (long.where(F.col(value).isNotNull()).groupBy(F.col(feature).alias("f"), F.col(value).alias("v"))
+             .agg(F.count(F.lit(1)).alias("c")))
+    of = Window.partitionBy("f")
+    upto = F.sum("c").over(of.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    x = cells.withColumn("twice", 2 * upto).withColumn("n", F.sum("c").over(of))
+    lower = F.min(F.when(F.col("twice") >= F.col("n"), F.col("v")))
+    upper = F.min(F.when(F.col("twice") > F.col("n"), F.col("v")))
+    return x.groupBy(F.col("f").alias(feature)).agg(((lower + upper) / 2).alias("median"))
+
+
 def median_impute(long: DataFrame, posts: DataFrame, features: Sequence[str], key: str = "id",
                   feature: str = "feature_id", value: str = "value") -> DataFrame:
-    """Dense post x feature values, missing ones replaced by the feature's
-    exact median (even counts averaged, as R's ``median``).
+    """Dense post x feature values, missing ones replaced by the feature's exact median.
 
     Long -> wide by one ``groupBy(id).pivot`` with the known feature list;
-    posts without any value still get a row (left join from ``posts``); the
-    p medians come from one aggregate. Returns the wide table
+    posts without any value still get a row (left join from ``posts``, whose
+    keys are unique); the p medians are literals. Returns the wide table
     (id, one column per feature)."""
     feats = list(features)
     lv = long.where(F.col(feature).isin(feats))
-    med_row = lv.groupBy().pivot(feature, feats).agg(F.median(value)).first()
-    meds = {f: (med_row[f] if med_row is not None else None) for f in feats}
+    meds = {r[0]: r[1] for r in feature_medians(lv, feature, value).collect()}       # p numbers
     wide = lv.groupBy(key).pivot(feature, feats).agg(F.first(value, ignorenulls=True))
-    full = posts.select(key).distinct().join(wide, key, "left")
-    return full.select(key, *[F.coalesce(F.col(f"`{f}`"), F.lit(meds[f]).cast("double")).alias(f) for f in feats])
+    full = posts.select(key).join(wide, key, "left")
+    return full.select(key, *[F.coalesce(F.col(f"`{f}`"), F.lit(meds.get(f)).cast("double")).alias(f) for f in feats])
 
 
 def to_long(wide: DataFrame, key: str = "id", feature: str = "feature_id", value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
@@ -200,25 +211,22 @@ def fold_change_table(tests: DataFrame, clusters: Sequence[int], clamp_cluster:
 
 
 # T10 ------------------------------------------------------------------------
+#: Value ranges of a feature; a window of the ranks covers one (pair, range).
+RANGES = 256
+_STEP = 16
+
+
 def spearman_pairwise(long: DataFrame, key: str = "id", feature: str = "feature_id", value: str = "value",
-                      full: bool = True, max_values_per_task: int = 1_000_000,
-                      buckets: int | None = None, features: Sequence[str] | None = None) -> DataFrame:
+                      full: bool = True, features: Sequence[str] | None = None) -> DataFrame:
     """Spearman correlation of every feature pair on that pair's complete
     posts, ties as mid-ranks (R ``cor(..., "pairwise.complete.obs", "spearman")``).
 
     Plan: self-join on id (f1 < f2), then count (f1, f2, v1, v2) cells - the
     map-side partial aggregate shrinks posts x p^2/2 rows to at most
-    p^2/2 x (distinct values)^2 cells. Mid-ranks come from cumulative marginal
-    counts inside each pair, centred at (n+1)/2 before the weighted sums, so no
-    large-number cancellation. A constant side gives NULL.
-
-    Rating scales give a few cells per pair, and one pair's window fits one
-    task. When a feature has more than ``max_values_per_task`` distinct values
-    (estimated with ``approx_count_distinct``), ranks come from ``buckets``
-    value ranges instead: mergeable approximate quantile cuts per feature
-    (p x buckets numbers, broadcast), per-bucket totals turned into offsets,
-    and windows over (pair, bucket) only. The ranks stay exact; the cuts only
-    decide how the work is split.
+    p^2/2 x (distinct values)^2 cells. Mid-ranks come from the marginal counts
+    (f1, f2, value) alone, range by range (``_centred_ranks``), centred at (n+1)/2
+    before the weighted sums, so no large-number cancellation. A constant side
+    gives NULL. The plan is the same for few and for many values.
     """
     if features is not None:
         # known (bounded) feature list: one groupBy(id) pivot shuffle, then row-local pairs.
@@ -227,17 +235,20 @@ def spearman_pairwise(long: DataFrame, key: str = "id", feature: str = "feature_
         feats = sorted(features)
         wide = (long.where(F.col(feature).isin(feats) & F.col(value).isNotNull())
                 .groupBy(key).pivot(feature, feats).agg(F.first(value)))
-        return spearman_pairwise_wide(wide, feats, full, max_values_per_task, buckets)
-    v = long.where(F.col(value).isNotNull()).select(key, feature, value)
-    a = v.select(key, F.col(feature).alias("f1"), F.col(value).alias("v1"))
-    b = v.select(key, F.col(feature).alias("f2"), F.col(value).alias("v2"))
-    cells = (a.join(b, key).where(F.col("f1") < F.col("f2"))
-             .groupBy("f1", "f2", "v1", "v2").agg(F.count(F.lit(1)).alias("c")))
-    return _spearman_from_cells(cells, v, feature, value, full, max_values_per_task, buckets)
+        return spearman_pairwise_wide(wide, feats, full)
+    v = long.where(F.col(value).isNotNull()).select(key, F.col(feature).alias("f"), F.col(value).cast("double").alias("v"))
+    return _spearman_from_cells(pair_cells(v, key), v.select("f", "v"), full)
+
 
+def pair_cells(v: DataFrame, key: str = "id") -> DataFrame:
+    """(f1, f2, v1, v2, c) of long (key, f, v): how many keys hold each pair of values."""
+    a = v.select(key, F.col("f").alias("f1"), F.col("v").alias("v1"))
+    b = v.select(key, F.col("f").alias("f2"), F.col("v").alias("v2"))
+    return (a.join(b, key).where(F.col("f1") < F.col("f2"))
+            .groupBy("f1", "f2", "v1", "v2").agg(F.count(F.lit(1)).alias("c")))
 
-def spearman_pairwise_wide(wide: DataFrame, features: Sequence[str], full: bool = True,
-                           max_values_per_task: int = 1_000_000, buckets: int | None = None) -> DataFrame:
+
+def spearman_pairwise_wide(wide: DataFrame, features: Sequence[str], full: bool = True) -> DataFrame:
     """T10 on a wide table (one row per post, one column per feature, NULL
     where missing) - the shape R's ``cor(mat)`` takes. Every feature pair's
     (v1, v2) is generated inside the row and counted map-side, so only the
@@ -249,38 +260,25 @@ def spearman_pairwise_wide(wide: DataFrame, features: Sequence[str], full: bool
     cells = (wide.select(F.inline(arr)).where(F.col("v1").isNotNull() & F.col("v2").isNotNull())
              .groupBy("f1", "f2", "v1", "v2").agg(F.count(F.lit(1)).alias("c")))
     v = (wide.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in feats])
-         .unpivot([], feats, "feature_id", "value").where(F.col("value").isNotNull()))
-    return _spearman_from_cells(cells, v, "feature_id", "value", full, max_values_per_task, buckets)
-
-
-def _spearman_from_cells(cells: DataFrame, v: DataFrame, feature: str, value: str, full: bool,
-                         max_values_per_task: int, buckets: int | None) -> DataFrame:
-    """Mid-ranks and centred weighted sums from (f1, f2, v1, v2, c) cells; ``v``
-    is the long (feature, value) table for the diagonal and the bucket cuts."""
-    if buckets is None:
-        most = v.groupBy(feature).agg(F.approx_count_distinct(value).alias("nd")).agg(F.max("nd")).first()[0] or 0
-        buckets = max(1, -(-int(most) // max_values_per_task))
-    if buckets <= 1:
-        # every window below shares the (f1, f2) partitioning: one exchange of the cells
-        pair = Window.partitionBy("f1", "f2")
-
-        def upto(side):   # complete posts with a value <= this cell's value (ties included)
-            return F.sum("c").over(pair.orderBy(side).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-
-        x = (cells.withColumn("n", F.sum("c").over(pair))
-             .withColumn("k1", F.sum("c").over(Window.partitionBy("f1", "f2", "v1")))
-             .withColumn("k2", F.sum("c").over(Window.partitionBy("f1", "f2", "v2")))
-             .withColumn("u1", upto("v1")).withColumn("u2", upto("v2")))
-    else:
-        x = _bucketed_ranks(v, cells, feature, value, buckets)
-    # mid-rank = (#below) + (ties + 1) / 2, centred at (n + 1) / 2
-    d1 = F.col("u1") - (F.col("k1") - 1) / 2.0 - (F.col("n") + 1) / 2.0
-    d2 = F.col("u2") - (F.col("k2") - 1) / 2.0 - (F.col("n") + 1) / 2.0
-    agg = (x.select("f1", "f2", "c", d1.alias("d1"), d2.alias("d2"))
-           .groupBy("f1", "f2").agg(F.sum(F.col("c") * F.col("d1") * F.col("d2")).alias("sxy"),
-                                    F.sum(F.col("c") * F.col("d1") * F.col("d1")).alias("sxx"),
-                                    F.sum(F.col("c") * F.col("d2") * F.col("d2")).alias("syy"),
-                                    F.sum("c").alias("n_complete")))
+         .unpivot([], feats, "f", "v").where(F.col("v").isNotNull()))
+    return _spearman_from_cells(cells, v, full)
+
+
+def _spearman_from_cells(cells: DataFrame, v: DataFrame, full: bool) -> DataFrame:
+    """Correlations from (f1, f2, v1, v2, c) cells; ``v`` is the long (f, v) table. Cells and the
+    p rows about features are written once: each is read several times below."""
+    from tessera.session import materialize
+    cells = materialize(cells, name="spearman-cells")
+    probs = [i / RANGES for i in range(1, RANGES)]
+    per = materialize(v.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+                                         F.percentile_approx("v", probs, 10_000).alias("cuts")), name="spearman-features")
+    x = cells
+    for side in ("1", "2"):
+        x = x.join(_centred_ranks(cells, per, side), ["f1", "f2", "v" + side])
+    agg = (x.groupBy("f1", "f2").agg(F.sum(F.col("c") * F.col("d1") * F.col("d2")).alias("sxy"),
+                                     F.sum(F.col("c") * F.col("d1") * F.col("d1")).alias("sxx"),
+                                     F.sum(F.col("c") * F.col("d2") * F.col("d2")).alias("syy"),
+                                     F.sum("c").alias("n_complete")))
     rho = F.when((F.col("sxx") > 0) & (F.col("syy") > 0), F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))
     upper = agg.select("f1", "f2", rho.alias("rho"), "n_complete")
     if not full:
@@ -289,44 +287,32 @@ def _spearman_from_cells(cells: DataFrame, v: DataFrame, feature: str, value: st
         F.struct(F.col("f1").alias("a"), F.col("f2").alias("b"), "rho", "n_complete"),
         F.struct(F.col("f2").alias("a"), F.col("f1").alias("b"), "rho", "n_complete"))))
     both = both.select(F.col("a").alias("f1"), F.col("b").alias("f2"), "rho", "n_complete")
-    diag = (v.groupBy(F.col(feature).alias("f1"))
-            .agg(F.count(F.lit(1)).alias("n_complete"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-            .select("f1", F.col("f1").alias("f2"), F.when(F.col("lo") < F.col("hi"), F.lit(1.0)).alias("rho"),
-                    "n_complete"))
+    diag = per.select(F.col("f").alias("f1"), F.col("f").alias("f2"), F.when(F.col("lo") < F.col("hi"), F.lit(1.0)).alias("rho"),
+                      F.col("n").alias("n_complete"))
     return both.unionByName(diag)
 
 
-def _bucketed_ranks(v: DataFrame, cells: DataFrame, feature: str, value: str, buckets: int) -> DataFrame:
-    """Cells with n, k1/k2 (ties) and u1/u2 (posts <= value) per pair, computed
-    without a window over a whole pair: value ranges from approximate
-    quantile cuts bound every window partition to one (pair, bucket)."""
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = v.groupBy(F.col(feature).alias("f")).agg(
-        F.percentile_approx(value, probs, 10_000).alias("cuts"))          # p x (buckets - 1) numbers
-    cuts = F.broadcast(cuts)
-    def below(col_name):
-        return lambda t: t < F.col(col_name)
-
-    x = cells
-    for side, f in (("1", "f1"), ("2", "f2")):
-        x = (x.join(cuts.select(F.col("f").alias(f), F.col("cuts").alias("cuts" + side)), f, "left")
-             .withColumn("b" + side, F.size(F.filter(F.col("cuts" + side), below("v" + side))))
-             .drop("cuts" + side))
-    n = x.groupBy("f1", "f2").agg(F.sum("c").alias("n"))
-    x = x.join(n, ["f1", "f2"])
-    for side in ("1", "2"):
-        vs, bs = "v" + side, "b" + side
-        marg = x.groupBy("f1", "f2", bs, vs).agg(F.sum("c").alias("k" + side))
-        tot = marg.groupBy("f1", "f2", bs).agg(F.sum("k" + side).alias("bt"))
-        # offsets: posts in lower buckets of the same pair (a window over <= buckets rows)
-        tot = tot.withColumn("off", F.sum("bt").over(
-            Window.partitionBy("f1", "f2").orderBy(bs).rowsBetween(Window.unboundedPreceding, -1)))
-        within = Window.partitionBy("f1", "f2", bs).orderBy(vs).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        marg = (marg.join(tot.select("f1", "f2", bs, "off"), ["f1", "f2", bs])
-                .withColumn("u" + side, F.coalesce(F.col("off"), F.lit(0)) + F.sum("k" + side).over(within))
-                .drop("off"))
-        x = x.join(marg, ["f1", "f2", bs, vs])
-    return x
+def _centred_ranks(cells: DataFrame, per: DataFrame, side: str) -> DataFrame:
+    """(f1, f2, v, d): exact mid-rank of each value of one side of each pair, less (n + 1) / 2.
+
+    A value is one row, however many posts have it. Approximate quantile cuts of the feature split
+    the values into ``RANGES`` ranges; a window numbers one range, and the totals of the ranges before
+    it (a window over at most ``RANGES`` rows) are added. The cuts only divide the work."""
+    f, v = "f" + side, "v" + side
+    marg = cells.groupBy("f1", "f2", v).agg(F.sum("c").alias("k"))
+    below = lambda cuts: F.size(F.filter(cuts, lambda t: t < F.col(v)))
+    coarse = F.transform(F.sequence(F.lit(_STEP), F.lit(RANGES - 1), F.lit(_STEP)), lambda i: F.element_at("cuts", i))
+    x = (marg.join(per.select(F.col("f").alias(f), "cuts"), f)
+         .withColumn("g", below(coarse) * _STEP)
+         .withColumn("b", F.col("g") + below(F.slice("cuts", F.col("g") + 1, _STEP))).drop("cuts", "g"))
+    one = Window.partitionBy("f1", "f2", "b").orderBy(v).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("upto", F.sum("k").over(one))
+    pair = Window.partitionBy("f1", "f2")
+    before = pair.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    tot = (x.groupBy("f1", "f2", "b").agg(F.sum("k").alias("t"))
+           .select("f1", "f2", "b", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("off"), F.sum("t").over(pair).alias("n")))
+    d = F.col("off") + F.col("upto") - (F.col("k") - 1) / 2.0 - (F.col("n") + 1) / 2.0
+    return x.join(tot, ["f1", "f2", "b"]).select("f1", "f2", v, d.alias("d" + side))
 
 
 # MLlib -----------------------------------------------------
@@ -356,18 +342,79 @@ def pca_scores(vectors: DataFrame, k: int | None = None, key: str = "id", col: s
     return scores, list(model.explainedVariance.toArray())
 
 
+def _sq_dist(x: str, centre: Sequence[float]) -> Column:
+    """Squared distance of an array column from a fixed point."""
+    gaps = F.zip_with(F.col(x), F.array(*[F.lit(float(c)) for c in centre]), lambda a, b: (a - b) * (a - b))
+    return F.aggregate(gaps, F.lit(0.0), lambda s, d: s + d)
+
+
+def _starts(points: DataFrame, k: int, seed: int, key: str) -> list[list[float]]:
+    """k-means++ starts drawn by hash: of all points the one with the least -ln(u) / D^2, where u in (0, 1) comes
+    from md5(id, seed, round). That is a draw with weight D^2, and it doesn't depend on partitions. Fewer than
+    ``k`` come back where there are fewer distinct points."""
+    centres: list[list[float]] = []
+    for i in range(k):
+        digits = F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)), F.lit(str(i)))), 1, 12)
+        u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(16 ** 12)
+        d = F.array_min(F.array(*[_sq_dist("x", c) for c in centres])) if centres else F.lit(1.0)
+        best = points.select("x", d.alias("d"), F.struct((-F.log(u) / d).alias("w"), F.col(key).alias("k")).alias("o")) \
+            .where("d > 0").agg(F.min_by("x", "o")).first()[0]
+        if best is None:
+            break
+        centres.append(list(best))
+    return centres
+
+
+def _lloyd(points: DataFrame, models: dict[int, list[list[float]]], max_iter: int) -> dict[int, dict]:
+    """Lloyd steps of several models at once, one scan a step. A centre is a mean rounded to 9 places, so that the
+    order of a sum doesn't show. Returns, by model, its centres, sizes and within-cluster sum of squares, in which
+    sizes and sum belong to these centres unless ``max_iter`` ended the steps."""
+    dim = len(next(iter(models.values()))[0])
+    fits = {m: {"centres": c, "sizes": [0] * len(c), "wss": 0.0} for m, c in models.items()}
+    live = set(fits)
+    for _ in range(max_iter):
+        near = F.array(*[F.struct(F.lit(m).alias("m"), F.array(*[_sq_dist("x", c) for c in fits[m]["centres"]]).alias("ds"))
+                         for m in sorted(live)])
+        rows = (points.select("x", F.inline(near)).withColumn("d", F.array_min("ds"))
+                .groupBy("m", F.array_position("ds", F.col("d")).alias("c"))
+                .agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("ss"), *[F.avg(F.col("x")[j]).alias(f"x{j}") for j in range(dim)])
+                .collect())                                              # a row a centre
+        for m in sorted(live):
+            own = {r["c"]: r for r in rows if r["m"] == m}
+            old = fits[m]["centres"]
+            new = [[round(own[i + 1][f"x{j}"], 9) for j in range(dim)] if i + 1 in own else c for i, c in enumerate(old)]
+            fits[m] = {"centres": new, "sizes": [own[i + 1]["n"] if i + 1 in own else 0 for i in range(len(old))],
+                       "wss": float(sum(r["ss"] for r in own.values()))}
+            if new == old:
+                live.discard(m)
+        if not live:
+            break
+    return fits
+
+
+def _points(vectors: DataFrame, key: str, col: str) -> DataFrame:
+    """(key, x array) written once: every step reads it."""
+    from pyspark.ml.functions import vector_to_array
+    from tessera.session import materialize
+    return materialize(vectors.select(key, vector_to_array(col).alias("x")), name="points")
+
+
 def kmeans_clusters(vectors: DataFrame, k: int = 4, seed: int = 1, key: str = "id", col: str = "features",
                     max_iter: int = 50) -> tuple[DataFrame, float]:
     """K-means; clusters renumbered 1..k by size (desc), then by centroid
-    norm, so numbering is stable for a seed. Returns ((id, cluster), cost)."""
-    from pyspark.ml.clustering import KMeans
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=col, predictionCol="raw").fit(vectors)
-    pred = model.transform(vectors).select(key, "raw")
-    sizes = model.summary.clusterSizes
-    norms = [float(sum(x * x for x in c)) for c in model.clusterCenters()]
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], norms[i]))
-    mapping = F.create_map(*[x for new, old in enumerate(order) for x in (F.lit(old), F.lit(new + 1))])
-    return pred.select(key, mapping[F.col("raw")].alias("cluster")), model.summary.trainingCost
+    norm. Starts come from hashes of the ids, so a seed gives the same clusters
+    however the rows are partitioned. Returns ((id, cluster), cost)."""
+    points = _points(vectors, key, col)
+    starts = _starts(points, k, seed, key)
+    if not starts:
+        return points.select(key, F.lit(1).alias("cluster")), 0.0       # no points
+    fit = _lloyd(points, {k: starts}, max_iter)[k]
+    centres = fit["centres"]
+    order = sorted(range(len(centres)), key=lambda i: (-fit["sizes"][i], sum(x * x for x in centres[i])))
+    number = {old: new + 1 for new, old in enumerate(order)}
+    near = points.select(key, F.array(*[_sq_dist("x", c) for c in centres]).alias("ds"))
+    place = F.array_position("ds", F.array_min("ds")).cast("int")
+    return near.select(key, F.element_at(F.array(*[F.lit(number[i]) for i in range(len(centres))]), place).alias("cluster")), fit["wss"]
 
 
 def total_ss(vectors_long: DataFrame, feature: str = "feature_id", value: str = "value") -> DataFrame:
@@ -376,34 +423,25 @@ def total_ss(vectors_long: DataFrame, feature: str = "feature_id", value: str =
             .agg(F.sum("ss").alias("wss")))
 
 
-def elbow(vectors: DataFrame, ks: Sequence[int] = range(1, 11), seed: int = 1, col: str = "features") -> DataFrame:
-    """Total within-cluster SS per k; k = 1 by aggregate (KMeans rejects
-    k = 1). The vector table is persisted across the fits."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import vector_to_array
-    from pyspark import StorageLevel
-    spark = vectors.sparkSession
-    vec = vectors.select(col).persist(StorageLevel.MEMORY_AND_DISK)
-    dim = len(vec.first()[0])
-    arr = vec.select(vector_to_array(col).alias("a"))
-    ss = arr.agg(*[(F.var_pop(F.col("a")[j]) * F.count(F.lit(1))).alias(f"s{j}") for j in range(dim)]).first()
-    rows = []
-    for k in ks:
-        if k == 1:
-            rows.append((1, float(sum(ss))))
-        else:
-            m = KMeans(k=k, seed=seed, maxIter=50, featuresCol=col).fit(vec)
-            rows.append((k, float(m.summary.trainingCost)))
-    vec.unpersist()
-    return spark.createDataFrame(rows, "k int, wss double")
+def elbow(vectors: DataFrame, ks: Sequence[int] = range(1, 11), seed: int = 1, key: str = "id", col: str = "features",
+          max_iter: int = 50) -> DataFrame:
+    """Total within-cluster SS per k. All k are fitted together, a scan a step; the starts
+    of k are the first k of one draw."""
+    points = _points(vectors, key, col)
+    starts = _starts(points, max(ks), seed, key)
+    if not starts:
+        return points.sparkSession.createDataFrame([(k, 0.0) for k in ks], "k int, wss double")
+    fits = _lloyd(points, {k: starts[:k] for k in ks}, max_iter)
+    return points.sparkSession.createDataFrame([(k, fits[k]["wss"]) for k in ks], "k int, wss double")
 
 
 def feature_blocks(corr: DataFrame, k: int = 4, seed: int = 1) -> DataFrame:
     """T11 (re-aimed): split features into ``k`` blocks by their correlation
     rows with bisecting k-means (the original cuts a complete-linkage tree)."""
     from pyspark.ml.clustering import BisectingKMeans
-    feats = sorted(r[0] for r in corr.select("f1").distinct().collect())   # p names
     from tessera.session import materialize
+    corr = materialize(corr, name="corr")                                  # read for its names and for its rows
+    feats = sorted(r[0] for r in corr.select("f1").distinct().collect())   # p names
     filled = corr.withColumn("rho", F.coalesce("rho", F.lit(0.0)))
     wide = filled.groupBy("f1").pivot("f2", feats).agg(F.first("rho"))
     # p rows of p values: written once so the iterative fit never re-runs the correlation plan

@@ -39,16 +39,21 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questionnaire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C1 core: recorded questionnaire replies -> J1 parse + X6 flag (stage table)."""
+    """C1 core: recorded questionnaire replies -> J1 parse + X6 flag (stage table, without the texts)."""
     def build():
         resp = fx.fx_questionnaire_responses(posts(spark, sf_dir))
-        return R.parse_questionnaire(resp, keep=("doc_id", "id", "label", "text"))
+        return R.parse_questionnaire(resp, keep=("doc_id", "id", "label"))
     return stage(spark, sf_dir, "questionnaire", build)
 
 
 def flagged_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """posts with any "Yes" answer."""
-    return P.flagged(questionnaire(spark, sf_dir)).select("doc_id", "id", "label", "text")
+    return P.flagged(questionnaire(spark, sf_dir)).select("doc_id", "id", "label")
+
+
+def flagged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagged posts with their texts, taken from ``documents``."""
+    return posts(spark, sf_dir).join(flagged_posts(spark, sf_dir).select("id"), "id", "left_semi").select("doc_id", "id", "label", "text")
 
 
 def rating_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +70,7 @@ def pairs(spark: SparkSession, sf_dir: str, m: int = 100, seed: str = "pairs") -
 
 
 def pair_texts(spark: SparkSession, sf_dir: str, m: int = 100) -> DataFrame:
-    return P.fetch_pair_texts(pairs(spark, sf_dir, m), flagged_posts(spark, sf_dir))
+    return P.fetch_pair_texts(pairs(spark, sf_dir, m), posts(spark, sf_dir))
 
 
 def comparisons(spark: SparkSession, sf_dir: str, m: int = 100) -> DataFrame:

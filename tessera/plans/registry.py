@@ -36,7 +36,7 @@ def with_ctes(ctes: str, body: str) -> str:
 SELECT id, label, brief_reasoning, answer1, answer2, answer3, answer4, answer5, frequency, error,
        freq_num, any_flag FROM fx_questionnaire"""))
 def q_j1(spark, sf):
-    return J.questionnaire(spark, sf).drop("doc_id", "text")
+    return J.questionnaire(spark, sf).drop("doc_id")
 
 
 @register("g1_label_summary", with_ctes(O.questionnaire_ctes(), """
@@ -273,7 +273,7 @@ SELECT w.id, w.category, md5(p) AS prompt_md5, CAST(length(p) AS INTEGER) AS pro
 def q_a5(spark, sf):
     ftext = A.features_text(J.definitions(spark, sf))
     cats = sorted(r[0] for r in ftext.select("category").collect())       # bounded: target categories
-    wl = A.work_list(J.flagged_posts(spark, sf).select("id", "text"), cats)
+    wl = A.work_list(J.flagged_texts(spark, sf).select("id", "text"), cats)
     p = render(RATING_TEMPLATE, text="text", features="features_text")
     return (wl.join(F.broadcast(ftext), "category")
             .select("id", "category", F.md5(p).alias("prompt_md5"), F.length(p).alias("prompt_len")))
@@ -734,10 +734,31 @@ def _pca_inputs(spark, sf):
     return T.assemble(z)
 
 
+def _all_pcs(spark, sf) -> DataFrame:
+    """(id, label, pc1 .. pcp)."""
+    scores, var = T.pca_scores(_pca_inputs(spark, sf))
+    named = scores.select("id", *[F.col("pcs")[j].alias(f"pc{j + 1}") for j in range(len(var))])
+    return J.flagged_posts(spark, sf).select("id", "label").join(named, "id")
+
+
 @register("t4_pca_scores")
 def q_t4(spark, sf):
-    scores, _var = T.pca_scores(_pca_inputs(spark, sf))
-    return scores.select("id", F.col("pcs")[0].alias("pc1"), F.col("pcs")[1].alias("pc2"))
+    return _all_pcs(spark, sf)
+
+
+@register("t4_pca_variances", with_ctes(MC, """
+SELECT CAST(count(DISTINCT feature_id) AS BIGINT) AS n_components, round(CAST(count(DISTINCT feature_id) AS DOUBLE), 6) AS total_variance,
+  CAST(0 AS DOUBLE) AS max_mean, CAST(0 AS DOUBLE) AS max_covariance, (SELECT count(*) FROM fx_flagged) AS n FROM fx_z"""))
+def q_t4_var(spark, sf):
+    """What scores of z-scored features must show: variances that sum to p, no mean, no covariance."""
+    s = _all_pcs(spark, sf)
+    pcs = [c for c in s.columns if c.startswith("pc")]
+    total = sum((F.var_samp(c) for c in pcs[1:]), F.var_samp(pcs[0]))
+    covs = [F.abs(F.covar_samp(a, b)) for i, a in enumerate(pcs) for b in pcs[i + 1:]]
+    most = lambda cols: F.round(F.array_max(F.array(*cols)), 6)
+    return s.agg(F.lit(len(pcs)).cast("long").alias("n_components"), F.round(total, 6).alias("total_variance"),
+                 most([F.abs(F.avg(c)) for c in pcs]).alias("max_mean"), most(covs).alias("max_covariance"),
+                 F.count(F.lit(1)).alias("n"))
 
 
 @register("t7_kmeans_clusters")
@@ -762,7 +783,7 @@ def q_t11(spark, sf):
 
 
 # --------------------------------------------------------------------------- scale: lineitem / events
-_LI_VALS = ("l_quantity", "l_discount", "l_tax")
+_LI_VALS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 def _lineitem_long(spark, sf):
@@ -786,8 +807,8 @@ SELECT feature_id AS feature, cluster, mean AS mean_in_cluster, mean_out AS mean
 
 
 @register("t5_lineitem_anova", f"""WITH li AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_returnflag AS cluster,
-  l_quantity, l_discount, l_tax FROM lineitem),
-lv AS (SELECT id, cluster, feature_id, value FROM li UNPIVOT (value FOR feature_id IN (l_quantity, l_discount, l_tax))),
+  {", ".join(_LI_VALS)} FROM lineitem),
+lv AS (SELECT id, cluster, feature_id, value FROM li UNPIVOT (value FOR feature_id IN ({", ".join(_LI_VALS)}))),
 {_anova_sql("lv")}""")
 def q_t5_li(spark, sf):
     return T.one_vs_rest_anova(_lineitem_long(spark, sf)).drop("f_raw")
@@ -803,11 +824,13 @@ def q_t5_ev(spark, sf):
     return T.one_vs_rest_anova(ev).drop("f_raw")
 
 
-@register("t10_lineitem_spearman", """WITH s_pairs AS (SELECT 'l_discount' AS f1, 'l_quantity' AS f2, l_discount AS v1, l_quantity AS v2 FROM lineitem WHERE l_discount IS NOT NULL AND l_quantity IS NOT NULL
-  UNION ALL SELECT 'l_discount' AS f1, 'l_tax' AS f2, l_discount AS v1, l_tax AS v2 FROM lineitem WHERE l_discount IS NOT NULL AND l_tax IS NOT NULL
-  UNION ALL SELECT 'l_quantity' AS f1, 'l_tax' AS f2, l_quantity AS v1, l_tax AS v2 FROM lineitem WHERE l_quantity IS NOT NULL AND l_tax IS NOT NULL),
-s_v AS (SELECT feature_id, value AS rating FROM (SELECT l_quantity, l_discount, l_tax FROM lineitem)
-  UNPIVOT (value FOR feature_id IN (l_quantity, l_discount, l_tax))),
+_LI_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, {a} AS v1, {b} AS v2 FROM lineitem WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+                               for a in sorted(_LI_VALS) for b in sorted(_LI_VALS) if a < b)
+
+
+@register("t10_lineitem_spearman", f"""WITH s_pairs AS ({_LI_PAIRS}),
+s_v AS (SELECT feature_id, value AS rating FROM (SELECT {", ".join(_LI_VALS)} FROM lineitem)
+  UNPIVOT (value FOR feature_id IN ({", ".join(_LI_VALS)}))),
 s_rank AS (SELECT f1, f2,
   rank() OVER (PARTITION BY f1, f2 ORDER BY v1) + (count(*) OVER (PARTITION BY f1, f2, v1) - 1) / 2.0 AS r1,
   rank() OVER (PARTITION BY f1, f2 ORDER BY v2) + (count(*) OVER (PARTITION BY f1, f2, v2) - 1) / 2.0 AS r2 FROM s_pairs),

@@ -27,9 +27,22 @@ def test_pca_invariants(spark):
 
 def test_kmeans_repeatable_and_partition_independent(spark):
     vec = _emb(spark)
-    a = {r["id"]: r["cluster"] for r in T.kmeans_clusters(vec, 4, seed=1)[0].collect()}
-    b = {r["id"]: r["cluster"] for r in T.kmeans_clusters(vec.repartition(1), 4, seed=1)[0].collect()}
-    assert a == b and set(a.values()) <= {1, 2, 3, 4} and len(a) == vec.count()
+    of = lambda v: {r["id"]: r["cluster"] for r in T.kmeans_clusters(v, 4, seed=1)[0].collect()}
+    a = of(vec)
+    assert set(a.values()) == {1, 2, 3, 4} and len(a) == vec.count()
+    for n in (1, 2, 8):
+        assert of(vec.repartition(n)) == a
+
+
+def test_kmeans_finds_planted_groups_and_few_points(spark):
+    rows = [(f"i{i}", float(10 * (i % 4)) + i / 1e4, float(i % 2)) for i in range(200)]
+    vec = T.assemble(spark.createDataFrame(rows, "id string, a double, b double"))
+    got = {r["id"]: r["cluster"] for r in T.kmeans_clusters(vec, 4, seed=3)[0].collect()}
+    assert len({(i % 4, got[f"i{i}"]) for i in range(200)}) == 4
+    few = T.assemble(spark.createDataFrame([("x", 1.0), ("y", 1.0)], "id string, a double"))
+    assert {r["cluster"] for r in T.kmeans_clusters(few, 4)[0].collect()} == {1}
+    none, cost = T.kmeans_clusters(vec.where("id = '-'"), 4)
+    assert none.count() == 0 and cost == 0.0
 
 
 def test_elbow_near_monotone(spark):

@@ -29,11 +29,16 @@ def test_anova_partially_aggregates_raw_rows(spark):
 
 def test_spearman_counts_cells_before_shuffle(spark):
     rows = [(f"p{i}", f"f{j}", float((i * j) % 4)) for i in range(50) for j in range(4)]
-    long = spark.createDataFrame(rows, "id string, feature_id string, value double")
-    plan = _plan(T.spearman_pairwise(long, full=False))
+    plan = _plan(T.pair_cells(spark.createDataFrame(rows, "id string, f string, v double")))
     assert "partial_count" in plan and ("SortMergeJoin" in plan or "BroadcastHashJoin" in plan)
 
 
+def test_questionnaire_stage_holds_no_text(spark):
+    from tessera.plans import jobs as J
+    assert "text" not in J.questionnaire(spark, "/root/testdata/sf0.001").columns
+    assert "text" in J.flagged_texts(spark, "/root/testdata/sf0.001").columns
+
+
 def test_one_per_group_is_a_partial_aggregate(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").cast("string").alias("k"))
     plan = _plan(P.one_per_group(df, "g", "k"))

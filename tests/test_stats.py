@@ -128,22 +128,21 @@ def test_long_wide_roundtrip(spark):
     assert sorted(map(tuple, back.collect())) == sorted(rows)
 
 
-def test_spearman_bucketed_ranks_equal_single_window(spark):
+def test_spearman_of_many_values_equals_pandas(spark):
     rng = np.random.default_rng(11)
     rows = []
-    for i in range(400):
+    for i in range(1500):
         for f in ("a", "b", "c"):
             if rng.random() > 0.1:
                 rows.append((f"p{i}", f, float(np.round(rng.normal(), 2))))   # many distinct values, some ties
     long = spark.createDataFrame(pd.DataFrame(rows, columns=["id", "feature_id", "value"]))
-    one = {(r.f1, r.f2): r.rho for r in T.spearman_pairwise(long, buckets=1).collect()}
-    many = {(r.f1, r.f2): r.rho for r in T.spearman_pairwise(long, buckets=7).collect()}
-    assert one.keys() == many.keys()
-    for k in one:
-        assert (one[k] is None and many[k] is None) or abs(one[k] - many[k]) < 1e-12
+    got = {(r.f1, r.f2): r.rho for r in T.spearman_pairwise(long).collect()}
     pdf = pd.DataFrame(rows, columns=["id", "feature_id", "value"]).pivot(index="id", columns="feature_id", values="value")
-    both = pdf[["a", "b"]].dropna()
-    assert abs(many[("a", "b")] - both["a"].rank().corr(both["b"].rank())) < 1e-12
+    for f, g in (("a", "b"), ("a", "c"), ("b", "c")):
+        both = pdf[[f, g]].dropna()
+        want = both[f].rank().corr(both[g].rank())
+        assert abs(got[(f, g)] - want) < 1e-12 and got[(g, f)] == got[(f, g)]
+    assert got[("a", "a")] == 1.0
 
 
 def test_spearman_wide_equals_long(spark):
