@@ -149,6 +149,41 @@ fx_anova AS (SELECT feature_id AS feature, cluster, mean AS mean_in_cluster, mea
 fx_tests AS (SELECT *, {log2fc_sql('mean_in_cluster', 'mean_out_cluster')} AS log2fc FROM fx_anova)"""
 
 
+def sig3_sql(p: str) -> str:
+    """Three significant digits, the power in two steps as it may pass the range of doubles."""
+    places = f"(2 - floor(log10({p})))"
+    one, two = f"pow(10.0, floor({places} / 2))", f"pow(10.0, {places} - floor({places} / 2))"
+    return f"(CASE WHEN {p} IS NULL THEN NULL WHEN {p} = 0 THEN 0.0 ELSE round({p} * {one} * {two}) / {one} / {two} END)"
+
+
+def f_tail_sql(f: str, d: str) -> str:
+    """Upper tail of F(1, d): the incomplete beta function I_x(d/2, 1/2) at x = d / (d + f), as its power series;
+    for small f, where that is slow, one less the series of I_(1-x)(1/2, d/2)."""
+    def series(x, rest, a, b, terms):
+        head = f"{a} * ln({x}) + {b} * ln({rest}) - ln({a}) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b})"
+        term = (f"exp(lgamma({a} + {b} + n) - lgamma({a} + {b}) + lgamma({a} + 1) - lgamma({a} + 1 + n) + n * ln({x}))")
+        return f"exp({head}) * list_sum(list_transform(range(0, {terms}), lambda n: {term}))"
+    x, y, half = f"({d} / ({d} + {f}))", f"({f} / ({d} + {f}))", f"({d} / 2.0)"
+    return (f"(CASE WHEN {f} IS NULL THEN NULL WHEN {f} <= 0 THEN 1.0 "
+            f"WHEN {f} < 10 THEN 1 - {series(y, x, '0.5', half, '400')} "
+            f"ELSE {series(x, y, half, '0.5', f'CAST(40 * ({d} + {f}) / {f} AS BIGINT) + 50')} END)")
+
+
+def chisq_tail_sql(x: str, df: str) -> str:
+    """Upper tail of chi-squared: one less the series of the lower incomplete gamma function."""
+    half, a = f"({x} / 2.0)", f"({df} / 2.0)"
+    term = f"exp(({a} + n) * ln({half}) - {half} - lgamma({a} + n + 1))"
+    return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= 0 THEN 1.0 "
+            f"ELSE 1 - list_sum(list_transform(range(0, CAST(2 * {x} AS BIGINT) + 200), lambda n: {term})) END)")
+
+
+def marker_ctes() -> str:
+    """T6 threshold, T9 p (from the full F, three digits) and fold change of every test."""
+    return matrix_ctes() + f""",
+m_thr AS (SELECT *, 0.05 / count(*) OVER (PARTITION BY cluster) AS bonferroni_threshold, {f_tail_sql('f_raw', 'dfd')} AS p_raw FROM fx_tests),
+m_p AS (SELECT * EXCLUDE (p_raw), {sig3_sql('p_raw')} AS p FROM m_thr)"""
+
+
 def spearman_ctes() -> str:
     return matrix_ctes() + """,
 s_v AS (SELECT id, feature_id, rating FROM fx_ratings WHERE rating IS NOT NULL

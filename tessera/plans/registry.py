@@ -104,7 +104,7 @@ def q_t1b(spark, sf):
     return T.chisq_independence(table(spark, sf, "labels"), "quality", "toxic")
 
 
-@register("t9_chisq_pvalue")
+@register("t9_chisq_pvalue", f"SELECT *, {O.chisq_tail_sql('statistic', 'df')} AS p FROM ({ORACLE['t1_chisq_label_flag']})")
 def q_t9a(spark, sf):
     return T.with_chisq_p(T.chisq_independence(J.questionnaire(spark, sf), "label", "any_flag"))
 
@@ -697,7 +697,10 @@ def q_t6(spark, sf):
     return T.bonferroni(J.anova_segments(spark, sf)).select("feature", "cluster", "bonferroni_threshold")
 
 
-@register("t9_f_pvalues")
+PM = O.marker_ctes()
+
+
+@register("t9_f_pvalues", with_ctes(PM, "SELECT feature, cluster, f, dfn, dfd, p FROM m_p"))
 def q_t9(spark, sf):
     return T.with_p(J.anova_segments(spark, sf)).select("feature", "cluster", "f", "dfn", "dfd", "p")
 
@@ -724,9 +727,16 @@ def q_k5(spark, sf):
     return fc.withColumn("matrix_pos", F.row_number().over(Window.orderBy("feature")))      # a row a feature
 
 
-@register("t13_marker_table_segments")
+_MARKERS_SQL = """SELECT feature, cluster, mean_in_cluster, mean_out_cluster, dfn, dfd, f, ges, bonferroni_threshold, p, TRUE AS p_adj_sig,
+  log2fc, rank, split_part(feature, '_', 1) AS "group", 'Cluster ' || CAST(cluster AS VARCHAR) AS cluster_name,
+  replace(feature, '_', ' ') AS feature_name FROM (
+ SELECT *, CAST(rank() OVER (PARTITION BY cluster ORDER BY f_raw DESC) AS INTEGER) AS rank FROM m_p
+ WHERE p < bonferroni_threshold AND log2fc > 0) WHERE rank <= 15"""
+
+
+@register("t13_marker_table_segments", with_ctes(PM, _MARKERS_SQL))
 def q_t13(spark, sf):
-    return T.marker_table(J.anova_segments(spark, sf), 15)
+    return T.marker_table(J.anova_segments(spark, sf), 15).drop("f_raw")
 
 
 def _pca_inputs(spark, sf):
@@ -989,7 +999,8 @@ def q_s4_pairs(spark, sf):
     return spark.read.schema("pair_id int, id1 string, id2 string").json(path)
 
 
-@register("f6_significant_tests")
+@register("f6_significant_tests", with_ctes(PM, """
+SELECT feature, cluster, f, p, bonferroni_threshold FROM m_p WHERE p < bonferroni_threshold"""))
 def q_f6(spark, sf):
     """tests whose (rounded) p is below the Bonferroni threshold."""
     t = T.with_p(T.bonferroni(J.anova_segments(spark, sf)))
