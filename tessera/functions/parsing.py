@@ -130,7 +130,8 @@ def to_double(c) -> Column:
 
 
 def to_int(c) -> Column:
-    return _try_cast(c, "int")
+    """Numeric text cut to a whole number, as ``int`` cuts a JSON number; anything else, or past an int -> NULL."""
+    return to_double(c).try_cast("int")
 
 
 def _try_cast(c, t: str) -> Column:

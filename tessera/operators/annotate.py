@@ -30,11 +30,17 @@ def features_text(defs: DataFrame, category: str = "category", order: str = "pos
 
 # A8 -------------------------------------------------------------------------
 def examples_text(comparisons: DataFrame, categories: DataFrame, on: str = "category",
-                  order: Sequence[str] = ("pair_id", "pos")) -> DataFrame:
+                  order: Sequence[str] = ("pair_id", "pos"), terms: str | None = None) -> DataFrame:
     """Per target category, its comparison rows' two posts with ``------``
     separators, in row order. The comparison table is bounded by the pair
-    sample (m pairs x items per reply), so one category's list is too."""
-    rows = comparisons.join(F.broadcast(categories.select(on)), on)
+    sample (m pairs x items per reply), so one category's list is too. A row
+    belongs to the category of its name, or with ``terms``, an array column of
+    ``categories``, to each category that lists it among its terms."""
+    if terms is None:
+        rows = comparisons.join(categories.select(on), on)
+    else:
+        lists = categories.select(F.col(on).alias("_name"), F.explode(F.array_distinct(F.transform(terms, F.lower))).alias(on))
+        rows = comparisons.join(lists, on).drop(on).withColumnRenamed("_name", on)
     block = F.concat(F.coalesce("post1", F.lit("")), F.lit("\n------\n"), F.coalesce("post2", F.lit("")),
                      F.lit("\n------\n"))
     items = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], block.alias("t"))))
@@ -84,7 +90,7 @@ ClientFactory = Callable[[], Callable[[list[dict]], str]]
 
 def annotate(prompts: DataFrame, client_factory: ClientFactory, key: str = "id", prompt: str = "prompt",
              prefix: str | None = None, partitions: int | None = None, model: str | None = None,
-             max_tokens: int | None = None, concurrency: int = 8, attempts: int = 3) -> DataFrame:
+             max_tokens: int | None = None, concurrency: int = 8, attempts: int = 3, keep: Sequence[str] = ()) -> DataFrame:
     """Call the model once per row inside the executors.
 
     ``client_factory(**options)`` runs once per partition and returns ``call(messages)
@@ -93,10 +99,10 @@ def annotate(prompts: DataFrame, client_factory: ClientFactory, key: str = "id",
     open at a time, and a call is tried ``attempts`` times; the last exception goes to
     ``error`` and the row is kept. ``partitions`` spreads the rows (one shuffle, keyed by
     prompt hash). A NULL prompt is not sent: NULL reply, error ``no prompt``.
-    Returns (key, prompt_md5, response, error).
+    Returns (key, prompt_md5, response, error) and the string columns named in ``keep``.
     """
     options = {k: v for k, v in (("model", model), ("max_tokens", max_tokens)) if v is not None}
-    src = prompts.select(F.col(key).cast("string").alias("key"), F.col(prompt).alias("prompt"))
+    src = prompts.select(F.col(key).cast("string").alias("key"), F.col(prompt).alias("prompt"), *keep)
     if partitions:
         src = src.repartition(partitions, F.md5("prompt"))
 
@@ -122,23 +128,13 @@ def annotate(prompts: DataFrame, client_factory: ClientFactory, key: str = "id",
             for b in batches:
                 rows = list(pool.map(one, b["prompt"]))                 # in the order of the rows
                 yield pd.DataFrame({"key": b["key"], **{n: pd.Series([r[k] for r in rows], index=b.index, dtype=object)
-                                                        for k, n in enumerate(("prompt_md5", "response", "error"))}})
+                                                        for k, n in enumerate(("prompt_md5", "response", "error"))},
+                                    **{c: b[c] for c in keep}})
 
-    res = src.mapInPandas(run, "key string, prompt_md5 string, response string, error string")
+    res = src.mapInPandas(run, ", ".join(f"`{c}` string" for c in ("key", "prompt_md5", "response", "error", *keep)))
     return res.withColumnRenamed("key", key)
 
 
-def stub_client() -> Callable[[list[dict]], str]:
-    """Deterministic stand-in model for tests and benchmarks: a questionnaire
-    reply derived from the md5 of the user turn (answer k is "Yes" when hex
-    digit k is below 4; frequency = digit 6 mod 5)."""
-    def call(messages: list[dict]) -> str:
-        h = hashlib.md5(messages[0]["content"].encode("utf-8")).hexdigest()
-        ans = ", ".join(f'"answer{k}": "{"Yes" if h[k - 1] < "4" else "No"}"' for k in range(1, 6))
-        return f'{{"brief_reasoning": "stub {h[:8]}", {ans}, "frequency": {int(h[5], 16) % 5}}}'
-    return call
-
-
 # A13 ------------------------------------------------------------------------
 def with_recorded(prompts: DataFrame, recorded: DataFrame, prompt: str = "prompt") -> DataFrame:
     """Attach recorded replies by prompt hash (left join, NULL = not yet sent)."""
@@ -152,26 +148,6 @@ def pending(prompts: DataFrame, recorded: DataFrame, prompt: str = "prompt") ->
     return p.join(recorded.select("prompt_md5"), "prompt_md5", "left_anti")
 
 
-def stub_scoring_client(names: Sequence[str]) -> Callable[[], Callable[[list[dict]], str]]:
-    """Deterministic stand-in for the scoring model: ``{name: score}`` with
-    score = hex digit i of md5(user turn) mod 4; digit 11 = '0' repeats the
-    first name (last wins) with digit 12 mod 4, digit 13 = '0' adds an
-    unlisted name."""
-    names = list(names)
-
-    def factory():
-        def call(messages: list[dict]) -> str:
-            h = hashlib.md5(messages[0]["content"].encode("utf-8")).hexdigest()
-            items = [f'"{n}": {int(h[i], 16) % 4}' for i, n in enumerate(names)]
-            if h[10] == "0":
-                items.append(f'"{names[0]}": {int(h[11], 16) % 4}')
-            if h[12] == "0":
-                items.append('"unlisted_feature": 2')
-            return "{" + ", ".join(items) + "}"
-        return call
-    return factory
-
-
 def annotate_resumable(prompts: DataFrame, client_factory: ClientFactory, store_path: str, key: str = "id",
                        prompt: str = "prompt", prefix: str | None = None, partitions: int | None = None, **calls) -> DataFrame:
     """A12 + A13 as a resumable job over a reply store (parquet, keyed by md5(prompt)).

@@ -9,6 +9,8 @@ inputs. Everything is row-local (map-side); no view shuffles.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -308,3 +310,36 @@ def fx_definition_responses(groups: DataFrame) -> DataFrame:
     """groups (group_pos, name) -> (group_pos, category, response)."""
     return apply_stages(groups.select("group_pos", "name"), definition_stages(SPARK, "name")) \
         .select("group_pos", F.col("name").alias("category"), "response")
+
+
+# ---------------------------------------------------------------------------
+# Stand-in models: replies that both engines can derive from the md5 of a prompt
+def stub_client() -> Callable[[list[dict]], str]:
+    """Deterministic stand-in model for tests and benchmarks: a questionnaire
+    reply derived from the md5 of the user turn (answer k is "Yes" when hex
+    digit k is below 4; frequency = digit 6 mod 5)."""
+    def call(messages: list[dict]) -> str:
+        h = hashlib.md5(messages[0]["content"].encode("utf-8")).hexdigest()
+        ans = ", ".join(f'"answer{k}": "{"Yes" if h[k - 1] < "4" else "No"}"' for k in range(1, 6))
+        return f'{{"brief_reasoning": "stub {h[:8]}", {ans}, "frequency": {int(h[5], 16) % 5}}}'
+    return call
+
+
+def stub_scoring_client(names: Sequence[str]) -> Callable[[], Callable[[list[dict]], str]]:
+    """Deterministic stand-in for the scoring model: ``{name: score}`` with
+    score = hex digit i of md5(user turn) mod 4; digit 11 = '0' repeats the
+    first name (last wins) with digit 12 mod 4, digit 13 = '0' adds an
+    unlisted name."""
+    names = list(names)
+
+    def factory():
+        def call(messages: list[dict]) -> str:
+            h = hashlib.md5(messages[0]["content"].encode("utf-8")).hexdigest()
+            items = [f'"{n}": {int(h[i], 16) % 4}' for i, n in enumerate(names)]
+            if h[10] == "0":
+                items.append(f'"{names[0]}": {int(h[11], 16) % 4}')
+            if h[12] == "0":
+                items.append('"unlisted_feature": 2')
+            return "{" + ", ".join(items) + "}"
+        return call
+    return factory

@@ -107,6 +107,58 @@ def definitions(spark: SparkSession, sf_dir: str, first_n: int = 10) -> DataFram
     return stage(spark, sf_dir, f"definitions_{first_n}", build)
 
 
+def reply_store(replies: DataFrame, order: str) -> DataFrame:
+    """Recorded replies by prompt hash, written once; of equal prompts the reply of the least ``order``."""
+    from tessera.session import materialize
+    return materialize(replies.groupBy("prompt_md5").agg(F.min_by("response", order).alias("response")), name="reply-store")
+
+
+def discovery(spark: SparkSession, sf_dir: str, m: int = 100, first_n: int = 10) -> DataFrame:
+    """Pair prompts (A2), comparisons (J3/J4), merge prompt (A4), groups (J5), definition prompts (A8/A3),
+    definitions (J6). Each prompt is rendered, and its reply is the stored one of its hash."""
+    from tessera.functions.templates import DEFINITION_TEMPLATE, MERGE_TEMPLATE, PAIR_TEMPLATE, render
+    from tessera.operators import annotate as A
+    from tessera.session import materialize
+    texts = materialize(pair_texts(spark, sf_dir, m), spark, "pair-texts")          # m pairs
+    ask = lambda df, keep, p: df.select(*keep, p.alias("prompt"))
+    pair_prompts = ask(texts, ["pair_id"], render(PAIR_TEMPLATE, post1="text1", post2="text2"))
+    said = fx.fx_pair_responses(texts).join(pair_prompts.select("pair_id", F.md5("prompt").alias("prompt_md5")), "pair_id")
+    replies = A.with_recorded(pair_prompts, reply_store(said, "pair_id")).select("pair_id", "response")
+    found = materialize(R.parse_comparisons(replies), spark, "comparisons")
+    merge_prompt = ask(A.ranked_list_text(found, "category"), [], render(MERGE_TEMPLATE, n=F.lit(str(first_n)), terms="terms"))
+    said = fx.fx_merge_response(found).withColumn("prompt_md5", merge_prompt.select(F.md5("prompt")).scalar())
+    groups = materialize(R.parse_category_groups(A.with_recorded(merge_prompt, reply_store(said, "response")), first_n=first_n),
+                         spark, "groups")
+    names = groups.select(F.col("name").alias("category"))
+    prompts = ask(A.examples_text(found, names), ["category"], render(DEFINITION_TEMPLATE, category="category", examples="examples"))
+    said = fx.fx_definition_responses(groups).join(prompts.select("category", F.md5("prompt").alias("prompt_md5")), "category")
+    d = R.parse_definitions(A.with_recorded(prompts, reply_store(said, "category")).select("category", "response"))
+    return d.select("category", "pos", "featurename", "short_description", "rating", "feature_id")
+
+
+def rated_sample(spark: SparkSession, sf_dir: str, n: int = 500, seed: str = "1k") -> DataFrame:
+    """A sample of flagged posts is drawn first; every sampled post x category gets a rating prompt (A5), and the
+    stored replies of the prompts' hashes are parsed (J7)."""
+    from tessera.functions.templates import RATING_TEMPLATE, render
+    from tessera.operators import annotate as A
+    from tessera.session import materialize
+    drawn = P.sample_n(flagged_posts(spark, sf_dir).select("id"), n, "id", seed)
+    sample = materialize(posts(spark, sf_dir).join(F.broadcast(drawn), "id", "left_semi")      # n ids at most
+                         .select("doc_id", "id", "text"), spark, "rating-sample")
+    ftext = A.features_text(definitions(spark, sf_dir))
+    by_category = {r["category"]: r["features_text"] for r in ftext.collect()}                  # bounded: target categories
+    if not by_category:
+        return spark.createDataFrame([], "id string, feature_id string, rating double")
+    rows = [F.struct(F.lit(i).alias("cat_pos"), F.lit(c).alias("category"), F.lit(by_category[c]).alias("features"))
+            for i, c in enumerate(sorted(by_category))]
+    prompts = sample.select("id", "text", F.inline(F.array(*rows))).select(
+        "id", "cat_pos", "category", render(RATING_TEMPLATE, text="text", features="features").alias("prompt"))
+    said = fx.fx_rating_responses(sample).select("id", "category", "response").join(
+        prompts.select("id", "category", F.md5("prompt").alias("prompt_md5")), ["id", "category"])
+    replies = A.with_recorded(prompts, reply_store(said, "id")).select("id", "cat_pos", "response")
+    return R.parse_ratings(replies).select("id", "feature_id", "rating")
+
+
 # ---------------------------------------------------------------------------- C4 inputs
 _KEPT: dict[tuple, list[str]] = {}
 
@@ -150,11 +202,20 @@ def scoring_prompts(spark: SparkSession, src: DataFrame, key: str = "id") -> Dat
 
 
 def score_posts(spark: SparkSession, src: DataFrame, key: str = "id") -> DataFrame:
-    """Prompts -> model (stub) -> J8 -> K4 lookup join -> G7 cluster means."""
-    from tessera.operators.annotate import annotate, stub_scoring_client
+    """Prompts -> model (stub) -> J8 -> K4 lookup join -> G7 cluster means."""
+    from tessera.operators.annotate import annotate
     from tessera.operators.summaries import cluster_means
     prompts = scoring_prompts(spark, src, key)
-    replies = annotate(prompts, stub_scoring_client(fx.app_feature_names()), key=key)
+    replies = annotate(prompts, fx.stub_scoring_client(fx.app_feature_names()), key=key)
     scores = R.parse_scores(replies, key=key)
     joined = scores.join(F.broadcast(fx.app_features_df(spark).select("feature_name", "cluster")), "feature_name")
     return cluster_means(joined, key=key)
+
+
+def endpoint_replies(spark: SparkSession, src: DataFrame, questions: str, key: str = "id") -> DataFrame:
+    """C6, and C7 where ``src`` is a stream: both endpoints for every post."""
+    from tessera.operators.annotate import csv_text
+    from tessera.streaming.scoring import both_endpoints
+    csv = csv_text(fx.app_features_df(spark), ["feature_name", "description", "rating_options"], "row_pos").first()[0]
+    return both_endpoints(src, questions, csv, [(n, c) for n, c, _, _ in fx.APP_FEATURES], fx.stub_client,
+                          fx.stub_scoring_client(fx.app_feature_names()), key)

@@ -221,6 +221,14 @@ def q_a8(spark, sf):
     return A.examples_text(J.comparisons(spark, sf), groups)
 
 
+@register("a8_examples_by_terms", "WITH " + C2 + ",\n" + _EX_SQL.replace("FROM fx_groups g JOIN fx_comparisons c ON c.category = g.name",
+    "FROM (SELECT DISTINCT name, lower(unnest(terms)) AS term FROM fx_groups) g JOIN fx_comparisons c ON c.category = g.term")
+    + "\nSELECT category, examples FROM fx_examples")
+def q_a8_terms(spark, sf):
+    groups = J.category_groups(spark, sf).select(F.col("name").alias("category"), "terms")
+    return A.examples_text(J.comparisons(spark, sf), groups, terms="terms")
+
+
 @register("a3_definition_prompts", "WITH " + C2 + ",\n" + _EX_SQL + f"""
 SELECT category, md5(p) AS prompt_md5, CAST(length(p) AS INTEGER) AS prompt_len FROM (SELECT category,
   {render_sql(DEFINITION_TEMPLATE, category='category', examples='examples')} AS p FROM fx_examples)""")
@@ -275,7 +283,7 @@ def q_a5(spark, sf):
     cats = sorted(r[0] for r in ftext.select("category").collect())       # bounded: target categories
     wl = A.work_list(J.flagged_texts(spark, sf).select("id", "text"), cats)
     p = render(RATING_TEMPLATE, text="text", features="features_text")
-    return (wl.join(F.broadcast(ftext), "category")
+    return (wl.join(ftext, "category")
             .select("id", "category", F.md5(p).alias("prompt_md5"), F.length(p).alias("prompt_len")))
 
 
@@ -300,7 +308,7 @@ SELECT id, prompt_md5, '{{"brief_reasoning": "stub ' || substr(h, 1, 8) || '", '
 def q_a12(spark, sf):
     p = J.posts(spark, sf).select("id", render(QUESTIONNAIRE_TEMPLATE, text="text",
                                                questions=F.lit(QUESTIONS)).alias("prompt"))
-    return A.annotate(p, A.stub_client, key="id", prefix="Here is my answer in the requested format:")
+    return A.annotate(p, fx.stub_client, key="id", prefix="Here is my answer in the requested format:")
 
 
 @register("a13_pending_prompts", "WITH " + QC + ",\n" + f"""
@@ -344,18 +352,19 @@ def q_j7(spark, sf):
 @register("j8_scores", "WITH " + QC + ",\n" + O.scoring_ctes("SELECT id, text FROM fx_posts") + """
 SELECT id, feature_name, score FROM fx_scores""")
 def q_j8(spark, sf):
-    from tessera.operators.annotate import annotate, stub_scoring_client
+    from tessera.operators.annotate import annotate
     prompts = J.scoring_prompts(spark, J.posts(spark, sf))
-    return R.parse_scores(annotate(prompts, stub_scoring_client(fx.app_feature_names())))
+    return R.parse_scores(annotate(prompts, fx.stub_scoring_client(fx.app_feature_names())))
 
 
 @register("j9_answer_booleans", with_ctes(QC, """
 SELECT id, coalesce(answer1 = 'Yes', FALSE) AS answer1, coalesce(answer2 = 'Yes', FALSE) AS answer2,
   coalesce(answer3 = 'Yes', FALSE) AS answer3, coalesce(answer4 = 'Yes', FALSE) AS answer4,
-  coalesce(answer5 = 'Yes', FALSE) AS answer5, TRY_CAST(frequency AS INTEGER) AS freq FROM fx_questionnaire"""))
+  coalesce(answer5 = 'Yes', FALSE) AS answer5, TRY_CAST(trunc(TRY_CAST(frequency AS DOUBLE)) AS INTEGER) AS freq, error
+FROM fx_questionnaire"""))
 def q_j9(spark, sf):
     qn = J.questionnaire(spark, sf)
-    return qn.select("id", *[yes_to_bool(a).alias(a) for a in J.ANSWERS], to_int("frequency").alias("freq"))
+    return qn.select("id", *[yes_to_bool(a).alias(a) for a in J.ANSWERS], to_int("frequency").alias("freq"), "error")
 
 
 # --------------------------------------------------------------------------- S5 / X
@@ -447,9 +456,9 @@ def q_g7(spark, sf):
 SELECT id, feature_name, score FROM fx_scores WHERE feature_name IN (""" + ", ".join(
     f"'{n}'" for n in fx.app_feature_names()) + """)""")
 def q_g8(spark, sf):
-    from tessera.operators.annotate import annotate, stub_scoring_client
+    from tessera.operators.annotate import annotate
     prompts = J.scoring_prompts(spark, J.posts(spark, sf))
-    replies = annotate(prompts, stub_scoring_client(fx.app_feature_names()))
+    replies = annotate(prompts, fx.stub_scoring_client(fx.app_feature_names()))
     entries = replies.select("id", F.posexplode(F.from_json("response", "map<string,string>")).alias("pos", "k", "v"))
     maps = G.collapse_to_map(entries.withColumn("score", F.col("v").try_cast("double")), "id", "k", "score",
                              order="pos")
@@ -666,8 +675,8 @@ def q_k3(spark, sf):
 @register("k4_lookup_fanout", "WITH " + QC + ",\n" + O.scoring_ctes("SELECT id, text FROM fx_posts") + """
 SELECT s.id, s.feature_name, f.cluster, s.score FROM fx_scores s JOIN app_features f ON f.feature_name = s.feature_name""")
 def q_k4(spark, sf):
-    from tessera.operators.annotate import annotate, stub_scoring_client
-    replies = annotate(J.scoring_prompts(spark, J.posts(spark, sf)), stub_scoring_client(fx.app_feature_names()))
+    from tessera.operators.annotate import annotate
+    replies = annotate(J.scoring_prompts(spark, J.posts(spark, sf)), fx.stub_scoring_client(fx.app_feature_names()))
     lookup = fx.app_features_df(spark).select("feature_name", "cluster")
     return G.lookup_join(R.parse_scores(replies), lookup, "feature_name").select("id", "feature_name", "cluster", "score")
 
@@ -785,6 +794,13 @@ def q_t8(spark, sf):
     return T.elbow(top, range(1, 11), seed=1)
 
 
+@register("t8_total_ss", with_ctes(MC, """
+SELECT CAST(1 AS INTEGER) AS k, round(CAST(count(DISTINCT feature_id) AS DOUBLE) * (count(DISTINCT id) - 1), 5) AS wss FROM fx_z"""))
+def q_t8_total(spark, sf):
+    """The row k = 1 on z-scores: p (n - 1)."""
+    return T.elbow(_pca_inputs(spark, sf), [1]).withColumn("wss", F.round("wss", 5))
+
+
 @register("t11_feature_blocks")
 def q_t11(spark, sf):
     kept = J.kept(spark, sf)
@@ -886,17 +902,38 @@ def q_c1(spark, sf):
     return G.label_summary(parsed, J.ANSWERS)
 
 
-@register("c2_feature_discovery", ORACLE["j6_x1_definitions"])
+_PAIR_PROMPT_SQL = render_sql(PAIR_TEMPLATE, post1="text1", post2="text2")
+_DEF_PROMPT_SQL = render_sql(DEFINITION_TEMPLATE, category="category", examples="examples")
+#: The same prompts in SQL; a reply belongs to the hash of its prompt.
+_C2_SQL = ORACLE["j6_x1_definitions"].replace("fx_presp AS (", "fx_praw AS (", 1).replace("\nc_try AS (", f"""
+c2_p AS (SELECT pair_id, md5({_PAIR_PROMPT_SQL}) AS pm FROM fx_pair_texts),
+c2_store AS (SELECT pm, arg_min(response, pair_id) AS response FROM c2_p JOIN fx_praw USING (pair_id) GROUP BY pm),
+fx_presp AS (SELECT pair_id, response FROM c2_p LEFT JOIN c2_store USING (pm)),
+c_try AS (""", 1).replace("fx_dresp AS (", _EX_SQL + ",\nfx_draw AS (", 1).replace("\nd_arr AS (", f"""
+c2_d AS (SELECT category, md5({_DEF_PROMPT_SQL}) AS pm FROM fx_examples),
+c2_dstore AS (SELECT pm, arg_min(response, category) AS response FROM c2_d JOIN fx_draw USING (category) GROUP BY pm),
+fx_dresp AS (SELECT group_pos, category, response FROM c2_d LEFT JOIN c2_dstore USING (pm) LEFT JOIN (SELECT group_pos, category FROM fx_draw) USING (category)),
+d_arr AS (""", 1)
+
+
+@register("c2_feature_discovery", _C2_SQL)
 def q_c2(spark, sf):
-    return J.definitions(spark, sf)
+    return J.discovery(spark, sf)
+
+
+_C3_RATINGS = RC[len(FC):].replace("fx_flagged", "c3_sample").replace("fx_rresp AS (", "fx_rraw AS (", 1).replace("\nr_clean AS (", f"""
+c3_p AS (SELECT f.id, f.doc_id, t.category, dense_rank() OVER (ORDER BY t.category) - 1 AS cat_pos,
+  md5({render_sql(RATING_TEMPLATE, text='f.text', features='t.features_text')}) AS pm FROM c3_sample f, fx_ftext t),
+c3_store AS (SELECT pm, arg_min(response, id) AS response FROM c3_p JOIN fx_rraw USING (id, category) GROUP BY pm),
+fx_rresp AS (SELECT id, doc_id, category, cat_pos, response FROM c3_p LEFT JOIN c3_store USING (pm)),
+r_clean AS (""", 1)
 
 
-@register("c3_feature_rating_sample", with_ctes(RC, """
-SELECT r.id, r.feature_id, r.rating FROM fx_ratings r WHERE r.id IN
-  (SELECT id FROM fx_flagged ORDER BY md5(concat(id, '|', '1k')), id LIMIT 500)"""))
+@register("c3_feature_rating_sample", "WITH " + C2 + ",\n" + _A7_SQL + """,
+c3_sample AS (SELECT * FROM fx_flagged ORDER BY md5(concat(id, '|', '1k')), id LIMIT 500)""" + _C3_RATINGS + """
+SELECT id, feature_id, rating FROM fx_ratings""")
 def q_c3(spark, sf):
-    sample = P.sample_n(J.flagged_posts(spark, sf).select("id"), 500, "id", "1k")
-    return J.ratings(spark, sf).join(sample, "id", "left_semi").select("id", "feature_id", "rating")
+    return J.rated_sample(spark, sf)
 
 
 @register("c4_subtypes_markers")
@@ -917,36 +954,30 @@ def q_c5(spark, sf):
     return blocks.join(fc, "feature", "left")
 
 
-_C6_BODY = """
-SELECT id, cluster, mean_score, least(greatest(mean_score / 4.0 * 100.0, 0.0), 100.0) AS percent
-FROM fx_cluster_means"""
+_C6_BODY = f""",
+c6_q AS (SELECT id, md5({_PROMPT_SQL}) AS h FROM sc_src),
+c6 AS (SELECT id, {", ".join(f"substr(h, {k}, 1) < '4' AS answer{k}" for k in range(1, 6))},
+  CAST(('0x' || substr(h, 6, 1))::INTEGER % 5 AS INTEGER) AS freq FROM c6_q)
+SELECT c6.*, cluster, mean_score, least(greatest(mean_score / 4.0 * 100.0, 0.0), 100.0) AS percent, CAST(NULL AS VARCHAR) AS error
+FROM c6 LEFT JOIN fx_cluster_means USING (id)"""
 
 
 @register("c6_x13_batch_scoring", "WITH " + QC + ",\n" + O.scoring_ctes("SELECT id, text FROM fx_posts") + _C6_BODY)
 def q_c6(spark, sf):
-    m = J.score_posts(spark, J.posts(spark, sf))
-    return m.withColumn("percent", X.percent_of_max("mean_score", 4.0))
+    return J.endpoint_replies(spark, J.posts(spark, sf), QUESTIONS).withColumn("percent", X.percent_of_max("mean_score", 4.0))
 
 
 @register("c7_stream_scoring", "WITH " + O.scoring_ctes(
-    "SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS id, text FROM conversations WHERE role = 'user'")
-    + _C6_BODY)
+    "SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS id, text FROM conversations") + _C6_BODY)
 def q_c7(spark, sf):
-    from tessera.operators.annotate import csv_text, stub_scoring_client
     from tessera.sources.tables import table
-    from tessera.streaming.scoring import run_available, scoring_stream
+    from tessera.streaming.scoring import run_available
     src = _scratch(spark, "stream-in")
-    users = table(spark, sf, "conversations").where(F.col("role") == "user").select(
-        F.concat_ws("_", "conv_id", "turn").alias("id"), "text")
-    users.write.json(src)
-    csv = csv_text(fx.app_features_df(spark), ["feature_name", "description", "rating_options"], "row_pos").first()[0]
-    lookup = [(n, c) for n, c, _, _ in fx.APP_FEATURES]
-    stream = scoring_stream(spark, src, "id string, text string", csv, lookup,
-                            stub_scoring_client(fx.app_feature_names()))
+    table(spark, sf, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("id"), "text").write.json(src)
+    stream = J.endpoint_replies(spark, spark.readStream.schema("id string, text string").json(src), QUESTIONS)
     sink = _scratch(spark, "stream-out")
     run_available(stream, sink, sink + "-checkpoint")
-    out = spark.read.parquet(sink)
-    return out.withColumn("percent", X.percent_of_max("mean_score", 4.0))
+    return spark.read.parquet(sink).withColumn("percent", X.percent_of_max("mean_score", 4.0))
 
 
 @register("x13_display_segments", with_ctes(QC, """
@@ -964,7 +995,7 @@ def q_x13(spark, sf):
 def q_a12_a13(spark, sf):
     p = J.posts(spark, sf).select("id", render(QUESTIONNAIRE_TEMPLATE, text="text",
                                                questions=F.lit(QUESTIONS)).alias("prompt"))
-    return A.annotate_resumable(p, A.stub_client, _scratch(spark, "reply-store"), key="id",
+    return A.annotate_resumable(p, fx.stub_client, _scratch(spark, "reply-store"), key="id",
                                 prefix="Here is my answer in the requested format:")
 
 

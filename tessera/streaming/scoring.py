@@ -1,23 +1,24 @@
 """Score posts as they arrive (Structured Streaming).
 
-The two request endpoints of the reference become one append-only stream:
-JSON posts -> scoring prompt (A6) -> model call per micro-batch partition
-(A12, ``mapInPandas``) -> reply map (J8) -> per-post cluster means computed
-row-locally with higher-order functions over the bounded lookup (K4 + G7
-without a shuffle or cross-row state) -> parquet sink with a checkpoint.
-Results equal the batch job (C6) on the same input.
+The two request endpoints become one row-local job, for a table (C6) and for
+an append-only stream alike: posts -> questionnaire and scoring prompts (A1, A6)
+-> model calls in the partition (A12, ``mapInPandas``) -> answers (J1, J9) and
+per-post cluster means, with higher-order functions over the bounded lookup
+(J8, K4 + G7 without a shuffle or cross-row state). A stream goes to a parquet
+sink with a checkpoint.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.parsing import parse_score_map
-from tessera.functions.templates import SCORING_TEMPLATE, render
+from tessera.functions.parsing import json_valid, parse_object_fields, parse_score_map, to_double, to_int, yes_to_bool
+from tessera.functions.templates import QUESTIONNAIRE_TEMPLATE, SCORING_TEMPLATE, render
 from tessera.operators.annotate import annotate
+from tessera.operators.responses import ANSWER_COLS, QUESTIONNAIRE_KEYS
 
 
 def _last_value(m: Column, name: str) -> Column:
@@ -31,30 +32,41 @@ def row_cluster_means(replies: DataFrame, lookup: Sequence[tuple[str, int]], key
     mean of the numeric scores of its listed features present in the reply,
     rounded half-even to 2 places; clusters with no listed feature present
     are omitted (the inner join of the batch form drops them too)."""
-    clusters = sorted({c for _, c in lookup})
-    m = parse_score_map(F.col("response"))
+    staged = replies.select(key, parse_score_map(F.col("response")).alias("_m")).where(F.col("_m").isNotNull())
+    return staged.select(key, F.inline(_means("_m", lookup)))
+
+
+def _means(scores: str, lookup: Sequence[tuple[str, int]]) -> Column:
+    """Array of (cluster, mean_score) of a parsed reply map."""
     rows = []
-    for c in clusters:
+    for c in sorted({c for _, c in lookup}):
         names = [n for n, k in lookup if k == c]
-        present = [F.when(F.array_contains(F.map_keys(F.col("_m")), F.lit(n)), F.lit(1)).otherwise(F.lit(0))
-                   for n in names]
-        vals = F.filter(F.array(*[_last_value(F.col("_m"), n).try_cast("double") for n in names]),
-                        lambda v: v.isNotNull())
-        n_present = sum(present[1:], present[0])
+        listed = F.arrays_overlap(F.map_keys(F.col(scores)), F.array(*[F.lit(n) for n in names]))
+        vals = F.filter(F.array(*[to_double(_last_value(F.col(scores), n)) for n in names]), lambda v: v.isNotNull())
         mean = F.when(F.size(vals) > 0, F.aggregate(vals, F.lit(0.0), lambda a, v: a + v) / F.size(vals))
-        rows.append(F.struct(F.lit(c).alias("cluster"), n_present.alias("_n"), F.bround(mean, 2).alias("mean_score")))
-    staged = replies.select(key, m.alias("_m")).where(F.col("_m").isNotNull())
-    out = staged.select(key, F.inline(F.array(*rows)))
-    return out.where(F.col("_n") > 0).select(key, "cluster", "mean_score")
+        rows.append(F.when(listed, F.struct(F.lit(c).alias("cluster"), F.bround(mean, 2).alias("mean_score"))))
+    return F.filter(F.array(*rows), lambda r: r.isNotNull())
 
 
-def scoring_stream(spark: SparkSession, source_dir: str, schema: str, features_csv: str,
-                   lookup: Sequence[tuple[str, int]], client_factory, key: str = "id") -> DataFrame:
-    """Streaming DataFrame of (key, cluster, mean_score) from JSON files in ``source_dir``."""
-    posts = spark.readStream.schema(schema).json(source_dir)
-    prompts = posts.select(key, render(SCORING_TEMPLATE, text="text", features=F.lit(features_csv)).alias("prompt"))
-    replies = annotate(prompts, client_factory, key=key)
-    return row_cluster_means(replies, lookup, key)
+def both_endpoints(posts: DataFrame, questions: str, features_csv: str, lookup: Sequence[tuple[str, int]],
+                   questionnaire_client, scoring_client, key: str = "id", prefix: str | None = None) -> DataFrame:
+    """(key, answer1..5 boolean, freq int, cluster, mean_score, error): a row per post and cluster of its scored
+    features; a post without any has one row without a cluster. Every post is kept: ``error`` tells what failed,
+    the call or the reading of its reply, by endpoint."""
+    asked = posts.select(key, render(QUESTIONNAIRE_TEMPLATE, text="text", questions=F.lit(questions)).alias("q_prompt"),
+                         render(SCORING_TEMPLATE, text="text", features=F.lit(features_csv)).alias("f_prompt"))
+    q = annotate(asked, questionnaire_client, key=key, prompt="q_prompt", prefix=prefix, keep=("f_prompt",)) \
+        .select(key, "f_prompt", F.col("response").alias("q_reply"), F.col("error").alias("q_error"))
+    f = annotate(q, scoring_client, key=key, prompt="f_prompt", keep=("q_reply", "q_error")) \
+        .select(key, "q_reply", "q_error", F.col("response").alias("f_reply"), F.col("error").alias("f_error"))
+    read = f.withColumn("_valid", F.coalesce(json_valid("q_reply"), F.lit(False))).withColumn("_m", parse_score_map("f_reply"))
+    read = read.select(key, "q_error", "f_error", "_m", *parse_object_fields("q_reply", QUESTIONNAIRE_KEYS, valid="_valid"))
+    bad_q = F.concat(F.lit("questionnaire: "), F.coalesce("q_error", "error"))
+    bad_f = F.concat(F.lit("features: "), F.coalesce("f_error", F.when(F.col("_m").isNull(), F.lit("invalid json"))))
+    told = F.concat_ws("; ", bad_q, bad_f)
+    return (read.select(key, *[yes_to_bool(a).alias(a) for a in ANSWER_COLS], to_int("frequency").alias("freq"),
+                        F.when(told != "", told).alias("error"), _means("_m", lookup).alias("_means"))
+            .select(key, *ANSWER_COLS, "freq", "error", F.inline_outer("_means")))
 
 
 def run_available(stream: DataFrame, sink_dir: str, checkpoint_dir: str) -> None:

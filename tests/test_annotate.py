@@ -113,3 +113,30 @@ def test_row_cluster_means_last_key_wins_and_empty_clusters_omitted(spark):
     ], "id string, response string")
     got = {(r["id"], r["cluster"]): r["mean_score"] for r in row_cluster_means(replies, lookup).collect()}
     assert got == {("p1", 1): 2.5, ("p1", 3): 3.0, ("p2", 1): 1.0, ("p2", 2): None}
+
+
+def test_both_endpoints_keep_every_post_and_tell_what_failed(spark):
+    from tessera.streaming.scoring import both_endpoints
+
+    def answers():
+        def call(messages):
+            text = messages[0]["content"]
+            if "refused" in text:
+                raise ValueError("no")
+            return "{" if "cut" in text else ('{"brief_reasoning": "", "answer1": "Yes", "answer2": "yes", "answer3": "No", '
+                                              '"answer4": "No", "answer5": "No", "frequency": 2.7}')
+        return call
+
+    def scores():
+        def call(messages):
+            return "none" if "unscored" in messages[0]["content"] else '{"a": 1, "b": 2, "a": 3}'
+        return call
+
+    posts = spark.createDataFrame([("1", "plain"), ("2", "refused"), ("3", "cut"), ("4", "unscored"), ("5", None)], "id string, text string")
+    got = {(r.id, r.cluster): r for r in both_endpoints(posts, "q", "csv", [("a", 1), ("b", 1), ("z", 2)], answers, scores).collect()}
+    assert set(got) == {("1", 1), ("2", 1), ("3", 1), ("4", None), ("5", 1)}
+    one = got["1", 1]
+    assert (one.answer1, one.answer2, one.freq, one.mean_score, one.error) == (True, False, 2, 2.5, None)
+    assert got["2", 1].error == "questionnaire: ValueError: no" and got["2", 1].mean_score == 2.5
+    assert got["3", 1].error == "questionnaire: invalid json" and got["3", 1].answer1 is False
+    assert got["4", None].error == "features: invalid json" and got["4", None].answer1 is True
