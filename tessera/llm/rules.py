@@ -103,14 +103,19 @@ RULES = (
 )
 
 
+def sampled(docs: DataFrame, text: Column, n: int, sample_rows: int) -> DataFrame:
+    """About ``sample_rows`` texts of ``n`` in one partition. All tasks scan and draw; only drawn texts are brought together."""
+    drawn = docs.select(text) if n <= sample_rows else docs.sample(fraction=sample_rows / n, seed=7).select(text)
+    return drawn.repartition(1)
+
+
 def ordered(docs: DataFrame, rules: tuple[Rule, ...], *, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """(rule, seconds, rejection rate) by falling rejection per cost, measured on about ``sample_rows`` rows."""
     n = docs.count()
     if not n or not rules:
         return [(r, 0.0, 0.0) for r in rules]
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    sample = docs.select(text) if n <= sample_rows else docs.sample(fraction=sample_rows / n, seed=7).select(text)
-    sample = materialize(sample.coalesce(1), name="sample")
+    sample = materialize(sampled(docs, text, n, sample_rows), name="sample")
 
     def seconds(*columns: Column) -> tuple[float, list[float]]:
         began = time.perf_counter()

@@ -71,3 +71,12 @@ def test_junk_goes_and_prose_stays(spark):
 def test_native_plan(documents):
     plan = rules.judge(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan), plan
+
+
+def test_the_sample_is_drawn_by_all_tasks(spark):
+    from pyspark.sql import functions as F
+    docs = spark.range(0, 5000, 1, 8).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    drawn = rules.sampled(docs, F.col("text"), 5000, 100)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and plan.index("Exchange") < plan.index("Sample")
+    assert drawn.rdd.getNumPartitions() == 1 and 30 < drawn.count() < 250
