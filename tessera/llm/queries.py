@@ -28,10 +28,14 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Documents labelled good and not toxic; without a toxic label (null) a document is not known to be clean."""
+    return labels.where("quality = 1 and toxic = 0").select("doc_id")
+
+
 def op4_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's perplexity under a model of the labelled good documents, and the verdict."""
-    trusted = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    found = kneser_ney.classify(read(spark, sf_dir, "documents"), trusted)
+    """Every document's perplexity under a model of the documents labelled good and not toxic, and the verdict."""
+    found = kneser_ney.classify(read(spark, sf_dir, "documents"), trusted_ids(read(spark, sf_dir, "labels")))
     return found.withColumns({c: F.round(c, 4) for c in ("perplexity", "threshold")})
 
 
