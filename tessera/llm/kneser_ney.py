@@ -279,13 +279,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
 def classify(docs: DataFrame, trusted: DataFrame, *, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id long, lang, n_bytes long, perplexity double, threshold double, kept boolean) of every row.
 
-    ``perplexity`` is that of a byte. ``threshold`` is the exact ``quantile`` of the language's trusted documents that
+    ``perplexity`` is that of a word in ``word_grams``. ``threshold`` is the exact ``quantile`` of the language's trusted documents that
     have text, counted in cells of a thousandth of log-perplexity, so no task holds a language's documents. Null and
     empty texts and languages without trusted text have no perplexity and are kept: nothing speaks against them. A
     null language is a language of its own; repeated rows are scored each; rows that share an id are trusted together.
     """
+    from tessera.llm import word_grams
     spark = docs.sparkSession
-    scored = materialize(perplexities(docs, trusted, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    scored = materialize(word_grams.perplexities(docs, trusted, id_col=id_col, text_col=text_col, lang_col=lang_col)
                          .withColumn("cell", F.ceil(F.col("nll") * CELLS)), spark, "scored")
     good = trusted.select(F.col(id_col).cast("long").alias(id_col)).distinct()
     lang = F.coalesce("lang", F.lit("")).alias("__lang")

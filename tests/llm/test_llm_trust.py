@@ -4,9 +4,10 @@ from tessera.llm import queries as Q
 
 
 def test_toxic_documents_are_not_trusted(spark, tmp_path):
-    labels = [(1, 1, 0), (2, 1, 1), (3, 1, None), (4, 0, 0), (5, None, 0)]
-    docs = [(i, "the cat sat on the mat", "en" if i == 1 else f"l{i}") for i in range(1, 6)]
+    kinds = [(1, 0), (1, 1), (1, None), (0, 0), (None, 0)]
+    labels = [(10 * k + i, *kind) for k, kind in enumerate(kinds) for i in range(10)]
+    docs = [(d, "the cat sat on the mat", f"l{d // 10}") for d, _, _ in labels]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [r.doc_id for r in Q.trusted_ids(spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()] == [1]
-    assert {r.doc_id for r in Q.op4_perplexity(spark, str(tmp_path)).collect() if r.threshold is not None} == {1}
+    assert {r.doc_id for r in Q.trusted_ids(spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()} == set(range(10))
+    assert {r.lang for r in Q.op4_perplexity(spark, str(tmp_path)).collect() if r.threshold is not None} == {"l0"}
