@@ -23,7 +23,10 @@ PRIME = 1_000_003
 #: Chunks of a task that ask for their keys together: what many documents share is then asked for once.
 GROUP = 8
 #: A document stays if its perplexity is not above this quantile of its language's trusted documents.
-QUANTILE = 0.998
+QUANTILE = 0.99
+#: With fewer trusted documents than this, two of which the quantile leaves out, a language's limit is its median and
+#: what all languages have above theirs.
+LEAST = 200
 #: Cells of log-perplexity in which quantiles are counted.
 CELLS = 1000
 
@@ -229,7 +232,7 @@ def _score(own, replies, n: int, id_col: str):
         for lang, rows, data, offsets in _languages(batch):
             size[rows] = np.diff(offsets)
             codes, doc = grams(data, offsets)
-            if not len(codes) or np.isnan(got[lang][1]).all():          # no trusted text in this language
+            if not len(codes) or got[lang][2][0] == 0:                  # the empty context (key 0) has no weight: no trusted text in this language
                 continue
             order = np.argsort(codes)
             ranked = codes[order]
@@ -276,13 +279,15 @@ def perplexities(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
     return packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(score, f"`{id_col}` long, lang string, n_bytes long, nll double")
 
 
-def classify(docs: DataFrame, trusted: DataFrame, *, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, *, quantile: float = QUANTILE, least: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id long, lang, n_bytes long, perplexity double, threshold double, kept boolean) of every row.
 
     ``perplexity`` is that of a word in ``word_grams``. ``threshold`` is the exact ``quantile`` of the language's trusted documents that
     have text, counted in cells of a thousandth of log-perplexity, so no task holds a language's documents. Null and
     empty texts and languages without trusted text have no perplexity and are kept: nothing speaks against them. A
-    null language is a language of its own; repeated rows are scored each; rows that share an id are trusted together.
+    language with fewer than ``least`` such documents cannot resolve the quantile: its limit is its median and the
+    quantile of what all languages' trusted documents lie above their own median, so that one odd document does not
+    set it. A null language is a language of its own; repeated rows are scored each; rows that share an id are trusted together.
     """
     from tessera.llm import word_grams
     spark = docs.sparkSession
@@ -291,8 +296,19 @@ def classify(docs: DataFrame, trusted: DataFrame, *, quantile: float = QUANTILE,
     good = trusted.select(F.col(id_col).cast("long").alias(id_col)).distinct()
     lang = F.coalesce("lang", F.lit("")).alias("__lang")
     cells = scored.where("cell is not null").join(good, id_col, "left_semi").groupBy(lang, "cell").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("__lang").orderBy("cell")) / F.sum("n").over(Window.partitionBy("__lang"))
-    limits = cells.withColumn("upto", upto).where(F.col("upto") >= quantile).groupBy("__lang").agg(F.min("cell").alias("limit"))
+
+    def at(cells: DataFrame, q: float, name: str, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by)
+        upto = F.sum("n").over(w.orderBy("cell")) / F.sum("n").over(w)
+        return cells.withColumn("upto", upto).where(F.col("upto") >= q).groupBy(*by).agg(F.min("cell").alias(name))
+
+    limits = at(cells, quantile, "limit", "__lang")
+    if least:
+        middle = at(cells, 0.5, "middle", "__lang").join(cells.groupBy("__lang").agg(F.sum("n").alias("size")), "__lang")
+        above = cells.join(middle, "__lang").groupBy((F.col("cell") - F.col("middle")).alias("cell")).agg(F.sum("n").alias("n"))
+        pooled = at(above.withColumn("every", F.lit(0)), quantile, "pooled", "every").select("pooled")      # one row
+        limits = limits.join(middle, "__lang").join(pooled, how="cross").select(
+            "__lang", F.when(F.col("size") < least, F.col("middle") + F.col("pooled")).otherwise(F.col("limit")).alias("limit"))
     limits = materialize(limits, spark, "limits")
     out = scored.join(limits, F.coalesce(scored["lang"], F.lit("")) == limits["__lang"], "left")
     return out.select(id_col, "lang", "n_bytes", F.exp("nll").alias("perplexity"), F.exp(F.col("limit") / CELLS).alias("threshold"),

@@ -35,7 +35,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def op4_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity under a model of the documents labelled good and not toxic, and the verdict."""
-    found = kneser_ney.classify(read(spark, sf_dir, "documents"), trusted_ids(read(spark, sf_dir, "labels")))
+    found = kneser_ney.classify(read(spark, sf_dir, "documents"), trusted_ids(read(spark, sf_dir, "labels")), least=kneser_ney.LEAST)
     return found.withColumns({c: F.round(c, 4) for c in ("perplexity", "threshold")})
 
 
