@@ -226,8 +226,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, te
     """``docs`` with benchmark windows cut out of the texts; a document that had words and has none left goes.
 
     Columns stay as they are, but for ``chars_col``, where there is one, of texts that were cut. Nulls, repeats and
-    empty tables as in ``contamination``. Blocks of a large benchmark are applied one after the other, each to what
-    the last left.
+    empty tables as in ``contamination``. All blocks of a large benchmark are searched on the texts as they come in; the
+    pass of the last one cuts what any of them covers, so the size of blocks does not change the result.
     """
     require(docs, text_col)
     spark = docs.sparkSession
@@ -235,31 +235,44 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, te
     names, out = docs.columns, docs
     at, chars = names.index(text_col), names.index(chars_col) if chars_col in names else None
 
-    def remove(ph):
+    spans_col = "__spans"
+    while spans_col in names:
+        spans_col += "_"
+
+    def search(ph, first: bool, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for piece in sliced(batches, text_col, SHARD_BYTES):
-                texts = pc.cast(piece.column(at), pa.binary()).to_pylist()
+                columns, schema = piece.columns[:len(names)], pa.schema(list(piece.schema)[:len(names)])
+                texts = pc.cast(columns[at], pa.binary()).to_pylist()
                 documents = [words_of(t or b"") for t in texts]
-                found = search_shard(documents, ph.value)
-                hit = [i for i, (spans, _) in enumerate(found) if spans]
+                found = [spans for spans, _ in search_shard(documents, ph.value)]
+                if not first:
+                    found = [merged([*old, *new]) for old, new in zip(piece.columns[-1].to_pylist(), found)]
+                if not last:
+                    spans = pa.array([[list(x) for x in own] for own in found], pa.list_(pa.list_(pa.int64())))
+                    yield pa.RecordBatch.from_arrays([*columns, spans], [*names, spans_col])
+                    continue
+                piece = pa.RecordBatch.from_arrays(columns, schema=schema)
+                hit = [i for i, spans in enumerate(found) if spans]
                 if hit:
-                    gone = [sum(e - b for b, e in found[i][0]) == len(documents[i]) for i in hit]
+                    gone = [sum(e - b for b, e in found[i]) == len(documents[i]) for i in hit]
                     for i in hit:
-                        texts[i] = cut(texts[i], found[i][0])
-                    columns = piece.columns
+                        texts[i] = cut(texts[i], found[i])
                     columns[at] = pa.array(texts, pa.binary()).cast(pa.string()).cast(columns[at].type)
                     if chars is not None:
                         counts, changed = columns[chars].to_pylist(), set(hit)
                         columns[chars] = pa.array([len(texts[i].decode()) if i in changed else c for i, c in enumerate(counts)], columns[chars].type)
-                    piece = pa.RecordBatch.from_arrays(columns, schema=piece.schema)
                     stay = np.ones(len(texts), bool)
                     stay[[i for i, g in zip(hit, gone) if g]] = False
-                    piece = piece.filter(pa.array(stay))
+                    piece = pa.RecordBatch.from_arrays(columns, schema=schema).filter(pa.array(stay))
                 yield piece
         return run
 
-    for block in _blocks(benchmark, item_col, item_text_col, window, block_bytes):
-        out = out.mapInArrow(remove(spark.sparkContext.broadcast(block)), with_fields(docs.schema))
+    blocks = [spark.sparkContext.broadcast(p) for p in _blocks(benchmark, item_col, item_text_col, window, block_bytes)]
+    spans_type = T.ArrayType(T.ArrayType(T.LongType()))
+    for k, block in enumerate(blocks):
+        last = k == len(blocks) - 1
+        out = out.mapInArrow(search(block, k == 0, last), with_fields(docs.schema) if last else with_fields(docs.schema, (spans_col, spans_type)))
     return out
 
 

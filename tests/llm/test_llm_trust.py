@@ -26,6 +26,7 @@ def test_one_odd_document_does_not_set_the_limit_of_a_small_language(spark):
 
 def test_unseen_bytes_alone_in_a_language_that_has_trusted_text(spark):
     rows = [(i, "abc abd abc", "en") for i in range(10)] + [(99, "zzzz", "en"), (100, "zzzz", "xx")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(12, "doc_id")
+    one = lambda r: spark.createDataFrame(r, "doc_id long, text string, lang string").coalesce(1)
+    docs = one(rows[:10]).unionByName(one(rows[10:11])).unionByName(one(rows[11:]))                 # each in a group of its own
     found = {r.doc_id: r.nll for r in K.perplexities(docs, docs.where("doc_id < 10").select("doc_id"), chunk_bytes=1).collect()}
     assert found[99] > 0 and found[100] is None
