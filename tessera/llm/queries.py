@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, kneser_ney, licenses, mixing, privacy, rules, sharding, simhash, suffix_dedup, window_dedup
+from tessera.llm import decontaminate, frames, kneser_ney, licenses, middle, mixing, privacy, rules, sharding, simhash, suffix_dedup, window_dedup
 from tessera.llm.common import read
 
 
@@ -75,8 +75,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fill-in-the-middle form, and digests of its output and of the text rebuilt from it."""
+    return middle.digests(middle.fill_in_middle(frames.framed(read(spark, sf_dir, "documents"))))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_mix, op4_perplexity, op5_shard, op6_rules, op7_suffix_dedup,
-                                        op8_window_dedup, op9_privacy, op10_simhash)}
+                                        op8_window_dedup, op9_privacy, op10_simhash, op12_middle)}
 
 
 # Oracles ---------------------------------------------------------------------
@@ -172,4 +177,23 @@ SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS
 FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
-ORACLE = {"op1_decontaminate": _OP1, "op3_mix": _OP3, "op6_rules": _OP6, "op8_window_dedup": _OP8}
+_OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{middle.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+f AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {middle.PLAIN_FROM} THEN 'plain'
+                  WHEN h4 % 100 < {middle.SPM_BELOW} THEN 'spm' ELSE 'psm' END AS form FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t
+                  WHEN 'psm' THEN '<P>' || substr(t, 1, low) || '<S>' || substr(t, high + 1) || '<M>' || substr(t, low + 1, high - low)
+                  ELSE '<S>' || substr(t, high + 1) || '<P>' || substr(t, 1, low) || '<M>' || substr(t, low + 1, high - low) END AS out FROM f),
+m AS (SELECT *, strpos(out, '<P>') AS p, strpos(out, '<S>') AS s, strpos(out, '<M>') AS m FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+       sha256(out) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN out
+                WHEN 'psm' THEN substr(out, 4, s - 4) || substr(out, m + 3) || substr(out, s + 3, m - s - 3)
+                ELSE substr(out, p + 3, m - p - 3) || substr(out, m + 3) || substr(out, 4, p - 4) END) AS restored_sha256
+FROM m
+"""
+
+ORACLE = {"op1_decontaminate": _OP1, "op3_mix": _OP3, "op6_rules": _OP6, "op8_window_dedup": _OP8, "op12_middle": _OP12}
