@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, frames, kneser_ney, licenses, middle, mixing, privacy, rules, sharding, simhash, suffix_dedup, window_dedup
+from tessera.llm import decontaminate, frames, kneser_ney, licenses, middle, mixing, privacy, rules, sharding, simhash, suffix_dedup, whitening, window_dedup
 from tessera.llm.common import read
 
 
@@ -75,13 +75,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the four directions in which the distinct vectors spread most, scaled to unit deviation."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fill-in-the-middle form, and digests of its output and of the text rebuilt from it."""
     return middle.digests(middle.fill_in_middle(frames.framed(read(spark, sf_dir, "documents"))))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_mix, op4_perplexity, op5_shard, op6_rules, op7_suffix_dedup,
-                                        op8_window_dedup, op9_privacy, op10_simhash, op12_middle)}
+                                        op8_window_dedup, op9_privacy, op10_simhash, op11_whitening, op12_middle)}
 
 
 # Oracles ---------------------------------------------------------------------
