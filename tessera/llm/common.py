@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -157,7 +158,20 @@ def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/{table}"
     df.write.bucketBy(n, key).option("path", path).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    out._bucketed = table
+    return out
+
+
+@contextmanager
+def in_buckets(df: DataFrame, key: str, n: int, name: str) -> Iterator[DataFrame]:
+    """``bucketed`` for the length of a block: at its end the table's name leaves the catalog, its files stay. What is built
+    on it must be written before."""
+    table = bucketed(df, key, n, name)
+    try:
+        yield table
+    finally:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table._bucketed}")
 
 
 def exchange(sent: DataFrame, answer: Callable[[list[bytes]], list[bytes]], n: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, frames, kneser_ney, licenses, middle, mixing, privacy, rules, sharding, simhash, suffix_dedup, whitening, window_dedup
+from tessera.llm import decontaminate, frames, jaccard, kneser_ney, licenses, middle, mixing, privacy, rules, sharding, simhash, suffix_dedup, whitening, window_dedup
 from tessera.llm.common import read
 
 
@@ -85,8 +85,13 @@ def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digests(middle.fill_in_middle(frames.framed(read(spark, sf_dir, "documents"))))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and component of every document's set of word shingles."""
+    return jaccard.near_sets(read(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_mix, op4_perplexity, op5_shard, op6_rules, op7_suffix_dedup,
-                                        op8_window_dedup, op9_privacy, op10_simhash, op11_whitening, op12_middle)}
+                                        op8_window_dedup, op9_privacy, op10_simhash, op11_whitening, op12_middle, op13_jaccard)}
 
 
 # Oracles ---------------------------------------------------------------------
