@@ -7,8 +7,8 @@ their rarest shingles (the prefix filter), with their places.
 Equal sets are one class. Instead of all pairs of a list, a round compares its entries with few *pivots*. The blocks of a list are
 skipped by size and position before their entries are read. What lies in one component needs no further comparison,
 and the overlaps of two sets with a pivot bound their own from both sides, which often answers for them. Lists whose
-entries still lie in several components go into the next round with more pivots; a short list, or at last any, is compared in
-full. No link is lost: each pair of a list is joined already, excluded by a bound, or intersected.
+entries still lie in several components go into the next round, with what lies outside the largest as pivots, or with more
+pivots. No link is lost: each pair of a list is joined already, excluded by a bound, or intersected.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8
 _BASE, _SHORT, _KEY = 0x9FB21C651E98DF25, _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25)
 #: Bits of a shingle's hash by which it is counted: fewer only make a shingle look more common.
 _COUNTED = _U(16)
-#: Lists up to this length are compared in full after the first round; longer ones with this many pivots times a power of four.
-SHORT = 64
-_PIVOTS = 4
+#: Lists of so many entries are compared in full at once; after the first turn, lists with up to ``SHORT`` entries outside their
+#: largest component. Other lists get a power of ``_PIVOTS`` as many pivots as turns went by.
+_FEW, SHORT, _PIVOTS = 8, 64, 4
 #: Places in one block of a list.
 BLOCK = 8
 
@@ -156,10 +156,22 @@ def _postings(classes: DataFrame, percent: int) -> DataFrame:
     return each.select("token", "c", "pos", "size", band.cast("long").alias("band"), F.floor(F.col("pos") / BLOCK).alias("block"))
 
 
-def _several(live: DataFrame) -> DataFrame:
-    """The entries of lists that hold more than one component (``label``), with the list's length ``n``."""
-    mixed = live.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token", "n")
-    return live.join(mixed, "token")
+def _marked(live: DataFrame, turn: int, short: int) -> DataFrame:
+    """The entries of lists that hold more than one component (``label``), and which of them are pivots.
+
+    In the first turn these are all entries of a list of ``_FEW``, and of others that with the least hash, the same one in
+    all lists of a family. Later they are all that lie outside the list's largest component, where these are ``short`` at most:
+    that settles the list. In other lists they are drawn by hash, four times as many a turn.
+    """
+    sizes = live.groupBy("token", "label").agg(F.count("*").alias("k"), F.min(F.xxhash64("c")).alias("least")).groupBy("token").agg(
+        F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("top"), F.min("least").alias("least")).where("n > top.k")
+    rank = F.xxhash64("c")
+    if turn:
+        lot = F.when(F.col("n") - F.col("top.k") <= short, F.col("label") != F.col("top.label")).otherwise(F.pmod(rank, F.col("n")) < _PIVOTS ** turn)
+        pivot = lot | ((rank == F.col("least")) & (F.col("n") - F.col("top.k") > short))
+    else:
+        pivot = (F.col("n") <= _FEW) | (rank == F.col("least"))
+    return live.join(sizes, "token").withColumn("pivot", pivot).drop("n", "top", "least")
 
 
 def _pairs(live: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
@@ -210,33 +222,38 @@ def links(classes: DataFrame, percent: int = 90, short: int = SHORT) -> tuple[Da
     labels = spark.createDataFrame([], "node long, label long")
     turn = 0
     while True:
-        live = materialize(_several(live), spark, "live")
+        live = materialize(_marked(live, turn, short), spark, "live")
         if empty(live):
             return edges, labels
-        rank = F.xxhash64("c")
-        least = live.groupBy("token").agg(F.min(rank).alias("least"))
-        chosen = live.join(least, "token")
-        many = _PIVOTS ** turn                                          # some by lot, the one of the least rank always
-        lot = F.lit(turn > 0) & ((F.col("n") <= short) | (F.pmod(rank, F.col("n")) < many))
-        marked = chosen.withColumn("pivot", lot | (rank == F.col("least"))).drop("least")
-        marked = materialize(marked, spark, "marked")
-        pairs = _pairs(marked.drop("pivot"), marked.where("pivot"), percent)
+        pairs = _pairs(live, live.where("pivot"), percent)
         need = needed(F.col("sa"), F.col("sb"), percent)
         if turn:
-            pairs = materialize(_derived(pairs, known).where(F.col("high").isNull() | (F.col("high") >= need)), spark, "pairs")
-            sure = pairs.where(F.col("low") >= need).select("a", "b")
-            open_ = pairs.where(F.col("low").isNull() | (F.col("low") < need)).select("a", "b", "sa", "sb")
+            pairs = _derived(pairs, known).where(F.col("high").isNull() | (F.col("high") >= need))
+            sure, unsure = F.col("low") >= need, F.col("low").isNull() | (F.col("low") < need)
         else:
-            sure, open_ = edges, materialize(pairs, spark, "pairs")
-        seen = materialize(_overlaps(open_, classes), spark, "overlaps")
+            sure, unsure = F.lit(False), F.lit(True)
+        pairs = materialize(pairs, spark, "pairs")
+        seen = materialize(_overlaps(pairs.where(unsure).select("a", "b", "sa", "sb"), classes), spark, "overlaps")
         known = known.unionByName(seen)
-        edges = edges.unionByName(sure).unionByName(seen.where(F.col("o") >= need).select("a", "b"))
-        labels = materialize(components(edges), spark, "labels")
-        rest = marked.where("not pivot").drop("pivot", "n", "label")
+        new = materialize(pairs.where(sure).select("a", "b").unionByName(seen.where(F.col("o") >= need).select("a", "b")), spark, "edges")
+        if not empty(new):
+            edges = edges.unionByName(new)
+            labels = materialize(_joined(labels, new), spark, "labels")
+        rest = live.where("not pivot").drop("pivot", "label")
         live = rest.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
         turn += 1
 
 
+def _joined(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after further edges, which are traced between components only."""
+    a, b = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    at = new.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("la", "a").alias("x"), F.coalesce("lb", "b").alias("y"))
+    to = components(at.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    nodes = labels.unionByName(at.select(F.col("a").alias("node"), F.col("x").alias("label"))) \
+        .unionByName(at.select(F.col("b").alias("node"), F.col("y").alias("label"))).distinct()
+    return nodes.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+
+
 def near_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(id long, n_shingles long, component_id long) of every row: the size of its set of word shingles and the least id that
     links reach.

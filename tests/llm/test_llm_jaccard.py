@@ -69,7 +69,7 @@ def family(r, base, copies, changes):
 
 @pytest.mark.parametrize("short", [2, 64])
 def test_families_chains_and_common_passages(spark, short, monkeypatch):
-    monkeypatch.setattr(jaccard, "SHORT", short)
+    monkeypatch.setattr(jaccard, "_FEW", short // 16)
     r = random.Random(short)
     texts = []
     for length in (12, 40, 90, 200):
@@ -112,8 +112,8 @@ def test_bounds_of_derived_answers(spark):
 
 
 def test_blocks_of_a_list_are_skipped(spark):
-    live = spark.createDataFrame([(7, c, pos, size, 0, pos // jaccard.BLOCK, c, 9) for c, pos, size in ((1, 0, 100), (2, 3, 100), (3, 40, 100), (4, 0, 50))],
-                                 "token long, c long, pos long, size long, band long, block long, label long, n long")
+    live = spark.createDataFrame([(7, c, pos, size, 0, pos // jaccard.BLOCK, c) for c, pos, size in ((1, 0, 100), (2, 3, 100), (3, 40, 100), (4, 0, 50))],
+                                 "token long, c long, pos long, size long, band long, block long, label long")
     found = jaccard._pairs(live, live.where("c = 1"), 90).collect()
     assert [(p.a, p.b) for p in found] == [(1, 2)]
 
