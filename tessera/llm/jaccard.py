@@ -157,20 +157,19 @@ def _postings(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _marked(live: DataFrame, turn: int, short: int) -> DataFrame:
-    """The entries of lists that hold more than one component (``label``), and which of them are pivots.
+    """The entries of lists that hold more than one label, which stands for what is known to be connected, and which are pivots.
 
-    In the first turn these are all entries of a list of ``_FEW``, and of others that with the least hash, the same one in
-    all lists of a family. Later they are all that lie outside the list's largest component, where these are ``short`` at most:
+    In the first turn these are all entries of a list of ``_FEW``, and of others the least, which is the same in all
+    lists of a family and names it then. Later they are all that lie outside the list's largest component, where these are ``short`` at most:
     that settles the list. In other lists they are drawn by hash, four times as many a turn.
     """
-    sizes = live.groupBy("token", "label").agg(F.count("*").alias("k"), F.min(F.xxhash64("c")).alias("least")).groupBy("token").agg(
+    sizes = live.groupBy("token", "label").agg(F.count("*").alias("k"), F.min("c").alias("least")).groupBy("token").agg(
         F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("top"), F.min("least").alias("least")).where("n > top.k")
-    rank = F.xxhash64("c")
     if turn:
-        lot = F.when(F.col("n") - F.col("top.k") <= short, F.col("label") != F.col("top.label")).otherwise(F.pmod(rank, F.col("n")) < _PIVOTS ** turn)
-        pivot = lot | ((rank == F.col("least")) & (F.col("n") - F.col("top.k") > short))
+        lot = F.when(F.col("n") - F.col("top.k") <= short, F.col("label") != F.col("top.label")).otherwise(F.pmod(F.xxhash64("c"), F.col("n")) < _PIVOTS ** turn)
+        pivot = lot | ((F.col("c") == F.col("least")) & (F.col("n") - F.col("top.k") > short))
     else:
-        pivot = (F.col("n") <= _FEW) | (rank == F.col("least"))
+        pivot = (F.col("n") <= _FEW) | (F.col("c") == F.col("least"))
     return live.join(sizes, "token").withColumn("pivot", pivot).drop("n", "top", "least")
 
 
@@ -224,7 +223,7 @@ def links(classes: DataFrame, percent: int = 90, short: int = SHORT) -> tuple[Da
     while True:
         live = materialize(_marked(live, turn, short), spark, "live")
         if empty(live):
-            return edges, labels
+            return edges, materialize(components(edges), spark, "components")
         pairs = _pairs(live, live.where("pivot"), percent)
         need = needed(F.col("sa"), F.col("sb"), percent)
         if turn:
@@ -238,20 +237,22 @@ def links(classes: DataFrame, percent: int = 90, short: int = SHORT) -> tuple[Da
         new = materialize(pairs.where(sure).select("a", "b").unionByName(seen.where(F.col("o") >= need).select("a", "b")), spark, "edges")
         if not empty(new):
             edges = edges.unionByName(new)
-            labels = materialize(_joined(labels, new), spark, "labels")
+            labels = materialize(_hooked(labels, new), spark, "labels")
         rest = live.where("not pivot").drop("pivot", "label")
         live = rest.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
         turn += 1
 
 
-def _joined(labels: DataFrame, new: DataFrame) -> DataFrame:
-    """``labels`` (node, label) after further edges, which are traced between components only."""
+def _hooked(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after further edges: every label gives way to the least one beside it. Nodes of one label are
+    connected, those of two may be; one step is enough to see the families, as they surround their pivots."""
     a, b = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    at = new.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("la", "a").alias("x"), F.coalesce("lb", "b").alias("y"))
-    to = components(at.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    nodes = labels.unionByName(at.select(F.col("a").alias("node"), F.col("x").alias("label"))) \
-        .unionByName(at.select(F.col("b").alias("node"), F.col("y").alias("label"))).distinct()
-    return nodes.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    at = new.join(a, "a", "left").join(b, "b", "left").select(F.inline(F.array(
+        F.struct(F.col("a").alias("node"), F.coalesce("la", "a").alias("label"), F.coalesce("lb", "b").alias("to")),
+        F.struct(F.col("b").alias("node"), F.coalesce("lb", "b").alias("label"), F.coalesce("la", "a").alias("to")))))
+    to = at.groupBy("label").agg(F.min("to").alias("to"))
+    nodes = labels.unionByName(at.select("node", "label")).distinct()
+    return nodes.join(to, "label", "left").select("node", F.least("to", "label").alias("label"))
 
 
 def near_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
