@@ -13,7 +13,7 @@ import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A7 -------------------------------------------------------------------------
@@ -56,13 +56,23 @@ def work_list(posts: DataFrame, categories: Sequence[str], key: str = "id") -> D
 
 
 # A10 ------------------------------------------------------------------------
+def text_literal(c: Column) -> Column:
+    """A text as Python writes it in a list: in double quotes where it holds single ones only, else in single ones; backslash,
+    tab, line feed and carriage return are escaped."""
+    body = c
+    for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        body = F.replace(body, F.lit(raw), F.lit(shown))
+    double = F.contains(c, F.lit("'")) & ~F.contains(c, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def ranked_list_text(df: DataFrame, col: str = "category") -> DataFrame:
     """One row: the distinct values by descending count (ties by value) as a
-    list literal ``['a', 'b']``. Bounded by the number of distinct values."""
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    list literal ``['a', 'b']``; NULL is no value. Bounded by the number of distinct values."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     items = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg_n"), F.col(col).alias("v"))))
-    txt = F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: F.concat(F.lit("'"), x["v"], F.lit("'"))), ", "),
-                   F.lit("]"))
+    txt = F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: text_literal(x["v"])), ", "), F.lit("]"))
     return counts.agg(txt.alias("terms"), F.count(F.lit(1)).alias("n_terms"))
 
 

@@ -331,7 +331,10 @@ def pca_scores(vectors: DataFrame, k: int | None = None, key: str = "id", col: s
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
     import numpy as np
-    dim = len(vectors.select(col).first()[0])
+    one = vectors.select(col).first()
+    if one is None:                                # no rows: no scores, no components
+        return vectors.select(key, F.array().cast("array<double>").alias("pcs")), []
+    dim = len(one[0])
     k = k or dim
     model = PCA(k=k, inputCol=col, outputCol="pcv").fit(vectors)
     pc = model.pc.toArray()                       # dim x k, bounded by p^2
@@ -436,12 +439,14 @@ def elbow(vectors: DataFrame, ks: Sequence[int] = range(1, 11), seed: int = 1, k
 
 
 def feature_blocks(corr: DataFrame, k: int = 4, seed: int = 1) -> DataFrame:
-    """T11 (re-aimed): split features into ``k`` blocks by their correlation
-    rows with bisecting k-means (the original cuts a complete-linkage tree)."""
+    """Features in ``k`` blocks by their correlation rows with bisecting k-means: for more features than a
+    complete-linkage tree (T11, ``linkage``) has room for. No rows give no blocks."""
     from pyspark.ml.clustering import BisectingKMeans
     from tessera.session import materialize
     corr = materialize(corr, name="corr")                                  # read for its names and for its rows
     feats = sorted(r[0] for r in corr.select("f1").distinct().collect())   # p names
+    if not feats:
+        return corr.select(F.col("f1").alias("feature"), F.lit(1).alias("block"))
     filled = corr.withColumn("rho", F.coalesce("rho", F.lit(0.0)))
     wide = filled.groupBy("f1").pivot("f2", feats).agg(F.first("rho"))
     # p rows of p values: written once so the iterative fit never re-runs the correlation plan

@@ -117,6 +117,28 @@ def score_histogram(df: DataFrame, group: str, score: str) -> DataFrame:
     return counts.withColumn("density", F.col("n") / F.sum("n").over(Window.partitionBy(group)))
 
 
+def score_density(df: DataFrame, group: str, score: str, points: int = 512) -> DataFrame:
+    """(group, x, density): Gaussian kernel density of the score from its least to its largest value, on ``points`` places,
+    or the one place where these are equal.
+
+    The bandwidth is R's default, 0.9 min(sd, IQR / 1.34) n^-0.2; where the smaller is 0 it is the sd, else the least value's size,
+    else 1. A group of one value has no sd and takes the latter two. Sums run over the distinct values with their counts.
+    """
+    counts = df.where(F.col(score).isNotNull()).groupBy(group, F.col(score).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    by = counts.groupBy(group).agg(
+        F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), (F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("m"),
+        (F.expr("percentile(v, 0.75, c)") - F.expr("percentile(v, 0.25, c)")).alias("iqr"))
+    sd = counts.join(by.select(group, "m", "n"), group).groupBy(group).agg(
+        F.sqrt(F.try_divide(F.sum(F.col("c") * (F.col("v") - F.col("m")) * (F.col("v") - F.col("m"))), F.max("n") - 1)).alias("sd"))
+    some = lambda c: F.when(c > 0, c)
+    width = F.coalesce(some(F.least(F.coalesce("sd", F.lit(0.0)), F.col("iqr") / 1.34)), some(F.col("sd")), some(F.abs("lo")), F.lit(1.0))
+    grid = by.join(sd, group).withColumn("h", 0.9 * width * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+    grid = grid.select(group, "n", "h", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / (points - 1)))).alias("x"))
+    z = (F.col("x") - F.col("v")) / F.col("h")
+    return grid.join(counts, group).groupBy(group, "x").agg(
+        (F.sum(F.col("c") * F.exp(-z * z / 2)) / F.max(F.col("n") * F.col("h") * F.sqrt(2 * F.pi()))).alias("density"))
+
+
 # G12 ------------------------------------------------------------------------
 def missing_counts(long: DataFrame, posts: DataFrame, key: str = "id", feature: str = "feature_id",
                    value: str = "rating") -> DataFrame:

@@ -27,7 +27,7 @@ QUESTIONNAIRE_KEYS = ("brief_reasoning", "answer1", "answer2", "answer3", "answe
 PAIR_CATEGORY_NAMES = ("Taste", "taste", "Kitchen Gear", "kitchen gear", "Season", "Budget", "Storage", "Garnish",
                        "Heat Source", "Menu", "Allergens", "Plating")
 
-SCALE_0_3 = "none, low, medium, high (0-3)"
+SCALE_0_3 = "0 absent, 1 a hint, 2 clear, 3 strong"
 # (category, featurename, short_description, rating scale): posts read as if they were about cooking
 DEFINITIONS = (
     ("taste", "Sweetness", "Sugar, honey or ripe fruit in the dish", SCALE_0_3),

@@ -219,3 +219,28 @@ def endpoint_replies(spark: SparkSession, src: DataFrame, questions: str, key: s
     csv = csv_text(fx.app_features_df(spark), ["feature_name", "description", "rating_options"], "row_pos").first()[0]
     return both_endpoints(src, questions, csv, [(n, c) for n, c, _, _ in fx.APP_FEATURES], fx.stub_client,
                           fx.stub_scoring_client(fx.app_feature_names()), key)
+
+
+def feature_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T10 over the kept features (stage table)."""
+    from tessera.operators import stats as S
+    return stage(spark, sf_dir, "correlation", lambda: S.spearman_pairwise(
+        ratings(spark, sf_dir).where(F.col("feature_id").isin(kept(spark, sf_dir))), value="rating"))
+
+
+def feature_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The complete-linkage tree of the features' correlation rows (stage table)."""
+    from tessera.operators import linkage as L
+    return stage(spark, sf_dir, "linkage", lambda: L.complete_linkage(L.row_distances(feature_correlation(spark, sf_dir))))
+
+
+def scaled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z-scored features as vectors."""
+    from tessera.operators import stats as S
+    return S.assemble(S.zscore(imputed_wide(spark, sf_dir))[0])
+
+
+def fitted_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four clusters of posts by optimal transfers, fitted once (stage table)."""
+    from tessera.operators import transfers
+    return stage(spark, sf_dir, "transfer-clusters", lambda: transfers.transfer_clusters(scaled_vectors(spark, sf_dir), 4, 1)[0])

@@ -202,6 +202,31 @@ fx_spearman AS (SELECT * FROM s_upper
     count(*) AS n_complete FROM s_v GROUP BY feature_id)"""
 
 
+def linkage_ctes() -> str:
+    """T11 one merge at a time: the least pair of clusters, then maxima; a state is one row with all distances and clusters."""
+    return "RECURSIVE " + spearman_ctes() + """,
+l_names AS (SELECT DISTINCT f1 AS f FROM fx_spearman),
+l_cell AS (SELECT a.f AS f1, b.f AS f2, coalesce(s.rho, 0) AS r FROM l_names a CROSS JOIN l_names b
+  LEFT JOIN fx_spearman s ON s.f1 = a.f AND s.f2 = b.f),
+l_dist AS (SELECT x.f1 AS a, y.f1 AS b, round(sqrt(sum((x.r - y.r) * (x.r - y.r) ORDER BY x.f2)), 9) AS d
+  FROM l_cell x JOIN l_cell y ON x.f2 = y.f2 AND x.f1 < y.f1 GROUP BY 1, 2),
+l_mean AS (SELECT f1 AS f, round(avg(r), 9) AS m FROM l_cell GROUP BY 1),
+l_step AS (
+  SELECT 0 AS step, CAST(NULL AS STRUCT(d DOUBLE, a VARCHAR, b VARCHAR)) AS m,
+    (SELECT list(struct_pack(d := d, a := a, b := b)) FROM l_dist) AS dist,
+    (SELECT list(struct_pack(c := f, w := -m, leaves := [f])) FROM l_mean) AS cl
+  UNION ALL
+  SELECT step + 1, t,
+    (SELECT list(struct_pack(d := d, a := a, b := b)) FROM (
+      SELECT max(d) AS d, least(x, y) AS a, greatest(x, y) AS b FROM (
+        SELECT e.d AS d, CASE WHEN e.a = t.b THEN t.a ELSE e.a END AS x, CASE WHEN e.b = t.b THEN t.a ELSE e.b END AS y
+        FROM (SELECT unnest(dist) AS e)) WHERE x <> y GROUP BY 2, 3)),
+    list_append(list_filter(cl, lambda q: q.c <> t.a AND q.c <> t.b), struct_pack(c := t.a, w := (l.w + r.w) / 2,
+      leaves := CASE WHEN l.w <= r.w THEN l.leaves || r.leaves ELSE r.leaves || l.leaves END))
+  FROM (SELECT *, list_filter(cl, lambda q: q.c = t.a)[1] AS l, list_filter(cl, lambda q: q.c = t.b)[1] AS r
+        FROM (SELECT *, list_sort(dist)[1] AS t FROM l_step WHERE len(dist) > 0)))"""
+
+
 def app_features_sql() -> str:
     rows = ", ".join(f"({i}, {q(n)}, {c}, {q(d)}, {q(o)})" for i, (n, c, d, o) in enumerate(fx.APP_FEATURES))
     return f"app_features AS (SELECT * FROM (VALUES {rows}) t(row_pos, feature_name, cluster, description, rating_options))"

@@ -68,7 +68,9 @@ from tessera.functions.parsing import bracket_slice, yes_to_bool, to_int  # noqa
 from tessera.functions.templates import (DEFINITION_TEMPLATE, MERGE_TEMPLATE, PAIR_TEMPLATE,  # noqa: E402
                                          QUESTIONNAIRE_TEMPLATE, RATING_TEMPLATE, render, render_sql)
 from tessera.operators import annotate as A  # noqa: E402
+from tessera.operators import linkage as L  # noqa: E402
 from tessera.operators import stats as T  # noqa: E402
+from tessera.operators import transfers  # noqa: E402
 from tessera.plans import fixtures as fx  # noqa: E402
 from tessera.plans.fixtures import DUCKDB, q  # noqa: E402
 
@@ -801,11 +803,70 @@ def q_t8_total(spark, sf):
     return T.elbow(_pca_inputs(spark, sf), [1]).withColumn("wss", F.round("wss", 5))
 
 
-@register("t11_feature_blocks")
+@register("t7_hartigan_wong", with_ctes(MC, """
+SELECT (SELECT count(*) FROM fx_flagged) AS n, CAST(4 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS improving"""))
+def q_t7_cert(spark, sf):
+    """What clusters by optimal transfers must show: every post in one of four, and no single move that lowers the sum of squares."""
+    return transfers.certificate(J.scaled_vectors(spark, sf), J.fitted_clusters(spark, sf))
+
+
+LC = O.linkage_ctes()
+
+
+@register("t11_merge_table", with_ctes(LC, "SELECT m.d AS height, m.a AS \"left\", m.b AS \"right\" FROM l_step WHERE step > 0"))
+def q_t11_merges(spark, sf):
+    return J.feature_merges(spark, sf)
+
+
+_BLOCKS_SQL = """
+SELECT unnest(q.leaves) AS feature, CAST(dense_rank() OVER (ORDER BY q.c) AS INTEGER) AS block
+FROM (SELECT unnest(cl) AS q FROM l_step WHERE step = greatest((SELECT count(*) FROM l_names) - 4, 0))"""
+
+
+@register("t11_feature_blocks", with_ctes(LC, _BLOCKS_SQL))
 def q_t11(spark, sf):
-    kept = J.kept(spark, sf)
-    corr = T.spearman_pairwise(J.ratings(spark, sf).where(F.col("feature_id").isin(kept)), value="rating")
-    return T.feature_blocks(corr, k=4)
+    """Four blocks of features by complete linkage of their correlation rows."""
+    names = J.feature_correlation(spark, sf).select(F.col("f1").alias("feature"))
+    return L.cut(J.feature_merges(spark, sf), names, 4)
+
+
+@register("t11_leaf_order", with_ctes(LC, """
+SELECT leaf AS feature, CAST(pos AS INTEGER) AS position FROM (SELECT unnest(q.leaves) AS leaf, unnest(range(1, len(q.leaves) + 1)) AS pos
+  FROM (SELECT unnest(cl) AS q FROM l_step WHERE step = (SELECT max(step) FROM l_step)))"""))
+def q_t11_order(spark, sf):
+    """Features as the tree displays them."""
+    return L.leaf_order(J.feature_merges(spark, sf), L.row_means(J.feature_correlation(spark, sf)))
+
+
+@register("bisecting_feature_blocks")
+def q_bisecting(spark, sf):
+    return T.feature_blocks(J.feature_correlation(spark, sf), k=4)
+
+
+@register("g11_density", "WITH " + MC + ",\n" + _SUM_SQL + """,
+d_c AS (SELECT cluster, CAST(sum_score AS DOUBLE) AS v FROM sums WHERE sum_score IS NOT NULL),
+d_s AS (SELECT cluster, count(*) AS n, min(v) AS lo, max(v) AS hi, coalesce(stddev_samp(v), 0) AS sd,
+  quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM d_c GROUP BY cluster),
+d_h AS (SELECT *, 0.9 * CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34) WHEN sd > 0 THEN sd WHEN abs(lo) > 0 THEN abs(lo) ELSE 1 END
+  * power(n, -0.2) AS h FROM d_s),
+d_g AS (SELECT DISTINCT d_h.*, lo + (hi - lo) * i / 511 AS x FROM d_h, unnest(range(512)) AS r(i))
+SELECT g.cluster, round(g.x, 6) AS x, round(sum(exp(-((g.x - c.v) / g.h) * ((g.x - c.v) / g.h) / 2)) / (max(g.n) * max(g.h) * sqrt(2 * pi())), 6) AS density
+FROM d_g g JOIN d_c c USING (cluster) GROUP BY g.cluster, g.x""")
+def q_g11_density(spark, sf):
+    d = G.score_density(_sum_scores(spark, sf), "cluster", "sum_score")
+    return d.select("cluster", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
+
+
+@register("p1_keyless_jsonl", with_ctes(QC, """
+SELECT 'ID' || CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR) || '_' || label AS id, label,
+  brief_reasoning, answer1, answer2, answer3, answer4, answer5, frequency, error, freq_num, any_flag FROM fx_questionnaire"""))
+def q_p1_keyless(spark, sf):
+    """S1 -> P1 -> J1 on files without a key: the id is the row's number in the files."""
+    from tessera.sources.tables import POSTS_SCHEMA, read_numbered_jsonl, write_json
+    path = _scratch(spark, "keyless")
+    write_json(fx.fx_questionnaire_responses(J.posts(spark, sf)).orderBy("doc_id").select("text", "label", "response"), path)
+    posts = P.with_post_id(read_numbered_jsonl(spark, path, POSTS_SCHEMA + ", response string"), "row_index")
+    return R.parse_questionnaire(posts.select("id", "label", "response"), keep=("id", "label"))
 
 
 # --------------------------------------------------------------------------- scale: lineitem / events
@@ -938,18 +999,17 @@ def q_c3(spark, sf):
 
 @register("c4_subtypes_markers")
 def q_c4(spark, sf):
-    """F5 -> T2 -> T3 -> T7 (k-means on z-scores) -> K6 -> T5 -> T13."""
-    z, _ = T.zscore(J.imputed_wide(spark, sf))
-    clusters, _cost = T.kmeans_clusters(T.assemble(z), k=4, seed=1)
-    tests = T.one_vs_rest_anova(T.clustered_long(J.imputed_wide(spark, sf), clusters))
+    """F5 -> T2 -> T3 -> T7 (optimal transfers on z-scores, fitted once) -> K6 -> T5 -> T13."""
+    tests = T.one_vs_rest_anova(T.clustered_long(J.imputed_wide(spark, sf), J.fitted_clusters(spark, sf)))
     return T.marker_table(tests, 15)
 
 
-@register("c5_feature_correlation")
+@register("c5_feature_correlation", with_ctes(LC, "SELECT b.*, o.position, t.* EXCLUDE (feature) FROM (" + _BLOCKS_SQL + ") b JOIN ("
+          + ORACLE["t11_leaf_order"][len(with_ctes(LC, "")):] + ") o USING (feature) LEFT JOIN (" + ORACLE["t12_fold_change_table"][len(with_ctes(MC, "")):] + ") t USING (feature)"))
 def q_c5(spark, sf):
-    kept = J.kept(spark, sf)
-    corr = T.spearman_pairwise(J.ratings(spark, sf).where(F.col("feature_id").isin(kept)), value="rating")
-    blocks = T.feature_blocks(corr, k=4)
+    """T10 -> T11 -> T12: every feature's block and place in the heatmap, and its fold changes."""
+    merges, corr = J.feature_merges(spark, sf), J.feature_correlation(spark, sf)
+    blocks = L.cut(merges, corr.select(F.col("f1").alias("feature")), 4).join(L.leaf_order(merges, L.row_means(corr)), "feature")
     fc = T.fold_change_table(J.anova_segments(spark, sf), [1, 2, 3, 4])
     return blocks.join(fc, "feature", "left")
 
@@ -1000,10 +1060,8 @@ def q_a12_a13(spark, sf):
 
 
 def _fitted_clusters(spark, sf):
-    """T3 -> T7: k-means (k = 4, seed 1) on the z-scored imputed matrix."""
-    z, _ = T.zscore(J.imputed_wide(spark, sf))
-    clusters, _cost = T.kmeans_clusters(T.assemble(z), k=4, seed=1)
-    return clusters
+    """T3 -> T7: the staged clusters of the z-scored imputed matrix."""
+    return J.fitted_clusters(spark, sf)
 
 
 @register("c4_cluster_label_composition")

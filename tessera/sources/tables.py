@@ -26,6 +26,26 @@ def read_posts_jsonl(spark: SparkSession, path: str, schema: str = POSTS_SCHEMA)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def read_numbered_jsonl(spark: SparkSession, path: str, schema: str = POSTS_SCHEMA, index: str = "row_index") -> DataFrame:
+    """JSON-lines rows with ``index``, the number of the row from 0 over all files in the order of their names.
+
+    For files without a key. The rows are written once with their file, split and place in the task; the rows of a split are
+    neighbours there, so the counts of the splits before it and a difference number them. Nothing but the splits is ordered,
+    and the numbers are the same however the files are split. Blank lines are no rows; a broken line fails the read.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from tessera.session import materialize
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    where = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__from")]
+    placed = materialize(rows.select("*", *where, F.monotonically_increasing_id().alias("__place")), spark, "numbered")
+    splits = placed.groupBy("__file", "__from").agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__file", "__from").rowsBetween(Window.unboundedPreceding, -1))      # a row a split
+    splits = splits.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    number = (F.col("__before") + F.col("__place") - F.col("__first")).alias(index)
+    return placed.join(splits, ["__file", "__from"]).select(number, *rows.columns)
+
+
 #: The same on both sides, so that texts come back as they were written.
 _CSV = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "nullValue": "\\N"}
 
