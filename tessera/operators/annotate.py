@@ -118,22 +118,7 @@ def annotate(prompts: DataFrame, client_factory: ClientFactory, key: str = "id",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from concurrent.futures import ThreadPoolExecutor
-        call = client_factory(**options)
-
-        def one(p: str | None) -> tuple[str | None, str | None, str | None]:
-            if p is None:
-                return None, None, "no prompt"
-            msgs = [{"role": "user", "content": p}]
-            if prefix:
-                msgs.append({"role": "assistant", "content": prefix})
-            error = None
-            for _ in range(attempts):
-                try:
-                    return hashlib.md5(p.encode("utf-8")).hexdigest(), call(msgs), None
-                except Exception as e:  # noqa: BLE001 - recorded per row
-                    error = f"{type(e).__name__}: {e}"
-            return hashlib.md5(p.encode("utf-8")).hexdigest(), None, error
-
+        one = _sender(client_factory(**options), prefix, attempts)
         with ThreadPoolExecutor(max_workers=concurrency) as pool:
             for b in batches:
                 rows = list(pool.map(one, b["prompt"]))                 # in the order of the rows
@@ -145,6 +130,50 @@ def annotate(prompts: DataFrame, client_factory: ClientFactory, key: str = "id",
     return res.withColumnRenamed("key", key)
 
 
+def _sender(call, prefix: str | None, attempts: int):
+    """prompt -> (prompt_md5, reply, error): ``attempts`` calls at most, the last exception becomes the error."""
+    def one(p: str | None) -> tuple[str | None, str | None, str | None]:
+        if p is None:
+            return None, None, "no prompt"
+        msgs = [{"role": "user", "content": p}]
+        if prefix:
+            msgs.append({"role": "assistant", "content": prefix})
+        error = None
+        for _ in range(attempts):
+            try:
+                return hashlib.md5(p.encode("utf-8")).hexdigest(), call(msgs), None
+            except Exception as e:  # noqa: BLE001 - recorded per row
+                error = f"{type(e).__name__}: {e}"
+        return hashlib.md5(p.encode("utf-8")).hexdigest(), None, error
+    return one
+
+
+def annotate_each(rows: DataFrame, calls: dict[str, tuple[Column, ClientFactory, str | None]], key: str = "id", concurrency: int = 8,
+                  attempts: int = 3) -> DataFrame:
+    """Several model calls for every row in one pass: (key, <name>_reply, <name>_error) for each name in ``calls``, which holds
+    the prompt, the client factory and the assistant prefix. Texts go to the workers once, and only replies come back.
+    Everything else is as in ``annotate``."""
+    names = list(calls)
+    src = rows.select(F.col(key).cast("string").alias("key"), *[calls[n][0].alias(n) for n in names])
+    asked = {n: calls[n][1:] for n in names}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from concurrent.futures import ThreadPoolExecutor
+        send = {n: _sender(factory(), prefix, attempts) for n, (factory, prefix) in asked.items()}
+
+        def each(prompts: tuple) -> list:
+            return [send[n](p) for n, p in zip(names, prompts)]
+
+        with ThreadPoolExecutor(max_workers=concurrency) as pool:
+            for b in batches:
+                got = list(pool.map(each, zip(*(b[n] for n in names))))
+                yield pd.DataFrame({"key": b["key"], **{f"{n}_{what}": pd.Series([r[i][k] for r in got], index=b.index, dtype=object)
+                                                        for i, n in enumerate(names) for k, what in ((1, "reply"), (2, "error"))}})
+
+    schema = ", ".join(["key string", *(f"`{n}_{what}` string" for n in names for what in ("reply", "error"))])
+    return src.mapInPandas(run, schema).withColumnRenamed("key", key)
+
+
 # A13 ------------------------------------------------------------------------
 def with_recorded(prompts: DataFrame, recorded: DataFrame, prompt: str = "prompt") -> DataFrame:
     """Attach recorded replies by prompt hash (left join, NULL = not yet sent)."""

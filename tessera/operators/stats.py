@@ -8,6 +8,7 @@ per-feature scalars (bounded by the number of features p) reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -211,9 +212,45 @@ def fold_change_table(tests: DataFrame, clusters: Sequence[int], clamp_cluster:
 
 
 # T10 ------------------------------------------------------------------------
-#: Value ranges of a feature; a window of the ranks covers one (pair, range).
-RANGES = 256
-_STEP = 16
+#: Distinct values that one window of the ranks covers, about; a feature has as many ranges as its values need.
+VALUES_A_RANGE = 50_000
+
+
+def _range_of(v: str, cuts: str, ranges: int) -> Column:
+    """How many of a feature's sorted ``ranges`` - 1 cuts lie below a value: coarse steps first, then the cuts of one step."""
+    step = max(1, math.isqrt(ranges))
+    below = lambda some: F.size(F.filter(some, lambda t: t < F.col(v)))
+    if ranges <= step:
+        return F.lit(0)
+    coarse = F.transform(F.sequence(F.lit(step), F.lit(max(step, (ranges - 1) // step * step)), F.lit(step)), lambda i: F.element_at(cuts, i))
+    g = below(coarse) * step
+    return g + below(F.slice(cuts, g + 1, F.lit(step)))
+
+
+def _mid_ranks(counted: DataFrame, per: DataFrame, keys: Sequence[str], f: str, v: str, ranges: int) -> DataFrame:
+    """(keys, v, d): exact mid-rank of each value in its group, less (n + 1) / 2, from value counts (keys, v, k).
+
+    A value is one row, however many posts have it. Cuts of the feature ``f`` (``per``: f, cuts) split its values into ranges; a
+    window numbers one range, and the totals of the ranges before it are added. The cuts only divide the work."""
+    x = counted.withColumn("b", F.lit(0)) if ranges < 2 else \
+        counted.join(per.select(F.col("f").alias(f), "cuts"), f).withColumn("b", _range_of(v, "cuts", ranges)).drop("cuts")
+    one = Window.partitionBy(*keys, "b").orderBy(v).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("upto", F.sum("k").over(one))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    tot = (x.groupBy(*keys, "b").agg(F.sum("k").alias("t"))
+           .select(*keys, "b", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("off"), F.sum("t").over(group).alias("n")))
+    d = F.col("off") + F.col("upto") - (F.col("k") - 1) / 2.0 - (F.col("n") + 1) / 2.0
+    return x.join(tot, [*keys, "b"]).select(*keys, v, d.alias("d"))
+
+
+def _cut_points(v: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """((f, n, lo, hi, cuts) of long (f, v), ranges) where a feature has up to ``most`` distinct values."""
+    from tessera.session import materialize
+    ranges = 1 + most // VALUES_A_RANGE
+    cuts = F.percentile_approx("v", [i / ranges for i in range(1, ranges)], 10_000) if ranges > 1 else F.array().cast("array<double>")
+    return materialize(v.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), cuts.alias("cuts")),
+                       name="spearman-features"), ranges
 
 
 def spearman_pairwise(long: DataFrame, key: str = "id", feature: str = "feature_id", value: str = "value",
@@ -224,7 +261,7 @@ def spearman_pairwise(long: DataFrame, key: str = "id", feature: str = "feature_
     Plan: self-join on id (f1 < f2), then count (f1, f2, v1, v2) cells - the
     map-side partial aggregate shrinks posts x p^2/2 rows to at most
     p^2/2 x (distinct values)^2 cells. Mid-ranks come from the marginal counts
-    (f1, f2, value) alone, range by range (``_centred_ranks``), centred at (n+1)/2
+    (f1, f2, value) alone, range by range (``_mid_ranks``), centred at (n+1)/2
     before the weighted sums, so no large-number cancellation. A constant side
     gives NULL. The plan is the same for few and for many values.
     """
@@ -250,69 +287,85 @@ def pair_cells(v: DataFrame, key: str = "id") -> DataFrame:
 
 def spearman_pairwise_wide(wide: DataFrame, features: Sequence[str], full: bool = True) -> DataFrame:
     """T10 on a wide table (one row per post, one column per feature, NULL
-    where missing) - the shape R's ``cor(mat)`` takes. Every feature pair's
-    (v1, v2) is generated inside the row and counted map-side, so only the
-    cell counts are shuffled: no exchange of raw rows, no join."""
+    where missing) - the shape R's ``cor(mat)`` takes.
+
+    Two features that are missing in the same posts have the same complete posts as each alone, so all such pairs share one
+    ranking a feature: values are ranked once, joined to the rows, and one pass sums the products of all pairs row by row. Only pairs with
+    different gaps are ranked anew on their own posts, from cells that are counted inside the rows."""
+    from tessera.session import materialize
     feats = sorted(features)
     pairs = [(a, b) for i, a in enumerate(feats) for b in feats[i + 1:]]
-    arr = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"`{a}`").cast("double").alias("v1"),
-                             F.col(f"`{b}`").cast("double").alias("v2")) for a, b in pairs])
-    cells = (wide.select(F.inline(arr)).where(F.col("v1").isNotNull() & F.col("v2").isNotNull())
-             .groupBy("f1", "f2", "v1", "v2").agg(F.count(F.lit(1)).alias("c")))
-    v = (wide.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in feats])
-         .unpivot([], feats, "f", "v").where(F.col("v").isNotNull()))
-    return _spearman_from_cells(cells, v, full)
+    at = {f: i for i, f in enumerate(feats)}
+    x = materialize(wide.select(*[F.col(f"`{f}`").cast("double").alias(f"v{at[f]}") for f in feats]), name="spearman-wide")
+    there = {f: F.col(f"v{at[f]}").isNotNull() for f in feats}
+    seen = x.agg(*[F.count_if(there[f]).alias(f"n{at[f]}") for f in feats], *[F.min(f"v{at[f]}").alias(f"lo{at[f]}") for f in feats],
+                 *[F.max(f"v{at[f]}").alias(f"hi{at[f]}") for f in feats], *[F.approx_count_distinct(f"v{at[f]}").alias(f"u{at[f]}") for f in feats],
+                 *[F.count_if(there[a] & there[b]).alias(f"n{at[a]}_{at[b]}") for a, b in pairs]).first()      # p^2 / 2 numbers
+    alike = [(a, b) for a, b in pairs if seen[f"n{at[a]}_{at[b]}"] == seen[f"n{at[a]}"] == seen[f"n{at[b]}"]]
+    own = [p for p in pairs if p not in set(alike) and seen[f"n{at[p[0]]}_{at[p[1]]}"]]
+    long = x.select(F.inline(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"v{at[f]}").alias("v")) for f in feats]))).where(F.col("v").isNotNull())
+    upper = x.sparkSession.createDataFrame([], "f1 string, f2 string, rho double, n_complete long")
+    if alike:
+        ranked = sorted({f for p in alike for f in p})
+        counted = materialize(long.where(F.col("f").isin(ranked)).groupBy("f", "v").agg(F.count(F.lit(1)).alias("k")), name="spearman-values")
+        per, ranges = _cut_points(counted, max(seen[f"u{at[f]}"] for f in ranked))
+        ranks = materialize(_mid_ranks(counted, per, ("f",), "f", "v", ranges), name="spearman-ranks")
+        rows = x
+        for f in ranked:
+            rows = rows.join(ranks.where(F.col("f") == f).select(F.col("v").alias(f"v{at[f]}"), F.col("d").alias(f"d{at[f]}")), f"v{at[f]}", "left")
+        d = {f: F.col(f"d{at[f]}") for f in ranked}
+        sums = rows.agg(*[F.sum(d[f] * d[f]).alias(f"s{at[f]}") for f in ranked], *[F.sum(d[a] * d[b]).alias(f"s{at[a]}_{at[b]}") for a, b in alike])
+        rho = {p: F.when((F.col(f"s{at[p[0]]}") > 0) & (F.col(f"s{at[p[1]]}") > 0), F.col(f"s{at[p[0]]}_{at[p[1]]}")
+                         / F.sqrt(F.col(f"s{at[p[0]]}") * F.col(f"s{at[p[1]]}"))) for p in alike}
+        found = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), rho[a, b].alias("rho"), F.lit(seen[f"n{at[a]}_{at[b]}"]).cast("long").alias("n_complete"))
+                 for a, b in alike]
+        upper = materialize(sums.select(F.inline(F.array(*found))).where("n_complete > 0"), name="spearman-pairs")
+    if own:
+        each = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"v{at[a]}").alias("v1"), F.col(f"v{at[b]}").alias("v2")) for a, b in own])
+        cells = x.select(F.inline(each)).where(F.col("v1").isNotNull() & F.col("v2").isNotNull()).groupBy("f1", "f2", "v1", "v2").agg(F.count(F.lit(1)).alias("c"))
+        per, ranges = _cut_points(long.where(F.col("f").isin(sorted({f for p in own for f in p}))), max(seen[f"u{at[f]}"] for p in own for f in p))
+        upper = upper.unionByName(_from_cells(cells, per, ranges))
+    if not full:
+        return upper
+    alone = [(f, 1.0 if seen[f"lo{at[f]}"] < seen[f"hi{at[f]}"] else None, seen[f"n{at[f]}"]) for f in feats if seen[f"n{at[f]}"]]
+    return _both_halves(upper).unionByName(x.sparkSession.createDataFrame([(f, f, r, n) for f, r, n in alone], "f1 string, f2 string, rho double, n_complete long"))
 
 
 def _spearman_from_cells(cells: DataFrame, v: DataFrame, full: bool) -> DataFrame:
-    """Correlations from (f1, f2, v1, v2, c) cells; ``v`` is the long (f, v) table. Cells and the
-    p rows about features are written once: each is read several times below."""
+    """Correlations from (f1, f2, v1, v2, c) cells; ``v`` is the long (f, v) table. The p rows about features are written
+    once: they are read several times."""
+    most = v.groupBy("f").agg(F.approx_count_distinct("v").alias("u")).agg(F.max("u")).first()[0]
+    per, ranges = _cut_points(v, most or 0)
+    upper = _from_cells(cells, per, ranges)
+    if not full:
+        return upper
+    diag = per.select(F.col("f").alias("f1"), F.col("f").alias("f2"), F.when(F.col("lo") < F.col("hi"), F.lit(1.0)).alias("rho"),
+                      F.col("n").alias("n_complete"))
+    return _both_halves(upper).unionByName(diag)
+
+
+def _from_cells(cells: DataFrame, per: DataFrame, ranges: int) -> DataFrame:
+    """(f1, f2, rho, n_complete) of each pair's own ranks. Cells are written once: each is read several times."""
     from tessera.session import materialize
     cells = materialize(cells, name="spearman-cells")
-    probs = [i / RANGES for i in range(1, RANGES)]
-    per = materialize(v.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-                                         F.percentile_approx("v", probs, 10_000).alias("cuts")), name="spearman-features")
     x = cells
     for side in ("1", "2"):
-        x = x.join(_centred_ranks(cells, per, side), ["f1", "f2", "v" + side])
+        counted = cells.groupBy("f1", "f2", "v" + side).agg(F.sum("c").alias("k"))
+        ranks = _mid_ranks(counted, per, ("f1", "f2"), "f" + side, "v" + side, ranges).withColumnRenamed("d", "d" + side)
+        x = x.join(ranks, ["f1", "f2", "v" + side])
     agg = (x.groupBy("f1", "f2").agg(F.sum(F.col("c") * F.col("d1") * F.col("d2")).alias("sxy"),
                                      F.sum(F.col("c") * F.col("d1") * F.col("d1")).alias("sxx"),
                                      F.sum(F.col("c") * F.col("d2") * F.col("d2")).alias("syy"),
                                      F.sum("c").alias("n_complete")))
     rho = F.when((F.col("sxx") > 0) & (F.col("syy") > 0), F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))
-    upper = agg.select("f1", "f2", rho.alias("rho"), "n_complete")
-    if not full:
-        return upper
+    return agg.select("f1", "f2", rho.alias("rho"), "n_complete")
+
+
+def _both_halves(upper: DataFrame) -> DataFrame:
     both = upper.select(F.inline(F.array(
         F.struct(F.col("f1").alias("a"), F.col("f2").alias("b"), "rho", "n_complete"),
         F.struct(F.col("f2").alias("a"), F.col("f1").alias("b"), "rho", "n_complete"))))
-    both = both.select(F.col("a").alias("f1"), F.col("b").alias("f2"), "rho", "n_complete")
-    diag = per.select(F.col("f").alias("f1"), F.col("f").alias("f2"), F.when(F.col("lo") < F.col("hi"), F.lit(1.0)).alias("rho"),
-                      F.col("n").alias("n_complete"))
-    return both.unionByName(diag)
-
-
-def _centred_ranks(cells: DataFrame, per: DataFrame, side: str) -> DataFrame:
-    """(f1, f2, v, d): exact mid-rank of each value of one side of each pair, less (n + 1) / 2.
-
-    A value is one row, however many posts have it. Approximate quantile cuts of the feature split
-    the values into ``RANGES`` ranges; a window numbers one range, and the totals of the ranges before
-    it (a window over at most ``RANGES`` rows) are added. The cuts only divide the work."""
-    f, v = "f" + side, "v" + side
-    marg = cells.groupBy("f1", "f2", v).agg(F.sum("c").alias("k"))
-    below = lambda cuts: F.size(F.filter(cuts, lambda t: t < F.col(v)))
-    coarse = F.transform(F.sequence(F.lit(_STEP), F.lit(RANGES - 1), F.lit(_STEP)), lambda i: F.element_at("cuts", i))
-    x = (marg.join(per.select(F.col("f").alias(f), "cuts"), f)
-         .withColumn("g", below(coarse) * _STEP)
-         .withColumn("b", F.col("g") + below(F.slice("cuts", F.col("g") + 1, _STEP))).drop("cuts", "g"))
-    one = Window.partitionBy("f1", "f2", "b").orderBy(v).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("upto", F.sum("k").over(one))
-    pair = Window.partitionBy("f1", "f2")
-    before = pair.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    tot = (x.groupBy("f1", "f2", "b").agg(F.sum("k").alias("t"))
-           .select("f1", "f2", "b", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("off"), F.sum("t").over(pair).alias("n")))
-    d = F.col("off") + F.col("upto") - (F.col("k") - 1) / 2.0 - (F.col("n") + 1) / 2.0
-    return x.join(tot, ["f1", "f2", "b"]).select("f1", "f2", v, d.alias("d" + side))
+    return both.select(F.col("a").alias("f1"), F.col("b").alias("f2"), "rho", "n_complete")
 
 
 # MLlib -----------------------------------------------------

@@ -1040,6 +1040,19 @@ def q_c7(spark, sf):
     return spark.read.parquet(sink).withColumn("percent", X.percent_of_max("mean_score", 4.0))
 
 
+@register("c7_stream_with_store", ORACLE["c7_stream_scoring"])
+def q_c7_store(spark, sf):
+    """C7 over a reply store: a prompt is sent once however often it comes."""
+    from tessera.sources.tables import table
+    from tessera.streaming.scoring import run_with_store
+    src, sink = _scratch(spark, "stream-in"), _scratch(spark, "stream-out")
+    table(spark, sf, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("id"), "text").write.json(src)
+    csv = A.csv_text(fx.app_features_df(spark), ["feature_name", "description", "rating_options"], "row_pos").first()[0]
+    run_with_store(spark.readStream.schema("id string, text string").json(src), _scratch(spark, "stream-store"), sink, sink + "-checkpoint", QUESTIONS, csv,
+                   [(n, c) for n, c, _, _ in fx.APP_FEATURES], fx.stub_client, fx.stub_scoring_client(fx.app_feature_names()))
+    return spark.read.parquet(sink).drop("batch").withColumn("percent", X.percent_of_max("mean_score", 4.0))
+
+
 @register("x13_display_segments", with_ctes(QC, """
 SELECT id, least(greatest(CAST(round(freq_num) AS INTEGER), 0), 4) AS freq_segments,
   least(greatest(freq_num / 4.0 * 100.0, 0.0), 100.0) AS freq_percent FROM fx_questionnaire WHERE freq_num IS NOT NULL"""))

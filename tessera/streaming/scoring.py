@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.parsing import json_valid, parse_object_fields, parse_score_map, to_double, to_int, yes_to_bool
 from tessera.functions.templates import QUESTIONNAIRE_TEMPLATE, SCORING_TEMPLATE, render
-from tessera.operators.annotate import annotate
+from tessera.operators.annotate import annotate_each, annotate_resumable
 from tessera.operators.responses import ANSWER_COLS, QUESTIONNAIRE_KEYS
 
 
@@ -53,13 +53,18 @@ def both_endpoints(posts: DataFrame, questions: str, features_csv: str, lookup:
     """(key, answer1..5 boolean, freq int, cluster, mean_score, error): a row per post and cluster of its scored
     features; a post without any has one row without a cluster. Every post is kept: ``error`` tells what failed,
     the call or the reading of its reply, by endpoint."""
-    asked = posts.select(key, render(QUESTIONNAIRE_TEMPLATE, text="text", questions=F.lit(questions)).alias("q_prompt"),
-                         render(SCORING_TEMPLATE, text="text", features=F.lit(features_csv)).alias("f_prompt"))
-    q = annotate(asked, questionnaire_client, key=key, prompt="q_prompt", prefix=prefix, keep=("f_prompt",)) \
-        .select(key, "f_prompt", F.col("response").alias("q_reply"), F.col("error").alias("q_error"))
-    f = annotate(q, scoring_client, key=key, prompt="f_prompt", keep=("q_reply", "q_error")) \
-        .select(key, "q_reply", "q_error", F.col("response").alias("f_reply"), F.col("error").alias("f_error"))
-    read = f.withColumn("_valid", F.coalesce(json_valid("q_reply"), F.lit(False))).withColumn("_m", parse_score_map("f_reply"))
+    asked = _calls(questions, features_csv, questionnaire_client, scoring_client, prefix)
+    return endpoint_rows(annotate_each(posts, asked, key), lookup, key)
+
+
+def _calls(questions: str, features_csv: str, questionnaire_client, scoring_client, prefix: str | None) -> dict:
+    return {"q": (render(QUESTIONNAIRE_TEMPLATE, text="text", questions=F.lit(questions)), questionnaire_client, prefix),
+            "f": (render(SCORING_TEMPLATE, text="text", features=F.lit(features_csv)), scoring_client, None)}
+
+
+def endpoint_rows(replies: DataFrame, lookup: Sequence[tuple[str, int]], key: str = "id") -> DataFrame:
+    """The result rows of replies (key, q_reply, q_error, f_reply, f_error)."""
+    read = replies.withColumn("_valid", F.coalesce(json_valid("q_reply"), F.lit(False))).withColumn("_m", parse_score_map("f_reply"))
     read = read.select(key, "q_error", "f_error", "_m", *parse_object_fields("q_reply", QUESTIONNAIRE_KEYS, valid="_valid"))
     bad_q = F.concat(F.lit("questionnaire: "), F.coalesce("q_error", "error"))
     bad_f = F.concat(F.lit("features: "), F.coalesce("f_error", F.when(F.col("_m").isNull(), F.lit("invalid json"))))
@@ -74,3 +79,27 @@ def run_available(stream: DataFrame, sink_dir: str, checkpoint_dir: str) -> None
     q = (stream.writeStream.format("parquet").outputMode("append").option("path", sink_dir)
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def run_with_store(stream: DataFrame, store_dir: str, sink_dir: str, checkpoint_dir: str, questions: str, features_csv: str,
+                   lookup: Sequence[tuple[str, int]], questionnaire_client, scoring_client, key: str = "id", prefix: str | None = None) -> None:
+    """As ``both_endpoints`` into a parquet sink, over a store of replies (A13): everything available now, then stop.
+
+    A micro-batch sends each distinct prompt that the store lacks once, and appends the replies before it reads
+    them; so a prompt that came before in the stream, or in an earlier run, is not sent again. A batch that is repeated
+    after a stop finds its replies in the store and replaces its own folder of the sink (``batch=<number>``). Failed calls
+    are not stored: their posts carry the error, and the prompt is sent again when it comes again.
+    """
+    calls = _calls(questions, features_csv, questionnaire_client, scoring_client, prefix)
+
+    def score(batch: DataFrame, number: int) -> None:
+        from tessera.session import materialize
+        posts = materialize(batch.select(key, *[prompt.alias(n) for n, (prompt, *_) in calls.items()]), batch.sparkSession, "micro-batch")
+        replies = posts.select(key)
+        for n, (_, client, lead) in calls.items():
+            got = annotate_resumable(posts.select(key, F.col(n).alias("prompt")), client, f"{store_dir.rstrip('/')}/{n}", key=key, prefix=lead)
+            told = F.when(F.col("prompt_md5").isNull(), F.lit("no prompt")).when(F.col("response").isNull(), F.lit("no reply"))
+            replies = replies.join(got.select(key, F.col("response").alias(f"{n}_reply"), told.alias(f"{n}_error")), key)
+        endpoint_rows(replies, lookup, key).write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/batch={number}")
+
+    stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start().awaitTermination()
