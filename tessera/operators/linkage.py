@@ -43,21 +43,19 @@ def complete_linkage(dist: DataFrame) -> DataFrame:
     spark = dist.sparkSession
     live = materialize(dist.select(F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "d"),
                                                     F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "d")))), spark, "linkage")
-    done: list[DataFrame] = []
-    while live.take(1):
+    done: list[tuple] = []                                              # p - 1 rows at last
+    while True:
         nearest = live.groupBy("x").agg(F.min(F.struct("d", F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"))).alias("m"))
         both = nearest.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
-        merged = materialize(both.select(F.col("m.d").alias("height"), "m.left", "m.right"), spark, "merges")
-        done.append(merged)
-        to = merged.select("right", "left")
+        merged = [tuple(r) for r in both.select("m.d", "m.left", "m.right").collect()]
+        if not merged:
+            return spark.createDataFrame(done, MERGES)
+        done += merged
+        to = F.broadcast(spark.createDataFrame([(right, left) for _, left, right in merged], "right string, left string"))      # a row a merge
         moved = live.join(to.select(F.col("right").alias("x"), F.col("left").alias("nx")), "x", "left") \
             .join(to.select(F.col("right").alias("y"), F.col("left").alias("ny")), "y", "left") \
             .select(F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y"), "d").where("x <> y")
         live = materialize(moved.groupBy("x", "y").agg(F.max("d").alias("d")), spark, "linkage")
-    out = spark.createDataFrame([], MERGES)
-    for merged in done:
-        out = out.unionByName(merged)
-    return out
 
 
 def _ordered(merges: DataFrame) -> list:

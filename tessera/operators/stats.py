@@ -312,7 +312,9 @@ def spearman_pairwise_wide(wide: DataFrame, features: Sequence[str], full: bool
         ranks = materialize(_mid_ranks(counted, per, ("f",), "f", "v", ranges), name="spearman-ranks")
         rows = x
         for f in ranked:
-            rows = rows.join(ranks.where(F.col("f") == f).select(F.col("v").alias(f"v{at[f]}"), F.col("d").alias(f"d{at[f]}")), f"v{at[f]}", "left")
+            side = ranks.where(F.col("f") == f).select(F.col("v").alias(f"v{at[f]}"), F.col("d").alias(f"d{at[f]}"))
+            few = seen[f"u{at[f]}"] <= VALUES_A_RANGE                        # two numbers a value, so under a megabyte or so
+            rows = rows.join(F.broadcast(side) if few else side, f"v{at[f]}", "left")
         d = {f: F.col(f"d{at[f]}") for f in ranked}
         sums = rows.agg(*[F.sum(d[f] * d[f]).alias(f"s{at[f]}") for f in ranked], *[F.sum(d[a] * d[b]).alias(f"s{at[a]}_{at[b]}") for a, b in alike])
         rho = {p: F.when((F.col(f"s{at[p[0]]}") > 0) & (F.col(f"s{at[p[1]]}") > 0), F.col(f"s{at[p[0]]}_{at[p[1]]}")

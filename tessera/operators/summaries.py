@@ -208,6 +208,22 @@ def pivot_known(df: DataFrame, key: Sequence[str] | str, pivot: str, values: Seq
 
 
 # H4 -------------------------------------------------------------------------
+def pivot_discovered(long: DataFrame, key: str, col: str, value: str) -> DataFrame:
+    """Long -> wide with a column for every id that occurs, whether defined or not, by name; null where unrated.
+
+    A post's values are one object, and the schema of all objects is aggregated as a variant's in one pass with partial
+    aggregates, so nothing but the names of the columns reaches the driver. Of repeated ids in a post the largest value counts; an
+    empty table has the key alone."""
+    from pyspark.sql.types import StructType
+    from tessera.session import materialize
+    own = long.where(F.col(col).isNotNull()).groupBy(key, col).agg(F.max(value).alias("v")).groupBy(key) \
+        .agg(F.map_from_entries(F.collect_list(F.struct(col, "v"))).alias("m"))                     # a post's ids: bounded by the features
+    own = materialize(own, name="rating-objects")
+    seen = own.agg(F.schema_of_variant_agg(F.to_variant_object("m"))).first()[0]
+    names = StructType.fromDDL(f"o {seen.replace('OBJECT<', 'STRUCT<', 1)}")["o"].dataType.names if seen and seen.startswith("OBJECT<") else []
+    return own.select(key, *[F.try_element_at("m", F.lit(n)).alias(n) for n in names])
+
+
 def stack(frames: Sequence[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -17,6 +17,9 @@ from tessera.sources.tables import table
 ANSWERS = list(R.ANSWER_COLS)
 
 _STAGES: dict[tuple, DataFrame] = {}
+#: Setting that makes stages outlive the session, and the tables that they are made of.
+RESUME = "spark.tessera.resume"
+STAGE_INPUTS = ("documents",)
 
 
 def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -26,11 +29,16 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     reliable checkpoint in the shared ``spark.checkpoint.dir``: a lost
     executor re-reads it instead of re-running parsing (or model calls), and
     the optimizer cannot inline a stage's expressions into later filters.
+    With ``spark.tessera.resume`` = true the tables have names made of their inputs'
+    fingerprint, and a later session goes on after the last finished stage.
     """
-    from tessera.session import materialize
+    from tessera.session import fingerprint, materialize, resumed
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     if key not in _STAGES:
-        _STAGES[key] = materialize(build(), spark, name)
+        if spark.conf.get(RESUME, "false") == "true":
+            _STAGES[key] = resumed(spark, name, fingerprint(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in STAGE_INPUTS], name), build)
+        else:
+            _STAGES[key] = materialize(build(), spark, name)
     return _STAGES[key]
 
 

@@ -596,6 +596,12 @@ def q_h3(spark, sf):
     return G.pivot_known(J.ratings(spark, sf), "id", "feature_id", _FIDS, "rating")
 
 
+@register("h3_discovered_wide", with_ctes(RC, "SELECT * FROM (PIVOT fx_ratings ON feature_id USING max(rating) GROUP BY id)"))
+def q_h3_discovered(spark, sf):
+    """Ratings with whatever columns came back."""
+    return G.pivot_discovered(J.ratings(spark, sf), "id", "feature_id", "rating")
+
+
 @register("h4_stack_frames", with_ctes(RC, """
 SELECT id, feature_id, rating, NULL::VARCHAR AS source FROM fx_ratings
 UNION ALL SELECT id, 'answer1' AS feature_id, CASE answer1 WHEN 'Yes' THEN 1.0 WHEN 'No' THEN 0.0 END AS rating,

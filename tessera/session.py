@@ -85,6 +85,45 @@ def materialize(df, spark: SparkSession | None = None, name: str = "stage"):
     return spark.read.parquet(path)
 
 
+def fingerprint(spark: SparkSession, paths: list[str], *parameters: object) -> str:
+    """Hash of the names, sizes and times of the files under ``paths``, of ``parameters``, and of this package's code."""
+    import hashlib
+    h = hashlib.sha256(repr((parameters, _code_digest())).encode())
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(conf).listFiles(at, True)
+        found = []
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        h.update(repr(sorted(found)).encode())
+    return h.hexdigest()[:24]
+
+
+def resumed(spark: SparkSession, name: str, key: str, build):
+    """A stage table under ``key``, which says what it is made of: read where a run has finished it, else built and written.
+
+    The commit mark is the file that Spark writes last; a table without it was torn and is written anew. So a job that
+    was stopped goes on, in any later session, after the last stage that it finished.
+    """
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/{name}-{key}"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _package_files() -> list[str]:
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    return sorted(os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
+
+
+def _code_digest() -> str:
+    import hashlib
+    return hashlib.md5(b"".join(open(f, "rb").read() for f in _package_files())).hexdigest()[:12]
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -94,15 +133,11 @@ def ship_package(spark: SparkSession) -> None:
     register it with ``addPyFile``, as ``spark-submit --py-files`` would.
     The zip goes under ``spark.checkpoint.dir`` when that is a local or
     mounted path; Spark then serves it to the executors."""
-    import hashlib
-    import os
     import zipfile
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
-    pkg = os.path.dirname(os.path.abspath(__file__))
-    files = sorted(os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
-    digest = hashlib.md5(b"".join(open(f, "rb").read() for f in files)).hexdigest()[:12]
+    pkg, files, digest = os.path.dirname(os.path.abspath(__file__)), _package_files(), _code_digest()
     base = ensure_checkpoint_dir(spark)
     if "://" in base and not base.startswith("file://"):
         base = tempfile.mkdtemp(prefix="tessera-code-")      # non-POSIX store: ship from the driver
