@@ -16,7 +16,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +55,23 @@ def require(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns {gone}; there are {df.columns}")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one value, out of the way of other names; ``unwrapped`` brings them back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as make it no column of ``df``."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def unwrapped(name: str, columns: list[str]) -> list[Column]:
+    """The columns that ``whole_row`` put into ``name``."""
+    return [F.col(name).getField(c).alias(c) for c in columns]
+
+
 def n_shards(spark: SparkSession) -> int:
     """Shards follow the cluster's shuffle partitions, which its owner sizes with the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

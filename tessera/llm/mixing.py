@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, require, ship_package
+from tessera.llm.common import free_name, materialize, require, ship_package, unwrapped, whole_row
 
 #: Weights of the registered query; any other language or source weighs 1.
 DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
@@ -140,16 +140,21 @@ def mixed(docs: DataFrame, *, budget_ratio: float = 1.0, max_epochs: int = MAX_E
           lang_weights: Mapping[str, int] = LANG_WEIGHTS, source_weights: Mapping[str, int] = SOURCE_WEIGHTS, id_col: str = "doc_id",
           text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, with all columns, each as often as ``mix`` says. Texts are not shuffled while the plan,
-    a row a leaf, is below the broadcast threshold; beyond it Spark joins by leaf."""
+    a row a leaf, is below the broadcast threshold; beyond it Spark joins by leaf.
+
+    Null languages and sources are the leaf value ''; a null or empty text has no tokens and is taken where its place in the
+    order is. Rows with one id are taken together or not at all, so ties and repeated rows never split. An empty table gives an
+    empty result. A row travels as one value, so its columns may have any names, those of this function's own included.
+    """
     require(docs, id_col, text_col, lang_col, source_col)
     ship_package(docs.sparkSession)
     slim = materialize(_slim(docs, id_col, text_col, lang_col, source_col), docs.sparkSession, "slim")
-    leaves = plan(slim, budget_ratio, max_epochs, seed, (domain_weights, lang_weights, source_weights)).select(
-        F.col("domain").alias("__d"), F.col("lang").alias("__l"), F.col("source").alias("__s"), "__whole", "__last")
+    leaves = plan(slim, budget_ratio, max_epochs, seed, (domain_weights, lang_weights, source_weights)).select(*_NODE, "__whole", "__last")
     source = F.coalesce(F.col(source_col), F.lit(""))
-    tagged = docs.withColumns({"__dd": domain_of(source), "__ll": F.coalesce(F.col(lang_col), F.lit("")), "__ss": source})
-    out = tagged.join(leaves, (F.col("__dd") == F.col("__d")) & (F.col("__ll") == F.col("__l")) & (F.col("__ss") == F.col("__s")))
-    out = out.withColumn("__n", _copies(seed, F.col(id_col))).where("__n > 0")
+    row = free_name(docs, "row")
+    tagged = docs.select(whole_row(docs).alias(row), F.col(id_col).alias("id"), domain_of(source).alias("domain"),
+                         F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), source.alias("source"))
+    out = tagged.join(leaves, _NODE).select(row, _copies(seed, F.col("id")).alias("n")).where("n > 0")
     if max_epochs > 1:
-        out = out.withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return out.select(*docs.columns)
+        out = out.select(row, F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return out.select(*unwrapped(row, docs.columns))

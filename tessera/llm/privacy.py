@@ -287,7 +287,10 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, *, trees: Boosted | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text with every span replaced by its kind in brackets); spans that overlap a replaced one go with it."""
+    """(id, text with every span replaced by its kind in brackets); spans that overlap a replaced one go with it.
+
+    A null text stays null, an empty one empty; null ids and repeated rows are taken row by row; an empty table gives an empty
+    result; other columns are not read."""
     trees = trees or fit_sample(docs, text_col=text_col)
     both = docs.select(F.col(id_col), F.col(text_col), F.col(text_col).alias("__t"))
     found = find(both.withColumn("__id", F.struct(F.col(id_col), F.col("__t"))), trees=trees, id_col="__id", text_col="__t")

@@ -158,7 +158,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "do
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = (*BASE, *RULES), *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, that no rule rejects: base rules and others run in one measured order,
-    and a text stops at the first that rejects it."""
+    and a text stops at the first that rejects it. A null or empty text has no words and goes; null ids, ties and repeated
+    rows are judged row by row; an empty table gives an empty result; other columns, whatever their names, stay as they are."""
     order = [r for r, _, _ in ordered(docs, rules, text_col=text_col)]
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.where(cascade(order, text).isNull())

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import components, materialize, require, ship_package
+from tessera.llm.common import components, free_name, materialize, require, ship_package, unwrapped, whole_row
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles hashed at a time, so that a very long text needs no more memory than its words.
@@ -128,11 +128,13 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with all their columns: one row of each component, of the least id, nulls last.
 
     Rows are told apart by 96 hash bits of id and text, so of repeated rows one stays, and rows that share an id but
-    not the text are judged each by its text. Columns whose names begin with two underscores are not expected.
+    not the text are judged each by its text. Null and empty texts have fingerprint 0 and are one group; an empty table
+    gives an empty result. A row travels as one value, so its columns may have any names, those of this function's own included.
     """
-    keyed = docs.withColumns({"__k": F.xxhash64(id_col, text_col), "__m": F.hash(id_col, text_col)})
+    row = free_name(docs, "__row")
+    keyed = docs.select(whole_row(docs).alias(row), F.col(id_col), F.col(text_col), F.xxhash64(id_col, text_col).alias("__k"), F.hash(id_col, text_col).alias("__m"))
     prints = materialize(fingerprints(keyed, carry=(id_col, "__k", "__m"), text_col=text_col, shingle=shingle), docs.sparkSession, "fingerprints")
     tagged = _labelled(prints, id_col, max_bits).where(F.col(id_col).eqNullSafe(F.col("component_id")))
     stay = tagged.groupBy("label").agg(F.min(F.struct("__k", "__m")).alias("s")).select("s.__k", "s.__m")
     # one exchange serves the join and the removal of repeated rows
-    return keyed.join(stay, ["__k", "__m"]).dropDuplicates(["__k", "__m"]).select(*docs.columns)
+    return keyed.join(stay, ["__k", "__m"]).dropDuplicates(["__k", "__m"]).select(*unwrapped(row, docs.columns))

@@ -274,8 +274,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
     """(id long, lang, n_bytes long, nll double) of every row: mean negative log-probability a word, the end of the text being one more.
 
     A trusted document is scored by the model of the other part, every other document by both (the mean). A word that
-    a model has not seen has the share of one word beside all it has seen. Null where the text has no word, or where
-    no model of the language is left to score by. A null language is the empty one.
+    a model has not seen has the share of one word beside all it has seen. Null where the text is null or has no word, or
+    where no model of the language is left to score by. A null language is the empty one. Null ids are never trusted; repeated rows are
+    scored each; an empty table gives an empty result; other columns are not read.
     """
     require(docs, id_col, text_col, lang_col)
     require(trusted, id_col)
