@@ -55,7 +55,7 @@ def test_query_without_oracle_keeps_its_invariants(spark, name):
     elif name == "t8_elbow":
         w = [r["wss"] for r in sorted(rows, key=lambda r: r["k"])]
         assert len(w) == 10 and w[0] == max(w) and w[-1] == min(w)
-    elif name in ("t11_feature_blocks", "c5_feature_correlation"):
+    elif name == "bisecting_feature_blocks":
         assert len({r["feature"] for r in rows}) == len(rows) and 1 < len({r["block"] for r in rows}) <= 4
     elif name == "c4_subtypes_markers":
         assert all(r["p"] < r["bonferroni_threshold"] and r["log2fc"] > 0 and r["rank"] <= 15 for r in rows)
