@@ -2,10 +2,11 @@
 
 Generators of high recall propose spans that may overlap. Every candidate has
 features of its format and of its context; boosted trees, trained on the
-driver from a bounded sample labelled by the base patterns, give it a score; of
-each kind those above a threshold calibrated on held-out candidates are added
-where no base span lies. All work on rows is DataFrame expressions: spans,
-features and trees are Columns over arrays within a row, without a shuffle.
+driver from a bounded sample, give it a score. What a candidate is worth is told by its own format,
+whether or not a base pattern takes it: an address once signs written out are put back, four octets, Luhn's check, a
+number grouped as telephone numbers are. Of each kind those above a threshold, calibrated on the candidates of all rows,
+are added where no base span lies. All work on rows is DataFrame expressions: spans, features and trees are Columns over
+arrays within a row; only counts by cells of the score are shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, require
+from tessera.llm.common import require
 from tessera.llm.rules import let
 
 KINDS = ("email", "ip", "card", "phone")
@@ -38,17 +39,23 @@ LOOSE = {
     "card": r"[0-9](?:[\x20./_-]{0,2}[0-9])++",
     "phone": r"[+(]?[0-9](?:[\x20()./-]{0,2}[0-9])++",
 }
-#: A text without this has no match of the kind.
-NEEDS = {"email": r"(?i)@|[(\[]at[)\]]|\x20at\x20[a-z0-9-]+(?:\x20dot\x20|\x20?[(\[]dot)", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
+#: A text without this has no candidate of the kind (cards have 13 digits at least, telephone numbers 9).
+NEEDS = {"email": r"(?i)@|[(\[]at[)\]]|\x20at\x20[a-z0-9-]+(?:\x20dot\x20|\x20?[(\[]dot[)\]]|\.[a-z0-9-])", "ip": r"[0-9]\x20?\.\x20?[0-9]",
+         "card": r"[0-9](?:[\x20./_-]{0,2}[0-9]){12}", "phone": r"[0-9](?:[\x20()./-]{0,2}[0-9]){8}"}
+#: The same for the base patterns.
+BASE_NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
+#: Last parts of addresses whose signs are written as bare words; other words follow "at" and "dot" in plain text. Fixed values.
+ENDINGS = "com|org|net|edu|gov|int|info|biz|io|eu|uk|de|fr|es|it|nl|ch|at|pl|se|jp|cn|in|br|ru|us|ca|au"
 #: Context words, one feature each.
 CONTEXT = {"mail": r"(?i)mail|contact|write", "tel": r"(?i)tel|phone|call|fax|mobile", "pay": r"(?i)card|visa|credit|pay|account", "net": r"(?i)\bip\b|host|server|addr"}
-FEATURES = ("kind", "length", "digits", "others", "groups", "longest", "plus", "brackets", "at", "dots", "luhn", "octets", *CONTEXT, "after_word", "before_word")
-#: Rows sampled for training and candidates taken of each; the bounds of what the driver holds.
-SAMPLE_ROWS, SAMPLE_EACH = 20_000, 20
+FEATURES = ("kind", "length", "digits", "others", "groups", "longest", "plus", "brackets", "at", "dots", "luhn", "octets", "bare", "ending", *CONTEXT, "after_word", "before_word")
+#: Rows sampled for training, at most half of all, and the distinct labelled feature vectors of them that the driver takes.
+SAMPLE_ROWS, SAMPLE_VECTORS = 20_000, 50_000
 TREES, DEPTH, RATE = 24, 3, 0.3
-#: Share of true candidates that a threshold must reach on held-out candidates, and how many true and how many false
-#: ones of the kind must be held out.
-PRECISION, EVIDENCE = 0.995, 10
+#: Share of true candidates that every cell of the score must reach from the threshold up.
+PRECISION = 0.995
+#: Cells of the score are 1 / CELL wide, from -EDGE to EDGE.
+CELL, EDGE = 16, 8
 _BLOCK = 256
 
 
@@ -115,7 +122,7 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def base_spans(text: Column, kind: str) -> Column:
-    return F.filter(matches(text, BASE[kind], NEEDS[kind] if kind != "email" else "@"), lambda s: _valid(kind, s["match"]))
+    return F.filter(matches(text, BASE[kind], BASE_NEEDS[kind]), lambda s: _valid(kind, s["match"]))
 
 
 def candidates(text: Column, kind: str) -> Column:
@@ -126,6 +133,24 @@ def candidates(text: Column, kind: str) -> Column:
     return found
 
 
+def genuine(kind: str, s: Column) -> Column:
+    """Whether a candidate is what its kind says, by its format and the characters beside it."""
+    m = s["match"]
+    digits, runs = _digits(m), F.transform(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)), F.char_length)
+    alone = ~s["before"].rlike(r"[\p{L}\p{N}@._-]$") & ~s["after"].rlike(r"[\p{L}\p{N}@_]")
+    if kind == "email":
+        plain = F.regexp_replace(F.regexp_replace(m, r"(?i)\x20?[(\[]at[)\]]\x20?|\x20at\x20", "@"), r"(?i)\x20?[(\[]dot[)\]]\x20?|\x20dot\x20", ".")
+        address = (F.char_length(m) <= 254) & plain.rlike(rf"^{_EMAIL_CHARS}++@(?:[A-Za-z0-9][A-Za-z0-9-]*+\.)++[A-Za-z]{{2,24}}$")
+        return address & (~m.rlike(r"(?i)\x20at\x20") | m.rlike(rf"(?i)\x20dot\x20(?:{ENDINGS})$"))
+    if kind == "ip":
+        return alone & F.replace(m, F.lit(" "), F.lit("")).rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
+    if kind == "card":
+        return alone & luhn(digits) & (F.array_min(runs) >= 2)
+    grouped = F.size(runs).between(3, 6) & (F.array_max(runs) >= 3) & (F.array_min(runs) >= 2)
+    signed = m.rlike(r"^(?:\+|\(|00)") & (F.size(runs) <= 8)
+    return alone & F.char_length(digits).between(9, 15) & ~luhn(digits) & (signed | (grouped & (F.array_max(runs) <= 8)))
+
+
 def features(kind: str, s: Column) -> dict[str, Column]:
     """Format and context of a candidate, as integers."""
     m = s["match"]
@@ -138,6 +163,7 @@ def features(kind: str, s: Column) -> dict[str, Column]:
            "plus": flag(m.startswith("+")), "brackets": flag(m.rlike(r"[()\[\]]")), "at": flag(m.contains("@")),
            "dots": F.least(F.char_length(m) - F.char_length(F.replace(m, F.lit("."), F.lit(""))), F.lit(99)),
            "luhn": flag(luhn(digits)), "octets": flag(m.rlike(rf"^{_OCTET}(?:\x20?\.\x20?{_OCTET}){{3}}$"))}
+    out |= {"bare": flag(m.rlike(r"(?i)\x20at\x20")), "ending": flag(m.rlike(rf"(?i)\x20dot\x20(?:{ENDINGS})$"))}
     out |= {k: flag(s["before"].rlike(p)) for k, p in CONTEXT.items()}
     out |= {"after_word": flag(s["after"].rlike(r"[\p{L}\p{N}@.]")), "before_word": flag(s["before"].rlike(r"[\p{L}\p{N}@.]$"))}
     return {k: out[k].cast("int") for k in FEATURES}
@@ -154,10 +180,10 @@ class Node:
     right: Node | None = None
 
 
-def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int) -> Node:
+def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, w: np.ndarray, depth: int) -> Node:
     """A tree by second-order gains; ``x`` holds small integers, so every split is tried on histograms."""
     leaf = Node(float(g.sum() / (h.sum() + 1.0)))
-    if not depth or len(g) < 20:
+    if not depth or w.sum() < 20:
         return leaf
     best, whole = (1e-6, None, 0), g.sum() ** 2 / (h.sum() + 1.0)
     for f in range(x.shape[1]):
@@ -171,7 +197,7 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int) -> Node:
         return leaf
     _, f, k = best
     left = x[:, f] <= k
-    return Node(0.0, f, k, _grow(x[left], g[left], h[left], depth - 1), _grow(x[~left], g[~left], h[~left], depth - 1))
+    return Node(0.0, f, k, *(_grow(x[i], g[i], h[i], w[i], depth - 1) for i in (left, ~left)))
 
 
 def _apply(tree: Node, x: np.ndarray) -> np.ndarray:
@@ -191,60 +217,78 @@ class Boosted:
         return self.start + RATE * sum((_apply(t, x) for t in self.trees), np.zeros(len(x)))
 
 
-def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Boosted:
-    """Logistic boosting on two thirds of the rows; thresholds on the rest. A kind without a threshold of the wanted
-    precision, or with too few true or false candidates to tell, gets none (infinity): nothing is added."""
-    fit = np.random.default_rng(seed).random(len(y)) < 2 / 3
-    rate = min(max(float(y[fit].mean()) if fit.any() else 0.5, 1e-3), 1 - 1e-3)
+def train(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> Boosted:
+    """Logistic boosting on vectors ``x`` with labels ``y``, each met ``w`` times. There are no thresholds yet."""
+    w = np.ones(len(y)) if w is None else w.astype(np.float64)
+    rate = min(max(float((w * y).sum() / w.sum()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
     start, trees = math.log(rate / (1 - rate)), []
-    score = np.full(int(fit.sum()), start)
-    for _ in range(TREES if 0 < y[fit].sum() < fit.sum() else 0):
+    score = np.full(len(y), start)
+    for _ in range(TREES if 0 < y.sum() < len(y) else 0):
         p = 1 / (1 + np.exp(-score))
-        trees.append(_grow(x[fit], y[fit] - p, p * (1 - p), DEPTH))
-        score = score + RATE * _apply(trees[-1], x[fit])
-    out, thresholds = Boosted(start, tuple(trees), {}), {}
-    held = out.scores(x[~fit])
-    for k, kind in enumerate(KINDS):
-        own = x[~fit][:, 0] == k
-        s, t = held[own], y[~fit][own]
-        order = np.argsort(-s, kind="stable")
-        s, true = s[order], np.cumsum(t[order])
-        last = np.append(s[1:] != s[:-1], True) if len(s) else np.zeros(0, bool)    # a score is taken whole
-        good = last & (true >= PRECISION * np.arange(1, len(s) + 1)) & (true >= EVIDENCE)
-        thresholds[kind] = float(s[good].min()) if good.any() and (t == 0).sum() >= EVIDENCE else math.inf
-    return Boosted(start, tuple(trees), thresholds)
+        trees.append(_grow(x, w * (y - p), w * p * (1 - p), w, DEPTH))
+        score = score + RATE * _apply(trees[-1], x)
+    return Boosted(start, tuple(trees), {})
+
+
+def thresholds(cells: list[tuple[str, int, int, int]]) -> dict[str, float]:
+    """By kind, from (kind, cell, candidates, true ones): the lower edge of the last cell, from the highest down, before one
+    that falls short of ``PRECISION``. A kind without a candidate, or whose highest cell falls short, has infinity."""
+    out = {kind: math.inf for kind in KINDS}
+    for kind in KINDS:
+        for _, cell, n, true in sorted((c for c in cells if c[0] == kind), key=lambda c: -c[1]):
+            if true < PRECISION * n:
+                break
+            out[kind] = cell / CELL
+    return out
 
 
 def _overlaps(spans: Column, s: Column) -> Column:
     return F.exists(spans, lambda b: (b["first"] < s["end"]) & (s["first"] < b["end"]))
 
 
-def _labelled(kind: str):
-    return lambda p: F.transform(p["cand"], lambda s: F.struct(_overlaps(p["base"], s).alias("y"), F.array(*features(kind, s).values()).alias("x")))
+def _vector(kind: str, s: Column) -> Column:
+    return F.array(*features(kind, s).values())
+
+
+def _scored(kind: str, s: Column, trees: Boosted) -> Column:
+    return let(_vector(kind, s), lambda v: score(trees, [F.get(v, F.lit(i)) for i in range(len(FEATURES))]))
 
 
 def _chosen(kind: str, trees: Boosted):
     def one(s: Column) -> Column:
-        value = let(F.array(*features(kind, s).values()), lambda v: score(trees, [F.get(v, F.lit(i)) for i in range(len(FEATURES))]))
-        return F.struct(s["first"].alias("first"), s["end"].alias("end"), value.alias("score"))
+        return F.struct(s["first"].alias("first"), s["end"].alias("end"), _scored(kind, s, trees).alias("score"))
     return lambda p: F.filter(F.transform(F.filter(p["cand"], lambda s: ~_overlaps(p["base"], s)), one), lambda s: s["score"] >= trees.thresholds[kind])
 
 
-def fit_sample(docs: DataFrame, *, text_col: str = "text", rows: int = SAMPLE_ROWS, each: int = SAMPLE_EACH) -> Boosted:
-    """Trees from the candidates of about ``rows`` rows, at most ``each`` of a kind and row; a candidate is true if a base span of its kind overlaps it."""
+def fit_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, vectors: int = SAMPLE_VECTORS) -> Boosted:
+    """Trees from the candidates of about ``rows`` rows, at most half of all, drawn by a hash of id and text. Equal labelled
+    vectors are one with a weight; at most ``vectors`` of them, by their hash, reach the driver. No thresholds yet."""
     n = docs.count()
-    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    sample = docs.select(text) if n <= rows else docs.sample(fraction=rows / n, seed=3).select(text)
-    parts = []
-    for kind in KINDS:
-        base = base_spans(F.col("text"), kind)
-        cand = F.slice(candidates(F.col("text"), kind), 1, each)
-        both = F.struct(base.alias("base"), cand.alias("cand"))
-        parts.append(let(both, _labelled(kind)))
-    found = materialize(sample.select(F.explode(F.concat(*parts)).alias("c")).select("c.y", "c.x"), name="candidates")
-    got = found.orderBy("x", "y").collect()                             # rows x kinds x each at most
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    share = min(0.5, rows / n) if n else 0.5
+    sample = docs.where(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).select(text.alias("text"))
+    both = lambda kind: F.transform(candidates(F.col("text"), kind), lambda s: F.struct(genuine(kind, s).alias("y"), _vector(kind, s).alias("x")))
+    found = sample.select(F.explode(F.concat(*[both(k) for k in KINDS])).alias("c")).groupBy("c.y", "c.x").agg(F.count("*").alias("w"))
+    got = sorted(found.orderBy(F.xxhash64("y", "x"), "x", "y").limit(vectors).collect(), key=lambda r: (r.x, r.y))
     x = np.array([r.x for r in got], np.int64).reshape(len(got), len(FEATURES))
-    return train(x, np.array([r.y for r in got], np.float64))
+    return train(x, np.array([r.y for r in got], np.float64), np.array([r.w for r in got], np.float64))
+
+
+def calibrate(docs: DataFrame, trees: Boosted, *, text_col: str = "text") -> Boosted:
+    """``trees`` with thresholds from the candidates of all rows, counted by kind and cell of the score."""
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
+
+    def cells(kind: str) -> Column:
+        cell = lambda s: F.greatest(F.lit(-EDGE * CELL), F.least(F.lit(EDGE * CELL), F.floor(_scored(kind, s, trees) * CELL).cast("int")))
+        return F.transform(candidates(F.col("text"), kind), lambda s: F.struct(F.lit(kind).alias("kind"), cell(s).alias("cell"), genuine(kind, s).cast("int").alias("y")))
+    found = docs.select(text).select(F.explode(F.concat(*[cells(k) for k in KINDS])).alias("c")).groupBy("c.kind", "c.cell")
+    rows = found.agg(F.count("*").alias("n"), F.sum("c.y").alias("true")).collect()     # kinds x cells at most
+    return Boosted(trees.start, trees.trees, thresholds([(r["kind"], r["cell"], r["n"], r["true"]) for r in rows]))
+
+
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Boosted:
+    """Trees of a sample with the thresholds of all rows; a table without candidates gives trees that add nothing."""
+    return calibrate(docs, fit_sample(docs, id_col=id_col, text_col=text_col), text_col=text_col)
 
 
 def score(trees: Boosted, values: list[Column]) -> Column:
@@ -266,7 +310,7 @@ def find(docs: DataFrame, *, trees: Boosted | None = None, id_col: str = "doc_id
     columns are not read.
     """
     require(docs, id_col, text_col)
-    trees = trees or fit_sample(docs, text_col=text_col)
+    trees = trees or fit(docs, id_col=id_col, text_col=text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = lambda a, kind: F.transform(a, lambda s: F.struct(F.lit(kind).alias("kind"), s["first"].alias("first"), s["end"].alias("end")))
     base = docs.select(F.col(id_col), text.alias("__text"), *[slim(base_spans(text, k), k).alias(f"__{k}") for k in KINDS])
@@ -291,7 +335,7 @@ def redact(docs: DataFrame, *, trees: Boosted | None = None, id_col: str = "doc_
 
     A null text stays null, an empty one empty; null ids and repeated rows are taken row by row; an empty table gives an empty
     result; other columns are not read."""
-    trees = trees or fit_sample(docs, text_col=text_col)
+    trees = trees or fit(docs, id_col=id_col, text_col=text_col)
     both = docs.select(F.col(id_col), F.col(text_col), F.col(text_col).alias("__t"))
     found = find(both.withColumn("__id", F.struct(F.col(id_col), F.col("__t"))), trees=trees, id_col="__id", text_col="__t")
     by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["first"], s["end"], s["kind"])))
