@@ -1,7 +1,7 @@
-"""Which window keys recur between documents: a count-min sketch, sharded by key.
+"""Which window keys recur between documents: counted by key in a count-min table, sharded by key.
 
-Each chunk sends its partition sketch as sorted distinct keys with counts (one or
-several documents). A shard merges the sketches of all chunks into counters
+Each chunk sends its sorted distinct keys, marked as of one or of several documents; no
+chunk builds a sketch and none are merged. A shard counts all chunks' keys in one count-min table
 and answers with a bit for each key: estimated in two documents or more. An
 estimate is never below the true count, so no repeated window is lost; what is
 estimated repeated by chance is sorted out by the exact pass that follows.

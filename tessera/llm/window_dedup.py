@@ -1,8 +1,8 @@
 """Removal of repeated 50-word passages: a count-min prefilter, then exact groups of the windows it leaves.
 
-The sketch counts documents by window key (see ``hashes.key_runs``): a window is
-never more frequent than its key, so the merged sketch overestimates all
-windows' counts. Windows of keys estimated repeated are then grouped by 128
+Chunks send exact lists of their window keys (see ``hashes.key_runs``) to shards, which count documents by key in a
+count-min table (see ``sketch``); sketches of partitions are not merged. A window is never more frequent than its key, so
+the table never underestimates a window's count. Windows of keys estimated repeated are then grouped by 128
 hash bits, each chunk sending a window once with its least document.
 """
 
