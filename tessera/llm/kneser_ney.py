@@ -1,10 +1,6 @@
-"""Perplexity by an interpolated modified Kneser-Ney model of bytes, trained on trusted text, one model a language.
+"""Verdicts on documents by perplexity: the limit of a language from its trusted documents, and what the models share.
 
-Counts of trusted ``ORDER``-grams are merged shard by shard and become the
-tables of a model by joins and aggregations of DataFrames. To score, every group of
-chunks sends its distinct grams and contexts of all orders to their shards, joins the
-probabilities and back-off weights that come back, and sums them up by document.
-Texts are written once, bucketed by chunk, and never shuffled.
+The interpolated modified Kneser-Ney models themselves are in ``word_grams``.
 """
 
 from __future__ import annotations
@@ -14,54 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CHUNK_BYTES, bucketed, chunks, materialize, n_shards, planes, require, ship_package, texts, unpack, unplanes
+from tessera.llm.common import materialize, texts
 
-#: Bytes in a gram. A key holds up to five bytes and, above them, how many these are.
-ORDER = 5
-#: Shards are keys modulo this prime, modulo their number, in numpy and in Spark alike.
+#: Shards are keys modulo this prime, modulo their number.
 PRIME = 1_000_003
-#: Chunks of a task that ask for their keys together: what many documents share is then asked for once.
-GROUP = 8
 #: A document stays if its perplexity is not above this quantile of its language's trusted documents.
 QUANTILE = 0.99
-#: With fewer trusted documents than this, two of which the quantile leaves out, a language's limit is its median and
-#: what all languages have above theirs.
-LEAST = 200
+#: Documents that the trusted ones of all languages count for in each language's limit: the quantile leaves two of them out.
+PRIOR = 200
 #: Cells of log-perplexity in which quantiles are counted.
 CELLS = 1000
 
 _U = np.uint64
-_SENT = "kind int, lang string, shard int, chunk long, blob binary"
-
-
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the ``ORDER``-gram that ends at each byte, document of each byte); before a text stand zero bytes."""
-    lens = np.diff(offsets)
-    doc = np.repeat(np.arange(len(lens)), lens)
-    padded = np.zeros(len(data) + (ORDER - 1) * len(lens), np.uint8)
-    at = np.arange(len(data)) + (ORDER - 1) * (doc + 1)
-    padded[at] = data
-    codes = np.zeros(len(padded), _U)
-    for j in range(ORDER):
-        codes[j:] |= padded[:len(padded) - j].astype(_U) << _U(8 * j)
-    return codes[at], doc
-
-
-def _low(codes: np.ndarray, n: int) -> np.ndarray:
-    return codes & _U((1 << 8 * n) - 1)
-
-
-def _key(codes: np.ndarray, n: int) -> np.ndarray:
-    return codes | _U(n << 40)
-
-
-def queried(codes: np.ndarray) -> np.ndarray:
-    """Sorted distinct keys of all grams that end where the given ones do, and of their contexts."""
-    parts = []
-    for n in range(1, ORDER + 1):
-        own = np.unique(_low(codes, n))
-        parts += [_key(own, n), _key(own >> _U(8), n - 1)]
-    return np.unique(np.concatenate(parts))
 
 
 def _by_shard(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,215 +39,16 @@ def _languages(batch: pa.RecordBatch):
         yield name, rows, *texts(batch.column(2).take(pa.array(rows)))
 
 
-def _send(own, trusted, n: int):
-    """Kind 0: counts of the trusted documents' grams. Kind 1: the keys that the group's chunks ask for."""
-    import pandas as pd
-    known = np.concatenate([np.asarray(x, np.int64) for x in trusted["ids"]]) if len(trusted) else np.zeros(0, np.int64)
-    counted: dict[str, list] = {}
-    asked: dict[str, list] = {}
-    for blob in own["blob"]:
-        batch = unpack(blob)
-        ids = batch.column(0)
-        good = np.isin(ids.fill_null(-1).to_numpy(zero_copy_only=False), known) & ~ids.is_null().to_numpy(zero_copy_only=False)
-        for lang, rows, data, offsets in _languages(batch):
-            codes, doc = grams(data, offsets)
-            counted.setdefault(lang, []).append(np.unique(codes[good[rows][doc]], return_counts=True))
-            if len(codes):
-                asked.setdefault(lang, []).append(queried(np.unique(codes)))
-    out = []
-    for lang, parts in counted.items():
-        own_grams, counts = _summed(parts)
-        order, cuts = _by_shard(own_grams, n)
-        for s in range(n):
-            pick = order[cuts[s]:cuts[s + 1]]
-            if len(pick):
-                out.append((0, lang, s, own["chunk"].iloc[0], planes(own_grams[pick]) + planes(counts[pick].astype(np.uint32))))
-    for lang, parts in asked.items():
-        keys = np.unique(np.concatenate(parts))
-        order, cuts = _by_shard(keys, n)
-        out.extend((1, lang, s, own["chunk"].iloc[0], planes(keys[order[cuts[s]:cuts[s + 1]]])) for s in range(n) if cuts[s + 1] > cuts[s])
-    return pd.DataFrame(out, columns=["kind", "lang", "shard", "chunk", "blob"])
-
-
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    found, place = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-    return found, np.bincount(place, np.concatenate([c for _, c in parts]).astype(np.float64), minlength=len(found)).astype(np.int64)
-
-
-def _merge(pdf):
-    """Counts of a (language, shard) over all chunks."""
-    import pandas as pd
-    parts = [(unplanes(b[:8 * (len(b) // 12)]), unplanes(b[8 * (len(b) // 12):], np.uint32)) for b in pdf["blob"]]
-    found, total = _summed(parts)
-    return pd.DataFrame({"lang": pdf["lang"].iloc[0], "gram": found.astype(np.int64), "c": total})
-
-
-def model(counts: DataFrame) -> DataFrame:
-    """(lang, key, logp float, logb float), one of the two null in each row, from counts (lang, gram, c) of ``ORDER``-grams.
-
-    The highest order counts occurrences, the others the distinct bytes seen before a gram. Each order has the
-    discounts of modified Kneser-Ney (one, two, three or more) from its own counts of counts; a discount that these do
-    not determine falls back to one half of its class, at most the count. ``logp`` is the interpolated probability of
-    a seen gram, ``logb`` the weight of the next lower order after a seen context (key of the context's bytes). The
-    lowest order is interpolated with 1/256.
-    """
-    spark = counts.sparkSession
-    orders = {ORDER: materialize(counts, spark, f"order{ORDER}")}
-    for n in range(ORDER - 1, 0, -1):
-        lower = orders[n + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("gram")).agg(F.count("*").alias("c"))
-        orders[n] = materialize(lower, spark, f"order{n}")
-    tables, below = [], None
-    for n in range(1, ORDER + 1):
-        g = orders[n]
-        c = [F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in range(1, 5)]
-        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-        rates = g.groupBy("lang").agg(*c)
-        rate = lambda i: i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
-        known = lambda i: (F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0) & (rate(i) > 0)
-        rates = rates.select("lang", *[F.when(known(i), rate(i)).otherwise(F.lit(i / 2)).alias(f"d{i}") for i in (1, 2, 3)])
-        discount = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        g = g.join(F.broadcast(rates), "lang").withColumn("d", discount).withColumn("context", F.shiftright("gram", 8))    # a row a language
-        contexts = g.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("weight"))
-        g = g.join(contexts, ["lang", "context"])
-        if n == 1:
-            g = g.withColumn("low", F.lit(1 / 256))
-        else:
-            g = g.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1))).join(below, ["lang", "suffix"])
-        p = materialize(g.select("lang", "gram", ((F.col("c") - F.col("d")) / F.col("total") + F.col("weight") * F.col("low")).alias("p")), spark, f"p{n}")
-        below = p.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("low"))
-        tables.append(p.select("lang", (F.col("gram").bitwiseOR(F.lit(n << 40))).alias("key"), F.log("p").cast("float").alias("logp"), F.lit(None).cast("float").alias("logb")))
-        tables.append(contexts.select("lang", (F.col("context").bitwiseOR(F.lit((n - 1) << 40))).alias("key"), F.lit(None).cast("float").alias("logp"),
-                                      F.log("weight").cast("float").alias("logb")))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
-
-
-def _look_up(table, asked):
-    """For each key that a chunk asks for: log-probability (NaN: unseen) and log back-off weight (0: unseen context)."""
-    import pandas as pd
-    if not len(asked):
-        return pd.DataFrame(columns=["kind", "lang", "shard", "chunk", "blob"])
-    tables = []
-    for name in ("logp", "logb"):
-        own = table[table[name].notna()].sort_values("key")
-        tables.append((own["key"].to_numpy().astype(_U), own[name].to_numpy(np.float32)))
-    out = []
-    for lang, shard, chunk, blob in zip(asked["lang"], asked["shard"], asked["chunk"], asked["blob"]):
-        want, got = unplanes(blob), []
-        for (keys, values), missing in zip(tables, (np.nan, 0)):
-            found = np.full(len(want), missing, np.float32)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                hit = keys[at] == want
-                found[hit] = values[at[hit]]
-            got.append(planes(found.view(np.uint32)))
-        out.append((1, lang, shard, chunk, b"".join(got)))
-    return pd.DataFrame(out, columns=["kind", "lang", "shard", "chunk", "blob"])
-
-
-def log_probabilities(codes: np.ndarray, keys: np.ndarray, logp: np.ndarray, logb: np.ndarray) -> np.ndarray:
-    """Log-probability of the last byte of each gram, backing off from the longest seen gram."""
-    back, out, open_ = np.zeros(len(codes)), np.zeros(len(codes)), np.ones(len(codes), bool)
-    for n in range(ORDER, 0, -1):
-        low = _low(codes, n)
-        p = logp[np.searchsorted(keys, _key(low, n))].astype(np.float64)
-        seen = open_ & ~np.isnan(p)
-        out[seen] = back[seen] + p[seen]
-        open_ &= ~seen
-        back = back + logb[np.searchsorted(keys, _key(low >> _U(8), n - 1))]
-    out[open_] = back[open_] - np.log(256)
-    return out
-
-
-def _reply(own, replies, n: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per language the group's sorted keys with the log-probabilities and log weights that came back."""
-    asked: dict[str, list] = {}
-    for blob in own["blob"]:
-        for lang, _, data, offsets in _languages(unpack(blob)):
-            if len(data):
-                asked.setdefault(lang, []).append(queried(np.unique(grams(data, offsets)[0])))
-    out = {}
-    for lang, parts in asked.items():
-        keys = np.unique(np.concatenate(parts))
-        order, cuts = _by_shard(keys, n)
-        mine = replies[replies["lang"] == lang]
-        got = dict(zip(mine["shard"].tolist(), mine["blob"].tolist()))
-        both = np.empty((2, len(keys)), np.float32)
-        for s in range(n):
-            pick = order[cuts[s]:cuts[s + 1]]
-            if len(pick):
-                both[:, pick] = [unplanes(x, np.uint32).view(np.float32) for x in (got[s][:4 * len(pick)], got[s][4 * len(pick):])]
-        out[lang] = keys, both[0], both[1]
-    return out
-
-
-def _score(own, replies, n: int, id_col: str):
-    import pandas as pd
-    frames, got = [], _reply(own, replies, n)
-    for blob in own["blob"]:
-        batch = unpack(blob)
-        size, total = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, np.nan)
-        for lang, rows, data, offsets in _languages(batch):
-            size[rows] = np.diff(offsets)
-            codes, doc = grams(data, offsets)
-            if not len(codes) or got[lang][2][0] == 0:                  # the empty context (key 0) has no weight: no trusted text in this language
-                continue
-            order = np.argsort(codes)
-            ranked = codes[order]
-            first = np.append(True, ranked[1:] != ranked[:-1])
-            place = np.empty(len(codes), np.int64)
-            place[order] = np.cumsum(first) - 1
-            total[rows] = np.bincount(doc, log_probabilities(ranked[first], *got[lang])[place], minlength=len(rows))
-        mean = np.divide(-total, size, out=np.full(len(size), np.nan), where=size > 0)
-        frames.append(pd.DataFrame({id_col: pd.array(batch.column(0).to_pylist(), "Int64"), "lang": pd.Series(batch.column(1).to_pylist(), dtype=object), "n_bytes": size, "nll": pd.Series(mean).astype("Float64").where(~np.isnan(mean))}))
-    return pd.concat(frames) if frames else pd.DataFrame(columns=[id_col, "lang", "n_bytes", "nll"])
-
-
-def perplexities(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                 chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(id long, lang, n_bytes long, nll double) of every row: mean negative log-probability a byte, null where the
-    text is empty or the language has no trusted text. ``trusted`` holds the ids of trusted documents."""
-    require(docs, id_col, text_col, lang_col)
-    require(trusted, id_col)
-    spark = docs.sparkSession
-    ship_package(spark)
-    n = n_shards(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    grouped = chunks(rows, "id", "lang", limit=chunk_bytes).withColumn("chunk", F.col("chunk") - F.pmod("chunk", F.lit(GROUP)))
-    packed = bucketed(grouped, "chunk", n, "chunks")
-
-    def ids(batches):
-        for b in batches:
-            for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = unpack(blob).column(0)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(own), pa.int64()), own], ["chunk", "id"])
-
-    def send(own, known):
-        return _send(own, known, n)
-
-    def score(own, replies):
-        return _score(own, replies, n, id_col)
-
-    good = trusted.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
-    known = packed.mapInArrow(ids, "chunk long, id long").join(good, "id").groupBy("chunk").agg(F.collect_list("id").alias("ids"))    # a group's at most
-    sent = materialize(packed.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(send, _SENT), spark, "sent")
-    counts = sent.where("kind = 0").groupBy("lang", "shard").applyInPandas(_merge, "lang string, gram long, c long")
-    table = model(counts).withColumn("shard", F.pmod(F.pmod("key", F.lit(PRIME)), F.lit(n)).cast("int"))
-    replies = table.groupBy("lang", "shard").cogroup(sent.where("kind = 1").groupBy("lang", "shard")).applyInPandas(_look_up, _SENT)
-    return packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(score, f"`{id_col}` long, lang string, n_bytes long, nll double")
-
-
-def classify(docs: DataFrame, trusted: DataFrame, *, quantile: float = QUANTILE, least: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, *, quantile: float = QUANTILE, prior: int = PRIOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id long, lang, n_bytes long, perplexity double, threshold double, kept boolean) of every row.
 
-    ``perplexity`` is that of a word in ``word_grams``. ``threshold`` is the exact ``quantile`` of the language's trusted documents that
-    have text, counted in cells of a thousandth of log-perplexity, so no task holds a language's documents. Null and
-    empty texts and languages without trusted text have no perplexity and are kept: nothing speaks against them. A
-    language with fewer than ``least`` such documents cannot resolve the quantile: its limit is its median and the
-    quantile of what all languages' trusted documents lie above their own median, so that one odd document does not
-    set it. A null language is a language of its own; repeated rows are scored each; rows that share an id are trusted together.
+    ``perplexity`` is that of a word in ``word_grams``. ``threshold`` is the ``quantile`` of the language's trusted documents that
+    have text, counted in cells of a thousandth of log-perplexity, so no task holds a language's documents. To them are added, with
+    the weight of ``prior`` documents at every size, the trusted documents of all languages, each by how far it lies from its own language's
+    median and set around this language's: a language of few documents is led by what holds elsewhere, one of many by its own. With a
+    ``prior`` of 0 the limit is the language's own quantile. Null and empty texts and languages without trusted text have no
+    perplexity and are kept: nothing speaks against them. A null language is a language of its own; repeated rows are scored each; rows
+    that share an id are trusted together; an empty table gives an empty result; other columns are not read.
     """
     from tessera.llm import word_grams
     spark = docs.sparkSession
@@ -295,21 +56,20 @@ def classify(docs: DataFrame, trusted: DataFrame, *, quantile: float = QUANTILE,
                          .withColumn("cell", F.ceil(F.col("nll") * CELLS)), spark, "scored")
     good = trusted.select(F.col(id_col).cast("long").alias(id_col)).distinct()
     lang = F.coalesce("lang", F.lit("")).alias("__lang")
-    cells = scored.where("cell is not null").join(good, id_col, "left_semi").groupBy(lang, "cell").agg(F.count("*").alias("n"))
-
-    def at(cells: DataFrame, q: float, name: str, *by: str) -> DataFrame:
-        w = Window.partitionBy(*by)
-        upto = F.sum("n").over(w.orderBy("cell")) / F.sum("n").over(w)
-        return cells.withColumn("upto", upto).where(F.col("upto") >= q).groupBy(*by).agg(F.min("cell").alias(name))
-
-    limits = at(cells, quantile, "limit", "__lang")
-    if least:
-        middle = at(cells, 0.5, "middle", "__lang").join(cells.groupBy("__lang").agg(F.sum("n").alias("size")), "__lang")
-        above = cells.join(middle, "__lang").groupBy((F.col("cell") - F.col("middle")).alias("cell")).agg(F.sum("n").alias("n"))
-        pooled = at(above.withColumn("every", F.lit(0)), quantile, "pooled", "every").select("pooled")      # one row
-        limits = limits.join(middle, "__lang").join(pooled, how="cross").select(
-            "__lang", F.when(F.col("size") < least, F.col("middle") + F.col("pooled")).otherwise(F.col("limit")).alias("limit"))
-    limits = materialize(limits, spark, "limits")
+    cells = materialize(scored.where("cell is not null").join(good, id_col, "left_semi").groupBy(lang, "cell").agg(F.count("*").alias("n")), spark, "cells")
+    w = Window.partitionBy("__lang")
+    upto = cells.withColumn("upto", F.sum("n").over(w.orderBy("cell"))).withColumn("all", F.sum("n").over(w))
+    middle = upto.where(F.col("upto") * 2 >= F.col("all")).groupBy("__lang").agg(F.min("cell").alias("middle"))
+    own = cells.select("__lang", "cell", "n", F.lit(0).cast("long").alias("m"))
+    if prior:
+        around = cells.join(middle, "__lang").groupBy((F.col("cell") - F.col("middle")).alias("off")).agg(F.sum("n").alias("m"))
+        pool = around.agg(F.collect_list(F.struct("off", "m")).alias("pool"))       # one entry a cell that log-perplexities differ by, however many documents
+        every = middle.withColumn("pool", pool.scalar()).select("__lang", "middle", F.explode("pool").alias("p"))
+        own = own.unionByName(every.select("__lang", (F.col("middle") + F.col("p.off")).alias("cell"), F.lit(0).cast("long").alias("n"), F.col("p.m").alias("m")))
+    both = own.groupBy("__lang", "cell").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    share = lambda over: F.sum("n").over(over) + prior * F.coalesce(F.try_divide(F.sum("m").over(over), F.sum("m").over(w)), F.lit(0.0))
+    limits = materialize(both.withColumn("share", share(w.orderBy("cell")) / share(w)).where(F.col("share") >= quantile)
+                         .groupBy("__lang").agg(F.min("cell").alias("limit")), spark, "limits")
     out = scored.join(limits, F.coalesce(scored["lang"], F.lit("")) == limits["__lang"], "left")
     return out.select(id_col, "lang", "n_bytes", F.exp("nll").alias("perplexity"), F.exp(F.col("limit") / CELLS).alias("threshold"),
                       F.coalesce(F.col("cell") <= F.col("limit"), F.lit(True)).alias("kept"))

@@ -1,115 +1,59 @@
-"""The language model against dictionaries of counts."""
+"""Limits and verdicts against plain quantiles."""
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 
-import numpy as np
 import pytest
 from tessera.llm import kneser_ney as K
 
-N = K.ORDER
 
+def cell(perplexity):
+    return math.ceil(math.log(perplexity) * K.CELLS - 1e-9)
 
-def dictionary_model(texts):
-    counts = Counter()
-    for t in texts:
-        b = bytes(N - 1) + t
-        counts.update(b[i - N:i] for i in range(N, len(b) + 1))
-    levels = {N: counts}
-    for n in range(N - 1, 0, -1):
-        levels[n] = Counter(g[1:] for g in levels[n + 1])
-    discounts, contexts = {}, {}
-    for n, c in levels.items():
-        k = Counter(c.values())
-        y = k[1] / (k[1] + 2 * k[2]) if k[1] + k[2] else 0
-        rate = [i - (i + 1) * y * k[i + 1] / k[i] if k[i] and k[i + 1] and k[1] + k[2] else 0 for i in (1, 2, 3)]
-        discounts[n] = [d if d > 0 else i / 2 for i, d in zip((1, 2, 3), rate)]
-        own = defaultdict(lambda: [0, 0.0])
-        for g, v in c.items():
-            own[g[:-1]][0] += v
-            own[g[:-1]][1] += discounts[n][min(v, 3) - 1]
-        contexts[n] = own
 
-    def p(g):
-        n = len(g)
-        if not n:
-            return 1 / 256
-        if g[:-1] not in contexts[n]:
-            return p(g[1:])
-        total, weight = contexts[n][g[:-1]]
-        c = levels[n][g]
-        return (c - discounts[n][min(c, 3) - 1] if c else 0) / total + weight / total * p(g[1:])
-    return p
+def middle(cells):
+    return sorted(cells)[math.ceil(len(cells) / 2) - 1]
 
 
-def brute(rows, trusted):
-    models = {}
-    for lang in {r[2] or "" for r in rows}:
-        good = [(t or "").encode() for d, t, x in rows if (x or "") == lang and d in trusted]
-        models[lang] = dictionary_model(good) if any(good) else None
-    out = []
-    for d, t, lang in rows:
-        b, p = (t or "").encode(), models[lang or ""]
-        pad = bytes(N - 1) + b
-        nll = -sum(math.log(p(pad[i - N:i])) for i in range(N, len(pad) + 1)) / len(b) if b and p else None
-        out.append((d, lang, len(b), nll))
+def limits(cells, quantile, prior):
+    """The least cell up to which a language's documents and ``prior`` documents like all languages' make up the quantile."""
+    pool = [x - middle(own) for own in cells.values() for x in own]
+    out = {}
+    for lang, own in cells.items():
+        weight = [(x, 1.0) for x in own] + [(middle(own) + x, prior / len(pool)) for x in pool if prior]
+        upto, every = 0.0, sum(w for _, w in weight)
+        for x, w in sorted(weight):
+            upto += w
+            if upto >= quantile * every - 1e-6:
+                out[lang] = x
+                break
     return out
 
 
-def check(df, trusted, spark, **kw):
-    ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
-    got = sorted(map(tuple, K.perplexities(df, ids, **kw).collect()), key=repr)
-    want = sorted(brute([(r.doc_id, r.text, r.lang) for r in df.collect()], trusted), key=repr)
-    assert [x[:3] for x in got] == [x[:3] for x in want]
-    for a, b in zip(got, want):
-        assert (a[3] is None) == (b[3] is None) and (a[3] is None or a[3] == pytest.approx(b[3], rel=1e-4))
-
-
-def test_documents(spark, documents):
-    check(documents.limit(60).cache(), set(range(0, 300, 2)), spark)
-
-
-def test_many_chunks_in_a_group(spark, documents):
-    check(documents.limit(60).coalesce(1).cache(), set(range(0, 300, 2)), spark, chunk_bytes=5000)
-
-
-def test_odd_rows(spark, odd, none):
-    small = odd.where("length(text) < 3000 or text is null")
-    check(small, {1, 2, 3, 4, 6, 11, 100, 101, 102, 103, 104, 105, 110, 120}, spark)
-    check(small, set(), spark)
-    check(none, {1}, spark)
-
-
-def test_probabilities_add_up(spark):
-    """All 256 next bytes together have probability one, after seen and unseen contexts."""
-    texts = [b"the cat sat on the mat", b"the dog sat on the log", b"a cat and a dog"] * 3
-    p = dictionary_model(texts)
-    for context in (b"\0\0\0\0", b"the ", b"sat ", b"zzzz", b" cat"):
-        assert sum(p(context + bytes([b])) for b in range(256)) == pytest.approx(1.0)
-
-
-def test_grams_begin_with_padding():
-    codes, doc = K.grams(np.frombuffer(b"abcabc", np.uint8), np.array([0, 2, 2, 6]))
-    assert doc.tolist() == [0, 0, 2, 2, 2, 2]
-    assert [int(c).to_bytes(5, "big") for c in codes] == [b"\0\0\0\0a", b"\0\0\0ab", b"\0\0\0\0c", b"\0\0\0ca", b"\0\0cab", b"\0cabc"]
-
-
-def test_thresholds_and_verdicts(spark, documents, odd, none):
-    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
-    trusted = {r.doc_id for r in labels.where("quality = 1").collect()}
-    ids = labels.where("quality = 1").select("doc_id")
-    rows = K.classify(documents, ids, quantile=0.9).collect()
-    assert len(rows) == documents.count()
-    by_lang = defaultdict(list)
+def check(df, ids, trusted, quantile, prior):
+    rows = K.classify(df, ids, quantile=quantile, prior=prior).collect()
+    assert len(rows) == df.count()
+    cells = defaultdict(list)
     for r in rows:
         if r.doc_id in trusted and r.perplexity is not None:
-            by_lang[r.lang].append(math.ceil(math.log(r.perplexity) * K.CELLS - 1e-9))
+            cells[r.lang or ""].append(cell(r.perplexity))
+    want = limits(cells, quantile, prior)
     for r in rows:
-        own = sorted(by_lang[r.lang])
-        limit = own[max(0, math.ceil(0.9 * len(own) - 1e-9) - 1)]
-        assert r.threshold == pytest.approx(math.exp(limit / K.CELLS))
-        assert r.kept == (r.perplexity is None or math.ceil(math.log(r.perplexity) * K.CELLS - 1e-9) <= limit)
-    assert K.classify(odd, ids).count() == odd.count()
+        own = want.get(r.lang or "")
+        assert (r.threshold is None) == (own is None)
+        if own is not None:
+            assert r.threshold == pytest.approx(math.exp(own / K.CELLS))
+        assert r.kept == (own is None or r.perplexity is None or cell(r.perplexity) <= own)
+    return {x: len(v) for x, v in cells.items()}
+
+
+def test_limits_and_verdicts(spark, documents, odd, none):
+    ids = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1").select("doc_id")
+    trusted = {r.doc_id for r in ids.collect()}
+    check(documents, ids, trusted, 0.9, 0)
+    sizes = check(documents, ids, trusted, 0.937, K.PRIOR)
+    assert len(sizes) > 1 and min(sizes.values()) < K.PRIOR
+    check(odd, ids, trusted, 0.937, 7)
     assert all(r.kept for r in K.classify(odd, ids.where("doc_id < 0")).collect())
     assert K.classify(none, ids).count() == 0
 
@@ -121,9 +65,3 @@ def test_junk_is_less_likely_than_prose(spark):
     n = {(r.quality, r.kept): r["count"] for r in found.groupBy("quality", "kept").count().collect()}
     assert n[0, False] > 0.8 * (n[0, False] + n.get((0, True), 0))
     assert n[1, True] > 0.98 * (n[1, True] + n.get((1, False), 0))
-
-
-def test_counts_without_ones_and_twos(spark):
-    """Every gram occurs often: no discount can be estimated, and probabilities still add up."""
-    rows = [(i, "abcabc", "en") for i in range(9)] + [(20, "abd", "en")]
-    check(spark.createDataFrame(rows, "doc_id long, text string, lang string"), set(range(9)), spark)

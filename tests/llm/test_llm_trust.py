@@ -2,6 +2,7 @@
 
 from tessera.llm import kneser_ney as K
 from tessera.llm import queries as Q
+from tessera.llm import word_grams as W
 
 
 def test_toxic_documents_are_not_trusted(spark, tmp_path):
@@ -19,14 +20,14 @@ def test_one_odd_document_does_not_set_the_limit_of_a_small_language(spark):
     rows = [(i, good[i // 7 % 4], "en") for i in range(300)] + [(1000 + i, good[i // 7 % 4], "es") for i in range(30)]
     rows += [(2000, "zq xj vv kk pp ww", "es"), (2001, "qq jx uu hh mm ll", "es")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    found = {r.doc_id: r for r in K.classify(docs, docs.where("doc_id < 2001").select("doc_id"), least=K.LEAST).collect()}
+    found = {r.doc_id: r for r in K.classify(docs, docs.where("doc_id < 2001").select("doc_id")).collect()}
     assert not found[2001].kept and not found[2000].kept and sum(found[1000 + i].kept for i in range(30)) >= 27
-    assert K.LEAST * (1 - K.QUANTILE) >= 1.999
+    assert K.PRIOR * (1 - K.QUANTILE) >= 1.999
 
 
-def test_unseen_bytes_alone_in_a_language_that_has_trusted_text(spark):
+def test_unseen_words_alone_in_a_language_that_has_trusted_text(spark):
     rows = [(i, "abc abd abc", "en") for i in range(10)] + [(99, "zzzz", "en"), (100, "zzzz", "xx")]
     one = lambda r: spark.createDataFrame(r, "doc_id long, text string, lang string").coalesce(1)
     docs = one(rows[:10]).unionByName(one(rows[10:11])).unionByName(one(rows[11:]))                 # each in a group of its own
-    found = {r.doc_id: r.nll for r in K.perplexities(docs, docs.where("doc_id < 10").select("doc_id"), chunk_bytes=1).collect()}
+    found = {r.doc_id: r.nll for r in W.perplexities(docs, docs.where("doc_id < 10").select("doc_id"), chunk_bytes=1).collect()}
     assert found[99] > 0 and found[100] is None

@@ -84,6 +84,20 @@ def test_documents_and_odd_rows(spark, documents, odd, none):
     check(none, {1}, spark)
 
 
+def test_probabilities_add_up():
+    """All words of a model and one it has not seen have probability one together, after seen and unseen contexts."""
+    texts = [tokens(t) for t in ("the cat sat on the mat", "the dog sat on the log", "a cat and a dog")] * 3
+    p, every = dictionary_model(texts), {w for t in texts for w in t}
+    for context in (("<", "<"), ("the", "cat"), ("sat", "on"), ("zz", "zz"), ("zz", "cat")):
+        assert sum(p((*context, w)) for w in (*every, "unseen")) == pytest.approx(1.0)
+
+
+def test_counts_without_ones_and_twos(spark):
+    """Every gram occurs often: no discount can be estimated, and probabilities still add up."""
+    rows = [(i, "ab ca bc", "en") for i in range(9)] + [(20, "ab d", "en")]
+    check(spark.createDataFrame(rows, "doc_id long, text string, lang string"), set(range(9)), spark)
+
+
 def test_words_in_no_trusted_order_are_junk(spark):
     """Word salad and one word over and over are made of good words; a model of few bytes takes them for good text."""
     good = ["the cat sat on the mat and then the dog ran to the old red barn", "when the sun is low we walk along the river to the mill"]
