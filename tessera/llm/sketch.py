@@ -1,10 +1,10 @@
-"""Which window keys recur between documents: counted by key in a count-min table, sharded by key.
+"""Which window keys recur between documents: count-min sketches of the chunks, merged cell by cell.
 
-Each chunk sends its sorted distinct keys, marked as of one or of several documents; no
-chunk builds a sketch and none are merged. A shard counts all chunks' keys in one count-min table
-and answers with a bit for each key: estimated in two documents or more. An
-estimate is never below the true count, so no repeated window is lost; what is
-estimated repeated by chance is sorted out by the exact pass that follows.
+Each chunk counts the documents of its keys in a count-min sketch of ``DEPTH`` rows. A sketch is as wide as the corpus
+needs and mostly zero, so a chunk sends only the cells that it has counted in. Shards, each a range of cells, add the sketches of all chunks up and
+answer every chunk with a bit for each of its cells: two documents or more. A key is estimated repeated if its cells of all
+rows are. An estimate is never below the true count, so no repeated window is lost; what is estimated repeated by
+chance is sorted out by the exact pass that follows. Counters stop at two, which is all that the estimate asks.
 """
 
 from __future__ import annotations
@@ -12,53 +12,68 @@ from __future__ import annotations
 import numpy as np
 
 from tessera.llm.common import planes, unplanes
-from tessera.llm.hashes import cut_points, mix
+from tessera.llm.hashes import among, cut_points, mix
 
 _U = np.uint64
-#: Counters for each key that reaches a shard, and rows of counters.
-CELLS_PER_KEY, DEPTH = 8, 2
+#: Rows of a sketch, and cells of a row for each byte of text (a key stands for some twenty windows, so for far more than a byte).
+DEPTH, CELLS_PER_BYTE = 2, 1
+#: The lowest bit of a counter tells one document from several, the next ones its row; its cell stands in the highest.
+_ROW = 2
 
 
-def document_keys(owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Sorted distinct keys of a chunk; the lowest bit tells whether several of its documents have the key."""
+def cell_bits(n_bytes: int) -> int:
+    """Bits of a cell's number in sketches for ``n_bytes`` of text; a wrong guess costs time in the exact pass, never a window."""
+    return min(48, max(10, int(CELLS_PER_BYTE * max(n_bytes, 1) - 1).bit_length()))
+
+
+def _cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
+    return (mix(keys + _U(row * 0x9E3779B9)) >> _U(64 - bits) << _U(64 - bits)) | _U(row * _ROW)
+
+
+def _added(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct cells and the sums of their counts."""
+    order = np.argsort(cells)
+    cells = cells[order]
+    at = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])[:len(cells)])
+    return cells[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+
+
+def sketch(owner: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """A chunk's sketch: its counters that are not zero, in order of their cells; the lowest bit tells one document from several."""
     if not len(keys):
         return keys
     order = np.argsort(keys)
     keys, owner = keys[order], owner[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    edges = np.flatnonzero(first)
-    several = np.maximum.reduceat(owner, edges) != np.minimum.reduceat(owner, edges)
-    return keys[first] | several.astype(np.uint64)
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    several = np.maximum.reduceat(owner, at) != np.minimum.reduceat(owner, at)
+    keys, documents = keys[at], 1 + several
+    cells, counts = _added(np.concatenate([_cells(keys, row, bits) for row in range(DEPTH)]), np.tile(documents, DEPTH))
+    return cells | (counts > 1).astype(_U)
 
 
-def send(keys: np.ndarray, n: int):
-    """(shard, blob) of a chunk's keys."""
-    cuts = cut_points(keys, n)
+def send(counters: np.ndarray, n: int):
+    """(shard, blob) of a chunk's counters."""
+    cuts = cut_points(counters, n)
     for s in range(n):
         if cuts[s + 1] > cuts[s]:
-            yield s, planes(keys[cuts[s]:cuts[s + 1]])
+            yield s, planes(counters[cuts[s]:cuts[s + 1]])
 
 
 def merge(blobs: list[bytes]) -> list[bytes]:
-    """A shard's answer: for each chunk a bit a key, set if the merged sketch counts two documents or more."""
+    """A shard's answer: for each chunk a bit a counter it sent, set if the sum over all chunks is two documents or more."""
     sent = [unplanes(b) for b in blobs]
     every = np.concatenate(sent)
-    key, more = every >> _U(1), (every & _U(1)).astype(bool)
-    bits = max(10, int(CELLS_PER_KEY * len(every) - 1).bit_length())
-    estimate = np.full(len(every), 255, np.uint8)
-    for row in range(DEPTH):
-        cell = (mix(key + _U(row * 0x9E3779B9)) >> _U(64 - bits)).astype(np.int64)
-        counters = np.bincount(cell, minlength=1 << bits) + np.bincount(cell[more], minlength=1 << bits)
-        estimate = np.minimum(estimate, np.minimum(counters, 2).astype(np.uint8)[cell])
-    return [np.packbits(e).tobytes() for e in np.split(estimate >= 2, np.cumsum([len(k) for k in sent])[:-1])]
-
-
-def repeated(keys: np.ndarray, n: int, answers: dict[int, bytes]) -> np.ndarray:
-    """The chunk's keys (lowest bit cleared) that are estimated repeated."""
-    cuts, out = cut_points(keys, n), []
+    cells, counts = _added(every >> _U(1), 1 + (every & _U(1)).astype(np.int64))
+    many = cells[counts > 1]
+    return [np.packbits(among(c >> _U(1), many)).tobytes() for c in sent]
+
+
+def repeated(keys: np.ndarray, counters: np.ndarray, bits: int, n: int, answers: dict[int, bytes]) -> np.ndarray:
+    """Which of the chunk's keys are estimated repeated, by the answers to its counters."""
+    cuts, many = cut_points(counters, n), []
     for s in range(n):
         if cuts[s + 1] > cuts[s]:
-            own = keys[cuts[s]:cuts[s + 1]]
-            out.append(own[np.unpackbits(np.frombuffer(answers[s], np.uint8), count=len(own)).astype(bool)])
-    return np.concatenate(out) & ~_U(1) if out else keys
+            own = counters[cuts[s]:cuts[s + 1]]
+            many.append(own[np.unpackbits(np.frombuffer(answers[s], np.uint8), count=len(own)).astype(bool)])
+    many = np.concatenate(many) & ~_U(1) if many else counters
+    return np.logical_and.reduce([among(_cells(keys, row, bits), many) for row in range(DEPTH)])

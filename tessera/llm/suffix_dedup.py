@@ -1,7 +1,7 @@
 """Removal of repeated 50-byte strings by suffix order.
 
 A window is ``length`` bytes of one document. Windows are dealt to shards by
-their key (see ``hashes.key_runs``), so equal windows meet. Keys that the sketch
+their key (see ``hashes.key_runs``), so equal windows meet. Keys that the merged sketch (see ``sketch``)
 shows in one document only need no comparison. Neighbouring windows of one key
 travel together as one fragment, each distinct fragment once a chunk. A shard
 groups the windows of fragments that share a key but differ by ``bwt.prefix_classes``,
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm import sketch
 from tessera.llm.bwt import prefix_classes
 from tessera.llm.common import CHUNK_BYTES, chunks, exchange, materialize, n_shards, planes, require, ship_package, texts, unpack, unplanes
-from tessera.llm.hashes import among, cut_points, key_runs, mix, rolling, spread, table
+from tessera.llm.hashes import cut_points, key_runs, mix, rolling, spread, table
 
 _LAST = np.iinfo(np.int64).max
 #: Bytes in the grams whose least hash is a window's key.
@@ -38,16 +38,15 @@ class Strings:
         self.data, self.offsets = texts(batch.column(batch.num_columns - 1))
         self.start, self.count, self.key, self.owner = key_runs(self.data, self.offsets, length, min(KEY_BYTES, length), table(21))
 
-    def sent(self) -> np.ndarray:
-        return sketch.document_keys(self.owner, self.key)
+    def sketch(self, bits: int) -> np.ndarray:
+        return sketch.sketch(self.owner, self.key, bits)
 
     def ids(self) -> np.ndarray:
         """Document ids; a null id counts as larger than any other."""
         return self.batch.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def keep(self, again: np.ndarray) -> None:
-        """Only runs whose key is in ``again``, in pieces of bounded size."""
-        some = among(self.key, again)
+    def keep(self, some: np.ndarray) -> None:
+        """Only the runs marked in ``some``, in pieces of bounded size."""
         pieces = -(-self.count[some] // FRAGMENT_WINDOWS)
         which, piece = np.repeat(np.flatnonzero(some), pieces), spread(pieces) * FRAGMENT_WINDOWS
         self.start, self.key, self.owner = self.start[which] + piece, self.key[which], self.owner[which]
@@ -205,36 +204,36 @@ def _answers(pdf, kind: int) -> dict[int, bytes]:
     return dict(zip(own["shard"].tolist(), own["blob"].tolist()))
 
 
-def _send_keys(batches, length: int, n: int):
+def _send_sketches(batches, length: int, bits: int, n: int):
     for batch in batches:
         for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows = list(sketch.send(Strings(unpack(blob), length).sent(), n))
+            rows = list(sketch.send(Strings(unpack(blob), length).sketch(bits), n))
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()),
                                               pa.array([b for _, b in rows], pa.binary())], ["shard", "chunk", "blob"])
 
 
-def _recalled(blob: bytes, replies, length: int, n: int):
+def _recalled(blob: bytes, replies, length: int, bits: int, n: int):
     """A chunk's repeated runs, its fragments and where each shard's begin."""
     s = Strings(unpack(blob), length)
-    s.keep(sketch.repeated(s.sent(), n, _answers(replies, 1)))
+    s.keep(sketch.repeated(s.key, s.sketch(bits), bits, n, _answers(replies, 1)))
     key, parts, doc, which = s.fragments()
     return s, key, parts, doc, which, cut_points(key, n)
 
 
-def _send_fragments(own, replies, length: int, n: int):
+def _send_fragments(own, replies, length: int, bits: int, n: int):
     import pandas as pd
     out = []
     for chunk, blob in zip(own["chunk"], own["blob"]):
-        _, key, parts, doc, _, cuts = _recalled(blob, replies, length, n)
+        _, key, parts, doc, _, cuts = _recalled(blob, replies, length, bits, n)
         out.extend((k, chunk, _pack(key[a:b], parts[a:b], doc[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a)
     return pd.DataFrame(out, columns=["shard", "chunk", "blob"])
 
 
-def _remove(own, replies, length: int, n: int, id_col: str):
+def _remove(own, replies, length: int, bits: int, n: int, id_col: str):
     import pandas as pd
     frames = []
     for blob in own["blob"]:
-        s, _, parts, _, which, cuts = _recalled(blob, replies, length, n)
+        s, _, parts, _, which, cuts = _recalled(blob, replies, length, bits, n)
         got, docs = _answers(replies, 2), s.batch.num_rows
         least = np.concatenate([_runs(got[k]) for k in range(n) if cuts[k + 1] > cuts[k]] or [np.zeros(0, np.int64)])
         windows = np.fromiter(map(len, parts), np.int64, len(parts)) - length + 1
@@ -278,15 +277,16 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     ship_package(spark)
     n = n_shards(spark)
     packed = materialize(chunks(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text=text_col, limit=chunk_bytes), spark, "chunks")
+    bits = sketch.cell_bits(packed.count() * chunk_bytes)
     schema = "shard int, chunk long, blob binary"
-    flags = materialize(exchange(packed.mapInArrow(partial(_send_keys, length=length, n=n), schema), sketch.merge, n), spark, "flags")
+    flags = materialize(exchange(packed.mapInArrow(partial(_send_sketches, length=length, bits=bits, n=n), schema), sketch.merge, n), spark, "flags")
     flags = flags.withColumn("kind", F.lit(1))
 
     def send(own, replies):
-        return _send_fragments(own, replies, length, n)
+        return _send_fragments(own, replies, length, bits, n)
 
     def remove(own, replies):
-        return _remove(own, replies, length, n, id_col)
+        return _remove(own, replies, length, bits, n, id_col)
 
     sent = packed.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInPandas(send, schema)
     least = exchange(sent, partial(answer, length=length), n).withColumn("kind", F.lit(2))

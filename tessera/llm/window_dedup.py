@@ -1,8 +1,8 @@
 """Removal of repeated 50-word passages: a count-min prefilter, then exact groups of the windows it leaves.
 
-Chunks send exact lists of their window keys (see ``hashes.key_runs``) to shards, which count documents by key in a
-count-min table (see ``sketch``); sketches of partitions are not merged. A window is never more frequent than its key, so
-the table never underestimates a window's count. Windows of keys estimated repeated are then grouped by 128
+Every chunk counts the documents of its window keys (see ``hashes.key_runs``) in a count-min sketch, and shards merge the
+sketches cell by cell (see ``sketch``). A window is never more frequent than its key, so
+the merged sketch never underestimates a window's count. Windows of keys estimated repeated are then grouped by 128
 hash bits, each chunk sending a window once with its least document.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import sketch
 from tessera.llm.common import CHUNK_BYTES, chunks, exchange, materialize, n_shards, planes, require, ship_package, texts, unpack, unplanes
-from tessera.llm.hashes import among, cut_points, key_runs, mix, rolling, spread, table
+from tessera.llm.hashes import cut_points, key_runs, mix, rolling, spread, table
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -84,18 +84,18 @@ class Words:
         return self.batch.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _runs(w: Words, first: np.ndarray, words: int):
-    """Runs of windows of one key, and the distinct keys that the chunk sends."""
+def _runs(w: Words, first: np.ndarray, words: int, bits: int):
+    """Runs of windows of one key, and the chunk's sketch."""
     bounds = np.concatenate(([0], np.cumsum(w.per_doc)))
     start, count, key, owner = key_runs(first, bounds, words, min(KEY_WORDS, words))
-    return start, count, key, sketch.document_keys(owner, key)
+    return start, count, key, sketch.sketch(owner, key, bits)
 
 
-def _flagged(w: Words, words: int, n: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flagged(w: Words, words: int, bits: int, n: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, h1, h2) of the windows whose key is estimated repeated."""
     first = w.hashes(0)
-    start, count, key, sent = _runs(w, first, words)
-    some = among(key, sketch.repeated(sent, n, answers))
+    start, count, key, counters = _runs(w, first, words, bits)
+    some = sketch.repeated(key, counters, bits, n, answers)
     starts = np.repeat(start[some], count[some]) + spread(count[some])
     if not len(starts):
         return starts, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -131,9 +131,9 @@ def least_documents(blobs: list[bytes]) -> list[bytes]:
     return [planes(x.view(np.uint64)) for x in np.split(least, cuts)]
 
 
-def _windows(w: Words, words: int, n: int, answers: dict[int, bytes]):
+def _windows(w: Words, words: int, bits: int, n: int, answers: dict[int, bytes]):
     """Flagged windows and, for each of ``n`` shards, what the chunk sends of them."""
-    starts, h1, h2 = _flagged(w, words, n, answers)
+    starts, h1, h2 = _flagged(w, words, bits, n, answers)
     doc = w.ids()[w.owner[starts]]
     order, first = _distinct(h1, h2, doc)
     once = order[first]
@@ -145,20 +145,20 @@ def _answers(pdf, kind: int) -> dict[int, bytes]:
     return dict(zip(own["shard"].tolist(), own["blob"].tolist()))
 
 
-def _send_keys(batches, words: int, n: int):
+def _send_sketches(batches, words: int, bits: int, n: int):
     for batch in batches:
         for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             w = Words(unpack(blob))
-            rows = list(sketch.send(_runs(w, w.hashes(0), words)[3], n))
+            rows = list(sketch.send(_runs(w, w.hashes(0), words, bits)[3], n))
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()),
                                               pa.array([b for _, b in rows], pa.binary())], ["shard", "chunk", "blob"])
 
 
-def _send_windows(own, replies, words: int, n: int):
+def _send_windows(own, replies, words: int, bits: int, n: int):
     import pandas as pd
     out = []
     for chunk, blob in zip(own["chunk"], own["blob"]):
-        _, h1, h2, doc, _, _, once, cuts = _windows(Words(unpack(blob)), words, n, _answers(replies, 1))
+        _, h1, h2, doc, _, _, once, cuts = _windows(Words(unpack(blob)), words, bits, n, _answers(replies, 1))
         out.extend((s, chunk, _pack(*(x[once[cuts[s]:cuts[s + 1]]] for x in (h1, h2, doc)))) for s in range(n) if cuts[s + 1] > cuts[s])
     return pd.DataFrame(out, columns=["shard", "chunk", "blob"])
 
@@ -180,12 +180,12 @@ def kept_words(w: Words, gone: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[take].tobytes())])
 
 
-def _remove(own, replies, words: int, n: int, id_col: str):
+def _remove(own, replies, words: int, bits: int, n: int, id_col: str):
     import pandas as pd
     frames = []
     for blob in own["blob"]:
         w = Words(unpack(blob))
-        starts, h1, h2, doc, order, first, once, cuts = _windows(w, words, n, _answers(replies, 1))
+        starts, h1, h2, doc, order, first, once, cuts = _windows(w, words, bits, n, _answers(replies, 1))
         got = _answers(replies, 2)
         least = np.concatenate([unplanes(got[s]).view(np.int64) for s in range(n) if cuts[s + 1] > cuts[s]] or [np.zeros(0, np.int64)])
         over = np.empty(len(starts), np.int64)
@@ -216,15 +216,16 @@ def remove_repeats(docs: DataFrame, *, words: int = 50, id_col: str = "doc_id",
     ship_package(spark)
     n = n_shards(spark)
     packed = materialize(chunks(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text=text_col, limit=chunk_bytes), spark, "chunks")
+    bits = sketch.cell_bits(packed.count() * chunk_bytes)
     schema = "shard int, chunk long, blob binary"
-    flags = materialize(exchange(packed.mapInArrow(partial(_send_keys, words=words, n=n), schema), sketch.merge, n), spark, "flags")
+    flags = materialize(exchange(packed.mapInArrow(partial(_send_sketches, words=words, bits=bits, n=n), schema), sketch.merge, n), spark, "flags")
     flags = flags.withColumn("kind", F.lit(1))
 
     def send(own, replies):
-        return _send_windows(own, replies, words, n)
+        return _send_windows(own, replies, words, bits, n)
 
     def remove(own, replies):
-        return _remove(own, replies, words, n, id_col)
+        return _remove(own, replies, words, bits, n, id_col)
 
     sent = packed.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInPandas(send, schema)
     least = exchange(sent, least_documents, n).withColumn("kind", F.lit(2))

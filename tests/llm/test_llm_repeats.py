@@ -101,7 +101,7 @@ def test_fragments_are_cut_with_their_overlap(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "FRAGMENT_WINDOWS", 10)
     data = b"ab" * 500
     s = suffix_dedup.Strings(pa.RecordBatch.from_arrays([pa.array([1]), pa.array([data.decode()])], ["doc_id", "text"]), 50)
-    s.keep(s.sent() & ~np.uint64(1))
+    s.keep(np.ones(len(s.key), bool))
     windows = np.repeat(s.start, s.count) + hashes.spread(s.count)
     assert (np.sort(windows) == np.arange(len(data) - 49)).all() and s.count.max() <= 10
 
@@ -123,29 +123,34 @@ def test_key_runs(window, k, monkeypatch):
         assert seen.setdefault(codes[i:i + window].tobytes(), x) == x
 
 
-def test_sketch_never_underestimates():
+@pytest.mark.parametrize("bits,most", [(10, 1.0), (16, 0.1), (48, 0.0)])
+def test_merged_sketches_never_underestimate(bits, most):
     r = np.random.default_rng(2)
-    sent, truth = [], {}
+    chunks, truth = [], {}
     for c in range(20):
-        keys = hashes.mix(r.integers(0, 4000, 500).astype(np.uint64)) & ~np.uint64(1)
+        keys = hashes.mix(r.integers(0, 4000, 500).astype(np.uint64))
         owner = np.sort(r.integers(0, 9, 500)) + 9 * c
         for k, o in zip(keys.tolist(), owner.tolist()):
             truth.setdefault(k, set()).add(o)
-        sent.append(sketch.document_keys(owner, keys))
+        chunks.append((keys, sketch.sketch(owner, keys, bits)))
     n = 5
-    blobs = [dict(sketch.send(k, n)) for k in sent]
-    answers = [{} for _ in sent]
+    blobs = [dict(sketch.send(k, n)) for _, k in chunks]
+    answers = [{} for _ in chunks]
     for s in range(n):
         own = [i for i, b in enumerate(blobs) if s in b]
         for i, a in zip(own, sketch.merge([blobs[i][s] for i in own])):
             answers[i][s] = a
     wrong = total = 0
-    for k, a in zip(sent, answers):
-        found = set(sketch.repeated(k, n, a).tolist())
-        for x in (k & ~np.uint64(1)).tolist():
-            assert x in found or len(truth[x]) < 2
-            wrong, total = wrong + (x in found and len(truth[x]) < 2), total + 1
-    assert wrong < 0.1 * total
+    for (keys, counters), a in zip(chunks, answers):
+        for x, found in zip(keys.tolist(), sketch.repeated(keys, counters, bits, n, a)):
+            assert found or len(truth[x]) < 2
+            wrong, total = wrong + (found and len(truth[x]) < 2), total + 1
+    assert wrong <= most * total
+    assert not len(sketch.repeated(keys[:0], sketch.sketch(owner[:0], keys[:0], bits), bits, n, {}))
+
+
+def test_cells_follow_the_text():
+    assert sketch.cell_bits(0) == 10 and sketch.cell_bits(4_000_000) == 22 and sketch.cell_bits(10**20) == 48
 
 
 def test_planes_and_texts_round_trip():
