@@ -4,11 +4,15 @@ Segments are the lines, the paragraphs (between blank lines) and the whole of a
 text, normalised to lower-case words. A segment can reach the threshold t only
 with templates whose number of bigrams is within a factor (2 - t) / t of its
 own, and only if t / (2 - t) of its bigrams are known at all; all others are
-pruned unseen.
+pruned unseen. A notice within a line, or one that goes on across a blank line,
+is found by windows: as many words as a template has, beginning where
+one of its bigrams stands, compared if t / (2 - t) of the template's bigrams can be there.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -20,6 +24,8 @@ from tessera.llm.common import require, ship_package
 from tessera.llm.decontaminate import words_of
 
 THRESHOLD = 0.8
+#: A word of bytes, letters of either case.
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 #: Notices and short forms of common licences.
 TEMPLATES = {
@@ -32,6 +38,17 @@ TEMPLATES = {
     "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
     "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
     "and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+    "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "BSD-notice": "Released under the BSD License.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -50,6 +67,13 @@ TEMPLATES = {
     "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
     "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MIT-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
     "You can obtain one at http://mozilla.org/MPL/2.0/.",
     "reserved": "All rights reserved.",
@@ -64,6 +88,12 @@ class Templates:
         sets = {n: bigrams(words_of(t.encode())) for n, t in templates.items()}
         self.rows = sorted(((len(b), n, b) for n, b in sets.items() if b), key=lambda x: x[:2])
         self.known = frozenset().union(*(b for _, _, b in self.rows)) if self.rows else frozenset()
+        words = {n: len(words_of(t.encode())) for n, t in templates.items()}
+        self.windows = {n: (words[n], size, own) for size, n, own in self.rows}
+        self.holders: dict[tuple[bytes, bytes], list[str]] = {}
+        for _, n, own in self.rows:
+            for b in own:
+                self.holders.setdefault(b, []).append(n)
         self.least = threshold / (2 - threshold) * min((n for n, _, _ in self.rows), default=0)
 
     def best(self, words: list[bytes]) -> tuple[str, float] | None:
@@ -87,6 +117,37 @@ class Templates:
         return found
 
 
+def windows(words: list[bytes], templates: Templates) -> list[tuple[str, float, int, int]]:
+    """(template, coefficient, first word, end) of the windows that reach the threshold and do not overlap.
+
+    A window has as many words as its template, fewer at the end of the text, and begins at one of its bigrams. Of
+    windows that overlap that with the most bigrams in common stays, then that of the higher coefficient, the earlier, the first name.
+    """
+    t, at, found = templates.threshold, {}, []
+    for i, b in enumerate(zip(words, words[1:])):
+        for name in templates.holders.get(b, ()):
+            at.setdefault(name, []).append(i)
+    for name, places in at.items():
+        n_words, size, other = templates.windows[name]
+        for k, i in enumerate(places):
+            if (bisect_right(places, i + n_words - 2, k) - k) * (2 - t) < t * size:
+                continue                                                # too few of its bigrams are here
+            own = bigrams(words[i:i + n_words])
+            common = len(own & other)
+            dice = 2 * common / (len(own) + size)
+            if dice >= t:
+                found.append((-common, -dice, i, name, min(i + n_words, len(words))))
+    out, firsts, ends = [], [], []
+    for _, dice, i, name, end in sorted(found):
+        k = bisect_right(firsts, i)
+        if (k and ends[k - 1] > i) or (k < len(firsts) and firsts[k] < end):
+            continue
+        firsts.insert(k, i)
+        ends.insert(k, end)
+        out.append((name, -dice, i, end))
+    return out
+
+
 def bigrams(words: list[bytes]) -> set[tuple[bytes, bytes]]:
     return set(zip(words, words[1:]))
 
@@ -115,15 +176,32 @@ def segments(text: bytes) -> Iterator[tuple[int, int, list[bytes]]]:
 
 
 def scan_text(text: bytes, templates: Templates) -> tuple[int, list[tuple[str, float, int, int]]]:
-    """(segments, matches (template, coefficient, start, end) in code points by start and end)."""
+    """(segments, matches (template, coefficient, start, end) in code points by start and end); windows that overlap a
+    segment's match tell nothing new and are left out."""
     n, found = 0, []
     for first, end, words in segments(text):
         n += 1
         hit = templates.best(words)
         if hit:
-            start = len(text[:first].decode())
-            found.append((*hit, start, start + len(text[first:end].decode())))
-    return n, sorted(found, key=lambda x: x[2:])
+            found.append((*hit, first, end))
+    inner = windows(words_of(text), templates)
+    if inner:
+        places = [m.span() for m in _WORD.finditer(text)]
+        taken = sorted((first, end) for *_, first, end in found)
+        starts, reach = [first for first, _ in taken], []
+        for _, end in taken:
+            reach.append(max(end, reach[-1] if reach else 0))
+        for name, dice, i, j in inner:
+            first, end = places[i][0], places[j - 1][1]
+            k = bisect_right(starts, end - 1)
+            if not k or reach[k - 1] <= first:
+                found.append((name, dice, first, end))
+    points = {0: 0}
+    last = 0
+    for at in sorted({x for *_, first, end in found for x in (first, end)}):
+        points[at] = points[last] + len(text[last:at].decode())
+        last = at
+    return n, sorted(((name, dice, points[first], points[end]) for name, dice, first, end in found), key=lambda x: x[2:])
 
 
 _MATCH = T.StructType([T.StructField("template", T.StringType()), T.StructField("dice", T.DoubleType()),
@@ -133,7 +211,7 @@ _MATCH = T.StructType([T.StructField("template", T.StringType()), T.StructField(
 def scan(docs: DataFrame, *, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_segments long, matches array of (template, dice, first, end)) of every row; places are code points.
 
-    Each segment gives its best template, ties by name. A null or empty text has no segments; repeated rows and null
+    Each segment gives its best template, ties by name; windows (see ``windows``) add what lies in no such segment. A null or empty text has no segments; repeated rows and null
     ids are scanned row by row; an empty table gives an empty result; other columns are not read. Templates of fewer
     than two words never match. No shuffle.
     """

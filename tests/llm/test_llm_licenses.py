@@ -4,6 +4,7 @@ import re
 
 from tessera.llm import licenses as L
 
+WORD_ANY = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -37,6 +38,23 @@ def brute(text, templates, threshold):
                     best = (name, d)
         if best:
             out.append((*best, a, b))
+    found = [(m.start(), m.end()) for m in WORD_ANY.finditer(text)]
+    w, inner, taken = words(text), [], []
+    for name, t in templates.items():
+        other, size = grams(words(t)), len(words(t))
+        for i in range(len(w) - 1):
+            if (w[i], w[i + 1]) in other:
+                own = grams(w[i:i + size])
+                d = 2 * len(own & other) / (len(own) + len(other))
+                if d >= threshold:
+                    inner.append((-len(own & other), -d, i, name, min(i + size, len(w))))
+    for _, d, i, name, j in sorted(inner):
+        if all(j <= a or b <= i for a, b in taken):
+            taken.append((i, j))
+            a, b = found[i][0], found[j - 1][1]
+            if all(b <= x[2] or x[3] <= a for x in out if x[4:] == ()):
+                out.append((name, -d, a, b, "window"))
+    out = [x[:4] for x in out]
     return len(segments), sorted(out, key=lambda x: x[2:])
 
 
@@ -71,6 +89,27 @@ def test_full_texts(spark):
     assert [m[0] for m in got[5]] == ["Apache-2.0", "MIT"]
 
 
+def test_notices_within_lines_and_across_blank_lines(spark):
+    """Recall of templates put into prose, some with a word changed; prose alone matches nothing."""
+    prose = "ép the cat sat on the mat and it was late in the year when all of them went to the old house by the river".split()
+    rows, want = [], {}
+    for k, (name, t) in enumerate(sorted(L.TEMPLATES.items())):
+        rows.append((2 * k, " ".join(prose) + ". " + t + " " + " ".join(prose[::-1])))
+        w = t.split()
+        half = len(w) // 2
+        w[half] = w[half] if len(w) < 20 else "changed"
+        rows.append((2 * k + 1, " ".join([*prose, *w[:half]]) + "\n\n" + " ".join([*w[half:], *prose])))
+        want[2 * k] = want[2 * k + 1] = name
+    rows += [(1000, "Our tool is released under the MIT License. See the docs for more."),
+             (1001, "It was printed in May. Licensed under the Apache License, Version 2.0. Enjoy it."), (1002, " ".join(prose * 50))]
+    want |= {1000: "MIT", 1001: "Apache-2.0"}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(df)
+    got = {r.doc_id: [m.template for m in r.matches] for r in L.scan(df).collect()}
+    assert got[1002] == [] and got[1000] == ["MIT"] and got[1001] == ["Apache-2.0"]
+    assert sum(name in got[d] for d, name in want.items()) >= 0.9 * len(want)
+
+
 def test_pruning_loses_no_match():
     known = L.Templates(L.TEMPLATES, 0.6)
     for t in L.TEMPLATES.values():
