@@ -13,7 +13,7 @@ import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A7 -------------------------------------------------------------------------
@@ -97,6 +97,18 @@ def csv_text(df: DataFrame, cols: Sequence[str], order: str) -> DataFrame:
 # A12 ------------------------------------------------------------------------
 ClientFactory = Callable[[], Callable[[list[dict]], str]]
 
+#: What an Arrow batch of prompts holds at most where the session keeps Spark's defaults (10,000 rows, 64 MB), as a worker
+#: has a batch in several forms at a time: name of the setting -> (Spark's default, ours).
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+                "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows and bytes of Arrow batches; limits that the session has set itself stay."""
+    for name, (default, ours) in ARROW_LIMITS.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, ours)
+
 
 def annotate(prompts: DataFrame, client_factory: ClientFactory, key: str = "id", prompt: str = "prompt",
              prefix: str | None = None, partitions: int | None = None, model: str | None = None,
@@ -106,11 +118,12 @@ def annotate(prompts: DataFrame, client_factory: ClientFactory, key: str = "id",
     ``client_factory(**options)`` runs once per partition and returns ``call(messages)
     -> text``; ``model`` and ``max_tokens`` are its options, where given. Messages are a
     user turn and an optional assistant prefix. A task has up to ``concurrency`` calls
-    open at a time, and a call is tried ``attempts`` times; the last exception goes to
+    open at a time over bounded batches (``small_batches``), and a call is tried ``attempts`` times; the last exception goes to
     ``error`` and the row is kept. ``partitions`` spreads the rows (one shuffle, keyed by
     prompt hash). A NULL prompt is not sent: NULL reply, error ``no prompt``.
     Returns (key, prompt_md5, response, error) and the string columns named in ``keep``.
     """
+    small_batches(prompts.sparkSession)
     options = {k: v for k, v in (("model", model), ("max_tokens", max_tokens)) if v is not None}
     src = prompts.select(F.col(key).cast("string").alias("key"), F.col(prompt).alias("prompt"), *keep)
     if partitions:
@@ -153,6 +166,7 @@ def annotate_each(rows: DataFrame, calls: dict[str, tuple[Column, ClientFactory,
     """Several model calls for every row in one pass: (key, <name>_reply, <name>_error) for each name in ``calls``, which holds
     the prompt, the client factory and the assistant prefix. Texts go to the workers once, and only replies come back.
     Everything else is as in ``annotate``."""
+    small_batches(rows.sparkSession)
     names = list(calls)
     src = rows.select(F.col(key).cast("string").alias("key"), *[calls[n][0].alias(n) for n in names])
     asked = {n: calls[n][1:] for n in names}

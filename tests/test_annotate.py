@@ -3,6 +3,7 @@
 import csv
 import io
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.operators import annotate as A
@@ -140,3 +141,21 @@ def test_both_endpoints_keep_every_post_and_tell_what_failed(spark):
     assert got["2", 1].error == "questionnaire: ValueError: no" and got["2", 1].mean_score == 2.5
     assert got["3", 1].error == "questionnaire: invalid json" and got["3", 1].answer1 is False
     assert got["4", None].error == "features: invalid json" and got["4", None].answer1 is True
+
+
+def test_workers_hold_bounded_batches(spark):
+    """10,000 prompts in one partition came as one batch; a batch is bounded by rows, and by bytes where prompts are long."""
+    from unittest import mock
+    saved = {name: spark.conf.get(name) for name in A.ARROW_LIMITS}
+    try:
+        for name in A.ARROW_LIMITS:
+            spark.conf.unset(name)
+        for n, length, most in ((10_000, 10, 1000), (300, 100_000, 60)):
+            rows = spark.range(n).coalesce(1).select(F.col("id").cast("string").alias("id"), F.repeat(F.lit("x"), length).alias("prompt"))
+            replies = A.annotate(rows, lambda: lambda messages: "ok")
+            sizes = rows.mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n long").collect()
+            assert sum(r.n for r in sizes) == n and max(r.n for r in sizes) <= most
+            assert replies.where("response = 'ok' AND error IS NULL").count() == n
+    finally:
+        for name, value in saved.items():
+            spark.conf.set(name, value)
