@@ -406,16 +406,46 @@ def _sq_dist(x: str, centre: Sequence[float]) -> Column:
     return F.aggregate(gaps, F.lit(0.0), lambda s, d: s + d)
 
 
+def _distances(x, centres):
+    """Squared distances (rows by centres) of points from centres, added up dimension by dimension as ``_sq_dist`` does."""
+    import numpy as np
+    out = np.zeros((len(x), len(centres)))
+    for j in range(centres.shape[1]):
+        gap = x[:, j, None] - centres[None, :, j]
+        out += gap * gap
+    return out
+
+
+def _matrix(batch, name: str = "x"):
+    """An Arrow column of equally long lists as rows of a matrix."""
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _with_least_distance(points: DataFrame, centres: list[list[float]]) -> DataFrame:
+    """``points`` with ``d``, the squared distance from the nearest of ``centres``."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        of = np.array(centres)
+        for b in batches:
+            if b.num_rows:
+                least = np.fmin.reduce(_distances(_matrix(b), of), axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least)], names=[*b.schema.names, "d"])
+
+    return points.mapInArrow(run, points.select("*", F.lit(0.0).alias("d")).schema)
+
+
 def _starts(points: DataFrame, k: int, seed: int, key: str) -> list[list[float]]:
     """k-means++ starts drawn by hash: of all points the one with the least -ln(u) / D^2, where u in (0, 1) comes
     from md5(id, seed, round). That is a draw with weight D^2, and it doesn't depend on partitions. Fewer than
     ``k`` come back where there are fewer distinct points."""
     centres: list[list[float]] = []
+    points = points.select(F.col(key).alias("k"), "x")
     for i in range(k):
-        digits = F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)), F.lit(str(i)))), 1, 12)
+        digits = F.substring(F.md5(F.concat_ws("|", F.col("k").cast("string"), F.lit(str(seed)), F.lit(str(i)))), 1, 12)
         u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(16 ** 12)
-        d = F.array_min(F.array(*[_sq_dist("x", c) for c in centres])) if centres else F.lit(1.0)
-        best = points.select("x", d.alias("d"), F.struct((-F.log(u) / d).alias("w"), F.col(key).alias("k")).alias("o")) \
+        near = _with_least_distance(points, centres) if centres else points.withColumn("d", F.lit(1.0))
+        best = near.select("x", "d", F.struct((-F.log(u) / F.col("d")).alias("w"), F.col("k")).alias("o")) \
             .where("d > 0").agg(F.min_by("x", "o")).first()[0]
         if best is None:
             break
@@ -423,6 +453,36 @@ def _starts(points: DataFrame, k: int, seed: int, key: str) -> list[list[float]]
     return centres
 
 
+def _sums_by_centre(points: DataFrame, models: dict[int, list[list[float]]]) -> DataFrame:
+    """(m, c, n, ss, s): by model and nearest centre (from 1, the first of equally near ones) the number of points, the sum of
+    their squared distances and their sum by dimension. A task gives one row a centre, the shuffle adds them up."""
+    names = sorted(models)
+    dim = len(models[names[0]][0])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        of = {m: np.array(models[m]) for m in names}
+        acc = {m: np.zeros((len(of[m]), dim + 2)) for m in names}                # sums, squared distance, number of points
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b)
+            for m in names:
+                ds = _distances(x, of[m])
+                c = np.argmin(np.where(np.isnan(ds), np.inf, ds), axis=1)
+                own = ds[np.arange(len(x)), c]
+                for j, w in enumerate([*x.T, own, None]):
+                    acc[m][:, j] += np.bincount(c, weights=w, minlength=len(of[m]))
+        rows = [(m, i + 1, int(a[-1]), float(a[-2]), a[:-2].tolist()) for m in names for i, a in enumerate(acc[m]) if a[-1]]
+        if rows:
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows), kinds)], names=["m", "c", "n", "ss", "s"])
+
+    parts = points.select("x").mapInArrow(run, "m int, c long, n long, ss double, s array<double>")
+    return parts.groupBy("m", "c").agg(F.sum("n").alias("n"), F.sum("ss").alias("ss"), *[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(dim)])
+
+
 def _lloyd(points: DataFrame, models: dict[int, list[list[float]]], max_iter: int) -> dict[int, dict]:
     """Lloyd steps of several models at once, one scan a step. A centre is a mean rounded to 9 places, so that the
     order of a sum doesn't show. Returns, by model, its centres, sizes and within-cluster sum of squares, in which
@@ -431,16 +491,11 @@ def _lloyd(points: DataFrame, models: dict[int, list[list[float]]], max_iter: in
     fits = {m: {"centres": c, "sizes": [0] * len(c), "wss": 0.0} for m, c in models.items()}
     live = set(fits)
     for _ in range(max_iter):
-        near = F.array(*[F.struct(F.lit(m).alias("m"), F.array(*[_sq_dist("x", c) for c in fits[m]["centres"]]).alias("ds"))
-                         for m in sorted(live)])
-        rows = (points.select("x", F.inline(near)).withColumn("d", F.array_min("ds"))
-                .groupBy("m", F.array_position("ds", F.col("d")).alias("c"))
-                .agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("ss"), *[F.avg(F.col("x")[j]).alias(f"x{j}") for j in range(dim)])
-                .collect())                                              # a row a centre
+        rows = _sums_by_centre(points, {m: fits[m]["centres"] for m in live}).collect()        # a row a centre
         for m in sorted(live):
             own = {r["c"]: r for r in rows if r["m"] == m}
             old = fits[m]["centres"]
-            new = [[round(own[i + 1][f"x{j}"], 9) for j in range(dim)] if i + 1 in own else c for i, c in enumerate(old)]
+            new = [[round(own[i + 1][f"s{j}"] / own[i + 1]["n"], 9) for j in range(dim)] if i + 1 in own else c for i, c in enumerate(old)]
             fits[m] = {"centres": new, "sizes": [own[i + 1]["n"] if i + 1 in own else 0 for i in range(len(old))],
                        "wss": float(sum(r["ss"] for r in own.values()))}
             if new == old:
@@ -451,10 +506,10 @@ def _lloyd(points: DataFrame, models: dict[int, list[list[float]]], max_iter: in
 
 
 def _points(vectors: DataFrame, key: str, col: str) -> DataFrame:
-    """(key, x array) written once: every step reads it."""
+    """(key, x array) written once, dealt anew by key so that all cores read it: every step does."""
     from pyspark.ml.functions import vector_to_array
     from tessera.session import materialize
-    return materialize(vectors.select(key, vector_to_array(col).alias("x")), name="points")
+    return materialize(vectors.select(key, vector_to_array(col).alias("x")).repartition(key), name="points")
 
 
 def kmeans_clusters(vectors: DataFrame, k: int = 4, seed: int = 1, key: str = "id", col: str = "features",

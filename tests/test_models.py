@@ -1,6 +1,7 @@
 """Invariants for MLlib-backed operators (T4, T7, T8, T11) and sampling."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import posts as P
@@ -67,3 +68,27 @@ def test_one_per_group(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("g"), F.col("id").cast("string").alias("k"))
     out = P.one_per_group(df, "g", "k", "1").collect()
     assert len(out) == 7 and all(int(r["k"]) % 7 == r["g"] for r in out)
+
+
+def test_elbow_steps_are_bounded_plans_and_equal_plain_lloyd(spark):
+    """The plan of a step held an expression for every centre and dimension, so it grew with both and took longer than its scan."""
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(c, 1.0, (80, 6)) for c in (-4, 0, 5)])
+    points = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], "id string, x array<double>").repartition(5)
+    models = {k: x[:k].round(3).tolist() for k in (1, 2, 4)}
+    plan = lambda ms: len(T._sums_by_centre(points, ms)._jdf.queryExecution().analyzed().toString())
+    assert abs(plan(models) - plan({1: models[1]})) < 100
+    fits = T._lloyd(points, models, 50)
+    for k, start in models.items():
+        c = np.array(start)
+        for _ in range(50):
+            d = ((x[:, None] - c[None]) ** 2).sum(2)
+            near = d.argmin(1)
+            new = np.array([x[near == i].mean(0).round(9) if (near == i).any() else c[i] for i in range(k)])
+            done, c = (new == c).all(), new
+            if done:
+                break
+        assert fits[k]["wss"] == pytest.approx(d.min(1).sum(), rel=1e-9)
+        assert fits[k]["sizes"] == np.bincount(near, minlength=k).tolist()
+    near = {r["id"]: r["d"] for r in T._with_least_distance(points, models[4]).collect()}
+    assert near == {r["id"]: r["d"] for r in points.select("id", F.array_min(F.array(*[T._sq_dist("x", c) for c in models[4]])).alias("d")).collect()}
