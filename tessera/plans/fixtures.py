@@ -241,8 +241,8 @@ def fx_posts(documents: DataFrame) -> DataFrame:
 
 
 def fx_questionnaire_responses(posts: DataFrame) -> DataFrame:
-    """(doc_id, id, label, text, response) with the recorded questionnaire reply."""
-    return apply_stages(posts, questionnaire_stages(SPARK)).select("doc_id", "id", "label", "text", "response")
+    """(doc_id, id, label, text, response) with the recorded questionnaire reply; posts may come without their text."""
+    return apply_stages(posts, questionnaire_stages(SPARK)).select("doc_id", "id", "label", *[c for c in posts.columns if c == "text"], "response")
 
 
 def fx_rating_responses(posts: DataFrame) -> DataFrame:

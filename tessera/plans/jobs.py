@@ -48,8 +48,10 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questionnaire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1 core: recorded questionnaire replies -> J1 parse + X6 flag (stage table, without the texts)."""
+    from tessera.session import spread
+
     def build():
-        resp = fx.fx_questionnaire_responses(posts(spark, sf_dir))
+        resp = fx.fx_questionnaire_responses(spread(posts(spark, sf_dir).drop("text")))
         return R.parse_questionnaire(resp, keep=("doc_id", "id", "label"))
     return stage(spark, sf_dir, "questionnaire", build)
 
@@ -65,7 +67,8 @@ def flagged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rating_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.fx_rating_responses(flagged_posts(spark, sf_dir))
+    from tessera.session import spread
+    return fx.fx_rating_responses(spread(flagged_posts(spark, sf_dir).select("id", "doc_id")))
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:

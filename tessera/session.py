@@ -85,6 +85,13 @@ def materialize(df, spark: SparkSession | None = None, name: str = "stage"):
     return spark.read.parquet(path)
 
 
+def spread(df):
+    """Rows dealt evenly over all cores, for costly work on narrow rows: a file of one row group, or a few small ones, is read
+    by one task or a few, however many cores there are."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def fingerprint(spark: SparkSession, paths: list[str], *parameters: object) -> str:
     """Hash of the names, sizes and times of the files under ``paths``, of ``parameters``, and of this package's code."""
     import hashlib

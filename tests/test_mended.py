@@ -146,3 +146,15 @@ def test_pair_texts_take_one_scan(spark):
     files = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("cast(doc_id as string) as id", "text")
     plan = fetch_pair_texts(pairs, files)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") == 1 and "SortMergeJoin" not in plan
+
+
+def test_parsing_of_one_file_is_spread_over_all_cores(spark, tmp_path):
+    """Replies to the posts of one file with one row group were made and parsed by one task."""
+    from tessera.plans import jobs as J
+    rows = [(i, f"text {i}", "en", "s", 2000) for i in range(4000)] + [(7, "again", "fr", "s", 2), (None, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    stage = J.questionnaire(spark, str(tmp_path))
+    assert stage.count() == len(rows) and stage.where("doc_id = 7").count() == 2
+    assert len(stage.inputFiles()) >= spark.sparkContext.defaultParallelism
+    replies = J.rating_responses(spark, str(tmp_path))
+    assert replies.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
