@@ -167,6 +167,27 @@ def unplanes(b: bytes, dtype=np.uint64) -> np.ndarray:
     return raw.view(dtype.newbyteorder(">")).ravel().astype(dtype)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """In this block, each query's shuffle files go when it ends, not when the driver happens to collect its garbage. Queries that
+    share a part make it anew."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def discard(table: DataFrame) -> None:
+    """Drop a ``bucketed`` table and the files of it; nothing may read it any more."""
+    spark = table.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {table._bucketed}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/{table._bucketed}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     """``df`` written once to the checkpoint folder in ``n`` buckets by ``key``: later groupings by it need no shuffle.
 

@@ -106,3 +106,19 @@ def test_words_in_no_trusted_order_are_junk(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = {r.doc_id: r.kept for r in K.classify(docs, docs.where("doc_id < 40").select("doc_id")).collect()}
     assert not found[100] and not found[101] and all(found[i] for i in range(40))
+
+
+def test_what_it_leaves_on_disk(spark):
+    """Grams are asked for in turns and leave only replies and sums of words: a small multiple of the text, not of its grams."""
+    import os
+
+    from tessera.session import checkpoint_dir
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 1000) % 20000), "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2).cache()
+    top = checkpoint_dir(spark).replace("file://", "") + "/stages"
+    held = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(top) for f in fs)
+    before = held()
+    assert W.perplexities(docs, docs.where("doc_id % 2 = 0").select("doc_id")).where("nll > 0").count() == 400
+    assert held() - before < 1.5 * sum(len(t) for _, t, _ in rows)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
