@@ -59,6 +59,7 @@ def prefix_classes(text: np.ndarray, length: int) -> np.ndarray:
     same = by_symbol[1:][inside[1:]], by_symbol[:-1][inside[1:]]
     last_same, next_same = np.full(n, -1, np.int64), np.full(n, n, np.int64)
     last_same[same[0]], next_same[same[1]] = same[1], same[0]
+    del by_symbol, same
     cut = np.zeros(n + 1, bool)
     cut[[0, n]] = True
     present = np.flatnonzero(counts)

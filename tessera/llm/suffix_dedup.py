@@ -3,8 +3,10 @@
 A window is ``length`` bytes of one document. Windows are dealt to shards by
 their key (see ``hashes.key_runs``), so equal windows meet. Keys that the merged sketch (see ``sketch``)
 shows in one document only need no comparison. Neighbouring windows of one key
-travel together as one fragment, each distinct fragment once a chunk. A shard
-groups the windows of fragments that share a key but differ by ``bwt.prefix_classes``,
+travel together as one fragment, each distinct fragment once a chunk. Where all chunks
+together hold more than ``HEAVY_BYTES`` of a key, as the sketch also shows, its windows travel
+alone and are dealt by a hash of the whole window, so no common phrase fills one shard. A shard takes its
+fragments some keys at a time, groups the windows of those that share a key but differ by ``bwt.prefix_classes``,
 and answers with the least document of every window.
 """
 
@@ -28,6 +30,28 @@ _LAST = np.iinfo(np.int64).max
 KEY_BYTES = 16
 #: Windows in one fragment, and symbols in one transform, at most (but for a single fragment).
 FRAGMENT_WINDOWS, TRANSFORM_SYMBOLS = 4096, 1_000_000
+#: Bytes of fragments, as counted in all chunks, from which on a key's windows are dealt one by one; bytes of fragments that a shard
+#: takes at a time, or those of one key. The first is below the last of ``sketch.LEVELS``.
+HEAVY_BYTES, ANSWER_BYTES = 4_000_000, 4_000_000
+#: Strings numbered at a time, as Python's numbers take four times an array's room.
+_NUMBERED = 1 << 16
+
+
+def _numbers(raw: bytes, begins: np.ndarray, ends: np.ndarray, seen: dict[bytes, int]) -> np.ndarray:
+    """Place of each string among the distinct ones, which ``seen`` takes up."""
+    out = np.empty(len(begins), np.int64)
+    for a in range(0, len(begins), _NUMBERED):
+        some = slice(a, a + _NUMBERED)
+        out[some] = [seen.setdefault(raw[s:e], len(seen)) for s, e in zip(begins[some].tolist(), ends[some].tolist())]
+    return out
+
+
+def _window_keys(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each of the windows that begin at ``at``."""
+    lookup, key = table(22), np.zeros(len(at), np.uint64)
+    for j in range(length):
+        key = key * np.uint64(0x9FB21C651E98DF25) + lookup[data[at + j]]
+    return mix(key)
 
 
 class Strings:
@@ -39,24 +63,27 @@ class Strings:
         self.start, self.count, self.key, self.owner = key_runs(self.data, self.offsets, length, min(KEY_BYTES, length), table(21))
 
     def sketch(self, bits: int) -> np.ndarray:
-        return sketch.sketch(self.owner, self.key, bits)
+        return sketch.sketch(self.owner, self.key, bits, self.count + self.length - 1)
 
     def ids(self) -> np.ndarray:
         """Document ids; a null id counts as larger than any other."""
         return self.batch.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def keep(self, some: np.ndarray) -> None:
-        """Only the runs marked in ``some``, in pieces of bounded size."""
-        pieces = -(-self.count[some] // FRAGMENT_WINDOWS)
-        which, piece = np.repeat(np.flatnonzero(some), pieces), spread(pieces) * FRAGMENT_WINDOWS
+    def keep(self, some: np.ndarray, heavy: np.ndarray | None = None) -> None:
+        """Only the runs marked in ``some``, in pieces of bounded size; those in ``heavy`` in single windows with keys of their own."""
+        heavy = np.zeros(len(some), bool) if heavy is None else heavy
+        most = np.where(heavy, 1, FRAGMENT_WINDOWS)
+        pieces = -(-self.count[some] // most[some])
+        which = np.repeat(np.flatnonzero(some), pieces)
+        piece, alone = spread(pieces) * most[which], heavy[which]
         self.start, self.key, self.owner = self.start[which] + piece, self.key[which], self.owner[which]
-        self.count = np.minimum(self.count[which] - piece, FRAGMENT_WINDOWS)
+        self.count = np.minimum(self.count[which] - piece, most[which])
+        self.key[alone] = _window_keys(self.data, self.start[alone], self.length)
 
     def fragments(self) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
         """(key, bytes, least document) of the distinct fragments in order of their keys, and the fragment of each run."""
-        raw, seen = self.data.tobytes(), {}
-        number = np.fromiter((seen.setdefault(raw[s:e], len(seen)) for s, e in zip(self.start.tolist(), (self.start + self.count + self.length - 1).tolist())),
-                             np.int64, len(self.start))
+        seen: dict[bytes, int] = {}
+        number = _numbers(self.data.tobytes(), self.start, self.start + self.count + self.length - 1, seen)
         doc, key = np.full(len(seen), _LAST, np.int64), np.zeros(len(seen), np.uint64)
         np.minimum.at(doc, number, self.ids()[self.owner])
         key[number] = self.key
@@ -151,10 +178,9 @@ def _by_key(parts: list[bytes], key: np.ndarray, least: np.ndarray, length: int,
         found[np.repeat(base[group], windows[group]) + spread(windows[group])] = got
 
     held, size = [], 0
-    for b, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if e - b < 2:
-            continue
-        n = int(lens[order[b:e]].sum()) + e - b
+    sizes = np.add.reduceat(lens[order], edges[:-1]) + np.diff(edges) if len(order) else lens
+    shared = np.flatnonzero(np.diff(edges) > 1)
+    for b, e, n in zip(edges[shared].tolist(), edges[shared + 1].tolist(), sizes[shared].tolist()):
         if held and size + n > TRANSFORM_SYMBOLS:
             settle(held)
             held, size = [], 0
@@ -167,31 +193,36 @@ def _by_key(parts: list[bytes], key: np.ndarray, least: np.ndarray, length: int,
 
 def answer(blobs: list[bytes], length: int) -> list[bytes]:
     """A shard's answer: for each fragment sent, runs of windows with one least document."""
-    sent = [_parse(b) for b in blobs]
-    seen: dict[bytes, int] = {}
-    number, keys, docs = [], [], []
-    for key, lens, doc, data in sent:
-        raw, ends = data.tobytes(), np.cumsum(lens)
-        own = [seen.setdefault(raw[s:e], len(seen)) for s, e in zip((ends - lens).tolist(), ends.tolist())]
-        number.append(np.array(own, np.int64))
-        keys.append(key)
-        docs.append(doc)
-    every = np.concatenate(number)
-    key, least = np.zeros(len(seen), np.uint64), np.full(len(seen), _LAST, np.int64)
-    key[every] = np.concatenate(keys)
-    np.minimum.at(least, every, np.concatenate(docs))
-    parts = list(seen)
-    found, base = _by_key(parts, key, least, length)
-    windows = np.fromiter(map(len, parts), np.int64, len(parts)) - length + 1
-    out = []
-    for own in number:
-        at = np.repeat(base[own], windows[own]) + spread(windows[own])
-        value, first = found[at], np.zeros(len(at), bool)
-        first[np.cumsum(windows[own]) - windows[own]] = True
-        first[1:] |= value[1:] != value[:-1]
-        runs = np.flatnonzero(first)
-        out.append(planes(np.diff(np.append(runs, len(at))).astype(np.uint16)) + planes(value[runs].view(np.uint64)))
-    return out
+    key, lens, doc, data = (list(x) for x in zip(*map(_parse, blobs)))
+    ends = np.cumsum([0, *map(len, key)])                               # of each chunk's fragments
+    key, lens, doc, raw = np.concatenate(key), np.concatenate(lens), np.concatenate(doc), b"".join(data)
+    del data
+    begins, windows = np.cumsum(lens) - lens, lens - length + 1
+    order = np.argsort(key, kind="stable")
+    fresh = np.flatnonzero(np.append(True, key[order[1:]] != key[order[:-1]]))
+    before = (np.cumsum(lens[order]) - lens[order])[fresh]              # bytes of smaller keys
+    turns = np.append(fresh[np.append(True, np.diff(before // ANSWER_BYTES) > 0)], len(order))
+    pieces = []
+    for own in (order[a:b] for a, b in zip(turns[:-1], turns[1:])):
+        seen: dict[bytes, int] = {}
+        number = _numbers(raw, begins[own], begins[own] + lens[own], seen)
+        keys, least = np.zeros(len(seen), np.uint64), np.full(len(seen), _LAST, np.int64)
+        keys[number] = key[own]
+        np.minimum.at(least, number, doc[own])
+        found, base = _by_key(list(seen), keys, least, length)
+        value, first = found[np.repeat(base[number], windows[own]) + spread(windows[own])], np.cumsum(windows[own]) - windows[own]
+        new = np.zeros(len(value), bool)
+        new[first] = True
+        new[1:] |= value[1:] != value[:-1]
+        runs = np.flatnonzero(new)
+        pieces.append((np.add.reduceat(new, first, dtype=np.int64), np.diff(np.append(runs, len(value))).astype(np.uint16), value[runs]))
+    many, size, value = (np.concatenate(x) for x in zip(*pieces))
+    runs = np.empty(len(order), np.int64)
+    runs[order] = np.cumsum(many) - many                                # where a fragment's runs begin, and how many they are
+    many[order] = many.copy()
+    upto, at = np.concatenate(([0], np.cumsum(many)))[ends], np.repeat(runs, many) + spread(many)
+    size, value = size[at], value[at]
+    return [planes(size[a:b]) + planes(value[a:b].view(np.uint64)) for a, b in zip(upto[:-1], upto[1:])]
 
 
 def _runs(blob: bytes) -> np.ndarray:
@@ -215,7 +246,8 @@ def _send_sketches(batches, length: int, bits: int, n: int):
 def _recalled(blob: bytes, replies, length: int, bits: int, n: int):
     """A chunk's repeated runs, its fragments and where each shard's begin."""
     s = Strings(unpack(blob), length)
-    s.keep(sketch.repeated(s.key, s.sketch(bits), bits, n, _answers(replies, 1)))
+    counters, got = s.sketch(bits), _answers(replies, 1)
+    s.keep(sketch.repeated(s.key, counters, bits, n, got), sketch.heavy(s.key, counters, bits, n, got))
     key, parts, doc, which = s.fragments()
     return s, key, parts, doc, which, cut_points(key, n)
 
@@ -270,7 +302,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     maximal removed run in turn, ``kept`` the other bytes. Ids are integers; a null id counts as larger than all
     others, and rows that share an id do not remove each other's bytes. A null text is empty; one shorter than
     ``length`` loses nothing. An empty table gives an empty result; other columns are not read. However many
-    documents repeat a fragment, it reaches its shard once a chunk.
+    documents repeat a fragment, it reaches its shard once a chunk; a phrase that many documents hold between different
+    neighbours is spread over all shards.
     """
     require(docs, id_col, text_col)
     spark = docs.sparkSession
@@ -279,7 +312,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     packed = materialize(chunks(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text=text_col, limit=chunk_bytes), spark, "chunks")
     bits = sketch.cell_bits(packed.count() * chunk_bytes)
     schema = "shard int, chunk long, blob binary"
-    flags = materialize(exchange(packed.mapInArrow(partial(_send_sketches, length=length, bits=bits, n=n), schema), sketch.merge, n), spark, "flags")
+    flags = materialize(exchange(packed.mapInArrow(partial(_send_sketches, length=length, bits=bits, n=n), schema), partial(sketch.merge, limit=HEAVY_BYTES), n), spark, "flags")
     flags = flags.withColumn("kind", F.lit(1))
 
     def send(own, replies):

@@ -97,6 +97,53 @@ def test_many_transforms_agree_with_one(monkeypatch):
     assert all((suffix_dedup._grouped(parts, docs, 20, depth) == want).all() for depth in range(4))
 
 
+def test_heavy_keys_by_window(documents, odd, copies, none, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HEAVY_BYTES", 300)
+    for df in (documents, odd.where("length(text) < 10000 or text is null"), copies, none):
+        got = suffix_dedup.remove_repeats(df, length=50, chunk_bytes=3_000).collect()
+        assert sorted(((r.doc_id, r.n_bytes, r.n_removed, list(r.spans), bytes(r.kept)) for r in got), key=repr) == \
+            brute_bytes([(r.doc_id, r.text) for r in df.collect()], 50)
+
+
+def test_a_common_phrase_fills_no_shard(spark, monkeypatch, tmp_path):
+    r = random.Random(8)
+    some = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = [(i, some(60) + " a phrase that most rows hold between different neighbours " + some(60)) for i in range(600)]
+    answer = suffix_dedup.answer
+
+    def counted(blobs, length):
+        (tmp_path / str(random.getrandbits(64))).write_text(str(sum(len(x) for b in blobs for x in suffix_dedup._parse(b)[3:])))
+        return answer(blobs, length)
+
+    monkeypatch.setattr(suffix_dedup, "answer", counted)
+    monkeypatch.setattr(suffix_dedup, "HEAVY_BYTES", 5_000, raising=False)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=50, chunk_bytes=3_000).collect()
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert max(sizes) < 2 * sum(sizes) / common.n_shards(spark)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, list(r.spans), bytes(r.kept)) for r in got), key=repr) == brute_bytes(rows, 50)
+
+
+@pytest.mark.parametrize("at_once", [1, 700, 10**9])
+def test_shards_answer_some_keys_at_a_time(at_once, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "ANSWER_BYTES", at_once, raising=False)
+    r = random.Random(6)
+    base, sent, least = bytes(r.choice(b"abcd") for _ in range(400)), [], {}
+    key = lambda w: int.from_bytes(min(w[i:i + 5] for i in range(8)), "big")
+    for _ in range(9):
+        some = {}
+        for _ in range(40):
+            i = r.randrange(380)
+            n = next(m for m in range(1, 10) if i + m + 12 > len(base) or key(base[i + m:i + m + 12]) != key(base[i:i + 12]))
+            some[base[i:i + n + 11]] = r.randrange(50)
+        sent.append(sorted((key(f[:12]), f, d) for f, d in some.items()))
+        for _, f, d in sent[-1]:
+            for j in range(len(f) - 11):
+                least[f[j:j + 12]] = min(d, least.get(f[j:j + 12], LAST))
+    blobs = [suffix_dedup._pack(np.array([k for k, _, _ in x], np.uint64), [f for _, f, _ in x], np.array([d for _, _, d in x])) for x in sent]
+    for x, got in zip(sent, suffix_dedup.answer(blobs, 12)):
+        assert suffix_dedup._runs(got).tolist() == [least[f[j:j + 12]] for _, f, _ in x for j in range(len(f) - 11)]
+
+
 def test_fragments_are_cut_with_their_overlap(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "FRAGMENT_WINDOWS", 10)
     data = b"ab" * 500
@@ -149,6 +196,34 @@ def test_merged_sketches_never_underestimate(bits, most):
     assert not len(sketch.repeated(keys[:0], sketch.sketch(owner[:0], keys[:0], bits), bits, n, {}))
 
 
+@pytest.mark.parametrize("bits", [10, 16, 48])
+def test_no_heavy_key_is_missed(bits):
+    r = np.random.default_rng(3)
+    chunks, truth, n, limit = [], {}, 5, 20_000
+    for c in range(20):
+        keys = hashes.mix((r.pareto(0.7, 500) * 10).astype(np.uint64))
+        owner, weight = np.sort(r.integers(0, 9, 500)), r.integers(50, 4000, 500)
+        for k, w in zip(keys.tolist(), weight.tolist()):
+            truth[k] = truth.get(k, 0) + w
+        chunks.append((keys, sketch.sketch(owner, keys, bits, weight)))
+    blobs = [dict(sketch.send(k, n)) for _, k in chunks]
+    answers = [{} for _ in chunks]
+    for s in range(n):
+        own = [i for i, b in enumerate(blobs) if s in b]
+        plain = sketch.merge([blobs[i][s] for i in own])
+        for i, a, p in zip(own, sketch.merge([blobs[i][s] for i in own], limit), plain):
+            assert a[:len(p)] == p
+            answers[i][s] = a
+    found = {}
+    for (keys, counters), a in zip(chunks, answers):
+        for x, y in zip(keys.tolist(), sketch.heavy(keys, counters, bits, n, a).tolist()):
+            assert found.setdefault(x, y) == y                          # all chunks agree
+    assert all(found[k] for k, w in truth.items() if w > limit) and sum(truth[k] > limit for k in truth) > 3
+    if bits == 48:
+        assert not any(found[k] for k, w in truth.items() if w < limit / 2)
+    assert not len(sketch.heavy(keys[:0], counters[:0], bits, n, {}))
+
+
 def test_cells_follow_the_text():
     assert sketch.cell_bits(0) == 10 and sketch.cell_bits(4_000_000) == 22 and sketch.cell_bits(10**20) == 48
 
